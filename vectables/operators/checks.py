@@ -134,10 +134,11 @@ def write_ledger(acks: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
 
 
 def audit_lifecycle(attempts: DataFrame) -> DataFrame:
-    """OP-55: per (collection, op): attempts, successes, accepted failures (the message names the
-    collection as already existing, S13), other failures; ``ok`` when no other failure. Successes are
+    """OP-55: per (collection, op): attempts, successes, accepted failures (a create whose message
+    names the collection as already existing, S13; a failed delete is never accepted), other failures; ``ok`` when no other failure. Successes are
     reported, not required (S12)."""
-    accepted = F.col("message").contains(F.concat(F.lit("Collection `"), F.col("collection"), F.lit("` already exists!")))
+    accepted = (F.col("op") == "create") & F.col("message").contains(
+        F.concat(F.lit("Collection `"), F.col("collection"), F.lit("` already exists!")))
     return attempts.groupBy("collection", "op").agg(
         F.count(F.lit(1)).cast("bigint").alias("attempts"),
         F.count_if(F.col("message").isNull()).cast("bigint").alias("succeeded"),
