@@ -5,7 +5,7 @@ Storage lives under the shared folder named by ``spark.checkpoint.dir`` (see
 
     <root>/<catalog>/_catalog/          append-only manifest: (seq, collection, action, version, path, dim)
     <root>/<catalog>/_snapshots/        append-only manifest: (seq, collection, snapshot, action, path)
-    <root>/<catalog>/data/<collection>/v<version>/   one Parquet directory per table version
+    <root>/<catalog>/data/<collection>-<incarnation>/v<version>/   one Parquet directory per table version
     <root>/<catalog>/snapshots/<collection>/<name>/  Parquet copy of a version
 
 A table version is never overwritten in place: a mutation writes a new directory and appends a
@@ -74,7 +74,7 @@ class Catalog:
     def create(self, name: str, dim: int) -> None:
         if self.exists(name):
             raise CollectionExists(f"Collection `{name}` already exists!")
-        path = f"{self.root}/data/{name}/v0"
+        path = f"{self.root}/data/{name}-{uuid.uuid4().hex[:8]}/v0"  # a new incarnation per create
         self.spark.createDataFrame([], point_schema(dim)).write.mode("errorifexists").parquet(path)
         self._append("_catalog", CATALOG_SCHEMA, (name, "create", 0, path, dim))
 
@@ -102,7 +102,7 @@ class Catalog:
         if e is None:
             raise CollectionMissing(f"Collection `{name}` doesn't exist!")
         version = e["version"] + 1
-        path = f"{self.root}/data/{name}/v{version}"
+        path = f"{e['path'].rsplit('/', 1)[0]}/v{version}"
         out = df.repartition(shards, "id") if shards else df
         writer = out.write.mode("errorifexists")
         if partition_by:

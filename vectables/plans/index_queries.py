@@ -1 +1,237 @@
-"""Registered queries."""
+"""Index, quantization, threshold switch (OP-33..OP-37) and catalog / layout / snapshot queries
+(OP-40..OP-46)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vectables.functions.random import uniform_int, uniform_int_sql, uniform_sql
+from vectables.operators import catalog as cat
+from vectables.operators import checks as ck
+from vectables.operators import ivf, quant
+from vectables.operators import mutations as mu
+from vectables.operators.search import search_batch
+from vectables.plans.registry import register
+from vectables.plans.search_queries import DIM, QUERIES_SQL, cos_sql, supplied_queries, topk_sql
+from vectables.plans.table_queries import collection
+from vectables.session import storage_root
+from vectables.sources import views
+from vectables.sources.views import with_views
+
+NLIST, NPROBE, THRESHOLD = ivf.NLIST, ivf.NPROBE, 1000
+SHORTLIST = 150
+
+IVF_CTES = {
+    "queries": QUERIES_SQL,
+    "pivots": (f"SELECT CAST(row_number() OVER (ORDER BY h, id) - 1 AS INTEGER) AS cell, vec FROM ("
+               f"SELECT id, vec, {uniform_sql('ivf/pivot', 'id')} AS h FROM points WHERE vec IS NOT NULL "
+               f"ORDER BY h, id LIMIT {NLIST}) t"),
+    "assign": (f"SELECT p.id, arg_max(pv.cell, (round({cos_sql('p.vec', 'pv.vec')}, 6), -pv.cell)) AS cell "
+               "FROM points p, pivots pv WHERE p.vec IS NOT NULL GROUP BY p.id"),
+    "qcells": (f"SELECT query_id, cell FROM (SELECT q.query_id, pv.cell, row_number() OVER (PARTITION BY q.query_id "
+               f"ORDER BY round({cos_sql('q.qv', 'pv.vec')}, 6) DESC, pv.cell) AS r FROM queries q, pivots pv) t "
+               f"WHERE r <= {NPROBE}"),
+    "ivf_hits": topk_sql(f"SELECT q.query_id, p.id, round({cos_sql('q.qv', 'p.vec')}, 6) AS score, p.a FROM queries q "
+                         "JOIN qcells c ON q.query_id = c.query_id JOIN assign s ON s.cell = c.cell "
+                         "JOIN points p ON p.id = s.id AND p.a = q.must_a"),
+    "exact_hits": topk_sql(f"SELECT q.query_id, p.id, round({cos_sql('q.qv', 'p.vec')}, 6) AS score, p.a "
+                           "FROM queries q JOIN points p ON p.a = q.must_a"),
+}
+
+
+def _index(spark, sf_dir, write: bool = True):
+    pts = views.points(spark, sf_dir)
+    path = f"{storage_root(spark)}/ivf-{__import__('uuid').uuid4().hex[:10]}" if write else None
+    return ivf.build_index(pts, NLIST, path=path)
+
+
+@register("ivf_assign", with_views("SELECT id, cell FROM assign", "points", extra=IVF_CTES))
+def q_ivf_assign(spark, sf_dir):
+    pivots = ivf.pick_pivots(views.points(spark, sf_dir), NLIST)
+    return ivf.assign_cells(views.points(spark, sf_dir), pivots).select("id", "cell")
+
+
+@register("ivf_search", with_views("SELECT * FROM ivf_hits", "points", extra=IVF_CTES))
+def q_ivf_search(spark, sf_dir):
+    return ivf.ivf_search(_index(spark, sf_dir), supplied_queries(spark, sf_dir), nprobe=NPROBE)
+
+
+@register("ivf_recall", with_views(
+    "SELECT e.query_id, round(count(i.id) / count(*), 6) AS recall, CAST(count(*) AS BIGINT) AS exact_hits "
+    "FROM exact_hits e LEFT JOIN ivf_hits i ON e.query_id = i.query_id AND e.id = i.id GROUP BY e.query_id",
+    "points", extra=IVF_CTES,
+))
+def q_ivf_recall(spark, sf_dir):
+    queries = supplied_queries(spark, sf_dir)
+    approx = ivf.ivf_search(_index(spark, sf_dir), queries, nprobe=NPROBE)
+    exact = search_batch(views.points(spark, sf_dir), queries, dim=DIM)
+    return ivf.recall(approx, exact)
+
+
+@register("search_threshold_switch", with_views(
+    f"SELECT * FROM exact_hits WHERE (SELECT count(*) FROM points) < {THRESHOLD} "
+    f"UNION ALL SELECT * FROM ivf_hits WHERE (SELECT count(*) FROM points) >= {THRESHOLD}",
+    "points", extra=IVF_CTES,
+))
+def q_search_threshold_switch(spark, sf_dir):
+    pts = views.points(spark, sf_dir)
+    queries = supplied_queries(spark, sf_dir)
+    if pts.count() < THRESHOLD:       # OP-33: small collections are scanned exactly
+        return search_batch(pts, queries, dim=DIM)
+    return ivf.ivf_search(_index(spark, sf_dir), queries, nprobe=NPROBE)
+
+
+# --- OP-36 / OP-37 ---------------------------------------------------------------------------
+
+def _q8(col: str) -> str:
+    return (f"list_transform({col}, lambda x: CAST(greatest(-127, least(127, floor(CAST(x AS DOUBLE) / m * 127 + 0.5))) AS INTEGER))")
+
+
+ALPHA_SQL = "SELECT max(list_max(list_transform(vec, lambda x: abs(CAST(x AS DOUBLE))))) AS m FROM points"
+
+
+@register("quantize_int8", with_views(
+    "SELECT id, CAST(list_sum(qv) AS BIGINT) AS qsum, CAST(list_sum(list_transform(qv, lambda x: x * x)) AS BIGINT) AS qsq, "
+    f"CAST(list_min(qv) AS BIGINT) AS qmin, CAST(list_max(qv) AS BIGINT) AS qmax FROM (SELECT id, {_q8('vec')} AS qv FROM points, alpha) t",
+    "points", extra={"alpha": ALPHA_SQL},
+))
+def q_quantize_int8(spark, sf_dir):
+    pts = views.points(spark, sf_dir)
+    alpha = quant.alpha_of(pts)
+    q = pts.select("id", quant.quantize(F.col("vec"), alpha).alias("qv"))
+    ints = F.transform("qv", lambda x: x.cast("bigint"))
+    return q.select(
+        "id",
+        F.aggregate(ints, F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("qsum"),
+        F.aggregate(ints, F.lit(0).cast("bigint"), lambda acc, x: acc + x * x).alias("qsq"),
+        F.array_min(ints).alias("qmin"), F.array_max(ints).alias("qmax"),
+    )
+
+
+INT8_CTES = {
+    "alpha": ALPHA_SQL,
+    "queries": QUERIES_SQL,
+    "cand": (f"SELECT q.query_id, p.id, p.a, CAST(list_dot_product(CAST({_q8('q.qv')} AS DOUBLE[]), "
+             f"CAST({_q8('p.vec')} AS DOUBLE[])) AS BIGINT) AS iscore, round({cos_sql('q.qv', 'p.vec')}, 6) AS score "
+             "FROM queries q JOIN points p ON p.a = q.must_a, alpha"),
+    "short": (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY iscore DESC, id) AS s "
+              f"FROM cand) t WHERE s <= {SHORTLIST}"),
+}
+
+
+@register("search_int8", with_views(
+    topk_sql("SELECT query_id, id, score, a FROM short"), "points", extra=INT8_CTES,
+))
+def q_search_int8(spark, sf_dir):
+    return quant.search_int8(views.points(spark, sf_dir), supplied_queries(spark, sf_dir),
+                             oversample=SHORTLIST / 100, dim=DIM)
+
+
+# --- OP-40: lifecycle (rows-only: writes to the shared folder) --------------------------------
+
+@register("collection_lifecycle")
+def q_collection_lifecycle(spark, sf_dir):
+    c = cat.Catalog(spark)
+    steps = []
+    c.create("lc", DIM)
+    steps.append(("create", c.exists("lc")))
+    try:
+        c.create("lc", DIM)
+        steps.append(("create_again_fails", False))
+    except cat.CollectionExists as e:
+        steps.append(("create_again_fails", "already exists!" in str(e)))
+    written = c.write("lc", collection(spark, sf_dir))
+    c.drop("lc")
+    steps.append(("drop", not c.exists("lc")))
+    c.recreate("lc", DIM)
+    steps.append(("recreate", c.exists("lc")))
+    fresh = c.read("lc")
+    meta = spark.createDataFrame(steps, "step string, ok boolean")
+    counts = ck.check_count(fresh, 0, "recreated_empty", "lc").select(F.col("check").alias("step"), "ok")
+    n_src = collection(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    n_written = written.agg(F.count(F.lit(1)).alias("w"))
+    same = ck.one_row_join(n_src, n_written).select(F.lit("written_count").alias("step"), (F.col("n") == F.col("w")).alias("ok"))
+    return meta.unionByName(counts).unionByName(same)
+
+
+# --- OP-41: ten collections in one DataFrame ------------------------------------------------
+
+N_COLLECTIONS = 10
+
+
+@register("multi_collection_counts",
+          "SELECT concat('churn_', CAST(c.i AS VARCHAR)) AS collection, CAST(count(*) AS BIGINT) AS points, "
+          f"CAST(count(*) FILTER (WHERE {uniform_int_sql('churn/payload', 2, 'c.i', 'e.vec_id')} = 0) AS BIGINT) AS keyword_0 "
+          f"FROM embeddings e, (SELECT range AS i FROM range({N_COLLECTIONS})) c GROUP BY c.i")
+def q_multi_collection_counts(spark, sf_dir):
+    from vectables.sources import tables
+
+    ids = tables.embeddings(spark, sf_dir, "vec_id")
+    many = ids.select(F.explode(F.sequence(F.lit(0), F.lit(N_COLLECTIONS - 1))).alias("i"), "vec_id")
+    kw = uniform_int("churn/payload", 2, F.col("i"), F.col("vec_id"))
+    return many.groupBy(F.concat(F.lit("churn_"), F.col("i").cast("string")).alias("collection")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("points"), F.count_if(kw == 0).cast("bigint").alias("keyword_0"))
+
+
+# --- OP-42 / OP-43 / OP-44 -------------------------------------------------------------------
+
+@register("field_index_postings", with_views(
+    "SELECT a AS value, CAST(count(*) AS BIGINT) AS points, min(id) AS min_id, max(id) AS max_id FROM points "
+    "WHERE a IS NOT NULL GROUP BY a", "points",
+))
+def q_field_index_postings(spark, sf_dir):
+    return cat.field_postings(views.points(spark, sf_dir))
+
+
+@register("filter_via_index", with_views("SELECT id, a FROM points WHERE a = 'keyword_1'", "points"))
+def q_filter_via_index(spark, sf_dir):
+    path = f"{storage_root(spark)}/byfield-{__import__('uuid').uuid4().hex[:10]}"
+    views.points(spark, sf_dir).select("id", "vec", "a").write.partitionBy("a").parquet(path)
+    # partition pruning: only the a=keyword_1 directory is listed and read
+    return spark.read.parquet(path).where(F.col("a") == "keyword_1").select("id", "a")
+
+
+@register("payload_schema",
+          "WITH oplog AS (" + views.OPLOG_SQL + "), "
+          "resets AS (SELECT id, arg_max(op, seq) AS reset_op, max(seq) AS reset_seq FROM oplog WHERE op IN ('upsert', 'delete') GROUP BY id), "
+          "live AS (SELECT id, reset_seq FROM resets WHERE reset_op = 'upsert'), "
+          "kv AS (SELECT o.id, o.k FROM oplog o JOIN live l ON o.id = l.id AND o.seq >= l.reset_seq "
+          "WHERE o.op IN ('upsert', 'set_payload') AND o.k IS NOT NULL GROUP BY o.id, o.k) "
+          "SELECT k AS field, 'keyword' AS data_type, CAST(count(DISTINCT id) AS BIGINT) AS points, k = 'k1' AS indexed "
+          "FROM kv GROUP BY k")
+def q_payload_schema(spark, sf_dir):
+    return cat.payload_schema(mu.apply_oplog(views.oplog(spark, sf_dir)), indexed=("k1",))
+
+
+SHARDS = 4
+
+
+@register("shard_layout", f"SELECT CAST(vec_id % {SHARDS} AS BIGINT) AS shard, CAST(count(*) AS BIGINT) AS points "
+                          "FROM embeddings GROUP BY ALL")
+def q_shard_layout(spark, sf_dir):
+    pts = views.points(spark, sf_dir).withColumn("shard", cat.shard_of("id", SHARDS))
+    laid = pts.repartition(SHARDS, "shard")  # one shard per partition, co-located on the shard key
+    return laid.groupBy("shard").agg(F.count(F.lit(1)).cast("bigint").alias("points"))
+
+
+# --- OP-45 / OP-46 / OP-53 snapshot cycle (rows-only: writes to the shared folder) -------------
+
+@register("snapshot_cycle")
+def q_snapshot_cycle(spark, sf_dir):
+    c = cat.Catalog(spark)
+    c.create("snap", DIM)
+    c.write("snap", collection(spark, sf_dir))
+    before = c.count_snapshots("snap")
+    name = c.create_snapshot("snap")
+    after_create = c.count_snapshots("snap")
+    listed = c.snapshots("snap").where(F.col("snapshot") == name).count() == 1
+    snap_rows = spark.read.parquet(f"{c.root}/snapshots/snap/{name}")
+    c.delete_snapshot("snap", name)
+    after_delete = c.count_snapshots("snap")
+    meta = spark.createDataFrame(
+        [("count_plus_one", after_create == before + 1), ("listed_by_name", listed),
+         ("count_back", after_delete == before)], "step string, ok boolean")
+    n_src = c.read("snap").agg(F.count(F.lit(1)).alias("n"))
+    n_snap = snap_rows.agg(F.count(F.lit(1)).alias("s"))
+    same = ck.one_row_join(n_src, n_snap).select(F.lit("snapshot_rows").alias("step"), (F.col("n") == F.col("s")).alias("ok"))
+    return meta.unionByName(same)
