@@ -28,12 +28,12 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from vectables.plans import (  # noqa: F401
-        checks_queries,
-        drills,
+        search_queries,
+        table_queries,
+        log_queries,
         generator_queries,
+        checks_queries,
         index_queries,
-        log_queries,
-        search_queries,
         stream_queries,
-        table_queries,
+        drills,
     )

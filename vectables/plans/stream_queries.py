@@ -1 +1,51 @@
-"""Registered queries."""
+"""Streaming queries (OP-67..OP-71): each runs a Structured Streaming query to completion
+(``availableNow``) over the events file and returns the sink as a DataFrame. The oracles are
+the batch ones: streaming output must equal batch output."""
+
+from __future__ import annotations
+
+from vectables.plans import log_queries as lq
+from vectables.plans import table_queries as tq
+from vectables.plans.registry import ORACLE, register
+from vectables.sources.views import with_views
+from vectables.streaming import stateful
+
+
+def events_glob(sf_dir: str) -> str:
+    return f"{sf_dir.rstrip('/')}/events.parquet*"
+
+
+@register("stream_health_transitions", ORACLE["health_transitions"])
+def q_stream_health_transitions(spark, sf_dir):
+    return stateful.stream_health_transitions(spark, events_glob(sf_dir)).select(
+        "uri", "event_id", "kind", "failures", "latency_ms", "outcome")
+
+
+@register("stream_run_transitions", ORACLE["run_transitions"])
+def q_stream_run_transitions(spark, sf_dir):
+    return stateful.stream_run_transitions(spark, events_glob(sf_dir)).select(
+        "drill", "uri", "event_id", "kind", "failures", "round", "error")
+
+
+@register("stream_latency_histogram", ORACLE["latency_histogram"])
+def q_stream_latency_histogram(spark, sf_dir):
+    return stateful.stream_latency_histogram(spark, events_glob(sf_dir)).select("uri", "bucket_hi", "n")
+
+
+@register("stream_apply_oplog", ORACLE["apply_oplog"])
+def q_stream_apply_oplog(spark, sf_dir):
+    return stateful.stream_apply_oplog(spark, events_glob(sf_dir))
+
+
+@register("stream_window_latency", with_views(
+    "SELECT * FROM (SELECT uri, time_bucket(INTERVAL 1 hour, ts) AS window_start, CAST(count(*) AS BIGINT) AS probes, "
+    "min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, CAST(sum(latency_ms) AS BIGINT) AS total_ms "
+    "FROM probes GROUP BY uri, window_start) w "
+    "WHERE window_start + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 10 minutes",
+    "probes",
+))
+def q_stream_window_latency(spark, sf_dir):
+    return stateful.stream_window_latency(spark, events_glob(sf_dir))
+
+
+_ = (lq, tq)  # the batch oracles above are registered by these modules
