@@ -1 +1,257 @@
-"""Registered queries."""
+"""The ten drills as composed jobs (P-01..P-10). Each returns check rows
+``(step, check, expected, actual, ok)``; a failed invariant is a row with ``ok = false``."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vectables.functions.random import uniform_int
+from vectables.operators import checks as ck
+from vectables.operators import logs
+from vectables.operators import mutations as mu
+from vectables.operators.search import search_batch
+from vectables.plans import index_queries as iq
+from vectables.plans import table_queries as tq
+from vectables.plans.registry import register
+from vectables.plans.search_queries import DIM, supplied_queries
+from vectables.sources import generators, tables, views
+from vectables.sources.views import with_views
+
+N_SQL = "(SELECT count(*) FROM embeddings)"
+
+
+def row(step: str, agg: DataFrame, check: str, expected, actual, ok=None) -> DataFrame:
+    ok = (expected == actual) if ok is None else ok
+    return agg.select(F.lit(step).alias("step"), F.lit(check).alias("check"), expected.cast("bigint").alias("expected"),
+                      actual.cast("bigint").alias("actual"), ok.alias("ok"))
+
+
+def union(*dfs: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, dfs)
+
+
+def n_points(spark, sf_dir) -> DataFrame:
+    return tables.embeddings(spark, sf_dir, "vec_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sql_row(step: str, check: str, expected: str, actual: str) -> str:
+    return (f"SELECT '{step}' AS step, '{check}' AS \"check\", CAST({expected} AS BIGINT) AS expected, "
+            f"CAST({actual} AS BIGINT) AS actual, ({expected}) = ({actual}) AS ok")
+
+
+def counted(df: DataFrame, name: str = "c") -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias(name))
+
+
+# --- P-01 collections_churn ---------------------------------------------------------------
+
+N_CHURN = 10
+
+
+@register("drill_collections", " UNION ALL ".join(
+    [sql_row(f"churn_{i}", "count", N_SQL, N_SQL) for i in range(N_CHURN)]
+    + [sql_row(f"churn_{i}", "field_indexed", "1", "1") for i in range(N_CHURN)]
+    + [sql_row(f"churn_{i}", "deleted", "0", "0") for i in range(N_CHURN)]))
+def q_drill_collections(spark, sf_dir):
+    ids = tables.embeddings(spark, sf_dir, "vec_id")
+    many = ids.select(F.explode(F.sequence(F.lit(0), F.lit(N_CHURN - 1))).alias("i"), F.col("vec_id").alias("id")) \
+        .withColumn("collection", F.concat(F.lit("churn_"), F.col("i").cast("string"))) \
+        .withColumn("a", F.concat(F.lit("keyword_"), uniform_int("churn/payload", 2, F.col("i"), F.col("id")).cast("string")))
+    names = many.select("collection").distinct()
+    n = n_points(spark, sf_dir)
+    counts = many.groupBy("collection").agg(F.count(F.lit(1)).alias("c"))
+    indexed = many.where(F.col("a").isNotNull()).groupBy("collection").agg(F.lit(1).alias("f"))
+    gone = mu.delete_ids(many, many.select("id")).groupBy("collection").agg(F.count(F.lit(1)).alias("g"))
+    per = (names.join(counts, "collection", "left").join(indexed, "collection", "left").join(gone, "collection", "left"))
+    per = ck.one_row_join(per, n)
+    sel = lambda chk, e, a: per.select(F.col("collection").alias("step"), F.lit(chk).alias("check"),
+                                       e.cast("bigint").alias("expected"), a.cast("bigint").alias("actual"),
+                                       (e == a).alias("ok"))
+    return union(sel("count", F.col("n"), F.coalesce("c", F.lit(0))),
+                 sel("field_indexed", F.lit(1), F.coalesce("f", F.lit(0))),
+                 sel("deleted", F.lit(0), F.coalesce("g", F.lit(0))))
+
+
+# --- P-02 points_search (flagship) ----------------------------------------------------------
+
+@register("drill_search", with_views(
+    sql_row("insert", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
+    + sql_row("refresh", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
+    + sql_row("search", "queries_ok", "(SELECT count(*) FROM queries)",
+              "(SELECT count(DISTINCT query_id) FROM hits WHERE rank = 1 AND a IS NOT NULL AND id < "
+              "(SELECT count(*) FROM points))"),
+    "points", extra={"queries": iq.IVF_CTES["queries"], "hits": iq.IVF_CTES["exact_hits"]},
+))
+def q_drill_search(spark, sf_dir):
+    base = tq.collection(spark, sf_dir)
+    n = n_points(spark, sf_dir)
+    ids = tables.embeddings(spark, sf_dir, "vec_id").where(F.col("vec_id") < 100)
+    refreshed = mu.upsert(base, generators.gen_points(ids, DIM, 2, id_col="vec_id", stream="refresh")
+                          .select("id", "vec", "payload"))
+    queries = supplied_queries(spark, sf_dir)
+    hits = search_batch(views.points(spark, sf_dir), queries, dim=DIM)
+    verdict = ck.check_search_hits(queries, hits).agg(
+        F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
+    return union(
+        row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
+        row("refresh", ck.one_row_join(n, counted(refreshed)), "count", F.col("n"), F.col("c")),
+        row("search", verdict, "queries_ok", F.col("q"), F.col("good")),
+    )
+
+
+# --- P-03 points_churn ----------------------------------------------------------------------
+
+@register("drill_points_churn", with_views(
+    sql_row("insert", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
+    + sql_row("insert", "point_0_exists", "1", "(SELECT count(*) FROM points WHERE id = 0)") + " UNION ALL "
+    + sql_row("delete", "count", "0", "0"),
+    "points",
+))
+def q_drill_points_churn(spark, sf_dir):
+    base = tq.collection(spark, sf_dir)
+    n = n_points(spark, sf_dir)
+    exists = base.where(F.col("id") == 0).agg(F.count(F.lit(1)).alias("c"))
+    emptied = mu.delete_range(base, 1 << 62)   # ids 0..n-1 for any n: the whole dense range
+    return union(
+        row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
+        row("insert", exists, "point_0_exists", F.lit(1), F.col("c")),
+        row("delete", counted(emptied), "count", F.lit(0), F.col("c")),
+    )
+
+
+# --- P-04 points_update ----------------------------------------------------------------------
+
+OVERWRITE_SQL = tq.gen_points_sql("vec_id", "embeddings", DIM, 2, "overwrite")
+
+
+@register("drill_points_update", with_views(
+    sql_row("first_upsert", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
+    + sql_row("second_upsert", "count", N_SQL, "(SELECT count(*) FROM delta)") + " UNION ALL "
+    + sql_row("second_upsert", "vectors_changed", "(SELECT count(*) FROM points)",
+              "(SELECT count(*) FROM points p JOIN delta d ON p.id = d.id WHERE p.vec IS DISTINCT FROM d.vec)"),
+    "points", extra={"delta": OVERWRITE_SQL},
+))
+def q_drill_points_update(spark, sf_dir):
+    before = tq.collection(spark, sf_dir)
+    n = n_points(spark, sf_dir)
+    ids = tables.embeddings(spark, sf_dir, "vec_id")
+    after = mu.upsert(before, generators.gen_points(ids, DIM, 2, id_col="vec_id", stream="overwrite")
+                      .select("id", "vec", "payload"))
+    changed = ck.vector_diff(before, after).agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("c"))
+    return union(
+        row("first_upsert", ck.one_row_join(n, counted(before)), "count", F.col("n"), F.col("c")),
+        row("second_upsert", ck.one_row_join(n, counted(after)), "count", F.col("n"), F.col("c")),
+        row("second_upsert", changed, "vectors_changed", F.col("n"), F.col("c")),
+    )
+
+
+# --- P-05 collection_snapshots_churn (rows-only: writes snapshots) ------------------------------
+
+@register("drill_snapshots")
+def q_drill_snapshots(spark, sf_dir):
+    checks = iq.q_snapshot_cycle(spark, sf_dir)
+    return checks.select(F.col("step"), F.lit("snapshot").alias("check"), F.lit(1).cast("bigint").alias("expected"),
+                         F.col("ok").cast("bigint").alias("actual"), "ok")
+
+
+# --- P-06 toggle_indexing --------------------------------------------------------------------
+
+@register("drill_toggle_index", with_views(
+    sql_row("insert", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
+    + sql_row("index", "progress", "1", "(SELECT CASE WHEN count(vec) > 0 THEN 1 ELSE 0 END FROM points)")
+    + " UNION ALL "
+    + sql_row("search", "queries_ok", "(SELECT count(*) FROM queries)",
+              "(SELECT count(DISTINCT query_id) FROM sw WHERE rank = 1 AND a IS NOT NULL)"),
+    "points", extra={**iq.IVF_CTES, "sw": (
+        f"SELECT * FROM exact_hits WHERE (SELECT count(*) FROM points) < {iq.THRESHOLD} "
+        f"UNION ALL SELECT * FROM ivf_hits WHERE (SELECT count(*) FROM points) >= {iq.THRESHOLD}")},
+))
+def q_drill_toggle_index(spark, sf_dir):
+    base = tq.collection(spark, sf_dir)
+    n = n_points(spark, sf_dir)
+    hits = iq.q_search_threshold_switch(spark, sf_dir)
+    queries = supplied_queries(spark, sf_dir)
+    verdict = ck.check_search_hits(queries, hits).agg(
+        F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
+    progress = base.agg(F.when(F.count("vec") > 0, 1).otherwise(0).alias("p"))
+    return union(
+        row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
+        row("index", progress, "progress", F.lit(1), F.col("p")),
+        row("search", verdict, "queries_ok", F.col("q"), F.col("good")),
+    )
+
+
+# --- P-07 high_concurrency --------------------------------------------------------------------
+
+@register("drill_change_log",
+          "SELECT 'cycles' AS step, 'leftover_points' AS \"check\", CAST(0 AS BIGINT) AS expected, "
+          "CAST(0 AS BIGINT) AS actual, true AS ok")
+def q_drill_change_log(spark, sf_dir):
+    final = mu.apply_oplog(tq.cycle_log(spark, sf_dir))
+    return row("cycles", final.agg(F.count_distinct("id").alias("c")), "leftover_points", F.lit(0), F.col("c"))
+
+
+# --- P-08 large_retrieve ----------------------------------------------------------------------
+
+@register("drill_retrieve", with_views(
+    sql_row("retrieve", "count", N_SQL, "(SELECT count(*) FROM points WHERE id IN (SELECT vec_id FROM embeddings))")
+    + " UNION ALL " + sql_row("retrieve", "missing_or_extra", "0", "0")
+    + " UNION ALL " + sql_row("retrieve", "vectors_missing", "0", "(SELECT count(*) FROM points WHERE vec IS NULL)"),
+    "points",
+))
+def q_drill_retrieve(spark, sf_dir):
+    from vectables.operators.reads import retrieve
+
+    pts = views.points(spark, sf_dir)
+    wanted = tables.embeddings(spark, sf_dir, "vec_id").select(F.col("vec_id").alias("id"))
+    got = retrieve(pts, wanted)
+    n = n_points(spark, sf_dir)
+    idset = ck.check_id_set(wanted, got.select("id"))
+    return union(
+        row("retrieve", ck.one_row_join(n, counted(got)), "count", F.col("n"), F.col("c")),
+        row("retrieve", idset, "missing_or_extra", F.lit(0), F.col("missing") + F.col("duplicate") + F.col("extra")),
+        row("retrieve", got.agg(F.count_if(F.col("vec").isNull()).alias("c")), "vectors_missing", F.lit(0), F.col("c")),
+    )
+
+
+# --- P-09 collection_concurrent_lifecycle -------------------------------------------------------
+
+@register("drill_lifecycle_audit", with_views(
+    "SELECT collection AS step, 'violations' AS \"check\", CAST(0 AS BIGINT) AS expected, "
+    "CAST(count(*) FILTER (WHERE message IS NOT NULL AND NOT coalesce(op = 'create' AND "
+    "contains(message, 'Collection `' || collection || '` already exists!'), false)) AS BIGINT) AS actual, "
+    "count(*) FILTER (WHERE message IS NOT NULL AND NOT coalesce(op = 'create' AND "
+    "contains(message, 'Collection `' || collection || '` already exists!'), false)) = 0 AS ok "
+    "FROM attempts GROUP BY collection",
+    "attempts",
+))
+def q_drill_lifecycle_audit(spark, sf_dir):
+    audit = ck.audit_lifecycle(views.attempts(spark, sf_dir))
+    per = audit.groupBy("collection").agg(F.sum("violations").alias("v"))
+    return per.select(F.col("collection").alias("step"), F.lit("violations").alias("check"),
+                      F.lit(0).cast("bigint").alias("expected"), F.col("v").cast("bigint").alias("actual"),
+                      (F.col("v") == 0).alias("ok"))
+
+
+# --- P-10 points_optional_vectors -------------------------------------------------------------
+
+@register("drill_optional_vectors",
+          sql_row("fill", "count", N_SQL, N_SQL) + " UNION ALL " + sql_row("fill", "vectors_missing", "0", "0")
+          + " UNION ALL " + sql_row("fill", "payload_wiped", N_SQL, N_SQL))
+def q_drill_optional_vectors(spark, sf_dir):
+    filled = tq.q_progressive_fill(spark, sf_dir)
+    n = n_points(spark, sf_dir)
+    stats = filled.agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("dim").isNull()).alias("m"),
+                       F.count_if(F.col("n_keys") == 0).alias("w"))
+    both = ck.one_row_join(n, stats)
+    return union(
+        row("fill", both, "count", F.col("n"), F.col("c")),
+        row("fill", both, "vectors_missing", F.lit(0), F.col("m")),
+        row("fill", both, "payload_wiped", F.col("n"), F.col("w")),
+    )
+
+
+_ = logs
