@@ -212,3 +212,37 @@ DEBOUNCE_CTES = {
 ))
 def q_green_debounce(spark, sf_dir):
     return logs.green_debounce(views.statuses(spark, sf_dir))
+
+
+# --- OP-59 cumulative: summary as of each transition (S17) -----------------------------------
+
+CUMULATIVE_CTES = {
+    **runs_sql("probes", "uri", "outcome = 'ok'"),
+    "tr": "SELECT uri, first_event_id AS event_id, 'failed' AS kind FROM fr UNION ALL "
+          "SELECT uri, recovered_event_id, 'recovered' FROM fr WHERE recovered_event_id IS NOT NULL",
+    "pos": f"SELECT uri, event_id, ts, latency_ms, {bucket_sql('latency_ms')} AS bucket FROM probes WHERE latency_ms <= 3600000",
+    "pairs": "SELECT t.uri, t.event_id, t.kind, p.bucket, p.latency_ms FROM tr t JOIN probes tp ON tp.event_id = t.event_id "
+             "JOIN pos p ON p.uri = t.uri AND (p.ts < tp.ts OR (p.ts = tp.ts AND p.event_id <= tp.event_id))",
+    "hist": "SELECT uri, event_id, kind, bucket, count(*) AS n FROM pairs GROUP BY ALL",
+    "cum": "SELECT *, sum(n) OVER (PARTITION BY uri, event_id ORDER BY bucket) AS cum, "
+           "sum(n) OVER (PARTITION BY uri, event_id) AS total FROM hist",
+    "qs": "SELECT uri, event_id, kind, CAST(total AS BIGINT) AS total, "
+          "CAST(min(CASE WHEN cum >= greatest(1, ceil(total * 0.5)) THEN bucket END) AS BIGINT) AS p50_ms, "
+          "CAST(min(CASE WHEN cum >= greatest(1, ceil(total * 0.95)) THEN bucket END) AS BIGINT) AS p95_ms, "
+          "CAST(min(CASE WHEN cum >= greatest(1, ceil(total * 0.99)) THEN bucket END) AS BIGINT) AS p99_ms "
+          "FROM cum GROUP BY uri, event_id, kind, total",
+    "mm": "SELECT uri, event_id, min(latency_ms) AS mn, max(latency_ms) AS mx FROM pairs GROUP BY uri, event_id",
+}
+
+
+@register("latency_cumulative", with_views(
+    f"SELECT q.uri, q.event_id, q.kind, q.total, {bucket_sql('m.mn', top=False)} AS min_ms, q.p50_ms, q.p95_ms, "
+    f"q.p99_ms, {bucket_sql('m.mx')} AS max_ms FROM qs q JOIN mm m ON q.uri = m.uri AND q.event_id = m.event_id",
+    "probes", extra=CUMULATIVE_CTES,
+))
+def q_latency_cumulative(spark, sf_dir):
+    from vectables.operators.cumulative import latency_at_transitions
+
+    probes = views.probes(spark, sf_dir)
+    trans = logs.transitions(probes, ["uri"], F.col("outcome") == "ok")
+    return latency_at_transitions(probes, trans)
