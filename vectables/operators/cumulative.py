@@ -40,9 +40,16 @@ def _hi(v: int) -> int:
     return ((v >> sh) + 1) * (1 << sh) - 1
 
 
+_lo_v = np.vectorize(_lo, otypes=[np.int64])
+_hi_v = np.vectorize(_hi, otypes=[np.int64])
+SUB_BATCH = 2048   # transitions summarised at once: bounds the (transitions x buckets) matrix
+
+
 def _summarise(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    """Vectorised: the histogram after each transition is the start histogram plus a cumulative
+    sum, over transition segments, of per-segment bucket counts."""
     rows = rows.sort_values("ordinal", kind="stable").reset_index(drop=True)
-    uri = rows["uri"].iloc[0] if len(rows) else None
+    uri = rows["uri"].iloc[0]
     if start.empty:
         sb, sc, smin, smax = np.zeros(0, np.int64), np.zeros(0, np.int64), None, None
     else:
@@ -50,29 +57,42 @@ def _summarise(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         sb = np.asarray(s["buckets"], dtype=np.int64)
         sc = np.asarray(s["counts"], dtype=np.int64)
         smin, smax = s["start_min"], s["start_max"]
-    buckets = np.unique(np.concatenate([sb, rows["bucket"].to_numpy(np.int64)]))
-    hist = np.zeros(len(buckets), np.int64)
-    hist[np.searchsorted(buckets, sb)] += sc
-    idx = np.searchsorted(buckets, rows["bucket"].to_numpy(np.int64))
+    rb = rows["bucket"].to_numpy(np.int64)
+    buckets = np.unique(np.concatenate([sb, rb]))
+    k = len(buckets)
+    base = np.zeros(k, np.int64)
+    base[np.searchsorted(buckets, sb)] += sc
+    idx = np.searchsorted(buckets, rb)
     lat = rows["latency_ms"].to_numpy(np.int64)
     run_min = np.minimum.accumulate(lat)
     run_max = np.maximum.accumulate(lat)
-    out = []
+    if smin is not None and not pd.isna(smin):
+        run_min = np.minimum(run_min, int(smin))
+        run_max = np.maximum(run_max, int(smax))
+    tpos = np.flatnonzero(rows["kind"].notna().to_numpy())
+    parts = []
     done = 0
-    for i in np.flatnonzero(rows["kind"].notna().to_numpy()):
-        np.add.at(hist, idx[done:i + 1], 1)
-        done = i + 1
-        cum = np.cumsum(hist)
-        total = int(cum[-1])
-        qs = []
+    for lo in range(0, len(tpos), SUB_BATCH):
+        tp = tpos[lo:lo + SUB_BATCH]
+        # segment j holds rows (previous transition, transition j]; rows before 'done' are in base
+        seg = np.searchsorted(tp, np.arange(done, tp[-1] + 1), side="left")
+        counts = np.zeros((len(tp), k), np.int64)
+        np.add.at(counts, (seg, idx[done:tp[-1] + 1]), 1)
+        hist = base[None, :] + np.cumsum(counts, axis=0)
+        cum = np.cumsum(hist, axis=1)
+        total = cum[:, -1]
+        qcols = []
         for q in (0.5, 0.95, 0.99):
-            rank = max(1, int(np.ceil(total * q)))
-            qs.append(int(buckets[np.searchsorted(cum, rank)]))
-        mn = int(run_min[i]) if smin is None or pd.isna(smin) else min(int(smin), int(run_min[i]))
-        mx = int(run_max[i]) if smax is None or pd.isna(smax) else max(int(smax), int(run_max[i]))
-        out.append((uri, int(rows["event_id"].iloc[i]), rows["kind"].iloc[i], total, _lo(mn), *qs, _hi(mx)))
-    return pd.DataFrame(out, columns=["uri", "event_id", "kind", "total", "min_ms", "p50_ms", "p95_ms", "p99_ms",
-                                      "max_ms"])
+            rank = np.maximum(1, np.ceil(total * q).astype(np.int64))
+            qcols.append(buckets[(cum >= rank[:, None]).argmax(axis=1)])
+        parts.append(pd.DataFrame({
+            "uri": uri, "event_id": rows["event_id"].to_numpy(np.int64)[tp], "kind": rows["kind"].to_numpy(object)[tp],
+            "total": total, "min_ms": _lo_v(run_min[tp]), "p50_ms": qcols[0], "p95_ms": qcols[1], "p99_ms": qcols[2],
+            "max_ms": _hi_v(run_max[tp]),
+        }))
+        base = hist[-1]
+        done = tp[-1] + 1
+    return pd.concat(parts, ignore_index=True)
 
 
 def latency_at_transitions(probes: DataFrame, transitions: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
