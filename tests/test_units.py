@@ -163,3 +163,14 @@ def test_transitions_across_chunks(spark):
                 exp.append((i, "failed", None))
             failing, fails = True, fails + 1
     assert got == exp
+
+
+def test_search_over_several_query_chunks_equals_one(spark, monkeypatch):
+    from vectables.operators import search as S
+
+    pts = generators.gen_points(spark.range(300), 8, 2, stream="t/points").select("id", "vec", "a")
+    qs = generators.gen_queries(spark.range(40), 8, 2, stream="t/query")
+    one = {tuple(r) for r in S.search_batch(pts, qs, k=5, dim=8).collect()}
+    monkeypatch.setattr(S, "MAX_QUERY_BYTES", 8 * 8 * 7)   # 7 queries per chunk -> several jobs
+    many = {tuple(r) for r in S.search_batch(pts, qs, k=5, dim=8).collect()}
+    assert one == many and len(one) == 40 * 5

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from vectables import TOP_K
 from vectables.functions.random import uniform
 from vectables.functions.vectors import SCORE_DECIMALS
-from vectables.operators.search import HIT_SCHEMA, make_topk_kernel, query_chunks, collect_queries, rank_hits
+from vectables.operators.search import HIT_SCHEMA, make_topk_kernel, over_chunks, query_chunks, rank_hits
 
 NLIST = 8
 NPROBE = 3
@@ -89,29 +89,26 @@ def ivf_search(index, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE,
     spark = indexed.sparkSession
     piv = _unit(pivots)
     dim = pivots.shape[1]
-    outs = []
-    for chunk in query_chunks(queries, dim):
-        qids, mat, musts = collect_queries(chunk)
-        if len(qids) == 0:
-            continue
+
+    def build(chunk):
+        qids, mat, musts = chunk
         probes = nearest_cells(mat, piv, min(nprobe, len(piv)))
-        cell_mask: dict[int, np.ndarray] = {}
+        cell_mask: dict[int, list] = {}
         for qi, cells in enumerate(probes):
             for c in cells:
                 cell_mask.setdefault(int(c), []).append(qi)
-        cell_mask = {c: np.asarray(v, dtype=np.int64) for c, v in cell_mask.items()}
-        bc = spark.sparkContext.broadcast((qids, mat, musts, cell_mask))
-        pts = indexed.where(F.col("cell").isin(list(cell_mask))).select("id", vector, "a", "cell")
+        mask = {c: np.asarray(v, dtype=np.int64) for c, v in cell_mask.items()}
+        bc = spark.sparkContext.broadcast((qids, mat, musts, mask))
+        # partition pruning: only the probed cells' directories are read
+        pts = indexed.where(F.col("cell").isin(list(mask))).select("id", vector, "a", "cell")
 
         def run(batches, bc=bc):
-            q_ids, q_mat, q_must, mask = bc.value
-            yield from make_topk_kernel(q_ids, q_mat, q_must, k, vector, cell_mask=mask)(batches)
-
-        outs.append(pts.mapInPandas(run, HIT_SCHEMA))
-    hits = outs[0]
-    for o in outs[1:]:
-        hits = hits.unionByName(o)
-    return rank_hits(hits, k)
+            q_ids, q_mat, q_must, m = bc.value
+            yield from make_topk_kernel(q_ids, q_mat, q_must, k, vector, cell_mask=m)(batches)
+
+        return rank_hits(pts.mapInPandas(run, HIT_SCHEMA), k)
+
+    return over_chunks(spark, query_chunks(queries, dim), build)
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vectables import TOP_K
 from vectables.functions.vectors import SCORE_DECIMALS
-from vectables.operators.search import _stack, _top_candidates, collect_queries, query_chunks
+from vectables.operators.search import _stack, _top_candidates, over_chunks, query_chunks
 
 QMAX = 127
 OVERSAMPLE = 1.5
@@ -108,23 +108,19 @@ def search_int8(points: DataFrame, queries: DataFrame, k: int = TOP_K, oversampl
     alpha = alpha_of(points, vector) if alpha is None else alpha
     shortlist = max(k, int(np.ceil(k * oversample)))
     pts = points.select("id", vector, "a")
-    outs = []
-    for chunk in query_chunks(queries, dim):
-        qids, mat, musts = collect_queries(chunk)
-        if not len(qids):
-            continue
-        bc = spark.sparkContext.broadcast((qids, mat, musts))
+
+    def build(chunk):
+        bc = spark.sparkContext.broadcast(chunk)
 
         def run(batches, bc=bc):
             a, b, c = bc.value
             yield from make_int8_kernel(a, b, c, alpha, shortlist, vector)(batches)
 
-        outs.append(pts.mapInPandas(run, QHIT_SCHEMA))
-    hits = outs[0]
-    for o in outs[1:]:
-        hits = hits.unionByName(o)
-    w1 = Window.partitionBy("query_id").orderBy(F.col("iscore").desc(), F.col("id").asc())
-    short = hits.withColumn("__s", F.row_number().over(w1)).where(F.col("__s") <= shortlist)
-    w2 = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    ranked = short.withColumn("rank", F.row_number().over(w2).cast("bigint")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", F.round("score", SCORE_DECIMALS).alias("score"), "a")
+        hits = pts.mapInPandas(run, QHIT_SCHEMA)
+        w1 = Window.partitionBy("query_id").orderBy(F.col("iscore").desc(), F.col("id").asc())
+        short = hits.withColumn("__s", F.row_number().over(w1)).where(F.col("__s") <= shortlist)
+        w2 = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
+        ranked = short.withColumn("rank", F.row_number().over(w2).cast("bigint")).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "id", F.round("score", SCORE_DECIMALS).alias("score"), "a")
+
+    return over_chunks(spark, query_chunks(queries, dim), build)

@@ -173,14 +173,56 @@ def collect_queries(queries: DataFrame, vector: str = "qvec", must: str = "must_
     return qids, mat, musts
 
 
-def query_chunks(queries: DataFrame, dim: int, max_bytes: int = MAX_QUERY_BYTES) -> list[DataFrame]:
-    """Split the query set so each broadcast chunk stays under ``max_bytes`` (the size check)."""
+def query_chunks(queries: DataFrame, dim: int, max_bytes: int | None = None):
+    """Yield ``(qids, matrix, musts)`` chunks of at most ``max_bytes`` of query matrix each.
+
+    The size check is part of the collect: at most ``per_chunk + 1`` rows are fetched first; only
+    when that overflows is the query set split by ``pmod(query_id, chunks)`` and fetched one chunk
+    at a time, so the driver never holds more than one chunk."""
+    per_chunk = max(1, (max_bytes or MAX_QUERY_BYTES) // max(1, dim * 8))
+    head = collect_queries(queries.limit(per_chunk + 1))
+    if len(head[0]) <= per_chunk:
+        yield head
+        return
     n = queries.count()
-    per_chunk = max(1, max_bytes // max(1, dim * 8))
-    chunks = max(1, -(-n // per_chunk))
-    if chunks == 1:
-        return [queries]
-    return [queries.where(F.pmod(F.col("query_id"), F.lit(chunks)) == i) for i in range(chunks)]
+    chunks = -(-n // per_chunk) + 1   # hash split: leave room for uneven chunks
+    for i in range(chunks):
+        yield collect_queries(queries.where(F.pmod(F.col("query_id"), F.lit(chunks)) == i))
+
+
+def _hits_for(points: DataFrame, chunk, k: int, vector: str) -> DataFrame:
+    qids, mat, musts = chunk
+    bc = points.sparkSession.sparkContext.broadcast((qids, mat, musts))
+
+    def run(batches, bc=bc):
+        q_ids, q_mat, q_must = bc.value
+        yield from make_topk_kernel(q_ids, q_mat, q_must, k, vector)(batches)
+
+    return points.mapInPandas(run, HIT_SCHEMA)
+
+
+EMPTY_HITS = "query_id long, rank long, id long, score double, a string"
+
+
+def over_chunks(spark, chunks, build) -> DataFrame:
+    """Run ``build(chunk) -> ranked hits`` per query chunk. One chunk: a single lazy plan. Several
+    (query matrix over the broadcast bound): one job per chunk appending to a table in the shared
+    folder, so the driver holds one chunk at a time; the result reads that table."""
+    first = next(chunks)
+    second = next(chunks, None)
+    if second is None:
+        if len(first[0]) == 0:
+            return spark.createDataFrame([], EMPTY_HITS)
+        return build(first)
+    import uuid
+
+    from vectables.session import storage_root
+
+    out = f"{storage_root(spark)}/search-{uuid.uuid4().hex[:12]}"
+    for chunk in (first, second, *chunks):
+        if len(chunk[0]):
+            build(chunk).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
 
 
 def search_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "vec",
@@ -191,25 +233,7 @@ def search_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector:
         first = queries.select(F.size("qvec").alias("d")).where("d > 0").limit(1).collect()
         dim = first[0]["d"] if first else 1
     pts = points.select("id", vector, "a")
-    outs = []
-    for chunk in query_chunks(queries, dim):
-        qids, mat, musts = collect_queries(chunk)
-        if len(qids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast((qids, mat, musts))
-
-        def run(batches, bc=bc):
-            q_ids, q_mat, q_must = bc.value
-            yield from make_topk_kernel(q_ids, q_mat, q_must, k, vector)(batches)
-
-        outs.append(pts.mapInPandas(run, HIT_SCHEMA))
-    if not outs:
-        return spark.createDataFrame([], HIT_SCHEMA + ", rank long").select(
-            "query_id", "rank", "id", "score", "a")
-    hits = outs[0]
-    for o in outs[1:]:
-        hits = hits.unionByName(o)
-    return rank_hits(hits, k)
+    return over_chunks(spark, query_chunks(queries, dim), lambda c: rank_hits(_hits_for(pts, c, k, vector), k))
 
 
 def search_auto(points: DataFrame, queries: DataFrame, index=None, index_threshold: int = 1000,
