@@ -174,3 +174,16 @@ def test_search_over_several_query_chunks_equals_one(spark, monkeypatch):
     monkeypatch.setattr(S, "MAX_QUERY_BYTES", 8 * 8 * 7)   # 7 queries per chunk -> several jobs
     many = {tuple(r) for r in S.search_batch(pts, qs, k=5, dim=8).collect()}
     assert one == many and len(one) == 40 * 5
+
+
+def test_chunked_lag_equals_plain_lag(spark):
+    from pyspark.sql import Window
+
+    from vectables.operators.scan import block_chunk, chunked_lag
+
+    rows = [(i, f"k{i % 3}", i * 7 % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "seq long, key string, v long")
+    got = chunked_lag(df, ["key"], ["seq"], F.col("v"), "prev", block_chunk("seq", 16))
+    want = df.withColumn("prev", F.lag("v").over(Window.partitionBy("key").orderBy("seq")))
+    assert sorted(map(tuple, got.select("seq", "key", "v", "prev").collect())) == \
+        sorted(map(tuple, want.select("seq", "key", "v", "prev").collect()))

@@ -63,3 +63,19 @@ def running_sums(
         out = out.withColumn(name, (F.col(f"__p_{name}") + F.col(f"__l_{name}")).cast("bigint"))
     drop = ["__chunk"] + [c for n in values for c in (tmp[n], f"__l_{n}", f"__p_{n}")]
     return out.drop(*drop)
+
+
+def chunked_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: Column, out: str,
+                chunk: Column) -> DataFrame:
+    """``lag(col)`` per key in ``order`` without a whole-key window partition: a lag inside each
+    ``(key, chunk)``; the first row of a chunk takes the last value of the previous non-empty
+    chunk, found by a lag over the small per-chunk summary table and an equi-join back."""
+    keys = list(keys)
+    df = df.withColumn("__chunk", chunk).withColumn("__val", col)
+    w = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    df = df.withColumn(out, F.lag("__val").over(w)).withColumn("__first", F.row_number().over(w) == 1)
+    last = df.groupBy(*keys, "__chunk").agg(F.max_by("__val", F.struct(*order)).alias("__last"))
+    prev = last.select(*keys, "__chunk", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__chunk")).alias("__prev"))
+    joined = df.join(prev, on=keys + ["__chunk"], how="inner")
+    return joined.withColumn(out, F.when(F.col("__first"), F.col("__prev")).otherwise(F.col(out))).drop(
+        "__chunk", "__val", "__first", "__prev")

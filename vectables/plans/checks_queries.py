@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vectables.operators import catalog as cat
 from vectables.operators import checks as ck
 from vectables.operators import mutations as mu
-from vectables.operators.scan import block_chunk, running_sums
+from vectables.operators.scan import block_chunk, chunked_lag, running_sums
 from vectables.plans.registry import register
 from vectables.plans.search_queries import PARTLY_NULL_SQL, partly_null_points
 from vectables.plans.table_queries import collection, gen_points_sql
@@ -201,8 +200,10 @@ def q_snapshot_listing(spark, sf_dir):
 ))
 def q_check_snapshot_delta(spark, sf_dir):
     m = snapshot_manifest(spark, sf_dir)
-    w = Window.partitionBy("collection", "snapshot").orderBy("seq")
-    m = m.withColumn("prev_live", F.coalesce(F.lag(F.col("action") == "create").over(w), F.lit(False)))
+    # previous action on the same snapshot name, chunked so a hot name never sits in one window
+    m = chunked_lag(m, ["collection", "snapshot"], ["seq"], F.col("action") == "create", "prev_live",
+                    block_chunk("seq"))
+    m = m.withColumn("prev_live", F.coalesce("prev_live", F.lit(False)))
     delta = (F.when((F.col("action") == "create") & ~F.col("prev_live"), 1)
              .when((F.col("action") == "delete") & F.col("prev_live"), -1).otherwise(0))
     m = m.withColumn("delta", delta)
