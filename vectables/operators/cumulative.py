@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectables.operators import logs
-from vectables.operators.scan import hour_chunk, running_sums
 
 BLOCK_ROWS = 1 << 20
 OUT_SCHEMA = ("uri string, event_id long, kind string, total long, min_ms long, p50_ms long, p95_ms long, "
@@ -95,10 +94,17 @@ def _summarise(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def latency_at_transitions(probes: DataFrame, transitions: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    inr = probes.where(F.col("latency_ms") <= logs.HIST_MAX_MS).select(
-        "uri", "event_id", "ts", "latency_ms", logs.bucket_hi(F.col("latency_ms")).alias("bucket"))
-    ranked = running_sums(inr, ["uri"], ["ts", "event_id"], {"ordinal": F.lit(1)}, hour_chunk("ts"))
+def latency_at_transitions(probes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Summary at every health transition of ``probes`` (uri, event_id, ts, latency_ms, outcome).
+
+    One chunked running-sum pass gives both the failure islands (for the transitions) and each
+    probe's ordinal (for the blocks); later stages reuse its exchanges."""
+    isl = logs.islands(probes, ["uri"], F.col("outcome") == "ok",
+                       {"ordinal": F.lit(1), "in_range": (F.col("latency_ms") <= logs.HIST_MAX_MS).cast("bigint")})
+    transitions = logs.transitions_from_islands(isl, ["uri"])
+    ranked = isl.where(F.col("latency_ms") <= logs.HIST_MAX_MS).select(
+        "uri", "event_id", F.col("in_range").alias("ordinal"), "latency_ms",
+        logs.bucket_hi(F.col("latency_ms")).alias("bucket"))
     ranked = ranked.withColumn("block", F.floor((F.col("ordinal") - 1) / block_rows).cast("bigint"))
     marked = ranked.join(transitions.select("uri", "event_id", "kind"), on=["uri", "event_id"], how="left")
 

@@ -104,19 +104,17 @@ def latency_summary(probes: DataFrame, key: str = "uri") -> DataFrame:
 
 # ------------------------------------------------------------------ OP-57 / OP-60 failure runs
 
-def _failure_islands(df: DataFrame, keys: Sequence[str], is_ok: Column, order=("ts", "event_id")) -> DataFrame:
-    """Add ``g`` = oks so far (inclusive) and ``is_ok``; ordinal of an ok row among oks equals its ``g``."""
+def islands(df: DataFrame, keys: Sequence[str], is_ok: Column, extra: dict[str, Column] | None = None,
+            order=("ts", "event_id")) -> DataFrame:
+    """Add ``is_ok`` and ``g`` = oks so far (inclusive); the ordinal of an ok row among oks equals
+    its ``g``. ``extra`` running sums are computed in the same pass."""
     df = df.withColumn("is_ok", is_ok)
-    return running_sums(df, keys, order, {"g": F.col("is_ok").cast("bigint")}, hour_chunk("ts"))
+    values = {"g": F.col("is_ok").cast("bigint"), **(extra or {})}
+    return running_sums(df, keys, order, values, hour_chunk("ts"))
 
 
-def failure_runs(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per failure run: ``(keys, run, first_event_id, last_event_id, failures, recovered_event_id)``.
-
-    ``carry`` columns are taken from the first failure of the run, and as ``rec_<name>`` from the
-    recovering row."""
+def runs_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
-    isl = _failure_islands(rows, keys, is_ok)
     order = F.struct("ts", "event_id")
     runs = isl.where(~F.col("is_ok")).groupBy(*keys, "g").agg(
         F.min_by("event_id", order).alias("first_event_id"),
@@ -129,10 +127,17 @@ def failure_runs(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Seq
     return runs.join(oks, on=keys + ["g"], how="left").withColumnRenamed("g", "run")
 
 
-def transitions(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Sequence[str] = ()) -> DataFrame:
-    """State changes (S18, OP-60): ``failed`` at the first failure of each run, ``recovered`` at the
-    ok row that ends it, with the run length. Output ``(keys, event_id, kind, failures, carry...)``."""
-    runs = failure_runs(rows, keys, is_ok, carry)
+def failure_runs(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per failure run: ``(keys, run, first_event_id, last_event_id, failures, recovered_event_id)``.
+
+    ``carry`` columns are taken from the first failure of the run, and as ``rec_<name>`` from the
+    recovering row."""
+    return runs_from_islands(islands(rows, keys, is_ok), keys, carry)
+
+
+def transitions_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    keys = list(keys)
+    runs = runs_from_islands(isl, keys, carry)
     failed = runs.select(*keys, F.col("first_event_id").alias("event_id"), F.lit("failed").alias("kind"),
                          F.lit(None).cast("bigint").alias("failures"), *carry)
     recovered = runs.where(F.col("recovered_event_id").isNotNull()).select(
@@ -141,6 +146,12 @@ def transitions(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Sequ
     return failed.unionByName(recovered)
 
 
+def transitions(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """State changes (S18, OP-60): ``failed`` at the first failure of each run, ``recovered`` at the
+    ok row that ends it, with the run length. Output ``(keys, event_id, kind, failures, carry...)``."""
+    return transitions_from_islands(islands(rows, keys, is_ok), keys, carry)
+
+
 # ------------------------------------------------------------------ OP-61 round report
 
 def round_report(runs: DataFrame, n_uris: int) -> DataFrame:

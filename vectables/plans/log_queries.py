@@ -243,6 +243,4 @@ CUMULATIVE_CTES = {
 def q_latency_cumulative(spark, sf_dir):
     from vectables.operators.cumulative import latency_at_transitions
 
-    probes = views.probes(spark, sf_dir)
-    trans = logs.transitions(probes, ["uri"], F.col("outcome") == "ok")
-    return latency_at_transitions(probes, trans)
+    return latency_at_transitions(views.probes(spark, sf_dir))
