@@ -3,7 +3,7 @@
 * Pivots: the ``nlist`` points with the smallest seeded hash of their id — a deterministic
   sample chosen by a top-k (TakeOrderedAndProject), so it costs one pass and ``nlist`` rows.
   ``nlist x dim`` is a parameter-bounded size, which makes the pivot matrix safe to broadcast.
-* Assignment: ``mapInPandas``; each Arrow batch is scored against the pivot matrix with one
+* Assignment: ``mapInArrow``; each Arrow batch is scored against the pivot matrix with one
   matmul; nearest pivot wins, ties go to the lower cell. The index is the points table plus a
   ``cell`` column, written ``partitionBy('cell')`` so a probe reads only its cells' files.
 * Search: each query's ``nprobe`` nearest cells are found the same way (queries x pivots, small);
@@ -14,10 +14,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +23,8 @@ from pyspark.sql import types as T
 from vectables import TOP_K
 from vectables.functions.random import uniform
 from vectables.functions.vectors import SCORE_DECIMALS
-from vectables.operators.search import HIT_SCHEMA, make_topk_kernel, over_chunks, query_chunks, rank_hits
+from vectables.operators.search import (HIT_SCHEMA, arrow_vectors, make_topk_kernel, over_chunks, query_chunks,
+                                        rank_hits)
 
 NLIST = 8
 NPROBE = 3
@@ -58,18 +57,16 @@ def assign_cells(points: DataFrame, pivots: np.ndarray, vector: str = "vec") ->
     bc = spark.sparkContext.broadcast(_unit(pivots))
     out_schema = T.StructType(list(points.schema.fields) + [T.StructField("cell", T.IntegerType())])
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches):
         piv = bc.value
-        for pdf in batches:
-            cell = np.full(len(pdf), -1, dtype=np.int64)
-            valid = pdf[vector].notna().to_numpy()
+        for batch in batches:
+            mat, valid = arrow_vectors(batch.column(vector))
+            cell = np.zeros(batch.num_rows, dtype=np.int32)
             if valid.any():
-                mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector][valid]])
                 cell[valid] = nearest_cells(mat, piv, 1)[:, 0]
-            pdf = pdf.assign(cell=pd.array(np.where(cell >= 0, cell, None), dtype="Int32"))
-            yield pdf
+            yield batch.append_column("cell", pa.array(cell, type=pa.int32(), mask=~valid))
 
-    return points.mapInPandas(assign, out_schema)
+    return points.mapInArrow(assign, out_schema)
 
 
 def build_index(points: DataFrame, nlist: int = NLIST, path: str | None = None, vector: str = "vec"):
@@ -106,7 +103,7 @@ def ivf_search(index, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE,
             q_ids, q_mat, q_must, m = bc.value
             yield from make_topk_kernel(q_ids, q_mat, q_must, k, vector, cell_mask=m)(batches)
 
-        return rank_hits(pts.mapInPandas(run, HIT_SCHEMA), k)
+        return rank_hits(pts.mapInArrow(run, HIT_SCHEMA), k)
 
     return over_chunks(spark, query_chunks(queries, dim), build)
 

@@ -12,16 +12,15 @@ kernel keeps a local shortlist by ``(int score desc, id asc)``; the global short
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectables import TOP_K
 from vectables.functions.vectors import SCORE_DECIMALS
-from vectables.operators.search import _stack, _top_candidates, over_chunks, query_chunks
+from vectables.operators.search import (_groups_by_keyword, _top_candidates, over_chunks, point_batches,
+                                        query_chunks, reduce_topk, unit_rows)
 
 QMAX = 127
 OVERSAMPLE = 1.5
@@ -42,44 +41,17 @@ def quantize_np(mat: np.ndarray, alpha: float) -> np.ndarray:
     return np.clip(np.floor(mat / alpha * QMAX + 0.5), -QMAX, QMAX).astype(np.int64)
 
 
-def _reduce_by(qidx, ids, rank_scores, extra, k):
-    if len(qidx) == 0:
-        return qidx, ids, rank_scores, extra
-    order = np.lexsort((ids, -rank_scores, qidx))
-    qidx, ids, rank_scores = qidx[order], ids[order], rank_scores[order]
-    extra = [e[order] for e in extra]
-    starts = np.r_[0, np.flatnonzero(np.diff(qidx)) + 1]
-    group_start = np.repeat(starts, np.diff(np.r_[starts, len(qidx)]))
-    keep = (np.arange(len(qidx)) - group_start) < k
-    return qidx[keep], ids[keep], rank_scores[keep], [e[keep] for e in extra]
-
-
 def make_int8_kernel(qids, qmat, qmust, alpha, shortlist, vector):
+    """``mapInArrow`` function: integer-dot shortlist per query with the exact cosine carried along."""
     qq = quantize_np(qmat, alpha)
-    qnorm = np.linalg.norm(qmat, axis=1)
-    qunit = qmat / np.where(qnorm > 0, qnorm, 1.0)[:, None]
-    groups = {}
-    for i, m in enumerate(qmust):
-        if qnorm[i] > 0:
-            groups.setdefault(m, []).append(i)
-    groups = {m: np.asarray(v, dtype=np.int64) for m, v in groups.items()}
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    qunit, qgood = unit_rows(qmat)
+    groups = _groups_by_keyword(qmust, qgood)
+
+    def kernel(batches):
         acc = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)]
-        for pdf in batches:
-            mat, valid = _stack(pdf[vector])
-            if not valid.any():
-                continue
-            ids = pdf["id"].to_numpy(np.int64)[valid]
-            labels = pdf["a"].to_numpy(object)[valid]
-            pnorm = np.linalg.norm(mat, axis=1)
-            good = pnorm > 0
-            mat, ids, labels, pnorm = mat[good], ids[good], labels[good], pnorm[good]
-            if not len(ids):
-                continue
-            pq = quantize_np(mat, alpha)
-            punit = mat / pnorm[:, None]
-            parts = [[a] for a in acc]
+        for ids, punit, raw, labels, _cells in point_batches(batches, vector):
+            pq = quantize_np(raw, alpha)
+            parts = [[x] for x in acc]
             for must, qs in groups.items():
                 ps = np.flatnonzero(np.ones(len(ids), bool) if must is None else labels == must)
                 if not len(ps):
@@ -93,11 +65,13 @@ def make_int8_kernel(qids, qmat, qmust, alpha, shortlist, vector):
                 parts[3].append(exact)
                 parts[4].append(labels[ps][c])
             cat = [np.concatenate(p) for p in parts]
-            q, i, s, extra = _reduce_by(cat[0], cat[1], cat[2], [cat[3], cat[4]], shortlist)
+            q, i, s, extra = reduce_topk(cat[0], cat[1], cat[2], [cat[3], cat[4]], shortlist)
             acc = [q, i, s, extra[0], extra[1]]
         if len(acc[0]):
-            yield pd.DataFrame({"query_id": qids[acc[0]].astype(np.int64), "id": acc[1], "iscore": acc[2],
-                                "score": acc[3], "a": acc[4]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids[acc[0]].astype(np.int64)), pa.array(acc[1]), pa.array(acc[2]),
+                 pa.array(acc[3], pa.float64()), pa.array(list(acc[4]), pa.string())],
+                names=["query_id", "id", "iscore", "score", "a"])
 
     return kernel
 
@@ -116,7 +90,7 @@ def search_int8(points: DataFrame, queries: DataFrame, k: int = TOP_K, oversampl
             a, b, c = bc.value
             yield from make_int8_kernel(a, b, c, alpha, shortlist, vector)(batches)
 
-        hits = pts.mapInPandas(run, QHIT_SCHEMA)
+        hits = pts.mapInArrow(run, QHIT_SCHEMA)
         w1 = Window.partitionBy("query_id").orderBy(F.col("iscore").desc(), F.col("id").asc())
         short = hits.withColumn("__s", F.row_number().over(w1)).where(F.col("__s") <= shortlist)
         w2 = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())

@@ -4,7 +4,7 @@
   ``orderBy(...).limit(k)``, which Catalyst turns into TakeOrderedAndProject: each task keeps
   its own k best, only k rows per task reach the final merge.
 * ``search_batch``: many queries. The query matrix is size-checked and broadcast; points are
-  streamed through ``mapInPandas`` where numpy scores a whole Arrow batch against all queries at
+  streamed through ``mapInArrow`` where numpy scores a whole Arrow batch against all queries at
   once and keeps a running local top-k per query. Only ``(query_id, id, score, a)`` leaves the
   task (vectors are never shuffled); the global top-k is ``row_number() <= k`` per query, which
   Spark plans with a WindowGroupLimit before the shuffle. Each query holds at most
@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +56,23 @@ def search_one(points: DataFrame, query: Column, predicate: Column | None = None
 
 # ------------------------------------------------------------------ batch search kernel
 
-def _stack(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Stack a Series of arrays into float64 rows; returns (matrix, valid-row mask)."""
-    valid = vectors.notna().to_numpy()
-    if not valid.any():
+def arrow_vectors(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(float64 matrix of the non-null, non-empty vectors, row mask) straight from the Arrow list
+    buffers: one gather over the flat values, no Python object per row."""
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, 0)), np.zeros(0, dtype=bool)
+    offsets = np.asarray(col.offsets)
+    lengths = np.diff(offsets)
+    valid = np.asarray(col.is_valid().to_numpy(zero_copy_only=False)) & (lengths > 0)
+    rows = np.flatnonzero(valid)
+    if len(rows) == 0:
         return np.zeros((0, 0)), valid
-    mat = np.stack([np.asarray(v, dtype=np.float64) for v in vectors[valid]])
+    dim = int(lengths[rows[0]])
+    if np.any(lengths[rows] != dim):
+        raise ValueError("vectors of one column must all have the same dimension")
+    values = np.asarray(col.values.to_numpy(zero_copy_only=False))
+    mat = values[offsets[:-1][rows, None] + np.arange(dim)].astype(np.float64)
     return mat, valid
 
 
@@ -76,54 +87,67 @@ def _top_candidates(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
     return rows, cols
 
 
-def _reduce(qidx: np.ndarray, ids: np.ndarray, scores: np.ndarray, labels: np.ndarray, k: int):
-    """Keep the k best ``(score desc, id asc)`` per query index."""
+def reduce_topk(qidx: np.ndarray, ids: np.ndarray, rank_scores: np.ndarray, extra: list[np.ndarray], k: int):
+    """Keep the k best ``(rank score desc, id asc)`` per query index; ``extra`` arrays follow."""
     if len(qidx) == 0:
-        return qidx, ids, scores, labels
-    order = np.lexsort((ids, -scores, qidx))
-    qidx, ids, scores, labels = qidx[order], ids[order], scores[order], labels[order]
+        return qidx, ids, rank_scores, extra
+    order = np.lexsort((ids, -rank_scores, qidx))
+    qidx, ids, rank_scores = qidx[order], ids[order], rank_scores[order]
+    extra = [e[order] for e in extra]
     starts = np.r_[0, np.flatnonzero(np.diff(qidx)) + 1]
     group_start = np.repeat(starts, np.diff(np.r_[starts, len(qidx)]))
     keep = (np.arange(len(qidx)) - group_start) < k
-    return qidx[keep], ids[keep], scores[keep], labels[keep]
+    return qidx[keep], ids[keep], rank_scores[keep], [e[keep] for e in extra]
+
+
+def unit_rows(mat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows scaled to unit norm, mask of rows with a non-zero norm)."""
+    norms = np.linalg.norm(mat, axis=1) if len(mat) else np.zeros(0)
+    good = norms > 0
+    return mat / np.where(good, norms, 1.0)[:, None], good
+
+
+def point_batches(batches, vector: str, with_cells: bool = False):
+    """Per Arrow batch: ids, unit vectors, raw vectors, keywords (and cells) of the rows that can be hits."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        mat, valid = arrow_vectors(batch.column(vector))
+        if not valid.any():
+            continue
+        ids = np.asarray(batch.column("id").to_numpy(zero_copy_only=False))[valid]
+        labels = np.asarray(batch.column("a").to_numpy(zero_copy_only=False), dtype=object)[valid]
+        cells = np.asarray(batch.column("cell").to_numpy(zero_copy_only=False))[valid] if with_cells else None
+        unit, good = unit_rows(mat)
+        if not good.all():
+            ids, labels, unit, mat = ids[good], labels[good], unit[good], mat[good]
+            cells = cells[good] if cells is not None else None
+        if len(ids):
+            yield ids.astype(np.int64), unit, mat, labels, cells
+
+
+def _groups_by_keyword(query_must: np.ndarray, usable: np.ndarray) -> dict:
+    groups: dict = {}
+    for i, m in enumerate(query_must):
+        if usable[i]:
+            groups.setdefault(m, []).append(i)
+    return {m: np.asarray(ix, dtype=np.int64) for m, ix in groups.items()}
 
 
 def make_topk_kernel(query_ids: np.ndarray, query_mat: np.ndarray, query_must: np.ndarray, k: int,
                      vector: str, cell_mask=None):
-    """Build the ``mapInPandas`` function. ``query_must`` holds the keyword each query requires
-    (None = no filter). ``cell_mask`` optionally maps a point's cell to the query indices that probe it."""
-    qnorm = np.linalg.norm(query_mat, axis=1) if len(query_mat) else np.zeros(0)
-    qvalid = qnorm > 0
-    qn = np.where(qvalid[:, None], query_mat / np.where(qnorm > 0, qnorm, 1.0)[:, None], 0.0)
-    musts = {}
-    for i, m in enumerate(query_must):
-        if qvalid[i]:
-            musts.setdefault(m, []).append(i)
-    musts = {m: np.asarray(ix, dtype=np.int64) for m, ix in musts.items()}
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc_q = np.zeros(0, dtype=np.int64)
-        acc_id = np.zeros(0, dtype=np.int64)
-        acc_s = np.zeros(0, dtype=np.float64)
-        acc_a = np.zeros(0, dtype=object)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            mat, valid = _stack(pdf[vector])
-            if not valid.any():
-                continue
-            ids = pdf["id"].to_numpy(dtype=np.int64)[valid]
-            labels = pdf["a"].to_numpy(dtype=object)[valid]
-            cells = pdf["cell"].to_numpy()[valid] if cell_mask is not None else None
-            pnorm = np.linalg.norm(mat, axis=1)
-            good = pnorm > 0
-            mat, ids, labels, pnorm = mat[good], ids[good], labels[good], pnorm[good]
-            if cells is not None:
-                cells = cells[good]
-            if len(ids) == 0:
-                continue
-            pn = mat / pnorm[:, None]
-            parts_q, parts_id, parts_s, parts_a = [acc_q], [acc_id], [acc_s], [acc_a]
+    """Build the ``mapInArrow`` function. ``query_must`` holds the keyword each query requires
+    (None = no filter). ``cell_mask`` optionally maps a point's cell to the query indices that probe it.
+
+    Per task it keeps a running top-k per query across Arrow batches and emits it once at the end:
+    at most ``k`` rows per query per task leave the task."""
+    qn, qgood = unit_rows(query_mat)
+    musts = _groups_by_keyword(query_must, qgood)
+
+    def kernel(batches):
+        acc = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)]
+        for ids, pn, _raw, labels, cells in point_batches(batches, vector, cell_mask is not None):
+            parts = [[x] for x in acc]
             for must, qsel in musts.items():
                 psel = np.ones(len(ids), dtype=bool) if must is None else (labels == must)
                 groups = [(qsel, psel)]
@@ -131,32 +155,27 @@ def make_topk_kernel(query_ids: np.ndarray, query_mat: np.ndarray, query_must: n
                     groups = []
                     for c in np.unique(cells[psel]):
                         probing = cell_mask.get(int(c))
-                        if probing is None:
-                            continue
-                        qs = np.intersect1d(qsel, probing, assume_unique=True)
-                        if len(qs):
-                            groups.append((qs, psel & (cells == c)))
+                        if probing is not None:
+                            qs = np.intersect1d(qsel, probing, assume_unique=True)
+                            if len(qs):
+                                groups.append((qs, psel & (cells == c)))
                 for qs, ps in groups:
-                    if not ps.any() or len(qs) == 0:
-                        continue
                     pidx = np.flatnonzero(ps)
+                    if len(pidx) == 0 or len(qs) == 0:
+                        continue
                     scores = np.round(qn[qs] @ pn[pidx].T, SCORE_DECIMALS)
                     r, c = _top_candidates(scores, k)
-                    parts_q.append(qs[r])
-                    parts_id.append(ids[pidx][c])
-                    parts_s.append(scores[r, c])
-                    parts_a.append(labels[pidx][c])
-            acc_q, acc_id, acc_s, acc_a = _reduce(
-                np.concatenate(parts_q), np.concatenate(parts_id), np.concatenate(parts_s),
-                np.concatenate(parts_a), k,
-            )
-        if len(acc_q):
-            yield pd.DataFrame({
-                "query_id": query_ids[acc_q].astype(np.int64),
-                "id": acc_id,
-                "score": acc_s,
-                "a": acc_a,
-            })
+                    parts[0].append(qs[r])
+                    parts[1].append(ids[pidx][c])
+                    parts[2].append(scores[r, c])
+                    parts[3].append(labels[pidx][c])
+            q, i, sc, extra = reduce_topk(*(np.concatenate(p) for p in parts[:3]), [np.concatenate(parts[3])], k)
+            acc = [q, i, sc, extra[0]]
+        if len(acc[0]):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query_ids[acc[0]].astype(np.int64)), pa.array(acc[1]), pa.array(acc[2], pa.float64()),
+                 pa.array(list(acc[3]), pa.string())],
+                names=["query_id", "id", "score", "a"])
 
     return kernel
 
@@ -198,7 +217,7 @@ def _hits_for(points: DataFrame, chunk, k: int, vector: str) -> DataFrame:
         q_ids, q_mat, q_must = bc.value
         yield from make_topk_kernel(q_ids, q_mat, q_must, k, vector)(batches)
 
-    return points.mapInPandas(run, HIT_SCHEMA)
+    return points.mapInArrow(run, HIT_SCHEMA)
 
 
 EMPTY_HITS = "query_id long, rank long, id long, score double, a string"
