@@ -114,17 +114,22 @@ def islands(df: DataFrame, keys: Sequence[str], is_ok: Column, extra: dict[str,
 
 
 def runs_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """One partial aggregation: a failure row belongs to run ``g``; the ok row that ends run ``r``
+    is the one with ``g = r + 1`` (oks have distinct ``g``), so keying ok rows by ``g - 1`` puts the
+    recovery into its run's group. No join, and the island frame is read once."""
     keys = list(keys)
-    order = F.struct("ts", "event_id")
-    runs = isl.where(~F.col("is_ok")).groupBy(*keys, "g").agg(
-        F.min_by("event_id", order).alias("first_event_id"),
-        F.max_by("event_id", order).alias("last_event_id"),
-        F.count(F.lit(1)).cast("bigint").alias("failures"),
-        *[F.min_by(c, order).alias(c) for c in carry],
+    fail_order = F.when(~F.col("is_ok"), F.struct("ts", "event_id"))
+    ok_order = F.when(F.col("is_ok"), F.struct("ts", "event_id"))
+    grouped = isl.withColumn("run", F.when(F.col("is_ok"), F.col("g") - 1).otherwise(F.col("g"))).groupBy(*keys, "run")
+    runs = grouped.agg(
+        F.min_by("event_id", fail_order).alias("first_event_id"),
+        F.max_by("event_id", fail_order).alias("last_event_id"),
+        F.count_if(~F.col("is_ok")).cast("bigint").alias("failures"),
+        F.max_by("event_id", ok_order).alias("recovered_event_id"),
+        *[F.min_by(c, fail_order).alias(c) for c in carry],
+        *[F.max_by(c, ok_order).alias(f"rec_{c}") for c in carry],
     )
-    oks = isl.where(F.col("is_ok")).select(*keys, (F.col("g") - 1).alias("g"), F.col("event_id").alias("recovered_event_id"),
-                                           *[F.col(c).alias(f"rec_{c}") for c in carry])
-    return runs.join(oks, on=keys + ["g"], how="left").withColumnRenamed("g", "run")
+    return runs.where(F.col("failures") > 0)
 
 
 def failure_runs(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Sequence[str] = ()) -> DataFrame:
@@ -136,14 +141,16 @@ def failure_runs(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Seq
 
 
 def transitions_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Both transitions of every run from one pass over the runs (an explode of two structs)."""
     keys = list(keys)
     runs = runs_from_islands(isl, keys, carry)
-    failed = runs.select(*keys, F.col("first_event_id").alias("event_id"), F.lit("failed").alias("kind"),
-                         F.lit(None).cast("bigint").alias("failures"), *carry)
-    recovered = runs.where(F.col("recovered_event_id").isNotNull()).select(
-        *keys, F.col("recovered_event_id").alias("event_id"), F.lit("recovered").alias("kind"), "failures",
-        *[F.col(f"rec_{c}").alias(c) for c in carry])
-    return failed.unionByName(recovered)
+    failed = F.struct(F.col("first_event_id").alias("event_id"), F.lit("failed").alias("kind"),
+                      F.lit(None).cast("bigint").alias("failures"), *[F.col(c).alias(c) for c in carry])
+    recovered = F.when(F.col("recovered_event_id").isNotNull(), F.struct(
+        F.col("recovered_event_id").alias("event_id"), F.lit("recovered").alias("kind"), F.col("failures"),
+        *[F.col(f"rec_{c}").alias(c) for c in carry]))
+    return (runs.select(*keys, F.explode(F.array(failed, recovered)).alias("__t"))
+            .where(F.col("__t").isNotNull()).select(*keys, "__t.*"))
 
 
 def transitions(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Sequence[str] = ()) -> DataFrame:
