@@ -187,3 +187,14 @@ def test_chunked_lag_equals_plain_lag(spark):
     want = df.withColumn("prev", F.lag("v").over(Window.partitionBy("key").orderBy("seq")))
     assert sorted(map(tuple, got.select("seq", "key", "v", "prev").collect())) == \
         sorted(map(tuple, want.select("seq", "key", "v", "prev").collect()))
+
+
+def test_ivf_with_kmeans_pivots_finds_exact_neighbours_when_probing_all_cells(spark):
+    from vectables.operators import ivf
+
+    pts = generators.gen_points(spark.range(400), 8, 2, stream="t/ivf").select("id", "vec", "a")
+    qs = generators.gen_queries(spark.range(10), 8, 2, stream="t/ivfq")
+    index = ivf.build_index(pts, nlist=4, pivots="kmeans")
+    approx = {tuple(r) for r in ivf.ivf_search(index, qs, k=5, nprobe=4).collect()}
+    exact = {tuple(r) for r in search_batch(pts, qs, k=5, dim=8).collect()}
+    assert approx == exact

@@ -38,6 +38,18 @@ def pick_pivots(points: DataFrame, nlist: int = NLIST, vector: str = "vec", stre
     return np.stack([np.asarray(r[vector], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
 
 
+def kmeans_pivots(points: DataFrame, nlist: int = NLIST, vector: str = "vec", seed: int = 42,
+                  max_iter: int = 20) -> np.ndarray:
+    """Pivots from MLlib k-means on the unit vectors (cosine distance), the trained alternative to
+    the hash sample. Training is distributed; only the ``nlist`` centers reach the driver."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    feats = points.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector)).alias("features"))
+    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(feats)
+    return np.stack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
+
+
 def _unit(mat: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(mat, axis=1)
     return mat / np.where(n > 0, n, 1.0)[:, None]
@@ -69,10 +81,12 @@ def assign_cells(points: DataFrame, pivots: np.ndarray, vector: str = "vec") ->
     return points.mapInArrow(assign, out_schema)
 
 
-def build_index(points: DataFrame, nlist: int = NLIST, path: str | None = None, vector: str = "vec"):
-    """Pivots and the cell-assigned table; with ``path`` the table is written partitioned by cell
-    and read back, so later probes prune partitions."""
-    pivots = pick_pivots(points, nlist, vector)
+def build_index(points: DataFrame, nlist: int = NLIST, path: str | None = None, vector: str = "vec",
+                pivots: str = "sample"):
+    """Pivots (``sample``: seeded hash sample; ``kmeans``: MLlib k-means centers) and the
+    cell-assigned table; with ``path`` the table is written partitioned by cell and read back, so
+    later probes prune partitions."""
+    pivots = kmeans_pivots(points, nlist, vector) if pivots == "kmeans" else pick_pivots(points, nlist, vector)
     indexed = assign_cells(points, pivots, vector)
     if path:
         indexed.write.mode("errorifexists").partitionBy("cell").parquet(path)
