@@ -9,8 +9,9 @@
   epoch's changed counts are merged into a versioned table through ``foreachBatch``.
 * The change log is applied per micro-batch through ``foreachBatch``: the previous state
   (one reset row per id and the live keys with their sequence numbers) is re-read from the
-  written table — which cuts lineage — unioned with the batch, folded, and written as the next
-  version.
+  written table — which cuts lineage —; only the ids the batch touches are folded again, the
+  other state rows are carried over by an anti join, and the result is the next version
+  (plain Parquet has no in-place MERGE, so a version is a full rewrite of the state).
 * The tumbling summary uses event time with a watermark; only closed windows are emitted.
 
 Sources read Parquet with an explicit schema; every query runs with ``availableNow`` and a
@@ -230,11 +231,19 @@ def stream_apply_oplog(spark: SparkSession, path_glob: str, files_per_trigger: i
     sink = scratch(spark, "oplog")
 
     def merge(batch: DataFrame, epoch: int) -> None:
+        # only ids touched by this batch are folded again; the rest of the state is carried over
+        # by an anti join against the batch's (small, broadcastable) id set
         prev_path = _latest(spark, f"{sink}/state")
-        both = batch.select("seq", "id", "op", "k", "v")
-        if prev_path is not None:
-            both = spark.read.schema(STATE_LOG_SCHEMA).parquet(prev_path).unionByName(both)
-        fold_to_state_log(both).write.mode("errorifexists").parquet(f"{sink}/state/epoch={epoch:012d}")
+        delta = batch.select("seq", "id", "op", "k", "v")
+        if prev_path is None:
+            nxt = fold_to_state_log(delta)
+        else:
+            prev = spark.read.schema(STATE_LOG_SCHEMA).parquet(prev_path)
+            touched = delta.select("id").distinct()
+            kept = prev.join(touched, on="id", how="left_anti")
+            redo = prev.join(touched, on="id", how="left_semi").unionByName(delta)
+            nxt = kept.select(*delta.columns).unionByName(fold_to_state_log(redo))
+        nxt.write.mode("errorifexists").parquet(f"{sink}/state/epoch={epoch:012d}")
 
     run_available(log.writeStream.foreachBatch(merge), f"{sink}/checkpoint")
     last = _latest(spark, f"{sink}/state")
