@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectables.operators import logs
+from vectables.session import storage_root
 
 BLOCK_ROWS = 1 << 20
 OUT_SCHEMA = ("uri string, event_id long, kind string, total long, min_ms long, p50_ms long, p95_ms long, "
@@ -101,6 +102,9 @@ def latency_at_transitions(probes: DataFrame, block_rows: int = BLOCK_ROWS) -> D
     probe's ordinal (for the blocks); later stages reuse its exchanges."""
     isl = logs.islands(probes, ["uri"], F.col("outcome") == "ok",
                        {"ordinal": F.lit(1), "in_range": (F.col("latency_ms") <= logs.HIST_MAX_MS).cast("bigint")})
+    # six branches read the islands: materialise them once in the shared checkpoint folder
+    storage_root(probes.sparkSession)
+    isl = isl.select("uri", "event_id", "ts", "latency_ms", "is_ok", "g", "in_range").checkpoint(eager=True)
     transitions = logs.transitions_from_islands(isl, ["uri"])
     ranked = isl.where(F.col("latency_ms") <= logs.HIST_MAX_MS).select(
         "uri", "event_id", F.col("in_range").alias("ordinal"), "latency_ms",
