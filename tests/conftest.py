@@ -9,11 +9,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from vectables.session import local_session
+    from vectables.session import local_session, storage_root
 
     s = local_session(cores=8, shuffle_partitions=8, app="vectables-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="vectables-test-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+    storage_root(s)  # shared folder from the session; a temp one only in local mode
     yield s

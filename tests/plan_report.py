@@ -7,7 +7,7 @@ import tempfile
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
-from vectables.session import local_session  # noqa: E402
+from vectables.session import local_session, storage_root  # noqa: E402
 
 NAMES = ["search_batch", "get_by_id", "retrieve_ids", "upsert_bulk", "apply_oplog", "health_transitions",
          "round_report", "filter_via_index", "ivf_search", "latency_cumulative"]
@@ -16,10 +16,7 @@ NAMES = ["search_batch", "get_by_id", "retrieve_ids", "upsert_bulk", "apply_oplo
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = local_session(8, 8)
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="vt-plans-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+    storage_root(spark)  # shared folder from the session; a temp one only in local mode
     q = E.queries()
     for name in NAMES:
         df = q[name](spark, sf)

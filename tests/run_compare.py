@@ -9,16 +9,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from oracle_check import compare, duck  # noqa: E402
 
 import __spark_entry__ as E  # noqa: E402
-from vectables.session import local_session  # noqa: E402
+from vectables.session import local_session, storage_root  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:]
 spark = local_session(8, 8)
 import tempfile  # noqa: E402
-if not spark.conf.get("spark.checkpoint.dir", None):
-    d = tempfile.mkdtemp(prefix="vt-cmp-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+storage_root(spark)  # shared folder from the session; a temp one only in local mode
 Q, O = E.queries(), E.oracle_sql()
 con = duck(sf)
 bad = 0

@@ -32,19 +32,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def storage_root(spark: SparkSession) -> str:
-    """Shared folder for tables, versions and snapshots.
+    """Shared folder for tables, versions, snapshots and checkpoints.
 
-    Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared folder there).
-    Only a local-mode session without one gets a fresh temporary folder, as in tests.
+    Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared folder there),
+    then the context's checkpoint directory. Only a local-mode session with neither gets a fresh
+    temporary folder, as in tests; on a cluster that is an error, never a machine-local folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         master = spark.sparkContext.master or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="vectables-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)   # Dataset.checkpoint() writes below the same root
     return root.rstrip("/")
