@@ -14,7 +14,7 @@ from vectables.session import local_session, storage_root  # noqa: E402
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:]
 spark = local_session(8, 8)
-import tempfile  # noqa: E402
+
 storage_root(spark)  # shared folder from the session; a temp one only in local mode
 Q, O = E.queries(), E.oracle_sql()
 con = duck(sf)

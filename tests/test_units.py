@@ -198,3 +198,35 @@ def test_ivf_with_kmeans_pivots_finds_exact_neighbours_when_probing_all_cells(sp
     approx = {tuple(r) for r in ivf.ivf_search(index, qs, k=5, nprobe=4).collect()}
     exact = {tuple(r) for r in search_batch(pts, qs, k=5, dim=8).collect()}
     assert approx == exact
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_local_then_global_topk_equals_brute_force(spark, seed):
+    """Small integer vectors make many equal scores: the per-task cut and the global cut must
+    agree with one sort of all pairs by (score desc, id asc)."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    n, nq, dim, k = 240, 12, 3, 7
+    vecs = rng.integers(-2, 3, size=(n, dim)).astype(float)
+    labels = rng.choice(["keyword_0", "keyword_1"], size=n)
+    pts = spark.createDataFrame([(i, [float(x) for x in vecs[i]], str(labels[i])) for i in range(n)],
+                                "id long, vec array<float>, a string").repartition(6)
+    qv = rng.integers(-2, 3, size=(nq, dim)).astype(float)
+    qm = rng.choice(["keyword_0", "keyword_1", None], size=nq)
+    qs = spark.createDataFrame([(j, [float(x) for x in qv[j]], None if qm[j] is None else str(qm[j])) for j in range(nq)],
+                               "query_id long, qvec array<float>, must_a string")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in search_batch(pts, qs, k=k, dim=dim).collect())
+    want = []
+    for j in range(nq):
+        if not np.linalg.norm(qv[j]):
+            continue
+        cand = []
+        for i in range(n):
+            if np.linalg.norm(vecs[i]) == 0 or (qm[j] is not None and labels[i] != qm[j]):
+                continue
+            s = round(float(qv[j] @ vecs[i] / (np.linalg.norm(qv[j]) * np.linalg.norm(vecs[i]))), 6)
+            cand.append((-s, i))
+        for rank, (ns, i) in enumerate(sorted(cand)[:k], start=1):
+            want.append((j, rank, i, -ns))
+    assert got == sorted(want)

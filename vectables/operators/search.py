@@ -16,7 +16,7 @@ local cut and the global cut agree on ties (S21). Zero-norm or null vectors are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+
 
 import numpy as np
 import pyarrow as pa

@@ -25,6 +25,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("VECTABLES_DRIVER_MEMORY", "16g"))
+        # numpy kernels run one per task: keep BLAS single-threaded so workers do not oversubscribe
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        .config("spark.executorEnv.MKL_NUM_THREADS", "1")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
