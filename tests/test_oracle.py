@@ -50,9 +50,14 @@ def test_streaming_over_several_files_equals_batch(spark):
     for i in range(4):
         c.execute(f"COPY (SELECT * FROM '{src}' ORDER BY ts, event_id LIMIT {n // 4 + 1} OFFSET {i * (n // 4 + 1)}) "
               f"TO '{out}/part-{i}.parquet' (FORMAT parquet)")
-    got = stateful.stream_health_transitions(spark, f"{out}/*.parquet").toPandas()
     want = QUERIES["health_transitions"](spark, SF).toPandas()
-    assert compare(got, want) is None
+    for fn in (stateful.stream_health_transitions, stateful.stream_health_transitions_batched):
+        got = fn(spark, f"{out}/*.parquet").toPandas()
+        assert compare(got, want) is None, fn.__name__
+    want_runs = QUERIES["run_transitions"](spark, SF).toPandas()
+    for fn in (stateful.stream_run_transitions, stateful.stream_run_transitions_batched):
+        got = fn(spark, f"{out}/*.parquet").toPandas()
+        assert compare(got, want_runs) is None, fn.__name__
     got_log = stateful.stream_apply_oplog(spark, f"{out}/*.parquet").toPandas()
     want_log = QUERIES["apply_oplog"](spark, SF).toPandas()
     assert compare(got_log, want_log) is None

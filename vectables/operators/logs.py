@@ -113,18 +113,24 @@ def islands(df: DataFrame, keys: Sequence[str], is_ok: Column, extra: dict[str,
     return running_sums(df, keys, order, values, hour_chunk("ts"))
 
 
-def runs_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+def runs_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str] = (),
+                      weight: str | None = None) -> DataFrame:
     """One partial aggregation: a failure row belongs to run ``g``; the ok row that ends run ``r``
     is the one with ``g = r + 1`` (oks have distinct ``g``), so keying ok rows by ``g - 1`` puts the
-    recovery into its run's group. No join, and the island frame is read once."""
+    recovery into its run's group. No join, and the island frame is read once.
+
+    ``weight`` (optional column) lets one row stand for several failures: the streaming form
+    carries a key's open failure run into the next micro-batch as a single weighted row."""
     keys = list(keys)
+    n_fail = (F.sum(F.when(~F.col("is_ok"), F.col(weight)).otherwise(0)) if weight
+              else F.count_if(~F.col("is_ok"))).cast("bigint")
     fail_order = F.when(~F.col("is_ok"), F.struct("ts", "event_id"))
     ok_order = F.when(F.col("is_ok"), F.struct("ts", "event_id"))
     grouped = isl.withColumn("run", F.when(F.col("is_ok"), F.col("g") - 1).otherwise(F.col("g"))).groupBy(*keys, "run")
     runs = grouped.agg(
         F.min_by("event_id", fail_order).alias("first_event_id"),
         F.max_by("event_id", fail_order).alias("last_event_id"),
-        F.count_if(~F.col("is_ok")).cast("bigint").alias("failures"),
+        n_fail.alias("failures"),
         F.max_by("event_id", ok_order).alias("recovered_event_id"),
         *[F.min_by(c, fail_order).alias(c) for c in carry],
         *[F.max_by(c, ok_order).alias(f"rec_{c}") for c in carry],
@@ -140,10 +146,9 @@ def failure_runs(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Seq
     return runs_from_islands(islands(rows, keys, is_ok), keys, carry)
 
 
-def transitions_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+def transitions_from_runs(runs: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Both transitions of every run from one pass over the runs (an explode of two structs)."""
     keys = list(keys)
-    runs = runs_from_islands(isl, keys, carry)
     failed = F.struct(F.col("first_event_id").alias("event_id"), F.lit("failed").alias("kind"),
                       F.lit(None).cast("bigint").alias("failures"), *[F.col(c).alias(c) for c in carry])
     recovered = F.when(F.col("recovered_event_id").isNotNull(), F.struct(
@@ -153,6 +158,10 @@ def transitions_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequenc
             .where(F.col("__t").isNotNull()).select(*keys, "__t.*"))
 
 
+def transitions_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    return transitions_from_runs(runs_from_islands(isl, keys, carry), keys, carry)
+
+
 def transitions(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Sequence[str] = ()) -> DataFrame:
     """State changes (S18, OP-60): ``failed`` at the first failure of each run, ``recovered`` at the
     ok row that ends it, with the run length. Output ``(keys, event_id, kind, failures, carry...)``."""

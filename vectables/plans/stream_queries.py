@@ -17,13 +17,13 @@ def events_glob(sf_dir: str) -> str:
 
 @register("stream_health_transitions", ORACLE["health_transitions"])
 def q_stream_health_transitions(spark, sf_dir):
-    return stateful.stream_health_transitions(spark, events_glob(sf_dir)).select(
+    return stateful.stream_health_transitions_batched(spark, events_glob(sf_dir)).select(
         "uri", "event_id", "kind", "failures", "latency_ms", "outcome")
 
 
 @register("stream_run_transitions", ORACLE["run_transitions"])
 def q_stream_run_transitions(spark, sf_dir):
-    return stateful.stream_run_transitions(spark, events_glob(sf_dir)).select(
+    return stateful.stream_run_transitions_batched(spark, events_glob(sf_dir)).select(
         "drill", "uri", "event_id", "kind", "failures", "round", "error")
 
 

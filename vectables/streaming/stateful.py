@@ -1,10 +1,12 @@
 """Structured Streaming forms of the log operators (OP-67..OP-71).
 
-* Health / run transitions keep the reference's small per-key state in the state store with
-  ``applyInPandasWithState``: (failing, failures) per uri, plus the round counter per
-  (drill, uri). Inside a micro-batch the rows of one key are sorted by ``(ts, event_id)`` and the
-  state machine is evaluated with vectorised numpy (islands of failures), not a Python row loop.
-  A key's batch is bounded by the trigger (``maxFilesPerTrigger``), never by the key's history.
+* Health / run transitions exist in two forms with the same output. The registered one runs
+  each micro-batch through the parallel island operators of :mod:`vectables.operators.logs`
+  (``foreachBatch``), seeded by a small state table ``(key) -> (failing, failures, rounds)``: an
+  open failure run enters the next batch as one weighted synthetic row. No key is confined to one
+  task, which matters because there are only a handful of uris. The other form keeps the same
+  state in the state store with ``applyInPandasWithState``; there a key's micro-batch rows are
+  sorted and evaluated with vectorised numpy in one task (bounded by ``maxFilesPerTrigger``).
 * The latency histogram is a streaming ``groupBy(uri, bucket).count()`` in update mode; each
   epoch's changed counts are merged into a versioned table through ``foreachBatch``.
 * The change log is applied per micro-batch through ``foreachBatch``: the previous state
@@ -268,3 +270,91 @@ def stream_window_latency(spark: SparkSession, path_glob: str, files_per_trigger
     run_available(out.writeStream.format("parquet").option("path", f"{sink}/out").outputMode("append"),
                   f"{sink}/checkpoint")
     return spark.read.parquet(f"{sink}/out")
+
+
+# ------------------------------------------------------------------ transitions per micro-batch, in parallel
+
+def _carried_rows(state: DataFrame, keys: list[str], carry_types: dict[str, str]) -> DataFrame:
+    """One synthetic failure row per key whose failure run is still open: it sorts before every
+    real row (year 1, event_id -1) and weighs as many failures as were counted so far."""
+    return state.where(F.col("failing")).select(
+        *keys,
+        F.lit("0001-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+        F.lit(-1).cast("bigint").alias("event_id"),
+        F.lit(False).alias("__ok"),
+        F.col("failures").alias("__w"),
+        *[F.lit(None).cast(t).alias(c) for c, t in carry_types.items()],
+    )
+
+
+def transitions_step(batch: DataFrame, state: DataFrame, keys: list[str], is_ok: F.Column,
+                     carry_types: dict[str, str], reported: F.Column | None = None):
+    """Transitions of one micro-batch and the next per-key state ``(keys, failing, failures, rounds)``.
+
+    The batch is processed with the same parallel island operators as the batch queries (no key is
+    confined to one task); the previous batches enter only through the small state table."""
+    counted = logs.running_sums(batch, keys, ["ts", "event_id"], {"__n": F.lit(1)}, logs.hour_chunk("ts"))
+    counted = counted.join(state.select(*keys, F.col("rounds").alias("__r0")), on=keys, how="left") \
+        .withColumn("round", (F.coalesce("__r0", F.lit(0)) + F.col("__n")).cast("bigint")).drop("__r0", "__n")
+    rep = counted if reported is None else counted.where(reported)
+    real = rep.select(*keys, "ts", "event_id", is_ok.alias("__ok"), F.lit(1).cast("bigint").alias("__w"),
+                      *[F.col(c) for c in carry_types])
+    rows = real.unionByName(_carried_rows(state, keys, carry_types))
+    isl = logs.islands(rows, keys, F.col("__ok"))
+    runs = logs.runs_from_islands(isl, keys, list(carry_types), weight="__w")
+    out = logs.transitions_from_runs(runs, keys, list(carry_types)).where(F.col("event_id") != -1)
+
+    last = isl.groupBy(*keys).agg(F.max_by("is_ok", F.struct("ts", "event_id")).alias("__last_ok"),
+                                  F.max("g").alias("run"))
+    open_runs = runs.select(*keys, "run", F.col("failures").alias("__f"))
+    seen = counted.groupBy(*keys).agg(F.max("round").alias("__rounds"))
+    touched = last.join(open_runs, on=keys + ["run"], how="left").join(seen, on=keys, how="full_outer") \
+        .join(state.select(*keys, F.col("rounds").alias("__r0")), on=keys, how="left")
+    nxt = touched.select(
+        *keys,
+        F.coalesce(~F.col("__last_ok"), F.lit(False)).alias("failing"),
+        F.when(~F.col("__last_ok"), F.col("__f")).otherwise(F.lit(0)).cast("bigint").alias("failures"),
+        F.coalesce("__rounds", "__r0", F.lit(0)).cast("bigint").alias("rounds"),
+    )
+    untouched = state.join(nxt.select(*keys), on=keys, how="left_anti")
+    return out, untouched.unionByName(nxt)
+
+
+def _stream_transitions(spark: SparkSession, rows_stream: DataFrame, keys: list[str], is_ok: F.Column,
+                        carry_types: dict[str, str], reported: F.Column | None, name: str) -> DataFrame:
+    sink = scratch(spark, name)
+    state_schema = ", ".join([f"{k} string" for k in keys] + ["failing boolean", "failures long", "rounds long"])
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        prev = _latest(spark, f"{sink}/state")
+        state = spark.read.schema(state_schema).parquet(prev) if prev else spark.createDataFrame([], state_schema)
+        out, nxt = transitions_step(batch, state, keys, is_ok, carry_types, reported)
+        out.write.mode("append").parquet(f"{sink}/out")
+        # the state is written after the output of its epoch: a replayed epoch recomputes both
+        nxt.write.mode("errorifexists").parquet(f"{sink}/state/epoch={epoch:012d}")
+
+    run_available(rows_stream.writeStream.foreachBatch(step), f"{sink}/checkpoint")
+    return spark.read.parquet(f"{sink}/out") if _exists(spark, f"{sink}/out") else None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def stream_health_transitions_batched(spark: SparkSession, path_glob: str, files_per_trigger: int = 1) -> DataFrame:
+    """OP-67, micro-batch form: per batch the chunked island operators, across batches a
+    ``(uri) -> (failing, failures)`` state table. Same rows as the batch ``health_transitions``."""
+    probes = probes_stream(read_events_stream(spark, path_glob, files_per_trigger))
+    out = _stream_transitions(spark, probes, ["uri"], F.col("outcome") == "ok",
+                              {"latency_ms": "bigint", "outcome": "string"}, None, "health-mb")
+    return out.select("uri", "event_id", "kind", "failures", "latency_ms", "outcome")
+
+
+def stream_run_transitions_batched(spark: SparkSession, path_glob: str, files_per_trigger: int = 1) -> DataFrame:
+    """OP-68, micro-batch form; the state also carries the round counter per (drill, uri)."""
+    runs = runs_stream(read_events_stream(spark, path_glob, files_per_trigger))
+    out = _stream_transitions(spark, runs, ["drill", "uri"], F.col("outcome") == "ok",
+                              {"round": "bigint", "error": "string"}, F.col("outcome") != "cancelled", "runs-mb")
+    return out.select("drill", "uri", "event_id", "kind", "failures", "round", "error")
