@@ -230,3 +230,17 @@ def test_local_then_global_topk_equals_brute_force(spark, seed):
         for rank, (ns, i) in enumerate(sorted(cand)[:k], start=1):
             want.append((j, rank, i, -ns))
     assert got == sorted(want)
+
+
+def test_transitions_do_not_depend_on_chunk_unit(spark, monkeypatch):
+    from vectables.operators import scan
+
+    outcomes = ["ok", "error", "error", "ok", "timeout", "ok", "ok", "error"] * 5
+    df = spark.createDataFrame([(i, _ts(i * 700), "u", o) for i, o in enumerate(outcomes)],
+                               "event_id long, ts timestamp_ntz, uri string, outcome string")
+    by_hour = sorted(map(tuple, logs.transitions(df, ["uri"], F.col("outcome") == "ok").collect()))
+    monkeypatch.setattr(scan, "CHUNK_UNIT", "minute")
+    by_minute = sorted(map(tuple, logs.transitions(df, ["uri"], F.col("outcome") == "ok").collect()))
+    monkeypatch.setattr(scan, "CHUNK_UNIT", "day")
+    by_day = sorted(map(tuple, logs.transitions(df, ["uri"], F.col("outcome") == "ok").collect()))
+    assert by_hour == by_minute == by_day
