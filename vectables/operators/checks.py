@@ -102,15 +102,17 @@ def check_points_exist(table: DataFrame, samples: DataFrame, collection: str = "
                      F.col("missing") == 0)
 
 
-def check_search_hits(queries: DataFrame, hits: DataFrame, n_points: int | None = None) -> DataFrame:
+def check_search_hits(queries: DataFrame, hits: DataFrame, points: DataFrame | None = None) -> DataFrame:
     """OP-52: per query, a reason code: ``no_hits``, ``empty_payload`` (top hit without keyword),
-    ``bad_id`` (top hit id null or not below ``n_points``), else ``ok``."""
+    ``bad_id`` (top hit id null, negative or not below the number of ``points``), else ``ok``.
+    The point count joins in as a one-row frame, so the check stays one lazy plan."""
     top = hits.where(F.col("rank") == 1).select("query_id", F.col("id").alias("top_id"), F.col("a").alias("top_a"))
     counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("bigint").alias("hits"))
     j = queries.select("query_id").join(top, on="query_id", how="left").join(counts, on="query_id", how="left")
     bad_id = F.col("top_id").isNull() | (F.col("top_id") < 0)
-    if n_points is not None:
-        bad_id = bad_id | (F.col("top_id") >= F.lit(n_points))
+    if points is not None:
+        j = one_row_join(j, points.agg(F.count(F.lit(1)).alias("__n")))
+        bad_id = bad_id | (F.col("top_id") >= F.col("__n"))
     reason = (
         F.when(F.col("hits").isNull(), "no_hits")
         .when(F.col("top_a").isNull(), "empty_payload")

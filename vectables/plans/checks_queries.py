@@ -143,8 +143,7 @@ def q_check_search_hits(spark, sf_dir):
     pts = views.points(spark, sf_dir)
     queries = supplied_queries(spark, sf_dir)
     hits = search_batch(pts, queries, dim=DIM)
-    n = pts.count()
-    return ck.check_search_hits(queries, hits, n_points=n)
+    return ck.check_search_hits(queries, hits, points=pts)
 
 
 @register("audit_lifecycle_attempts", with_views(

@@ -93,7 +93,7 @@ def q_drill_search(spark, sf_dir):
                           .select("id", "vec", "payload"))
     queries = supplied_queries(spark, sf_dir)
     hits = search_batch(views.points(spark, sf_dir), queries, dim=DIM)
-    verdict = ck.check_search_hits(queries, hits).agg(
+    verdict = ck.check_search_hits(queries, hits, points=base).agg(
         F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
     return union(
         row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
@@ -174,7 +174,7 @@ def q_drill_toggle_index(spark, sf_dir):
     n = n_points(spark, sf_dir)
     hits = iq.q_search_threshold_switch(spark, sf_dir)
     queries = supplied_queries(spark, sf_dir)
-    verdict = ck.check_search_hits(queries, hits).agg(
+    verdict = ck.check_search_hits(queries, hits, points=base).agg(
         F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
     progress = base.agg(F.when(F.count("vec") > 0, 1).otherwise(0).alias("p"))
     return union(
