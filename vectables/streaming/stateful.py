@@ -255,17 +255,28 @@ def stream_apply_oplog(spark: SparkSession, path_glob: str, files_per_trigger: i
 
 # ------------------------------------------------------------------ OP-71 tumbling windows
 
+def utc_event_time(ts: str = "ts") -> F.Column:
+    """The wall clock of a TIMESTAMP_NTZ column read as UTC: an instant built from its fields, so
+    windows and watermarks do not depend on the session time zone."""
+    c = F.col(ts)
+    return F.make_timestamp_ltz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                                F.extract(F.lit("SECOND"), c), F.lit("UTC"))
+
+
 def stream_window_latency(spark: SparkSession, path_glob: str, files_per_trigger: int = 1,
                           window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Extension: per uri and closed event-time window: probes, min / max / total latency."""
+    """Extension: per uri and closed event-time window: probes, min / max / total latency.
+
+    ``window`` must be a whole number of hours here: the output key is the zone-free NTZ hour
+    bucket, which names the same rows as the event-time window."""
     probes = probes_stream(read_events_stream(spark, path_glob, files_per_trigger)).withColumn(
-        "ets", F.col("ts").cast("timestamp"))
+        "ets", utc_event_time("ts")).withColumn("window_start", F.date_trunc("hour", F.col("ts")))
     agg = (probes.withWatermark("ets", delay)
-           .groupBy("uri", F.window("ets", window).alias("w"))
+           .groupBy("uri", F.window("ets", window).alias("w"), "window_start")
            .agg(F.count(F.lit(1)).cast("bigint").alias("probes"), F.min("latency_ms").alias("min_ms"),
                 F.max("latency_ms").alias("max_ms"), F.sum("latency_ms").cast("bigint").alias("total_ms")))
-    out = agg.select("uri", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "probes", "min_ms", "max_ms",
-                     "total_ms")
+    out = agg.select("uri", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "probes", "min_ms",
+                     "max_ms", "total_ms")
     sink = scratch(spark, "window")
     run_available(out.writeStream.format("parquet").option("path", f"{sink}/out").outputMode("append"),
                   f"{sink}/checkpoint")
