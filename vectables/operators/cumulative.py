@@ -1,6 +1,6 @@
 """Latency summary as of each transition (OP-59 cumulative, S17).
 
-The reference renders its running histogram each time a uri fails or recovers; the current
+The source tool renders its running histogram each time a uri fails or recovers; the current
 probe is recorded first. Re-expressed without holding a uri's history anywhere:
 
 1. every in-range probe gets its ordinal per uri (chunked running count) and its bucket;

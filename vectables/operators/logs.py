@@ -1,6 +1,6 @@
 """Probe-log and run-log analytics (OP-56..OP-66).
 
-The reference keeps a little state per uri (or per drill and uri) and updates it row by row.
+The source tool keeps a little state per uri (or per drill and uri) and updates it row by row.
 Here that state is rebuilt from running counts computed by :func:`running_sums`, which never
 puts a whole key into one task, and from partial aggregations keyed by "island" numbers:
 

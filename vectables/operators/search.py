@@ -259,7 +259,7 @@ def search_auto(points: DataFrame, queries: DataFrame, index=None, index_thresho
                 k: int = TOP_K, **ivf_options) -> DataFrame:
     """OP-33: exact search below ``index_threshold`` points, indexed search at or above it.
 
-    ``index_threshold=None`` disables the index (the reference's "max integer")."""
+    ``index_threshold=None`` disables the index (the source tool's "max integer")."""
     if index_threshold is None or index is None:
         return search_batch(points, queries, k)
     n = points.count()
