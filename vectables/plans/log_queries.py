@@ -126,8 +126,12 @@ RUN_TRANSITIONS_SELECT = (
            **runs_sql("rep", "drill, uri", "outcome = 'ok'", ("round", "error"))},
 ))
 def q_run_transitions(spark, sf_dir):
-    reported = views.runs(spark, sf_dir).where(F.col("outcome") != "cancelled")
-    t = logs.transitions(reported, ["drill", "uri"], F.col("outcome") == "ok", carry=("round", "error"))
+    # one chunked pass numbers the rounds and the oks (a cancelled row is never ok, so dropping
+    # cancelled rows afterwards leaves the islands of the reported rows unchanged)
+    ok = F.col("outcome") == "ok"
+    rows = views.runs(spark, sf_dir, extra={"g": ok.cast("bigint")}).withColumn("is_ok", ok)
+    reported = rows.where(F.col("outcome") != "cancelled")
+    t = logs.transitions_from_islands(reported, ["drill", "uri"], carry=("round", "error"))
     return t.select("drill", "uri", "event_id", "kind", "failures", "round", "error")
 
 

@@ -56,7 +56,9 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, extra: dict | None = None) -> DataFrame:
+    """The ``runs`` view; ``extra`` running sums (name -> column) ride along in the same chunked
+    pass that numbers the rounds."""
     ev = tables.events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "value")
     base = ev.select(
         F.concat(F.lit("drill_"), (F.col("user_id") % 10).cast("string")).alias("drill"),
@@ -78,9 +80,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     with_round = running_sums(
-        base, ["drill", "uri"], ["ts", "event_id"], {"round": F.lit(1)}, hour_chunk("ts")
+        base, ["drill", "uri"], ["ts", "event_id"], {"round": F.lit(1), **(extra or {})}, hour_chunk("ts")
     )
-    return with_round.select("drill", "uri", "round", "event_id", "ts", "duration_s", "outcome", "error")
+    return with_round.select("drill", "uri", "round", "event_id", "ts", "duration_s", "outcome", "error",
+                             *(extra or {}))
 
 
 def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
