@@ -67,9 +67,11 @@ def q_drill_collections(spark, sf_dir):
     gone = mu.delete_ids(many, many.select("id")).groupBy("collection").agg(F.count(F.lit(1)).alias("g"))
     per = (names.join(counts, "collection", "left").join(indexed, "collection", "left").join(gone, "collection", "left"))
     per = ck.one_row_join(per, n)
-    sel = lambda chk, e, a: per.select(F.col("collection").alias("step"), F.lit(chk).alias("check"),
-                                       e.cast("bigint").alias("expected"), a.cast("bigint").alias("actual"),
-                                       (e == a).alias("ok"))
+
+    def sel(chk, e, a):
+        return per.select(F.col("collection").alias("step"), F.lit(chk).alias("check"),
+                          e.cast("bigint").alias("expected"), a.cast("bigint").alias("actual"), (e == a).alias("ok"))
+
     return union(sel("count", F.col("n"), F.coalesce("c", F.lit(0))),
                  sel("field_indexed", F.lit(1), F.coalesce("f", F.lit(0))),
                  sel("deleted", F.lit(0), F.coalesce("g", F.lit(0))))
