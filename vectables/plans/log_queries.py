@@ -19,8 +19,8 @@ def bucket_sql(v: str, top: bool = True) -> str:
     return f"CAST(({v} >> {sh}) << {sh} AS BIGINT)"
 
 
-ISLANDS_SQL = ("SELECT *, sum(CASE WHEN {ok} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY ts, event_id "
-               "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM {rel}")
+ISLANDS_SQL = ("SELECT *, CAST(sum(CASE WHEN {ok} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY ts, event_id "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS g FROM {rel}")
 
 
 def runs_sql(rel: str, keys: str, ok: str, carry: tuple[str, ...] = ()) -> dict[str, str]:

@@ -31,7 +31,7 @@ QUERIES_SQL = (
     f"FROM embeddings"
 )
 QUERY0_SQL = (
-    f"SELECT {Q0} AS query_id, {random_vector_sql('query/vector', str(Q0), DIM)} AS qv, "
+    f"SELECT CAST({Q0} AS BIGINT) AS query_id, {random_vector_sql('query/vector', str(Q0), DIM)} AS qv, "
     f"concat('keyword_', CAST({uniform_int_sql('query/filter', VARIANTS, str(Q0))} AS VARCHAR)) AS must_a"
 )
 
