@@ -17,6 +17,8 @@ A group holds at most ``block_rows`` probes plus one start histogram, whatever t
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -102,9 +104,12 @@ def latency_at_transitions(probes: DataFrame, block_rows: int = BLOCK_ROWS) -> D
     probe's ordinal (for the blocks); later stages reuse its exchanges."""
     isl = logs.islands(probes, ["uri"], F.col("outcome") == "ok",
                        {"ordinal": F.lit(1), "in_range": (F.col("latency_ms") <= logs.HIST_MAX_MS).cast("bigint")})
-    # six branches read the islands: materialise them once in the shared checkpoint folder
-    storage_root(probes.sparkSession)
-    isl = isl.select("uri", "event_id", "ts", "latency_ms", "is_ok", "g", "in_range").checkpoint(eager=True)
+    # six branches read the islands: materialise them once as a Parquet table in the shared
+    # folder (cuts the lineage; columnar re-reads prune to the columns each branch needs)
+    spark = probes.sparkSession
+    path = f"{storage_root(spark)}/islands-{uuid.uuid4().hex[:12]}"
+    isl.select("uri", "event_id", "ts", "latency_ms", "is_ok", "g", "__ord", "in_range").write.parquet(path)
+    isl = spark.read.parquet(path)
     transitions = logs.transitions_from_islands(isl, ["uri"])
     ranked = isl.where(F.col("latency_ms") <= logs.HIST_MAX_MS).select(
         "uri", "event_id", F.col("in_range").alias("ordinal"), "latency_ms",

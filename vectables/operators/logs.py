@@ -109,7 +109,7 @@ def islands(df: DataFrame, keys: Sequence[str], is_ok: Column, extra: dict[str,
     """Add ``is_ok`` and ``g`` = oks so far (inclusive); the ordinal of an ok row among oks equals
     its ``g``. ``extra`` running sums are computed in the same pass."""
     df = df.withColumn("is_ok", is_ok)
-    values = {"g": F.col("is_ok").cast("bigint"), **(extra or {})}
+    values = {"g": F.col("is_ok").cast("bigint"), "__ord": F.lit(1), **(extra or {})}
     return running_sums(df, keys, order, values, hour_chunk("ts"))
 
 
@@ -124,8 +124,11 @@ def runs_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str]
     keys = list(keys)
     n_fail = (F.sum(F.when(~F.col("is_ok"), F.col(weight)).otherwise(0)) if weight
               else F.count_if(~F.col("is_ok"))).cast("bigint")
-    fail_order = F.when(~F.col("is_ok"), F.struct("ts", "event_id"))
-    ok_order = F.when(F.col("is_ok"), F.struct("ts", "event_id"))
+    # a bigint ordinal (not a (ts, event_id) struct) orders min_by / max_by, so the aggregation
+    # buffer stays fixed-width and Spark can hash-aggregate
+    order = F.col("__ord") if "__ord" in isl.columns else F.struct("ts", "event_id")
+    fail_order = F.when(~F.col("is_ok"), order)
+    ok_order = F.when(F.col("is_ok"), order)
     grouped = isl.withColumn("run", F.when(F.col("is_ok"), F.col("g") - 1).otherwise(F.col("g"))).groupBy(*keys, "run")
     runs = grouped.agg(
         F.min_by("event_id", fail_order).alias("first_event_id"),

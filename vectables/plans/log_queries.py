@@ -129,7 +129,8 @@ def q_run_transitions(spark, sf_dir):
     # one chunked pass numbers the rounds and the oks (a cancelled row is never ok, so dropping
     # cancelled rows afterwards leaves the islands of the reported rows unchanged)
     ok = F.col("outcome") == "ok"
-    rows = views.runs(spark, sf_dir, extra={"g": ok.cast("bigint")}).withColumn("is_ok", ok)
+    rows = views.runs(spark, sf_dir, extra={"g": ok.cast("bigint")}).withColumn("is_ok", ok) \
+        .withColumn("__ord", F.col("round"))   # the round is the row's ordinal: it orders the runs
     reported = rows.where(F.col("outcome") != "cancelled")
     t = logs.transitions_from_islands(reported, ["drill", "uri"], carry=("round", "error"))
     return t.select("drill", "uri", "event_id", "kind", "failures", "round", "error")
