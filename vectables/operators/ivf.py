@@ -82,14 +82,20 @@ def assign_cells(points: DataFrame, pivots: np.ndarray, vector: str = "vec") ->
 
 
 def build_index(points: DataFrame, nlist: int = NLIST, path: str | None = None, vector: str = "vec",
-                pivots: str = "sample"):
+                pivots: str = "sample", files_per_cell: int = 4):
     """Pivots (``sample``: seeded hash sample; ``kmeans``: MLlib k-means centers) and the
     cell-assigned table; with ``path`` the table is written partitioned by cell and read back, so
-    later probes prune partitions."""
+    later probes prune partitions.
+
+    Before the write the rows are shuffled on ``(cell, salt)`` with ``files_per_cell`` salt values:
+    each cell lands in a bounded number of files instead of one file per scan task, and a cell
+    holding a third of the points is still written by several tasks."""
     pivots = kmeans_pivots(points, nlist, vector) if pivots == "kmeans" else pick_pivots(points, nlist, vector)
     indexed = assign_cells(points, pivots, vector)
     if path:
-        indexed.write.mode("errorifexists").partitionBy("cell").parquet(path)
+        salt = F.pmod(F.xxhash64("id"), F.lit(files_per_cell))
+        laid = indexed.withColumn("__salt", salt).repartition("cell", "__salt").drop("__salt")
+        laid.write.mode("errorifexists").partitionBy("cell").parquet(path)
         indexed = points.sparkSession.read.parquet(path)
     return pivots, indexed
 

@@ -38,7 +38,9 @@ def quantize(vec: Column, alpha: float) -> Column:
 
 
 def quantize_np(mat: np.ndarray, alpha: float) -> np.ndarray:
-    return np.clip(np.floor(mat / alpha * QMAX + 0.5), -QMAX, QMAX).astype(np.int64)
+    """Quantized values kept as float64: integer dot products of int8 vectors are exact in
+    float64 (far below 2**53) and go through BLAS, unlike an int64 matmul."""
+    return np.clip(np.floor(mat / alpha * QMAX + 0.5), -QMAX, QMAX)
 
 
 def make_int8_kernel(qids, qmat, qmust, alpha, shortlist, vector):
@@ -57,7 +59,7 @@ def make_int8_kernel(qids, qmat, qmust, alpha, shortlist, vector):
                 if not len(ps):
                     continue
                 iscores = qq[qs] @ pq[ps].T
-                r, c = _top_candidates(iscores.astype(np.float64), shortlist)
+                r, c = _top_candidates(iscores, shortlist)
                 exact = np.round(np.einsum("ij,ij->i", qunit[qs][r], punit[ps][c]), SCORE_DECIMALS)
                 parts[0].append(qs[r])
                 parts[1].append(ids[ps][c])

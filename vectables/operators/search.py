@@ -143,32 +143,45 @@ def make_topk_kernel(query_ids: np.ndarray, query_mat: np.ndarray, query_must: n
     at most ``k`` rows per query per task leave the task."""
     qn, qgood = unit_rows(query_mat)
     musts = _groups_by_keyword(query_must, qgood)
+    by_cell = None
+    if cell_mask is not None:   # queries per (keyword, cell), computed once per task
+        by_cell = {}
+        for must, qsel in musts.items():
+            for c, probing in cell_mask.items():
+                qs = np.intersect1d(qsel, probing, assume_unique=True)
+                if len(qs):
+                    by_cell[(must, c)] = qs
+
+    def score(qs, pidx, ids, pn, labels, parts):
+        scores = np.round(qn[qs] @ pn[pidx].T, SCORE_DECIMALS)
+        r, c = _top_candidates(scores, k)
+        parts[0].append(qs[r])
+        parts[1].append(ids[pidx][c])
+        parts[2].append(scores[r, c])
+        parts[3].append(labels[pidx][c])
 
     def kernel(batches):
         acc = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)]
         for ids, pn, _raw, labels, cells in point_batches(batches, vector, cell_mask is not None):
             parts = [[x] for x in acc]
-            for must, qsel in musts.items():
-                psel = np.ones(len(ids), dtype=bool) if must is None else (labels == must)
-                groups = [(qsel, psel)]
-                if cells is not None:
-                    groups = []
-                    for c in np.unique(cells[psel]):
-                        probing = cell_mask.get(int(c))
-                        if probing is not None:
-                            qs = np.intersect1d(qsel, probing, assume_unique=True)
-                            if len(qs):
-                                groups.append((qs, psel & (cells == c)))
-                for qs, ps in groups:
-                    pidx = np.flatnonzero(ps)
-                    if len(pidx) == 0 or len(qs) == 0:
-                        continue
-                    scores = np.round(qn[qs] @ pn[pidx].T, SCORE_DECIMALS)
-                    r, c = _top_candidates(scores, k)
-                    parts[0].append(qs[r])
-                    parts[1].append(ids[pidx][c])
-                    parts[2].append(scores[r, c])
-                    parts[3].append(labels[pidx][c])
+            if by_cell is None:
+                for must, qsel in musts.items():
+                    pidx = np.flatnonzero(np.ones(len(ids), dtype=bool) if must is None else labels == must)
+                    if len(pidx):
+                        score(qsel, pidx, ids, pn, labels, parts)
+            else:
+                order = np.argsort(cells, kind="stable")       # contiguous slice per cell
+                ucells, starts = np.unique(cells[order], return_index=True)
+                ends = np.r_[starts[1:], len(order)]
+                for c, a, b in zip(ucells, starts, ends):
+                    rows = order[a:b]
+                    for must in musts:
+                        qs = by_cell.get((must, int(c)))
+                        if qs is None:
+                            continue
+                        pidx = rows if must is None else rows[labels[rows] == must]
+                        if len(pidx):
+                            score(qs, pidx, ids, pn, labels, parts)
             q, i, sc, extra = reduce_topk(*(np.concatenate(p) for p in parts[:3]), [np.concatenate(parts[3])], k)
             acc = [q, i, sc, extra[0]]
         if len(acc[0]):
