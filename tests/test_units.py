@@ -244,3 +244,15 @@ def test_transitions_do_not_depend_on_chunk_unit(spark, monkeypatch):
     monkeypatch.setattr(scan, "CHUNK_UNIT", "day")
     by_day = sorted(map(tuple, logs.transitions(df, ["uri"], F.col("outcome") == "ok").collect()))
     assert by_hour == by_minute == by_day
+
+
+def test_search_without_a_spark_context_ships_queries_in_the_closure(spark, monkeypatch):
+    from vectables import session
+    from vectables.operators import search as S
+
+    pts = generators.gen_points(spark.range(200), 8, 2, stream="t/ship").select("id", "vec", "a")
+    qs = generators.gen_queries(spark.range(10), 8, 2, stream="t/shipq")
+    want = {tuple(r) for r in S.search_batch(pts, qs, k=5, dim=8).collect()}
+    monkeypatch.setattr(S, "ship", lambda _spark, value: session._Inline(value))
+    got = {tuple(r) for r in S.search_batch(pts, qs, k=5, dim=8).collect()}
+    assert got == want

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectables import TOP_K
+from vectables.session import ship
 from vectables.functions.random import uniform
 from vectables.functions.vectors import SCORE_DECIMALS
 from vectables.operators.search import (HIT_SCHEMA, arrow_vectors, make_topk_kernel, over_chunks, query_chunks,
@@ -66,7 +67,7 @@ def nearest_cells(mat: np.ndarray, pivots_unit: np.ndarray, n: int) -> np.ndarra
 def assign_cells(points: DataFrame, pivots: np.ndarray, vector: str = "vec") -> DataFrame:
     """``points`` plus ``cell``: the nearest pivot of each point (null vector -> null cell)."""
     spark = points.sparkSession
-    bc = spark.sparkContext.broadcast(_unit(pivots))
+    bc = ship(spark, _unit(pivots))
     out_schema = T.StructType(list(points.schema.fields) + [T.StructField("cell", T.IntegerType())])
 
     def assign(batches):
@@ -115,7 +116,7 @@ def ivf_search(index, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE,
             for c in cells:
                 cell_mask.setdefault(int(c), []).append(qi)
         mask = {c: np.asarray(v, dtype=np.int64) for c, v in cell_mask.items()}
-        bc = spark.sparkContext.broadcast((qids, mat, musts, mask))
+        bc = ship(spark, (qids, mat, musts, mask))
         # partition pruning: only the probed cells' directories are read
         pts = indexed.where(F.col("cell").isin(list(mask))).select("id", vector, "a", "cell")
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectables import TOP_K
+from vectables.session import ship
 from vectables.functions.vectors import SCORE_DECIMALS
 from vectables.operators.search import (_groups_by_keyword, _top_candidates, over_chunks, point_batches,
                                         query_chunks, reduce_topk, unit_rows)
@@ -86,7 +87,7 @@ def search_int8(points: DataFrame, queries: DataFrame, k: int = TOP_K, oversampl
     pts = points.select("id", vector, "a")
 
     def build(chunk):
-        bc = spark.sparkContext.broadcast(chunk)
+        bc = ship(spark, chunk)
 
         def run(batches, bc=bc):
             a, b, c = bc.value

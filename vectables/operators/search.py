@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectables import TOP_K
+from vectables.session import ship
 from vectables.functions.vectors import SCORE_DECIMALS, cosine
 
 HIT_SCHEMA = "query_id long, id long, score double, a string"
@@ -224,7 +225,7 @@ def query_chunks(queries: DataFrame, dim: int, max_bytes: int | None = None):
 
 def _hits_for(points: DataFrame, chunk, k: int, vector: str) -> DataFrame:
     qids, mat, musts = chunk
-    bc = points.sparkSession.sparkContext.broadcast((qids, mat, musts))
+    bc = ship(points.sparkSession, (qids, mat, musts))
 
     def run(batches, bc=bc):
         q_ids, q_mat, q_must = bc.value

@@ -39,6 +39,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+class _Inline:
+    """Stand-in for a broadcast variable where the session has no SparkContext (Spark Connect):
+    the value travels inside the task closure instead."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def ship(spark: SparkSession, value):
+    """Broadcast ``value`` (a parameter-bounded object: a query chunk, pivots) to the executors;
+    ``.value`` reads it inside a task."""
+    try:
+        return spark.sparkContext.broadcast(value)
+    except Exception:  # noqa: BLE001 - no SparkContext in this session
+        return _Inline(value)
+
+
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return None
+
+
 def storage_root(spark: SparkSession) -> str:
     """Shared folder for tables, versions, snapshots and checkpoints.
 
@@ -46,12 +70,13 @@ def storage_root(spark: SparkSession) -> str:
     then the context's checkpoint directory. Only a local-mode session with neither gets a fresh
     temporary folder, as in tests; on a cluster that is an error, never a machine-local folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not root:
-        master = spark.sparkContext.master or ""
+        master = (sc.master if sc else spark.conf.get("spark.master", "")) or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="vectables-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)   # Dataset.checkpoint() writes below the same root
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)   # Dataset.checkpoint() writes below the same root
     return root.rstrip("/")

@@ -187,13 +187,25 @@ def stream_latency_histogram(spark: SparkSession, path_glob: str, files_per_trig
     return spark.read.parquet(last) if last else spark.createDataFrame([], "uri string, bucket_hi long, n long")
 
 
+def _list_dir(spark: SparkSession, root: str) -> list[str] | None:
+    """Names in a directory of the shared folder (Hadoop FileSystem; plain OS calls for local
+    paths when the session has no JVM gateway). None when it does not exist."""
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return None
+        return [st.getPath().getName() for st in fs.listStatus(path)]
+    except Exception:  # noqa: BLE001 - Spark Connect: only local paths can be listed here
+        import os
+
+        local = root[len("file:"):] if root.startswith("file:") else root
+        return os.listdir(local) if os.path.isdir(local) else None
+
+
 def _latest(spark: SparkSession, root: str) -> str | None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("epoch="))
+    names = sorted(n for n in (_list_dir(spark, root) or []) if n.startswith("epoch="))
     return f"{root}/{names[-1]}" if names else None
 
 
@@ -349,9 +361,8 @@ def _stream_transitions(spark: SparkSession, rows_stream: DataFrame, keys: list[
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    return name in (_list_dir(spark, parent) or [])
 
 
 def stream_health_transitions_batched(spark: SparkSession, path_glob: str, files_per_trigger: int = 1) -> DataFrame:
