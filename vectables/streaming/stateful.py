@@ -175,12 +175,12 @@ def stream_latency_histogram(spark: SparkSession, path_glob: str, files_per_trig
 
     def merge(batch: DataFrame, epoch: int) -> None:
         # update mode: the batch holds the new totals of changed buckets; keep the rest
-        prev_path = _latest(spark, f"{sink}/table")
+        prev_path = _latest(spark, f"{sink}/table", before=epoch)
         nxt = batch
         if prev_path is not None:
             prev = spark.read.parquet(prev_path)
             nxt = prev.join(batch.select("uri", "bucket_hi"), on=["uri", "bucket_hi"], how="left_anti").unionByName(batch)
-        nxt.write.mode("errorifexists").parquet(f"{sink}/table/epoch={epoch:012d}")
+        nxt.write.mode("overwrite").parquet(f"{sink}/table/epoch={epoch:012d}")   # a replay rewrites it
 
     run_available(counts.writeStream.outputMode("update").foreachBatch(merge), f"{sink}/checkpoint")
     last = _latest(spark, f"{sink}/table")
@@ -204,8 +204,11 @@ def _list_dir(spark: SparkSession, root: str) -> list[str] | None:
         return os.listdir(local) if os.path.isdir(local) else None
 
 
-def _latest(spark: SparkSession, root: str) -> str | None:
-    names = sorted(n for n in (_list_dir(spark, root) or []) if n.startswith("epoch="))
+def _latest(spark: SparkSession, root: str, before: int | None = None) -> str | None:
+    """Newest ``epoch=N`` directory, only among epochs before ``before`` when given: a replayed
+    micro-batch must start from the state of the batch before it, never from its own output."""
+    names = sorted(n for n in (_list_dir(spark, root) or []) if n.startswith("epoch=")
+                   and (before is None or int(n.split("=", 1)[1]) < before))
     return f"{root}/{names[-1]}" if names else None
 
 
@@ -247,7 +250,7 @@ def stream_apply_oplog(spark: SparkSession, path_glob: str, files_per_trigger: i
     def merge(batch: DataFrame, epoch: int) -> None:
         # only ids touched by this batch are folded again; the rest of the state is carried over
         # by an anti join against the batch's (small, broadcastable) id set
-        prev_path = _latest(spark, f"{sink}/state")
+        prev_path = _latest(spark, f"{sink}/state", before=epoch)
         delta = batch.select("seq", "id", "op", "k", "v")
         if prev_path is None:
             nxt = fold_to_state_log(delta)
@@ -257,7 +260,7 @@ def stream_apply_oplog(spark: SparkSession, path_glob: str, files_per_trigger: i
             kept = prev.join(touched, on="id", how="left_anti")
             redo = prev.join(touched, on="id", how="left_semi").unionByName(delta)
             nxt = kept.select(*delta.columns).unionByName(fold_to_state_log(redo))
-        nxt.write.mode("errorifexists").parquet(f"{sink}/state/epoch={epoch:012d}")
+        nxt.write.mode("overwrite").parquet(f"{sink}/state/epoch={epoch:012d}")   # a replay rewrites it
 
     run_available(log.writeStream.foreachBatch(merge), f"{sink}/checkpoint")
     last = _latest(spark, f"{sink}/state")
@@ -349,12 +352,12 @@ def _stream_transitions(spark: SparkSession, rows_stream: DataFrame, keys: list[
     state_schema = ", ".join([f"{k} string" for k in keys] + ["failing boolean", "failures long", "rounds long"])
 
     def step(batch: DataFrame, epoch: int) -> None:
-        prev = _latest(spark, f"{sink}/state")
+        prev = _latest(spark, f"{sink}/state", before=epoch)
         state = spark.read.schema(state_schema).parquet(prev) if prev else spark.createDataFrame([], state_schema)
         out, nxt = transitions_step(batch, state, keys, is_ok, carry_types, reported)
-        out.write.mode("append").parquet(f"{sink}/out")
-        # the state is written after the output of its epoch: a replayed epoch recomputes both
-        nxt.write.mode("errorifexists").parquet(f"{sink}/state/epoch={epoch:012d}")
+        # one directory per epoch, overwritten on replay: the sink stays exactly-once
+        out.write.mode("overwrite").parquet(f"{sink}/out/epoch={epoch:012d}")
+        nxt.write.mode("overwrite").parquet(f"{sink}/state/epoch={epoch:012d}")
 
     run_available(rows_stream.writeStream.foreachBatch(step), f"{sink}/checkpoint")
     return spark.read.parquet(f"{sink}/out") if _exists(spark, f"{sink}/out") else None
