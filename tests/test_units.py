@@ -256,3 +256,24 @@ def test_search_without_a_spark_context_ships_queries_in_the_closure(spark, monk
     monkeypatch.setattr(S, "ship", lambda _spark, value: session._Inline(value))
     got = {tuple(r) for r in S.search_batch(pts, qs, k=5, dim=8).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chunked_running_sums_equal_plain_window(spark, seed):
+    import random
+
+    from pyspark.sql import Window
+
+    from vectables.operators.scan import hour_chunk, running_sums
+
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(400):
+        ts = _ts(rnd.choice([rnd.randrange(0, 20000), 3600 * rnd.randrange(0, 6)]))   # ties on hour edges
+        rows.append((i, ts, f"k{rnd.randrange(3)}", rnd.randrange(-2, 5)))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, key string, v long")
+    got = running_sums(df, ["key"], ["ts", "event_id"], {"s": F.col("v"), "n": F.lit(1)}, hour_chunk("ts"))
+    w = Window.partitionBy("key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("s", F.sum("v").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+    cols = ["event_id", "key", "s", "n"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
