@@ -277,3 +277,28 @@ def test_chunked_running_sums_equal_plain_window(spark, seed):
     want = df.withColumn("s", F.sum("v").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
     cols = ["event_id", "key", "s", "n"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_set_payload_merges_keys_and_ignores_absent_ids(spark):
+    base = spark.createDataFrame([(1, [1.0], {"a": "x", "b": "y"})], "id long, vec array<float>, payload map<string,string>")
+    patch = spark.createDataFrame([(1, "a", "z", 1), (1, "a", "w", 2), (1, "c", "q", 3), (9, "a", "nope", 4)],
+                                  "id long, k string, v string, seq long")
+    rows = mu.set_payload(base, patch).collect()
+    assert len(rows) == 1 and rows[0]["payload"] == {"a": "w", "b": "y", "c": "q"} and rows[0]["vec"] == [1.0]
+
+
+def test_lifecycle_audit_accepts_only_already_exists_on_create(spark):
+    msg = "Collection `c_1` already exists!"
+    rows = [(0, "c_1", "create", None), (1, "c_1", "create", msg), (2, "c_1", "create", "deadline exceeded"),
+            (3, "c_1", "delete", msg), (4, "c_1", "delete", None)]
+    df = spark.createDataFrame(rows, "event_id long, collection string, op string, message string")
+    got = {r["op"]: (r["succeeded"], r["accepted_failures"], r["violations"], r["ok"])
+           for r in ck.audit_lifecycle(df).collect()}
+    assert got == {"create": (1, 1, 1, False), "delete": (1, 0, 1, False)}
+
+
+def test_timeout_wins_over_client_result(spark):
+    df = spark.createDataFrame([(10.0, True), (10.0, False), (50.0, False), (50.01, True), (90.0, False)],
+                               "elapsed double, client_ok boolean")
+    got = [r["o"] for r in df.select(logs.classify_probe(F.col("elapsed"), F.col("client_ok")).alias("o")).collect()]
+    assert got == ["ok", "error", "error", "timeout", "timeout"]
