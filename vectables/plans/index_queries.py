@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vectables.functions.random import uniform_int, uniform_int_sql, uniform_sql
@@ -41,7 +43,7 @@ IVF_CTES = {
 
 def _index(spark, sf_dir, write: bool = True):
     pts = views.points(spark, sf_dir)
-    path = f"{storage_root(spark)}/ivf-{__import__('uuid').uuid4().hex[:10]}" if write else None
+    path = f"{storage_root(spark)}/ivf-{uuid.uuid4().hex[:10]}" if write else None
     return ivf.build_index(pts, NLIST, path=path)
 
 
@@ -185,7 +187,7 @@ def q_field_index_postings(spark, sf_dir):
 
 @register("filter_via_index", with_views("SELECT id, a FROM points WHERE a = 'keyword_1'", "points"))
 def q_filter_via_index(spark, sf_dir):
-    path = f"{storage_root(spark)}/byfield-{__import__('uuid').uuid4().hex[:10]}"
+    path = f"{storage_root(spark)}/byfield-{uuid.uuid4().hex[:10]}"
     views.points(spark, sf_dir).select("id", "vec", "a").write.partitionBy("a").parquet(path)
     # partition pruning: only the a=keyword_1 directory is listed and read
     return spark.read.parquet(path).where(F.col("a") == "keyword_1").select("id", "a")
