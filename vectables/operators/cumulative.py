@@ -97,7 +97,7 @@ def _summarise(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def latency_at_transitions(probes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def latency_at_transitions(probes: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Summary at every health transition of ``probes`` (uri, event_id, ts, latency_ms, outcome).
 
     One chunked running-sum pass gives both the failure islands (for the transitions) and each
@@ -110,6 +110,11 @@ def latency_at_transitions(probes: DataFrame, block_rows: int = BLOCK_ROWS) -> D
     path = f"{storage_root(spark)}/islands-{uuid.uuid4().hex[:12]}"
     isl.select("uri", "event_id", "ts", "latency_ms", "is_ok", "g", "__ord", "in_range").write.parquet(path)
     isl = spark.read.parquet(path)
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if block_rows is None:
+        # blocks small enough to give every task work, never above BLOCK_ROWS (the memory bound)
+        busiest = isl.groupBy("uri").agg(F.max("in_range").alias("n")).agg(F.max("n")).first()[0] or 0
+        block_rows = int(min(BLOCK_ROWS, max(4096, -(-busiest * 3 // max(1, n_tasks)))))
     transitions = logs.transitions_from_islands(isl, ["uri"])
     ranked = isl.where(F.col("latency_ms") <= logs.HIST_MAX_MS).select(
         "uri", "event_id", F.col("in_range").alias("ordinal"), "latency_ms",
@@ -145,4 +150,8 @@ def latency_at_transitions(probes: DataFrame, block_rows: int = BLOCK_ROWS) -> D
                                          "max_ms"])
         return _summarise(left, right)
 
+    # an explicit partition count on both sides: the cogroup needs no further exchange and AQE
+    # does not merge the (byte-light, CPU-heavy) groups into a single task
+    rows = rows.repartition(n_tasks, "uri", "block")
+    start = start.repartition(n_tasks, "s_uri", "s_block")
     return rows.groupBy("uri", "block").cogroup(start.groupBy("s_uri", "s_block")).applyInPandas(fn, OUT_SCHEMA)
