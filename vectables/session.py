@@ -80,3 +80,27 @@ def storage_root(spark: SparkSession) -> str:
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(root)   # Dataset.checkpoint() writes below the same root
     return root.rstrip("/")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vectables`` importable on the executors' Python workers (they unpickle the kernels
+    of mapInArrow / applyInPandas / foreachBatch by reference), once per application: the package
+    is zipped on the driver and distributed with ``addPyFile`` (``addArtifacts`` on Spark Connect).
+    Not needed where the package is installed on every worker."""
+    sc = _context(spark)
+    key = sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="vectables-code-"), "vectables")
+    archive = shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="vectables")
+    if sc is not None:
+        sc.addPyFile(archive)
+    else:
+        spark.addArtifacts(archive, pyfile=True)
+    _SHIPPED.add(key)
