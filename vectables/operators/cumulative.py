@@ -111,10 +111,14 @@ def latency_at_transitions(probes: DataFrame, block_rows: int | None = None) ->
     isl.select("uri", "event_id", "ts", "latency_ms", "is_ok", "g", "__ord", "in_range").write.parquet(path)
     isl = spark.read.parquet(path)
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # rows per uri (one small aggregate): blocks small enough to give every task work, never above
+    # BLOCK_ROWS (the memory bound), and no more cogroup partitions than (uri, block) groups
+    per_uri = isl.groupBy("uri").agg(F.max("in_range").alias("n"))
+    busiest, keys = per_uri.agg(F.max("n"), F.count(F.lit(1))).first()
+    busiest, keys = int(busiest or 0), int(keys or 0)
     if block_rows is None:
-        # blocks small enough to give every task work, never above BLOCK_ROWS (the memory bound)
-        busiest = isl.groupBy("uri").agg(F.max("in_range").alias("n")).agg(F.max("n")).first()[0] or 0
         block_rows = int(min(BLOCK_ROWS, max(4096, -(-busiest * 3 // max(1, n_tasks)))))
+    n_tasks = max(1, min(n_tasks, keys * -(-max(busiest, 1) // block_rows)))
     transitions = logs.transitions_from_islands(isl, ["uri"])
     ranked = isl.where(F.col("latency_ms") <= logs.HIST_MAX_MS).select(
         "uri", "event_id", F.col("in_range").alias("ordinal"), "latency_ms",
