@@ -206,21 +206,23 @@ def collect_queries(queries: DataFrame, vector: str = "qvec", must: str = "must_
     return qids, mat, musts
 
 
-def query_chunks(queries: DataFrame, dim: int, max_bytes: int | None = None):
+def query_chunks(queries: DataFrame, dim: int, max_bytes: int | None = None, depth: int = 0):
     """Yield ``(qids, matrix, musts)`` chunks of at most ``max_bytes`` of query matrix each.
 
-    The size check is part of the collect: at most ``per_chunk + 1`` rows are fetched first; only
-    when that overflows is the query set split by ``pmod(query_id, chunks)`` and fetched one chunk
-    at a time, so the driver never holds more than one chunk."""
+    Every chunk's size is proven by the fetch itself: at most ``per_chunk + 1`` rows are pulled,
+    and a set that overflows is halved by a seeded hash of ``query_id`` and each half checked the
+    same way. The driver holds one chunk at a time, whatever the id distribution."""
     per_chunk = max(1, (max_bytes or MAX_QUERY_BYTES) // max(1, dim * 8))
     head = collect_queries(queries.limit(per_chunk + 1))
     if len(head[0]) <= per_chunk:
         yield head
         return
-    n = queries.count()
-    chunks = -(-n // per_chunk) + 1   # hash split: leave room for uneven chunks
-    for i in range(chunks):
-        yield collect_queries(queries.where(F.pmod(F.col("query_id"), F.lit(chunks)) == i))
+    if depth >= 48:
+        raise ValueError("query ids are not distinct enough to split the query set")
+    del head
+    side = F.pmod(F.xxhash64(F.col("query_id"), F.lit(depth)), F.lit(2))
+    for half in (0, 1):
+        yield from query_chunks(queries.where(side == half), dim, max_bytes, depth + 1)
 
 
 def _hits_for(points: DataFrame, chunk, k: int, vector: str) -> DataFrame:
