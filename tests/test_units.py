@@ -302,3 +302,13 @@ def test_timeout_wins_over_client_result(spark):
                                "elapsed double, client_ok boolean")
     got = [r["o"] for r in df.select(logs.classify_probe(F.col("elapsed"), F.col("client_ok")).alias("o")).collect()]
     assert got == ["ok", "error", "error", "timeout", "timeout"]
+
+
+def test_cumulative_latency_does_not_depend_on_block_size(spark):
+    from vectables.operators.cumulative import latency_at_transitions
+    from vectables.sources import views
+
+    probes = views.probes(spark, "/root/testdata/sf0.001")
+    one_block = sorted(map(tuple, latency_at_transitions(probes, block_rows=1 << 20).collect()))
+    many_blocks = sorted(map(tuple, latency_at_transitions(probes, block_rows=37).collect()))
+    assert one_block == many_blocks and len(one_block) > 0

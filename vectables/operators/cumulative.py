@@ -6,9 +6,9 @@ probe is recorded first. Re-expressed without holding a uri's history anywhere:
 1. every in-range probe gets its ordinal per uri (chunked running count) and its bucket;
 2. ordinals are cut into blocks of ``block_rows``; the histogram of each block is a partial
    aggregate ``(uri, block, bucket) -> n``;
-3. the histogram at the start of each block is a prefix sum over earlier blocks, per bucket,
-   on that small table (at most 2,048 buckets x blocks per uri), folded into one row of arrays
-   per ``(uri, block)``;
+3. the histogram at the start of each block: per bucket, a running count over the blocks where
+   the bucket occurs, carried forward to the blocks up to its next occurrence (an explode of a
+   block interval, no join), folded into one row of at most 2,048 entries per ``(uri, block)``;
 4. a cogrouped ``applyInPandas`` per ``(uri, block)`` adds the block's own rows in order and
    reads the quantiles at each transition with a cumulative sum over the buckets.
 
@@ -128,12 +128,17 @@ def latency_at_transitions(probes: DataFrame, block_rows: int | None = None) ->
 
     per_block = ranked.groupBy("uri", "block", "bucket").agg(F.count(F.lit(1)).alias("n"))
     blocks = ranked.groupBy("uri", "block").agg(F.min("latency_ms").alias("bmin"), F.max("latency_ms").alias("bmax"))
-    used = per_block.select("uri", "bucket").distinct()
-    # dense (uri, block, bucket) grid: buckets per uri are bounded (<= 2,048) by the histogram
-    grid = blocks.select("uri", "block").join(used, on="uri", how="inner")
-    grid = grid.join(per_block, on=["uri", "block", "bucket"], how="left").fillna(0, subset=["n"])
-    w = Window.partitionBy("uri", "bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = grid.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") > 0)
+    # start-of-block histograms without a grid: a bucket's running count C after block j is the
+    # start value for blocks j+1 .. (its next occurrence), so each occurrence is exploded over that
+    # block interval. Every block gets at most one row per bucket (<= 2,048).
+    last = blocks.groupBy("uri").agg(F.max("block").alias("__last"))
+    w = Window.partitionBy("uri", "bucket").orderBy("block")
+    occ = per_block.withColumn("before", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))) \
+        .withColumn("__next", F.lead("block").over(w)).join(last, on="uri", how="inner")
+    upto = F.coalesce(F.col("__next"), F.col("__last"))
+    covered = F.when(F.col("block") + 1 <= upto, F.sequence(F.col("block") + 1, upto)).otherwise(
+        F.array().cast("array<bigint>"))
+    prefix = occ.select("uri", "bucket", "before", F.explode(covered).alias("block"))
     start_hist = prefix.groupBy("uri", "block").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "before"))).alias("h"))
     wb = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
