@@ -126,3 +126,13 @@ def test_count_reads_no_vectors(spark):
     plan = _plan(QUERIES["points_count"](spark, SF))
     assert "ReadSchema: struct<>" in plan or "embedding" not in plan.split("ReadSchema:")[1].split("\n")[0]
     _ = F
+
+
+def test_no_cross_joins_in_any_plan(spark):
+    """One-row aggregates combine through scalar subqueries; no query plans a cartesian product."""
+    skip = ("collection_lifecycle", "snapshot_cycle", "drill_snapshots")
+    for name, q in QUERIES.items():
+        if name.startswith("stream_") or name in skip:
+            continue
+        plan = _plan(q(spark, SF))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

@@ -16,11 +16,13 @@ CHECK_COLUMNS = ("check", "collection", "expected", "actual", "ok")
 
 
 def one_row_join(*frames: DataFrame) -> DataFrame:
-    """Side-by-side join of one-row frames (equi-join on a constant key, no cartesian product)."""
-    out = frames[0].withColumn("__one", F.lit(1))
+    """The rows of ``frames[0]`` with the columns of the other, one-row frames (global aggregates)
+    attached as scalar subqueries: no join, so no cartesian product appears in the plan."""
+    out = frames[0]
+    cols = [F.col(c) for c in out.columns]
     for f in frames[1:]:
-        out = out.join(f.withColumn("__one", F.lit(1)), on="__one", how="inner")
-    return out.drop("__one")
+        cols += [f.select(c).scalar().alias(c) for c in f.columns]
+    return out.select(*cols)
 
 
 def check_row(agg: DataFrame, check: str, collection: str, expected: Column, actual: Column, ok: Column) -> DataFrame:

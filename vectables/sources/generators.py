@@ -97,13 +97,11 @@ def batch_plan(ids: DataFrame, id_col: str = "id", size: int = BATCH_SIZE) -> Da
         .agg(F.count(F.lit(1)).cast("bigint").alias("size"))
         .select("batch_id", (F.col("batch_id") * size).cast("bigint").alias("base_id"), "size")
     )
-    # the empty batch exists only when there is no batch at all (anti join on a constant key)
+    # the empty batch exists only when there is no batch at all (a scalar subquery, no join)
     empty = spark.range(1).select(
-        F.lit(1).alias("__k"), F.lit(0).cast("bigint").alias("batch_id"),
-        F.lit(0).cast("bigint").alias("base_id"), F.lit(0).cast("bigint").alias("size"),
-    )
-    seen = batches.select(F.lit(1).alias("__k")).limit(1)
-    empty = empty.join(seen, on="__k", how="left_anti").drop("__k")
+        F.lit(0).cast("bigint").alias("batch_id"), F.lit(0).cast("bigint").alias("base_id"),
+        F.lit(0).cast("bigint").alias("size"),
+    ).where(batches.select(F.count(F.lit(1))).scalar() == 0)
     return batches.unionByName(empty)
 
 
