@@ -312,3 +312,14 @@ def test_cumulative_latency_does_not_depend_on_block_size(spark):
     one_block = sorted(map(tuple, latency_at_transitions(probes, block_rows=1 << 20).collect()))
     many_blocks = sorted(map(tuple, latency_at_transitions(probes, block_rows=37).collect()))
     assert one_block == many_blocks and len(one_block) > 0
+
+
+def test_replayed_epoch_reads_the_state_of_the_epoch_before(spark, tmp_path):
+    from vectables.streaming.stateful import _latest
+
+    root = str(tmp_path / "state")
+    for e in range(3):
+        spark.range(1).write.parquet(f"{root}/epoch={e:012d}")
+    assert _latest(spark, root).endswith("epoch=000000000002")
+    assert _latest(spark, root, before=2).endswith("epoch=000000000001")   # replay of epoch 2
+    assert _latest(spark, root, before=0) is None
