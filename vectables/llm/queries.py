@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectables.llm import mixing, urlrules
+from vectables.llm import mixing, parity, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,33 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing all documents to source weights (operator 9)."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+_JACCARD_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s
+  FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+found AS (SELECT a, b FROM common WHERE 100 * c >= 90 * (na + nb - c)),
+links AS (SELECT a, b FROM found UNION ALL SELECT b, a FROM found),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
+FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+
+@query("op7_jaccard_join", _JACCARD_SQL)
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: 3-word shingles, Jaccard of at least 0.9 (operator 7)."""
+    return parity.jaccard_components(_table(spark, sf_dir, "documents"), "doc_id", "text").select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
