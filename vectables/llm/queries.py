@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectables.llm import mixing, parity, urlrules
+from vectables.llm import mixing, parity, pstable, urlrules, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +94,39 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: 3-word shingles, Jaccard of at least 0.9 (operator 7)."""
     return parity.jaccard_components(_table(spark, sf_dir, "documents"), "doc_id", "text").select(
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+_USABLE_SQL = """usable AS (
+  SELECT *, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0)"""
+
+
+@query("op6_vp_search", f"""
+WITH {_USABLE_SQL},
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""")
+def op6_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours of every 50th vector among all vectors (operator 6); factor 1 is exact."""
+    return vptree.search(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
+@query("op10_near_vectors", f"""
+WITH RECURSIVE {_USABLE_SQL},
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+joined AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM joined
+""")
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors under one label, cosine of at least 0.98 (operator 10)."""
+    return pstable.near_duplicates(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
