@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectables.llm import mixing, parity, pstable, urlrules, vptree
+from vectables.llm import mixing, packing, parity, pstable, urlrules, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,3 +130,10 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors under one label, cosine of at least 0.98 (operator 10)."""
     return pstable.near_duplicates(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").select(
         F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences of at most 2048 (operator 2)."""
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(cut).withColumnRenamed("id", "doc_id")

@@ -92,21 +92,24 @@ class Words:
         self.bounds = np.searchsorted(self.start, offsets)      # text i has words bounds[i]:bounds[i + 1]
         self.count = np.diff(self.bounds)
         self.text = np.repeat(np.arange(len(texts)), self.count)
-        self.hash = self._hash(data, _BYTE_LOWER if lower else _BYTE)
-
-    def _hash(self, data: np.ndarray, table: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.start), dtype=np.uint64)
-        a = 0
-        while a < len(out):
-            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + SLICE_BYTES)))
-            base, top = int(self.start[a]), int(self.end[b - 1])
-            sums = np.zeros(top - base + 1, dtype=np.uint64)
-            np.cumsum(table[data[base:top]] * _powers(_STEP, top - base), out=sums[1:])
-            s, e = self.start[a:b] - base, self.end[a:b] - base
-            back = _powers(_BACK, top - base)
-            out[a:b] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
-            a = b
-        return out
+        self.hash = hash_ranges(data, self.start, self.end, lower)
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each byte range ``data[start:end]``; ranges ascend and do not overlap."""
+    table = _BYTE_LOWER if lower else _BYTE
+    out = np.empty(len(start), dtype=np.uint64)
+    a = 0
+    while a < len(out):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + SLICE_BYTES)))
+        base, top = int(start[a]), int(end[b - 1])
+        sums = np.zeros(top - base + 1, dtype=np.uint64)
+        np.cumsum(table[data[base:top]] * _powers(_STEP, top - base), out=sums[1:])
+        s, e = start[a:b] - base, end[a:b] - base
+        back = _powers(_BACK, top - base + 1)
+        out[a:b] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
+        a = b
+    return out
 
 
 def kmers(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
