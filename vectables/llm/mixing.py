@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from vectables.llm.store import Workspace
 
 BLOCK = 64              # words in a block
-CHUNK_ROWS = 20_000     # documents of a source that are ordered in one task
+CHUNK_ROWS = 20_000     # documents for each chunk number; a source's documents of one chunk are ordered in one task
 SHARD_SLOTS = 1 << 16   # slots of an output shard
 MOST = 3                # a source's target is at most this many times its size
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -90,15 +90,16 @@ def plan(docs: DataFrame, source_col: str, size_col: str, share: float = 1.0,
          weights: tuple[float, ...] = WEIGHTS) -> pd.DataFrame:
     """One row per source, by code point and null last: src, size, target, blocks, passes, rest.
 
-    ``passes`` whole passes over the source's blocks, then ``rest`` words of one more.
+    ``docs`` documents; ``passes`` whole passes over the source's blocks, then ``rest`` words of one more.
     """
-    rows = docs.groupBy(source_key(F.col(source_col)).alias("src")).agg(F.sum(size_col).alias("size")).collect()
-    rows = sorted((r["src"] == "n", r["src"], int(r["size"] or 0)) for r in rows)
-    sizes = [n for _, _, n in rows]
+    rows = docs.groupBy(source_key(F.col(source_col)).alias("src")).agg(
+        F.sum(size_col).alias("size"), F.count("*").alias("docs")).collect()
+    rows = sorted((r["src"] == "n", r["src"], int(r["size"] or 0), r["docs"]) for r in rows)
+    sizes = [r[2] for r in rows]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share)
     words = [min(round(t), MOST * n) for t, n in zip(goal, sizes)]
     return pd.DataFrame({
-        "src": [k for _, k, _ in rows], "size": sizes, "target": goal, "blocks": [-(-n // BLOCK) for n in sizes],
+        "src": [r[1] for r in rows], "size": sizes, "docs": [r[3] for r in rows], "target": goal, "blocks": [-(-n // BLOCK) for n in sizes],
         "passes": [w // n if n else 0 for w, n in zip(words, sizes)],
         "rest": [w % n if n else 0 for w, n in zip(words, sizes)],
     })
@@ -155,14 +156,12 @@ def shard_slots(spark: SparkSession, sources: pd.DataFrame, seed: int = 7) -> Da
         "shard long, src string, slot long, turn long, block long, take long")
 
 
-def _placed(docs: DataFrame) -> DataFrame:
+def _placed(docs: DataFrame, chunks: int) -> DataFrame:
     """Adds ``first``, the number of the document's first word in its source's stream.
 
     ``docs(src, mark, size)``; order: by hashed chunk, then by mark. Rows with equal marks are alike.
     """
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / CHUNK_ROWS)).cast("long")
-    rows = docs.groupBy("src").agg(F.count("*").alias("n_docs"))
-    docs = docs.join(rows, "src").withColumn("chunk", F.pmod(F.xxhash64("mark"), chunks)).drop("n_docs")
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("mark"), F.lit(chunks)))
     total = docs.groupBy("src", "chunk").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     start = total.select("src", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("chunk_first"))
@@ -187,7 +186,7 @@ def mix(docs: DataFrame, id_col: str, source_col: str, text_col: str, share: flo
     sources = plan(sized.withColumn("source", F.when(F.col("src") != "n", F.expr("substring(src, 2)"))), "source", "size", share, weights)
     table = spark.createDataFrame(
         list(sources[["src", "size", "target"]].itertuples(index=False, name=None)), "src string, source_size long, target double")
-    placed = _placed(sized.where("size > 0"))
+    placed = _placed(sized.where("size > 0"), max(1, -(-int(sources["docs"].sum()) // CHUNK_ROWS)))
 
     first, size = F.col("first"), F.col("size")
     pieces = placed.select("id", "src", "mark", "first", "size", F.explode(F.sequence(
@@ -195,8 +194,8 @@ def mix(docs: DataFrame, id_col: str, source_col: str, text_col: str, share: flo
     lo = F.greatest(F.lit(0), first - F.col("block") * BLOCK)                     # the piece within its block
     hi = F.least(F.lit(BLOCK).cast("long"), first + size - F.col("block") * BLOCK)
     pieces = pieces.withColumn("lo", lo).withColumn("hi", hi)
-    slots = shard_slots(spark, sources, seed).select("src", "block", "turn", "take")
-    met = pieces.join(slots, ["src", "block"], "left").withColumn("end", F.least("hi", "take"))
+    slots = shard_slots(spark, sources, seed).select("src", "block", "turn", "take").hint("merge")  # its rows are many more than the plan can know
+    met = pieces.join(slots, ["src", "block"], "left").withColumn("end", F.when(F.col("take").isNotNull(), F.least("hi", "take")))
     at = F.col("block") * BLOCK - F.col("first")
     got = F.when(F.col("end") > F.col("lo"), F.struct("turn", (at + F.col("lo")).alias("lo"), (at + F.col("end")).alias("hi")))
     taken = met.groupBy("src", "first", "id", "mark", "size").agg(F.sort_array(F.collect_list(got)).alias("ranges"))
