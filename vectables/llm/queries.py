@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectables.llm import mixing, packing, parity, pstable, urlrules, vptree
+from vectables.llm import mixing, packing, parity, passages, pstable, urlrules, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,3 +137,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token sequences of at most 2048 (operator 2)."""
     cut = packing.pieces(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return packing.pack(cut).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_repeated_passages")
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring dedup: fuzzy passages of 50 words or more that repeat an earlier place (operator 5)."""
+    found = passages.repeated_passages(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"),
+                        F.col("to_doc").alias("source_doc_id"), F.col("to_start").alias("source_start"),
+                        F.col("to_end").alias("source_end"), F.col("same").alias("same_words"))
