@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectables.llm import mixing, packing, parity, passages, pstable, urlrules, vptree
+from vectables.llm import mixing, packing, parity, passages, pstable, urlrules, vptree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +146,22 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"),
                         F.col("to_doc").alias("source_doc_id"), F.col("to_start").alias("source_start"),
                         F.col("to_end").alias("source_end"), F.col("same").alias("same_words"))
+
+
+@query("op3_warc_captures", """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+digests AS (
+  SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, 5 * (j // 4) + 1, 5))::INTEGER >> (15 - 5 * (j % 4))::INTEGER) & 31) + 1, 1) FOR j IN range(32)], '') AS payload_digest
+  FROM hashed),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS f FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f THEN f END AS refers_to
+FROM firsts
+""")
+def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC round trip of all pages with revisits, assembled into captures (operator 3)."""
+    made = warc.captures(_table(spark, sf_dir, "pages"), "page_id", "url", "html", with_payload=False)
+    return made.select(F.col("metadata.id").alias("page_id"), "response.payload_bytes", "response.payload_digest",
+                       F.col("response.type").alias("record_type"), "response.refers_to")
