@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectables.llm import mixing, packing, parity, passages, pstable, urlrules, vptree, warc
+from vectables.llm import langid, mixing, packing, parity, passages, pstable, urlrules, vptree, warc
+from vectables.llm.store import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,3 +166,16 @@ def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.captures(_table(spark, sf_dir, "pages"), "page_id", "url", "html", with_payload=False)
     return made.select(F.col("metadata.id").alias("page_id"), "response.payload_bytes", "response.payload_digest",
                        F.col("response.type").alias("record_type"), "response.refers_to")
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents and pages by fused evidence (operator 8); a row has a doc_id or a page_id."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    model = langid.fit(docs, "text", "lang")
+    of_docs = langid.document_items(docs, "doc_id", "source", "lang", "text").select(F.lit("documents").alias("of"), "*")
+    of_pages = langid.page_items(pages, "page_id", "url", "html").select(F.lit("pages").alias("of"), "*")
+    found = langid.identify(of_docs.union(of_pages), model, Workspace(spark, "langid"))
+    return found.select(
+        F.when(F.col("of") == "documents", F.col("id")).alias("doc_id"), F.when(F.col("of") == "pages", F.col("id")).alias("page_id"),
+        "declared", "suffix", "text_lang", "lang", "posterior", "accepted")
