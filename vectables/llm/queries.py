@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectables.llm import langid, mixing, packing, parity, passages, pstable, urlrules, vptree, warc
+from vectables.llm import langid, maxent, mixing, packing, parity, passages, pstable, urlrules, vptree, warc
 from vectables.llm.store import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.when(F.col("of") == "documents", F.col("id")).alias("doc_id"), F.when(F.col("of") == "pages", F.col("id")).alias("page_id"),
         "declared", "suffix", "text_lang", "lang", "posterior", "accepted")
+
+
+@query("op1_maxent_scores")
+def op1_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the maximum-entropy model, learnt from nine tenths of them (operator 1)."""
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held)
+    return maxent.score(docs, "doc_id", "text", "held").withColumnRenamed("id", "doc_id")
