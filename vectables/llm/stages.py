@@ -8,37 +8,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectables.llm import langid, mixing, packing, parity, passages
-from vectables.llm.store import Workspace
+from vectables.llm.store import Workspace, free_name, rows_of
 from vectables.llm.text import Texts, Words, slices
 
 
-def _typed(docs: DataFrame) -> DataFrame:
-    """The columns of documents and any others, with a row number that the stage's own joins use."""
-    return docs.select(*docs.columns, F.monotonically_increasing_id().alias("_row"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a hash of all columns, and its name. Equal rows have equal keys and are treated alike."""
+    key = free_name(docs.columns, "row_key")
+    return docs.withColumn(key, F.xxhash64(*docs.columns)), key
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
     """Drops documents whose language is not accepted; all columns stay as they are.
 
-    The model is fitted on the stage's own input. Rows are decided one by one; documents without any letter are
-    rejected.
+    The model is fitted on a sample of the stage's own input. Rows are decided one by one; documents without any letter
+    are rejected, whatever their ``lang`` says.
     """
     space = Workspace(docs.sparkSession, "keep-languages")
-    model = langid.fit(docs, "text", "lang")
-    row = space.save(_typed(docs), "rows")
-    items = langid.document_items(row.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "doc_id"), "doc_id", "source", "lang", "text")
-    kept = langid.identify(items, model, space).where("accepted").select(F.col("id").alias("_row"))
-    return row.join(kept, "_row", "left_semi").select(*docs.columns)
+    keyed, key = _keyed(docs)
+    found = langid.identify(langid.document_items(keyed, key, "source", "lang", "text"), langid.fit(docs, "text", "lang"), space)
+    rejected = space.save(found.where("not accepted").select(F.col("id").alias(key)).distinct(), "rejected")
+    return rows_of(keyed, rejected, key, others=True).select(*docs.columns)
 
 
 def keep_one_of_each_group(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id (of repeated rows with
-    that id, one); documents without words or id stay."""
-    found = parity.jaccard_components(docs, "doc_id", "text", k, num, den)
-    gone = found.where("id is not null and n_shingles > 0 and id <> component").select(F.col("id").alias("doc_id"))
-    rest = docs.join(gone, "doc_id", "left_anti")
-    blank = F.col("doc_id").isNull() | ~F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    return rest.where(blank).union(rest.where(~blank).dropDuplicates(["doc_id"]))
+    """One document of each group of near copies stays (of ``k``-word shingles, Jaccard of num/den or more).
+
+    It is the one with the smallest key; of equal rows one stays. Documents without words are left alone.
+    """
+    space = Workspace(docs.sparkSession, "one-of-each")
+    keyed, key = _keyed(docs)
+    found = parity.jaccard_components(keyed, key, "text", k, num, den)
+    found = space.save(found.where("n_shingles > 0").groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n")), "found")
+    gone = space.save(found.where("id <> component").select(F.col("id").alias(key)), "gone")
+    equal = space.save(found.where("id = component and n > 1").select(F.col("id").alias(key)), "equal")
+    rest = rows_of(keyed, gone, key, others=True)
+    one = rows_of(rest, equal, key).dropDuplicates([key])
+    return rows_of(rest, equal, key, others=True).union(one).select(*docs.columns)
 
 
 def cut_repeated_passages(docs: DataFrame) -> DataFrame:
@@ -85,13 +91,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = mixing.WEIGHTS) ->
 
     A document that the mix takes twice is in the result twice, one that it leaves out is not.
     """
-    space = Workspace(docs.sparkSession, "mix-sources")
-    row = space.save(_typed(docs), "rows")
-    mixed = mixing.mix(row, "_row", "source", "text", weights=weights).where("taken > 0").select(F.col("id").alias("_row"), "ranges")
-    taken = row.join(mixed, "_row").select(F.struct(*docs.columns).alias("row"), "text", "ranges")
+    keyed, key = _keyed(docs)
+    mixed = mixing.mix(keyed, key, "source", "text", weights=weights).where("taken > 0").select(F.col("id").alias(key), "ranges")
+    taken = keyed.dropDuplicates([key]).join(mixed.hint("merge"), key).select(F.struct(*docs.columns).alias("row"), "text", "ranges")
     made = taken.mapInArrow(_copies, f"row {taken.schema['row'].dataType.simpleString()}, text string")
     texts = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return made.select(*(texts.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return made.select(*(texts[c].alias(c) if c in texts else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def pack_sequences(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectables.session import storage_root
 
@@ -33,3 +33,21 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+BROADCAST_IDS = 500_000     # long ids that may travel to every task (4 MB)
+
+
+def rows_of(rows: DataFrame, ids: DataFrame, key: str, others: bool = False) -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (one column of that name), or all ``others``. The ids are counted: up
+    to ``BROADCAST_IDS`` are broadcast, so the rows are filtered where they are read; more meet in a shuffle."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_anti" if others else "left_semi")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
