@@ -8,7 +8,6 @@ import tempfile
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oracle_check import compare, duck
@@ -51,14 +50,12 @@ def test_streaming_over_several_files_equals_batch(spark):
         c.execute(f"COPY (SELECT * FROM '{src}' ORDER BY ts, event_id LIMIT {n // 4 + 1} OFFSET {i * (n // 4 + 1)}) "
               f"TO '{out}/part-{i}.parquet' (FORMAT parquet)")
     want = QUERIES["health_transitions"](spark, SF).toPandas()
-    for fn in (stateful.stream_health_transitions, stateful.stream_health_transitions_batched):
-        got = fn(spark, f"{out}/*.parquet").toPandas()
-        assert compare(got, want) is None, fn.__name__
+    got = stateful.stream_health_transitions(spark, f"{out}/*.parquet", 1).toPandas()
+    assert compare(got, want) is None
     want_runs = QUERIES["run_transitions"](spark, SF).toPandas()
-    for fn in (stateful.stream_run_transitions, stateful.stream_run_transitions_batched):
-        got = fn(spark, f"{out}/*.parquet").toPandas()
-        assert compare(got, want_runs) is None, fn.__name__
-    got_log = stateful.stream_apply_oplog(spark, f"{out}/*.parquet").toPandas()
+    got = stateful.stream_run_transitions(spark, f"{out}/*.parquet", 1).toPandas()
+    assert compare(got, want_runs) is None
+    got_log = stateful.stream_apply_oplog(spark, f"{out}/*.parquet", 1).toPandas()
     want_log = QUERIES["apply_oplog"](spark, SF).toPandas()
     assert compare(got_log, want_log) is None
 
@@ -125,14 +122,46 @@ def test_promoted_filter_is_pushed_to_scan(spark):
 def test_count_reads_no_vectors(spark):
     plan = _plan(QUERIES["points_count"](spark, SF))
     assert "ReadSchema: struct<>" in plan or "embedding" not in plan.split("ReadSchema:")[1].split("\n")[0]
-    _ = F
 
 
 def test_no_cross_joins_in_any_plan(spark):
     """One-row aggregates combine through scalar subqueries; no query plans a cartesian product."""
-    skip = ("collection_lifecycle", "snapshot_cycle", "drill_snapshots")
     for name, q in QUERIES.items():
-        if name.startswith("stream_") or name in skip:
+        if name.startswith("stream_"):
             continue
         plan = _plan(q(spark, SF))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_error_taxonomy_reads_the_log_once(spark):
+    plan = _plan(QUERIES["error_taxonomy"](spark, SF))
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_files_out_of_time_order_are_refused(spark, tmp_path):
+    """The later half first: its transitions cannot be decided before the earlier half is known."""
+    from vectables.streaming import stateful
+
+    src = f"{SF}/events.parquet"
+    c = duckdb.connect()
+    for name, order in (("a", "DESC"), ("b", "ASC")):
+        c.execute(f"COPY (SELECT * FROM '{src}' ORDER BY ts {order}, event_id {order} LIMIT 400) TO '{tmp_path}/part-{name}.parquet' (FORMAT parquet)")
+        import os
+        os.utime(f"{tmp_path}/part-{name}.parquet", (1e9 + ord(name), 1e9 + ord(name)))
+    with pytest.raises(Exception, match="older than rows already processed"):
+        stateful.stream_health_transitions(spark, f"{tmp_path}/*.parquet", 1)
+
+
+def test_window_argument_sets_the_windows(spark):
+    from vectables.streaming import stateful
+
+    got = stateful.stream_window_latency(spark, f"{SF}/events.parquet*", window="2 hours").toPandas()
+    assert len(got) and (got["window_start"].dt.hour % 2 == 0).all() and not got.duplicated(["uri", "window_start"]).any()
+
+
+def test_unreadable_state_is_an_error(spark):
+    from vectables.streaming.stateful import _list_dir
+
+    assert _list_dir(spark, "file:///nowhere/at/all") is None
+    with pytest.raises(Exception):
+        _list_dir(spark, "no-such-scheme://bucket/state")

@@ -35,6 +35,21 @@ def test_upsert_replaces_payload(spark):
     assert row["payload"] == {} and row["vec"] is None
 
 
+def test_upsert_refuses_an_unordered_duplicate_and_takes_the_last_ordered_one(spark):
+    base = spark.createDataFrame([(1, [1.0], {"a": "x"})], "id long, vec array<float>, payload map<string,string>")
+    delta = spark.createDataFrame([(1, [2.0], 1), (1, [3.0], 2)], "id long, vec array<float>, seq int") \
+        .withColumn("payload", F.create_map().cast("map<string,string>"))
+    with pytest.raises(Exception, match="several rows for id 1"):
+        mu.upsert(base, delta).collect()
+    assert [r["vec"] for r in mu.upsert(base, delta, order="seq").collect()] == [[3.0]]
+
+
+def test_patch_of_a_point_without_payload_is_kept(spark):
+    base = spark.createDataFrame([(1, None, None), (2, None, None)], "id long, vec array<float>, payload map<string,string>")
+    patch = spark.createDataFrame([(1, "k", "v", 1)], "id long, k string, v string, seq long")
+    assert {r["id"]: r["payload"] for r in mu.set_payload(base, patch).collect()} == {1: {"k": "v"}, 2: None}
+
+
 def test_empty_generators(spark):
     df = generators.gen_points(spark.range(3), 0, 0)
     rows = df.collect()
@@ -232,18 +247,26 @@ def test_local_then_global_topk_equals_brute_force(spark, seed):
     assert got == sorted(want)
 
 
-def test_transitions_do_not_depend_on_chunk_unit(spark, monkeypatch):
+def test_transitions_do_not_depend_on_chunk_rows(spark, monkeypatch):
     from vectables.operators import scan
 
     outcomes = ["ok", "error", "error", "ok", "timeout", "ok", "ok", "error"] * 5
     df = spark.createDataFrame([(i, _ts(i * 700), "u", o) for i, o in enumerate(outcomes)],
                                "event_id long, ts timestamp_ntz, uri string, outcome string")
-    by_hour = sorted(map(tuple, logs.transitions(df, ["uri"], F.col("outcome") == "ok").collect()))
-    monkeypatch.setattr(scan, "CHUNK_UNIT", "minute")
-    by_minute = sorted(map(tuple, logs.transitions(df, ["uri"], F.col("outcome") == "ok").collect()))
-    monkeypatch.setattr(scan, "CHUNK_UNIT", "day")
-    by_day = sorted(map(tuple, logs.transitions(df, ["uri"], F.col("outcome") == "ok").collect()))
-    assert by_hour == by_minute == by_day
+    got = []
+    for rows in (1 << 20, 7, 1):
+        monkeypatch.setattr(scan, "CHUNK_ROWS", rows)
+        got.append(sorted(map(tuple, logs.transitions(df, ["uri"], F.col("outcome") == "ok").collect())))
+    assert got[0] == got[1] == got[2]
+
+
+def test_one_uri_in_one_hour_is_many_window_groups(spark):
+    from vectables.operators.scan import time_chunk
+
+    df = spark.range(20_000).select(F.lit("u").alias("uri"), F.expr("timestampadd(MILLISECOND, cast(id as int) % 3600000, timestamp_ntz'2024-01-01')").alias("ts"))
+    chunk = time_chunk(df, ["uri"], most=500)
+    sizes = [r["count"] for r in df.groupBy("uri", chunk.alias("c")).count().collect()]
+    assert max(sizes) <= 500 and len(sizes) >= 40
 
 
 def test_search_without_a_spark_context_ships_queries_in_the_closure(spark, monkeypatch):
@@ -264,7 +287,7 @@ def test_chunked_running_sums_equal_plain_window(spark, seed):
 
     from pyspark.sql import Window
 
-    from vectables.operators.scan import hour_chunk, running_sums
+    from vectables.operators.scan import running_sums, time_chunk
 
     rnd = random.Random(seed)
     rows = []
@@ -272,7 +295,7 @@ def test_chunked_running_sums_equal_plain_window(spark, seed):
         ts = _ts(rnd.choice([rnd.randrange(0, 20000), 3600 * rnd.randrange(0, 6)]))   # ties on hour edges
         rows.append((i, ts, f"k{rnd.randrange(3)}", rnd.randrange(-2, 5)))
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, key string, v long")
-    got = running_sums(df, ["key"], ["ts", "event_id"], {"s": F.col("v"), "n": F.lit(1)}, hour_chunk("ts"))
+    got = running_sums(df, ["key"], ["ts", "event_id"], {"s": F.col("v"), "n": F.lit(1)}, time_chunk(df, ["key"], most=20))
     w = Window.partitionBy("key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("s", F.sum("v").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
     cols = ["event_id", "key", "s", "n"]

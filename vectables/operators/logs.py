@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectables.operators.checks import one_row_join
-from vectables.operators.scan import hour_chunk, running_sums
+from vectables.operators.scan import running_sums, time_chunk
 
 HIST_MAX_MS = 3_600_000
 QUANTILES = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
@@ -60,13 +60,14 @@ def bucket_lo(v: Column) -> Column:
 
 
 def latency_histogram(probes: DataFrame, key: str = "uri") -> DataFrame:
-    """``(uri, bucket_hi, n)`` for latencies in range; values above the range go to :func:`rejects` (S20)."""
+    """``(uri, bucket_hi, n)`` for latencies in range; values above the range are the rows of :func:`rejects` (S20)."""
     ok = probes.where(F.col("latency_ms") <= HIST_MAX_MS)
     return ok.groupBy(key, bucket_hi(F.col("latency_ms")).alias("bucket_hi")).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 def rejects(probes: DataFrame) -> DataFrame:
+    """Probes that the histogram cannot record: slower than its range."""
     return probes.where(F.col("latency_ms") > HIST_MAX_MS)
 
 
@@ -110,7 +111,7 @@ def islands(df: DataFrame, keys: Sequence[str], is_ok: Column, extra: dict[str,
     its ``g``. ``extra`` running sums are computed in the same pass."""
     df = df.withColumn("is_ok", is_ok)
     values = {"g": F.col("is_ok").cast("bigint"), "__ord": F.lit(1), **(extra or {})}
-    return running_sums(df, keys, order, values, hour_chunk("ts"))
+    return running_sums(df, keys, order, values, time_chunk(df, keys))
 
 
 def runs_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str] = (),
@@ -174,11 +175,14 @@ def transitions(rows: DataFrame, keys: Sequence[str], is_ok: Column, carry: Sequ
 # ------------------------------------------------------------------ OP-61 round report
 
 def round_report(runs: DataFrame, n_uris: int) -> DataFrame:
-    """Per (drill, round): success when every configured uri succeeded, failed when none did,
-    partial otherwise (S14); seconds = sum of truncated seconds (S15); error text sorted by uri."""
+    """Per (drill, round): success when every configured uri succeeded, failed when none did, partial
+    otherwise (S14); seconds = sum of truncated seconds (S15); error texts sorted by uri.
+
+    ``message`` is the line of the class: the seconds of a success, the failures of a partial round, and for a
+    failed one every uri with its error and the seconds it took. A round has at most ``n_uris`` runs, so its lists are short."""
     reported = F.col("outcome") != "cancelled"
     ok = F.col("outcome") == "ok"
-    err = F.when(F.col("error").isNotNull(), F.struct("uri", "error"))
+    err = F.when(F.col("error").isNotNull(), F.struct("uri", "error", F.floor("duration_s").cast("bigint").alias("s")))
     g = runs.groupBy("drill", "round").agg(
         F.count_if(ok).cast("bigint").alias("successes"),
         F.count_if(reported).cast("bigint").alias("reports"),
@@ -187,8 +191,13 @@ def round_report(runs: DataFrame, n_uris: int) -> DataFrame:
     )
     cls = F.when(F.col("successes") == 0, "failed").when(F.col("successes") == n_uris, "success").otherwise("partial")
     text = F.concat_ws(", ", F.transform("__errs", lambda e: F.concat(e["uri"], F.lit(" ("), e["error"], F.lit(")"))))
-    return g.select("drill", "round", "successes", "reports", F.coalesce("seconds", F.lit(0)).alias("seconds"),
-                    cls.alias("class"), text.alias("errors"))
+    timed = F.concat_ws(", ", F.transform("__errs", lambda e: F.concat(
+        e["uri"], F.lit(" ("), e["error"], F.lit(", "), e["s"].cast("string"), F.lit(" s)"))))
+    seconds = F.coalesce("seconds", F.lit(0))
+    message = (F.when(cls == "success", F.concat(F.lit("finished in "), seconds.cast("string"), F.lit(" seconds")))
+               .when(cls == "partial", F.concat(F.lit("partially failed: "), text)).otherwise(F.concat(F.lit("failed: "), timed)))
+    return g.select("drill", "round", "successes", "reports", seconds.alias("seconds"),
+                    cls.alias("class"), text.alias("errors"), message.alias("message"))
 
 
 # ------------------------------------------------------------------ OP-62 name selection
@@ -221,7 +230,7 @@ def green_debounce(statuses: DataFrame, key: str = "collection", polls: int = GR
     s = running_sums(
         statuses, [key], ["ts", "event_id"],
         {"ordinal": F.lit(1), "island": (F.col("status") != "green").cast("bigint")},
-        hour_chunk("ts"),
+        time_chunk(statuses, [key]),
     )
     islands = s.groupBy(key, "island").agg(F.min("ordinal").alias("start"), F.count(F.lit(1)).alias("len"))
     ready = islands.where(F.col("len") >= polls).groupBy(key).agg(

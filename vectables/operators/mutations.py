@@ -20,16 +20,22 @@ POINT_COLUMNS = ("id", "vec", "payload")
 
 
 def latest_per_id(delta: DataFrame, order: str | None) -> DataFrame:
-    """If the delta holds several rows for one id, keep the last by ``order`` (partial aggregate)."""
-    if order is None:
-        return delta
+    """One row per id: the last by ``order``. Without an order the ids have to be distinct, and a
+    delta that names one twice fails when it is read (partial aggregates either way)."""
     cols = [c for c in delta.columns if c not in ("id",)]
-    picked = delta.groupBy("id").agg(F.max_by(F.struct(*cols), F.col(order)).alias("__row"))
+    row = F.struct(*cols)
+    if order is None:
+        picked = delta.groupBy("id").agg(F.first(row).alias("__row"), F.count(F.lit(1)).alias("__n"))
+        twice = F.raise_error(F.concat(F.lit("the delta holds several rows for id "), F.col("id").cast("string"),
+                                       F.lit("; name the column that orders them")))
+        picked = picked.withColumn("__row", F.when(F.col("__n") > 1, twice.cast(picked.schema["__row"].dataType)).otherwise(F.col("__row")))
+    else:
+        picked = delta.groupBy("id").agg(F.max_by(row, F.col(order)).alias("__row"))
     return picked.select("id", "__row.*")
 
 
 def upsert(table: DataFrame, delta: DataFrame, order: str | None = None) -> DataFrame:
-    """OP-11 / OP-12: replace-or-insert whole rows by id."""
+    """OP-11 / OP-12: replace-or-insert whole rows by id; of several rows for one id the last by ``order``."""
     delta = latest_per_id(delta, order).select(*table.columns)
     kept = table.join(delta.select("id"), on="id", how="left_anti")
     return kept.unionByName(delta)
@@ -51,8 +57,9 @@ def set_payload(table: DataFrame, patch: DataFrame) -> DataFrame:
     last = patch.groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"))
     per_id = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__patch"))
     joined = table.join(per_id, on="id", how="left")
+    payload = F.coalesce("payload", F.create_map().cast("map<string,string>"))   # a point without payload takes the patch
     merged = F.map_concat(
-        F.map_filter("payload", lambda k, _v: ~F.array_contains(F.map_keys("__patch"), k)),
+        F.map_filter(payload, lambda k, _v: ~F.array_contains(F.map_keys("__patch"), k)),
         F.col("__patch"),
     )
     return joined.withColumn(

@@ -2,7 +2,7 @@
 
 A plain ``sum(x) OVER (PARTITION BY uri ORDER BY ts)`` sends every row of a uri to one task;
 with three uris that is a third of the table per task. Here the order is cut into chunks
-(an hour of ``ts``, or a block of a sequence number):
+(a slice of ``ts`` whose width follows the busiest key, or a block of a sequence number):
 
 1. a running sum inside each ``(key, chunk)`` (many small window partitions),
 2. one total per ``(key, chunk)`` (partial aggregation, tiny output),
@@ -21,15 +21,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# Unit of the time chunks. An hour keeps the prefix tables tiny at test scale; on a cluster where
-# one key receives tens of millions of rows per hour, set "minute" (or finer) so a window
-# partition stays a few million rows.
-CHUNK_UNIT = "hour"
-
-
-def hour_chunk(ts: str = "ts", unit: str | None = None) -> Column:
-    """Time chunk of a row (``CHUNK_UNIT`` unless given); monotone in ``ts``, as required."""
-    return F.date_trunc(unit or CHUNK_UNIT, F.col(ts))
+# Most rows of one key that a window partition may hold.
+CHUNK_ROWS = 1 << 20
+_HOUR_US = 3_600_000_000
+
+
+def time_chunk(df: DataFrame, keys: Sequence[str], ts: str = "ts", most: int | None = None) -> Column:
+    """Chunk of a row by time, monotone in ``ts``: slices of equal width, an hour or as much less as it
+    takes for the busiest (key, slice) to hold at most ``most`` rows (only rows of one key within the same
+    microsecond cannot be split). Reads ``df`` once per width tried: a count per (key, slice) and one maximum."""
+    most, width = most or CHUNK_ROWS, _HOUR_US
+    ntz = dict(df.dtypes)[ts] == "timestamp_ntz"     # its wall clock, whatever the session's time zone
+    instant = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{ts}`)") if ntz else F.unix_micros(ts)
+    while True:
+        chunk = F.floor(instant / F.lit(width)) if width > 1 else instant
+        busiest = df.groupBy(*keys, chunk.alias("__c")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if busiest <= most or width == 1:
+            return chunk
+        width = max(1, width // (2 * -(-busiest // most)))
 
 
 def block_chunk(seq: str, size: int = 1 << 16) -> Column:

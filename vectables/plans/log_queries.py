@@ -89,6 +89,14 @@ def q_latency_histogram(spark, sf_dir):
     return logs.latency_histogram(views.probes(spark, sf_dir))
 
 
+@register("latency_rejects", with_views(
+    "SELECT event_id, uri, latency_ms, outcome FROM probes WHERE latency_ms > 3600000", "probes",
+))
+def q_latency_rejects(spark, sf_dir):
+    """OP-58: probes slower than the histogram's range, row by row."""
+    return logs.rejects(views.probes(spark, sf_dir)).select("event_id", "uri", "latency_ms", "outcome")
+
+
 SUMMARY_SQL = (
     "SELECT uri, total, min_ms, p50_ms, p95_ms, p99_ms, max_ms, "
     "format('[min: {}ms, p50: {}ms, p95: {}ms, p99: {}ms, max: {}ms]', min_ms, p50_ms, p95_ms, p99_ms, max_ms) AS text FROM ("
@@ -138,11 +146,15 @@ def q_run_transitions(spark, sf_dir):
 
 REPORT_SQL = (
     "SELECT drill, round, successes, reports, seconds, "
-    f"CASE WHEN successes = 0 THEN 'failed' WHEN successes = {N_URIS} THEN 'success' ELSE 'partial' END AS class, errors FROM ("
+    f"CASE WHEN successes = 0 THEN 'failed' WHEN successes = {N_URIS} THEN 'success' ELSE 'partial' END AS class, errors, "
+    f"CASE WHEN successes = 0 THEN 'failed: ' || timed WHEN successes = {N_URIS} THEN 'finished in ' || seconds || ' seconds' "
+    "ELSE 'partially failed: ' || errors END AS message FROM ("
     "SELECT drill, round, CAST(count(*) FILTER (WHERE outcome = 'ok') AS BIGINT) AS successes, "
     "CAST(count(*) FILTER (WHERE outcome <> 'cancelled') AS BIGINT) AS reports, "
     "CAST(coalesce(sum(floor(duration_s)) FILTER (WHERE outcome <> 'cancelled'), 0) AS BIGINT) AS seconds, "
-    "coalesce(string_agg(uri || ' (' || error || ')', ', ' ORDER BY uri, error) FILTER (WHERE error IS NOT NULL), '') AS errors "
+    "coalesce(string_agg(uri || ' (' || error || ')', ', ' ORDER BY uri, error) FILTER (WHERE error IS NOT NULL), '') AS errors, "
+    "coalesce(string_agg(uri || ' (' || error || ', ' || CAST(floor(duration_s) AS BIGINT) || ' s)', ', ' ORDER BY uri, error, floor(duration_s)) "
+    "FILTER (WHERE error IS NOT NULL), '') AS timed "
     "FROM runs GROUP BY drill, round) t"
 )
 
@@ -170,7 +182,7 @@ def q_until_first_fatal(spark, sf_dir):
     "SELECT outcome, CAST(count(*) AS BIGINT) AS n, outcome <> 'cancelled' AS reported FROM runs GROUP BY outcome", "runs",
 ))
 def q_error_taxonomy(spark, sf_dir):
-    return logs.error_taxonomy(views.runs(spark, sf_dir))
+    return logs.error_taxonomy(views.reports(spark, sf_dir))
 
 
 # --- OP-62 -------------------------------------------------------------------------------------
@@ -183,7 +195,7 @@ IGNORE = ("drill_1",)
     "SELECT DISTINCT drill AS name FROM runs WHERE drill IN ('drill_1', 'drill_3', 'drill_unknown')", "runs",
 ))
 def q_select_by_name(spark, sf_dir):
-    names = views.runs(spark, sf_dir).select(F.col("drill").alias("name")).distinct()
+    names = views.reports(spark, sf_dir).select(F.col("drill").alias("name")).distinct()
     return logs.select_names(names, include=INCLUDE, ignore=IGNORE)
 
 
@@ -191,7 +203,7 @@ def q_select_by_name(spark, sf_dir):
     "SELECT DISTINCT drill AS name FROM runs WHERE drill NOT IN ('drill_1')", "runs",
 ))
 def q_select_by_ignore(spark, sf_dir):
-    names = views.runs(spark, sf_dir).select(F.col("drill").alias("name")).distinct()
+    names = views.reports(spark, sf_dir).select(F.col("drill").alias("name")).distinct()
     return logs.select_names(names, ignore=IGNORE)
 
 

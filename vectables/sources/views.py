@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectables.operators.scan import hour_chunk, running_sums
+from vectables.operators.scan import running_sums, time_chunk
 from vectables.sources import tables
 
 PROBE_TIMEOUT_MS = 50
@@ -56,9 +56,8 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, sf_dir: str, extra: dict | None = None) -> DataFrame:
-    """The ``runs`` view; ``extra`` running sums (name -> column) ride along in the same chunked
-    pass that numbers the rounds."""
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``runs`` view without its round numbers, for what does not read them (no window, no join)."""
     ev = tables.events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "value")
     base = ev.select(
         F.concat(F.lit("drill_"), (F.col("user_id") % 10).cast("string")).alias("drill"),
@@ -72,15 +71,21 @@ def runs(spark: SparkSession, sf_dir: str, extra: dict | None = None) -> DataFra
         .otherwise("ok")
         .alias("outcome"),
     )
-    base = base.withColumn(
+    return base.withColumn(
         "error",
         F.when(
             F.col("outcome").isin("client", "invariant"),
             F.concat(F.col("outcome"), F.lit(" error "), (F.col("event_id") % 5).cast("string")),
         ),
     )
+
+
+def runs(spark: SparkSession, sf_dir: str, extra: dict | None = None) -> DataFrame:
+    """The ``runs`` view; ``extra`` running sums (name -> column) ride along in the same chunked
+    pass that numbers the rounds."""
+    base = reports(spark, sf_dir)
     with_round = running_sums(
-        base, ["drill", "uri"], ["ts", "event_id"], {"round": F.lit(1), **(extra or {})}, hour_chunk("ts")
+        base, ["drill", "uri"], ["ts", "event_id"], {"round": F.lit(1), **(extra or {})}, time_chunk(base, ["drill", "uri"])
     )
     return with_round.select("drill", "uri", "round", "event_id", "ts", "duration_s", "outcome", "error",
                              *(extra or {}))

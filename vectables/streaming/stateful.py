@@ -1,12 +1,10 @@
 """Structured Streaming forms of the log operators (OP-67..OP-71).
 
-* Health / run transitions exist in two forms with the same output. The registered one runs
-  each micro-batch through the parallel island operators of :mod:`vectables.operators.logs`
-  (``foreachBatch``), seeded by a small state table ``(key) -> (failing, failures, rounds)``: an
-  open failure run enters the next batch as one weighted synthetic row. No key is confined to one
-  task, which matters because there are only a handful of uris. The other form keeps the same
-  state in the state store with ``applyInPandasWithState``; there a key's micro-batch rows are
-  sorted and evaluated with vectorised numpy in one task (bounded by ``maxFilesPerTrigger``).
+* Health / run transitions run each micro-batch through the parallel island operators of
+  :mod:`vectables.operators.logs` (``foreachBatch``), seeded by a small state table
+  ``(key) -> (failing, failures, rounds, last_ts)``: an open failure run enters the next batch as one
+  weighted synthetic row, so no key is confined to one task. Batches must come in time order per
+  key; one that holds older rows is refused.
 * The latency histogram is a streaming ``groupBy(uri, bucket).count()`` in update mode; each
   epoch's changed counts are merged into a versioned table through ``foreachBatch``.
 * The change log is applied per micro-batch through ``foreachBatch``: the previous state
@@ -23,13 +21,9 @@ checkpoint under the shared storage root, so a restart resumes from the last com
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from vectables.operators import logs
 from vectables.operators import mutations as mu
@@ -42,8 +36,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{storage_root(spark)}/streams/{name}-{uuid.uuid4().hex[:10]}"
 
 
-def read_events_stream(spark: SparkSession, path_glob: str, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path_glob)
+def read_events_stream(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None) -> DataFrame:
+    """``files_per_trigger`` bounds a micro-batch where the caller asks for it; else a batch takes what there is."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path_glob)
 
 
 def run_available(writer, checkpoint: str) -> None:
@@ -53,52 +51,7 @@ def run_available(writer, checkpoint: str) -> None:
         raise RuntimeError(str(q.exception()))
 
 
-# ------------------------------------------------------------------ island state machine
-
-def _transitions(is_ok: np.ndarray, failing: bool, failures: int):
-    """Vectorised S18 on one key's ordered rows, starting from (failing, failures).
-
-    Returns (failed_idx, recovered_idx, recovered_failures, end_failing, end_failures)."""
-    n = len(is_ok)
-    if n == 0:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), failing, failures
-    g = np.cumsum(is_ok)                       # oks so far, inclusive
-    fail = ~is_ok
-    counts = np.bincount(g[fail], minlength=g[-1] + 1) if fail.any() else np.zeros(g[-1] + 1, int)
-    counts[0] += failures if failing else 0
-    prev_ok = np.r_[not failing, is_ok[:-1]]
-    failed_idx = np.flatnonzero(fail & prev_ok)
-    ok_idx = np.flatnonzero(is_ok)             # the j-th ok row has g == j + 1 and closes run j
-    rec_mask = counts[g[ok_idx] - 1] > 0
-    recovered_idx = ok_idx[rec_mask]
-    recovered_failures = counts[g[recovered_idx] - 1]
-    end_failing = bool(fail[-1])
-    end_failures = int(counts[g[-1]]) if end_failing else 0
-    return failed_idx, recovered_idx, recovered_failures, end_failing, end_failures
-
-
-HEALTH_OUT = "uri string, event_id long, kind string, failures long, latency_ms long, outcome string"
-HEALTH_STATE = "failing boolean, failures long"
-
-
-def _health_fn(key, pdfs: Iterator[pd.DataFrame], state):
-    failing, failures = state.get if state.exists else (False, 0)
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
-    is_ok = (pdf["outcome"] == "ok").to_numpy()
-    f_idx, r_idx, r_fail, end_failing, end_failures = _transitions(is_ok, failing, failures)
-    state.update((end_failing, end_failures))
-    failed = pdf.iloc[f_idx]
-    rec = pdf.iloc[r_idx]
-    out = pd.concat([
-        pd.DataFrame({"uri": key[0], "event_id": failed["event_id"].to_numpy(), "kind": "failed",
-                      "failures": pd.array([None] * len(failed), dtype="Int64"),
-                      "latency_ms": failed["latency_ms"].to_numpy(), "outcome": failed["outcome"].to_numpy()}),
-        pd.DataFrame({"uri": key[0], "event_id": rec["event_id"].to_numpy(), "kind": "recovered",
-                      "failures": pd.array(r_fail, dtype="Int64"),
-                      "latency_ms": rec["latency_ms"].to_numpy(), "outcome": rec["outcome"].to_numpy()}),
-    ], ignore_index=True)
-    yield out
-
+# ------------------------------------------------------------------ event streams
 
 def probes_stream(events: DataFrame) -> DataFrame:
     return events.select(
@@ -109,40 +62,6 @@ def probes_stream(events: DataFrame) -> DataFrame:
     )
 
 
-def stream_health_transitions(spark: SparkSession, path_glob: str, files_per_trigger: int = 1) -> DataFrame:
-    """OP-67: same rows as the batch ``health_transitions``."""
-    probes = probes_stream(read_events_stream(spark, path_glob, files_per_trigger))
-    out = probes.groupBy("uri").applyInPandasWithState(
-        _health_fn, HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.NoTimeout)
-    sink = scratch(spark, "health")
-    run_available(out.writeStream.format("parquet").option("path", f"{sink}/out").outputMode("append"),
-                  f"{sink}/checkpoint")
-    return spark.read.schema(HEALTH_OUT).parquet(f"{sink}/out")
-
-
-RUNS_OUT = "drill string, uri string, event_id long, kind string, failures long, round long, error string"
-RUNS_STATE = "failing boolean, failures long, rounds long"
-
-
-def _runs_fn(key, pdfs: Iterator[pd.DataFrame], state):
-    failing, failures, rounds = state.get if state.exists else (False, 0, 0)
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
-    pdf["round"] = rounds + np.arange(1, len(pdf) + 1)        # ordinal counts cancelled rows too
-    rep = pdf[pdf["outcome"] != "cancelled"].reset_index(drop=True)  # cancelled rows change no state
-    is_ok = (rep["outcome"] == "ok").to_numpy()
-    f_idx, r_idx, r_fail, end_failing, end_failures = _transitions(is_ok, failing, failures)
-    state.update((end_failing, end_failures, rounds + len(pdf)))
-    failed, rec = rep.iloc[f_idx], rep.iloc[r_idx]
-    yield pd.concat([
-        pd.DataFrame({"drill": key[0], "uri": key[1], "event_id": failed["event_id"].to_numpy(), "kind": "failed",
-                      "failures": pd.array([None] * len(failed), dtype="Int64"), "round": failed["round"].to_numpy(),
-                      "error": failed["error"].to_numpy()}),
-        pd.DataFrame({"drill": key[0], "uri": key[1], "event_id": rec["event_id"].to_numpy(), "kind": "recovered",
-                      "failures": pd.array(r_fail, dtype="Int64"), "round": rec["round"].to_numpy(),
-                      "error": rec["error"].to_numpy()}),
-    ], ignore_index=True)
-
-
 def runs_stream(events: DataFrame) -> DataFrame:
     outcome = (F.when(F.col("event_type") == "error", "client").when(F.col("event_type") == "signup", "invariant")
                .when((F.col("event_type") == "purchase") & (F.col("value") < 5), "cancelled").otherwise("ok"))
@@ -154,20 +73,9 @@ def runs_stream(events: DataFrame) -> DataFrame:
         F.col("outcome"), F.lit(" error "), (F.col("event_id") % 5).cast("string"))))
 
 
-def stream_run_transitions(spark: SparkSession, path_glob: str, files_per_trigger: int = 1) -> DataFrame:
-    """OP-68: same rows as the batch ``run_transitions``."""
-    runs = runs_stream(read_events_stream(spark, path_glob, files_per_trigger))
-    out = runs.groupBy("drill", "uri").applyInPandasWithState(
-        _runs_fn, RUNS_OUT, RUNS_STATE, "append", GroupStateTimeout.NoTimeout)
-    sink = scratch(spark, "runs")
-    run_available(out.writeStream.format("parquet").option("path", f"{sink}/out").outputMode("append"),
-                  f"{sink}/checkpoint")
-    return spark.read.schema(RUNS_OUT).parquet(f"{sink}/out")
-
-
 # ------------------------------------------------------------------ OP-69 histogram
 
-def stream_latency_histogram(spark: SparkSession, path_glob: str, files_per_trigger: int = 1) -> DataFrame:
+def stream_latency_histogram(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None) -> DataFrame:
     probes = probes_stream(read_events_stream(spark, path_glob, files_per_trigger))
     counts = probes.where(F.col("latency_ms") <= logs.HIST_MAX_MS).groupBy(
         "uri", logs.bucket_hi(F.col("latency_ms")).alias("bucket_hi")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
@@ -181,6 +89,7 @@ def stream_latency_histogram(spark: SparkSession, path_glob: str, files_per_trig
             prev = spark.read.parquet(prev_path)
             nxt = prev.join(batch.select("uri", "bucket_hi"), on=["uri", "bucket_hi"], how="left_anti").unionByName(batch)
         nxt.write.mode("overwrite").parquet(f"{sink}/table/epoch={epoch:012d}")   # a replay rewrites it
+        _forget(spark, f"{sink}/table", epoch - 1)
 
     run_available(counts.writeStream.outputMode("update").foreachBatch(merge), f"{sink}/checkpoint")
     last = _latest(spark, f"{sink}/table")
@@ -188,20 +97,23 @@ def stream_latency_histogram(spark: SparkSession, path_glob: str, files_per_trig
 
 
 def _list_dir(spark: SparkSession, root: str) -> list[str] | None:
-    """Names in a directory of the shared folder (Hadoop FileSystem; plain OS calls for local
-    paths when the session has no JVM gateway). None when it does not exist."""
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        return [st.getPath().getName() for st in fs.listStatus(path)]
-    except Exception:  # noqa: BLE001 - Spark Connect: only local paths can be listed here
-        import os
-
-        local = root[len("file:"):] if root.startswith("file:") else root
-        return os.listdir(local) if os.path.isdir(local) else None
+    """Names in a directory of the shared folder; None where it does not exist. Any other failure is
+    raised: an unreadable state must never be taken for an empty one."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    return [st.getPath().getName() for st in fs.listStatus(path)]
+
+
+def _forget(spark: SparkSession, root: str, before: int) -> None:
+    """Delete the state of epochs before ``before``: no replay can ask for it any more."""
+    jvm = spark.sparkContext._jvm
+    for name in _list_dir(spark, root) or []:
+        if name.startswith("epoch=") and int(name.split("=", 1)[1]) < before:
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _latest(spark: SparkSession, root: str, before: int | None = None) -> str | None:
@@ -242,7 +154,7 @@ def fold_to_state_log(log: DataFrame) -> DataFrame:
     return reset_rows.unionByName(kv_rows)
 
 
-def stream_apply_oplog(spark: SparkSession, path_glob: str, files_per_trigger: int = 1) -> DataFrame:
+def stream_apply_oplog(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None) -> DataFrame:
     """OP-70: same rows as the batch ``apply_oplog``."""
     log = oplog_stream(read_events_stream(spark, path_glob, files_per_trigger))
     sink = scratch(spark, "oplog")
@@ -261,6 +173,7 @@ def stream_apply_oplog(spark: SparkSession, path_glob: str, files_per_trigger: i
             redo = prev.join(touched, on="id", how="left_semi").unionByName(delta)
             nxt = kept.select(*delta.columns).unionByName(fold_to_state_log(redo))
         nxt.write.mode("overwrite").parquet(f"{sink}/state/epoch={epoch:012d}")   # a replay rewrites it
+        _forget(spark, f"{sink}/state", epoch - 1)
 
     run_available(log.writeStream.foreachBatch(merge), f"{sink}/checkpoint")
     last = _latest(spark, f"{sink}/state")
@@ -278,20 +191,19 @@ def utc_event_time(ts: str = "ts") -> F.Column:
                                 F.extract(F.lit("SECOND"), c), F.lit("UTC"))
 
 
-def stream_window_latency(spark: SparkSession, path_glob: str, files_per_trigger: int = 1,
+def stream_window_latency(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None,
                           window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Extension: per uri and closed event-time window: probes, min / max / total latency.
 
-    ``window`` must be a whole number of hours here: the output key is the zone-free NTZ hour
-    bucket, which names the same rows as the event-time window."""
-    probes = probes_stream(read_events_stream(spark, path_glob, files_per_trigger)).withColumn(
-        "ets", utc_event_time("ts")).withColumn("window_start", F.date_trunc("hour", F.col("ts")))
+    ``window_start`` is the wall clock (UTC) of the window's start, as the event times are read. Rows later than the
+    watermark are left out of closed windows, and windows still open at the end are not emitted."""
+    probes = probes_stream(read_events_stream(spark, path_glob, files_per_trigger)).withColumn("ets", utc_event_time("ts"))
     agg = (probes.withWatermark("ets", delay)
-           .groupBy("uri", F.window("ets", window).alias("w"), "window_start")
+           .groupBy("uri", F.window("ets", window).alias("w"))
            .agg(F.count(F.lit(1)).cast("bigint").alias("probes"), F.min("latency_ms").alias("min_ms"),
                 F.max("latency_ms").alias("max_ms"), F.sum("latency_ms").cast("bigint").alias("total_ms")))
-    out = agg.select("uri", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "probes", "min_ms",
-                     "max_ms", "total_ms")
+    start = F.expr("timestampadd(MICROSECOND, unix_micros(w.start), timestamp_ntz'1970-01-01 00:00:00')")
+    out = agg.select("uri", start.alias("window_start"), "probes", "min_ms", "max_ms", "total_ms")
     sink = scratch(spark, "window")
     run_available(out.writeStream.format("parquet").option("path", f"{sink}/out").outputMode("append"),
                   f"{sink}/checkpoint")
@@ -315,11 +227,11 @@ def _carried_rows(state: DataFrame, keys: list[str], carry_types: dict[str, str]
 
 def transitions_step(batch: DataFrame, state: DataFrame, keys: list[str], is_ok: F.Column,
                      carry_types: dict[str, str], reported: F.Column | None = None):
-    """Transitions of one micro-batch and the next per-key state ``(keys, failing, failures, rounds)``.
+    """Transitions of one micro-batch and the next per-key state ``(keys, failing, failures, rounds, last_ts)``.
 
     The batch is processed with the same parallel island operators as the batch queries (no key is
     confined to one task); the previous batches enter only through the small state table."""
-    counted = logs.running_sums(batch, keys, ["ts", "event_id"], {"__n": F.lit(1)}, logs.hour_chunk("ts"))
+    counted = logs.running_sums(batch, keys, ["ts", "event_id"], {"__n": F.lit(1)}, logs.time_chunk(batch, keys))
     counted = counted.join(state.select(*keys, F.col("rounds").alias("__r0")), on=keys, how="left") \
         .withColumn("round", (F.coalesce("__r0", F.lit(0)) + F.col("__n")).cast("bigint")).drop("__r0", "__n")
     rep = counted if reported is None else counted.where(reported)
@@ -333,14 +245,15 @@ def transitions_step(batch: DataFrame, state: DataFrame, keys: list[str], is_ok:
     last = isl.groupBy(*keys).agg(F.max_by("is_ok", F.struct("ts", "event_id")).alias("__last_ok"),
                                   F.max("g").alias("run"))
     open_runs = runs.select(*keys, "run", F.col("failures").alias("__f"))
-    seen = counted.groupBy(*keys).agg(F.max("round").alias("__rounds"))
+    seen = counted.groupBy(*keys).agg(F.max("round").alias("__rounds"), F.max("ts").alias("__ts"))
     touched = last.join(open_runs, on=keys + ["run"], how="left").join(seen, on=keys, how="full_outer") \
-        .join(state.select(*keys, F.col("rounds").alias("__r0")), on=keys, how="left")
+        .join(state.select(*keys, F.col("rounds").alias("__r0"), F.col("last_ts").alias("__t0")), on=keys, how="left")
     nxt = touched.select(
         *keys,
         F.coalesce(~F.col("__last_ok"), F.lit(False)).alias("failing"),
         F.when(~F.col("__last_ok"), F.col("__f")).otherwise(F.lit(0)).cast("bigint").alias("failures"),
         F.coalesce("__rounds", "__r0", F.lit(0)).cast("bigint").alias("rounds"),
+        F.coalesce("__ts", "__t0").alias("last_ts"),
     )
     untouched = state.join(nxt.select(*keys), on=keys, how="left_anti")
     return out, untouched.unionByName(nxt)
@@ -349,15 +262,19 @@ def transitions_step(batch: DataFrame, state: DataFrame, keys: list[str], is_ok:
 def _stream_transitions(spark: SparkSession, rows_stream: DataFrame, keys: list[str], is_ok: F.Column,
                         carry_types: dict[str, str], reported: F.Column | None, name: str) -> DataFrame:
     sink = scratch(spark, name)
-    state_schema = ", ".join([f"{k} string" for k in keys] + ["failing boolean", "failures long", "rounds long"])
+    state_schema = ", ".join([f"{k} string" for k in keys] + ["failing boolean", "failures long", "rounds long", "last_ts timestamp_ntz"])
 
     def step(batch: DataFrame, epoch: int) -> None:
         prev = _latest(spark, f"{sink}/state", before=epoch)
         state = spark.read.schema(state_schema).parquet(prev) if prev else spark.createDataFrame([], state_schema)
+        late = batch.join(state.select(*keys, "last_ts"), on=keys).where(F.col("ts") < F.col("last_ts")).limit(1).count()
+        if late:    # its transitions were decided without these rows
+            raise ValueError("a micro-batch holds rows older than rows already processed; feed files in time order or in one batch")
         out, nxt = transitions_step(batch, state, keys, is_ok, carry_types, reported)
         # one directory per epoch, overwritten on replay: the sink stays exactly-once
         out.write.mode("overwrite").parquet(f"{sink}/out/epoch={epoch:012d}")
         nxt.write.mode("overwrite").parquet(f"{sink}/state/epoch={epoch:012d}")
+        _forget(spark, f"{sink}/state", epoch - 1)
 
     run_available(rows_stream.writeStream.foreachBatch(step), f"{sink}/checkpoint")
     return spark.read.parquet(f"{sink}/out") if _exists(spark, f"{sink}/out") else None
@@ -368,7 +285,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return name in (_list_dir(spark, parent) or [])
 
 
-def stream_health_transitions_batched(spark: SparkSession, path_glob: str, files_per_trigger: int = 1) -> DataFrame:
+def stream_health_transitions(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None) -> DataFrame:
     """OP-67, micro-batch form: per batch the chunked island operators, across batches a
     ``(uri) -> (failing, failures)`` state table. Same rows as the batch ``health_transitions``."""
     probes = probes_stream(read_events_stream(spark, path_glob, files_per_trigger))
@@ -377,7 +294,7 @@ def stream_health_transitions_batched(spark: SparkSession, path_glob: str, files
     return out.select("uri", "event_id", "kind", "failures", "latency_ms", "outcome")
 
 
-def stream_run_transitions_batched(spark: SparkSession, path_glob: str, files_per_trigger: int = 1) -> DataFrame:
+def stream_run_transitions(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None) -> DataFrame:
     """OP-68, micro-batch form; the state also carries the round counter per (drill, uri)."""
     runs = runs_stream(read_events_stream(spark, path_glob, files_per_trigger))
     out = _stream_transitions(spark, runs, ["drill", "uri"], F.col("outcome") == "ok",
