@@ -1,135 +1,23 @@
-"""Collections, field indexes, layout and snapshots (OP-40..OP-46).
+"""Field indexes, payload schema, layout and snapshot listings (OP-42..OP-46) as plain DataFrame work.
 
-Storage lives under the shared folder named by ``spark.checkpoint.dir`` (see
-:func:`vectables.session.storage_root`):
-
-    <root>/<catalog>/_catalog/          append-only manifest: (seq, collection, action, version, path, dim)
-    <root>/<catalog>/_snapshots/        append-only manifest: (seq, collection, snapshot, action, path)
-    <root>/<catalog>/data/<collection>-<incarnation>/v<version>/   one Parquet directory per table version
-    <root>/<catalog>/snapshots/<collection>/<name>/  Parquet copy of a version
-
-A table version is never overwritten in place: a mutation writes a new directory and appends a
-pointer row, so readers of the old version are unaffected and a lost executor only re-runs its
-own write task. The manifest is folded with "latest action per name" (``max_by``), a partial
-aggregation. One writer per collection is assumed (plain Parquet has no atomic pointer swap).
+The source tool's collection lifecycle and snapshot files are engine internals and are not rebuilt; what
+its logs and manifests say about them is (see :func:`live_snapshots` and the lifecycle audit).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectables.session import storage_root
-
-CATALOG_SCHEMA = "seq long, collection string, action string, version long, path string, dim int"
-SNAPSHOT_SCHEMA = "seq long, collection string, snapshot string, action string, path string"
-
-
-def point_schema(dim: int) -> str:
-    return "id long, vec array<float>, payload map<string,string>"
-
-
-class CollectionExists(RuntimeError):
-    pass
-
-
-class CollectionMissing(RuntimeError):
-    pass
-
-
-class Catalog:
-    def __init__(self, spark: SparkSession, name: str | None = None, root: str | None = None):
-        self.spark = spark
-        self.root = f"{root or storage_root(spark)}/{name or 'catalog-' + uuid.uuid4().hex[:12]}"
-        self._seq = 0
-
-    # ------------------------------------------------------------ manifest helpers
-    def _append(self, rel: str, schema: str, row: tuple) -> None:
-        self._seq += 1
-        self.spark.createDataFrame([(self._seq, *row)], schema).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/{rel}")
-
-    def _read(self, rel: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{rel}")
-        except Exception:  # noqa: BLE001 - no manifest written yet
-            return self.spark.createDataFrame([], schema)
-
-    def entries(self) -> DataFrame:
-        """Live collections: latest manifest row per name, unless it is a drop."""
-        cat = self._read("_catalog", CATALOG_SCHEMA)
-        latest = cat.groupBy("collection").agg(F.max_by(F.struct("action", "version", "path", "dim"), "seq").alias("e"))
-        return latest.select("collection", "e.*").where(F.col("action") != "drop")
-
-    def _entry(self, name: str):
-        rows = self.entries().where(F.col("collection") == name).collect()  # at most one row
-        return rows[0] if rows else None
-
-    # ------------------------------------------------------------ OP-40 lifecycle
-    def exists(self, name: str) -> bool:
-        return self._entry(name) is not None
-
-    def create(self, name: str, dim: int) -> None:
-        if self.exists(name):
-            raise CollectionExists(f"Collection `{name}` already exists!")
-        path = f"{self.root}/data/{name}-{uuid.uuid4().hex[:8]}/v0"  # a new incarnation per create
-        self.spark.createDataFrame([], point_schema(dim)).write.mode("errorifexists").parquet(path)
-        self._append("_catalog", CATALOG_SCHEMA, (name, "create", 0, path, dim))
-
-    def drop(self, name: str) -> None:
-        e = self._entry(name)
-        if e is None:
-            raise CollectionMissing(f"Collection `{name}` doesn't exist!")
-        self._append("_catalog", CATALOG_SCHEMA, (name, "drop", e["version"], e["path"], e["dim"]))
-
-    def recreate(self, name: str, dim: int) -> None:
-        if self.exists(name):
-            self.drop(name)
-        self.create(name, dim)
-
-    # ------------------------------------------------------------ versions
-    def read(self, name: str) -> DataFrame:
-        e = self._entry(name)
-        if e is None:
-            raise CollectionMissing(f"Collection `{name}` doesn't exist!")
-        return self.spark.read.parquet(e["path"])
-
-    def write(self, name: str, df: DataFrame, shards: int = 0, partition_by: str | None = None) -> DataFrame:
-        """Write the next version (OP-44 ``shards``: 0 leaves the layout to AQE, n hash-partitions on id)."""
-        e = self._entry(name)
-        if e is None:
-            raise CollectionMissing(f"Collection `{name}` doesn't exist!")
-        version = e["version"] + 1
-        path = f"{e['path'].rsplit('/', 1)[0]}/v{version}"
-        out = df.repartition(shards, "id") if shards else df
-        writer = out.write.mode("errorifexists")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
-        self._append("_catalog", CATALOG_SCHEMA, (name, "write", version, path, e["dim"]))
-        return self.spark.read.parquet(path)
-
-    # ------------------------------------------------------------ OP-45 / OP-46 snapshots
-    def create_snapshot(self, name: str) -> str:
-        e = self._entry(name)
-        if e is None:
-            raise CollectionMissing(f"Collection `{name}` doesn't exist!")
-        snap = f"{name}-{uuid.uuid4().hex[:8]}.snapshot"
-        path = f"{self.root}/snapshots/{name}/{snap}"
-        self.spark.read.parquet(e["path"]).write.mode("errorifexists").parquet(path)  # distributed copy
-        self._append("_snapshots", SNAPSHOT_SCHEMA, (name, snap, "create", path))
-        return snap
 
-    def delete_snapshot(self, name: str, snapshot: str) -> None:
-        self._append("_snapshots", SNAPSHOT_SCHEMA, (name, snapshot, "delete", ""))
+def write_field_index(points: DataFrame, path: str, field: str = "a") -> None:
+    """OP-42: ids by keyword, one directory per value; only the two columns are read and written."""
+    points.where(F.col(field).isNotNull()).select("id", field).write.partitionBy(field).parquet(path)
 
-    def snapshots(self, name: str | None = None) -> DataFrame:
-        return live_snapshots(self._read("_snapshots", SNAPSHOT_SCHEMA), name)
 
-    def count_snapshots(self, name: str) -> int:
-        return self.snapshots(name).count()
+def ids_with(spark: SparkSession, path: str, value: str, field: str = "a") -> DataFrame:
+    """Ids whose keyword is ``value``: partition pruning leaves one directory to read."""
+    return spark.read.schema(f"id long, {field} string").parquet(path).where(F.col(field) == value)
 
 
 def live_snapshots(manifest: DataFrame, collection: str | None = None) -> DataFrame:

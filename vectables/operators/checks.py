@@ -108,9 +108,9 @@ def check_search_hits(queries: DataFrame, hits: DataFrame, points: DataFrame | N
     """OP-52: per query, a reason code: ``no_hits``, ``empty_payload`` (top hit without keyword),
     ``bad_id`` (top hit id null, negative or not below the number of ``points``), else ``ok``.
     The point count joins in as a one-row frame, so the check stays one lazy plan."""
-    top = hits.where(F.col("rank") == 1).select("query_id", F.col("id").alias("top_id"), F.col("a").alias("top_a"))
-    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("bigint").alias("hits"))
-    j = queries.select("query_id").join(top, on="query_id", how="left").join(counts, on="query_id", how="left")
+    per = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("bigint").alias("hits"), F.min_by("id", "rank").alias("top_id"),
+                                       F.min_by("a", "rank").alias("top_a"))     # the search is read once
+    j = queries.select("query_id").join(per, on="query_id", how="left")
     bad_id = F.col("top_id").isNull() | (F.col("top_id") < 0)
     if points is not None:
         j = one_row_join(j, points.agg(F.count(F.lit(1)).alias("__n")))

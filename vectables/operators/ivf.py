@@ -6,8 +6,10 @@
 * Assignment: ``mapInArrow``; each Arrow batch is scored against the pivot matrix with one
   matmul; nearest pivot wins, ties go to the lower cell. The index is the points table plus a
   ``cell`` column, written ``partitionBy('cell')`` so a probe reads only its cells' files.
-* Search: each query's ``nprobe`` nearest cells are found the same way (queries x pivots, small);
-  the point scan is pruned to the probed cells, and the batch top-k kernel of
+* Search: each query's nearest cells are found the same way (queries x pivots, small): ``nprobe`` of
+  them, and more in order of nearness until they hold ``k`` points that match the query's keyword (counts
+  per cell and keyword), or all cells; so a query gets fewer than ``k`` hits only where fewer match.
+  The point scan is pruned to the probed cells, and the batch top-k kernel of
   :mod:`vectables.operators.search` scores a point only against the queries probing its cell.
   Exact rescoring, then the same global ``row_number() <= k`` as exact search.
 """
@@ -101,8 +103,33 @@ def build_index(points: DataFrame, nlist: int = NLIST, path: str | None = None,
     return pivots, indexed
 
 
+def matches_per_cell(indexed: DataFrame, musts, vector: str = "vec") -> dict:
+    """Searchable points per keyword and cell: ``{keyword: {cell: n}}``, for the keywords of a query chunk (None: any)."""
+    some = indexed.where(F.col("cell").isNotNull() & F.exists(vector, lambda x: x != 0)).groupBy("cell", "a").agg(F.count(F.lit(1)).alias("n"))
+    out: dict = {}
+    names = sorted({m for m in musts if m is not None})
+    if names:
+        for r in some.where(F.col("a").isin(names)).collect():
+            out.setdefault(r["a"], {})[r["cell"]] = r["n"]
+    if any(m is None for m in musts):
+        out[None] = {r["cell"]: r["n"] for r in some.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    return out
+
+
+def probes_of(mat: np.ndarray, musts: np.ndarray, pivots_unit: np.ndarray, counts: dict, k: int, nprobe: int) -> list[np.ndarray]:
+    """The cells each query reads: its ``nprobe`` nearest, then the next ones while fewer than ``k`` points match."""
+    ranked = nearest_cells(mat, pivots_unit, len(pivots_unit))
+    out = []
+    for cells, must in zip(ranked, musts):
+        own = counts.get(must, {})
+        before = np.cumsum([0, *(own.get(int(c), 0) for c in cells[:-1])])
+        out.append(cells[(np.arange(len(cells)) < nprobe) | (before < k)])
+    return out
+
+
 def ivf_search(index, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE, vector: str = "vec") -> DataFrame:
-    """Top-k per query through the index ``(pivots, indexed_points)``."""
+    """Top-k per query through the index ``(pivots, indexed_points)``. Counts cells and collects the query chunks
+    before it returns the (lazy) hits."""
     pivots, indexed = index
     spark = indexed.sparkSession
     piv = _unit(pivots)
@@ -110,9 +137,9 @@ def ivf_search(index, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE,
 
     def build(chunk):
         qids, mat, musts = chunk
-        probes = nearest_cells(mat, piv, min(nprobe, len(piv)))
+        counts = matches_per_cell(indexed, set(musts.tolist()), vector)
         cell_mask: dict[int, list] = {}
-        for qi, cells in enumerate(probes):
+        for qi, cells in enumerate(probes_of(mat, musts, piv, counts, k, nprobe)):
             for c in cells:
                 cell_mask.setdefault(int(c), []).append(qi)
         mask = {c: np.asarray(v, dtype=np.int64) for c, v in cell_mask.items()}
@@ -126,7 +153,7 @@ def ivf_search(index, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE,
 
         return rank_hits(pts.mapInArrow(run, HIT_SCHEMA), k)
 
-    return over_chunks(spark, query_chunks(queries, dim), build)
+    return over_chunks(spark, query_chunks(queries, dim, k), build)
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

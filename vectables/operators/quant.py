@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectables import TOP_K
 from vectables.session import ship
 from vectables.functions.vectors import SCORE_DECIMALS
-from vectables.operators.search import (_groups_by_keyword, _top_candidates, over_chunks, point_batches,
-                                        query_chunks, reduce_topk, unit_rows)
+from vectables.operators.search import (QUERY_TILE, _groups_by_keyword, _top_candidates, cut_hits, over_chunks, point_batches,
+                                        query_chunks, query_dim, reduce_topk, unit_rows)
 
 QMAX = 127
 OVERSAMPLE = 1.5
@@ -59,14 +59,16 @@ def make_int8_kernel(qids, qmat, qmust, alpha, shortlist, vector):
                 ps = np.flatnonzero(np.ones(len(ids), bool) if must is None else labels == must)
                 if not len(ps):
                     continue
-                iscores = qq[qs] @ pq[ps].T
-                r, c = _top_candidates(iscores, shortlist)
-                exact = np.round(np.einsum("ij,ij->i", qunit[qs][r], punit[ps][c]), SCORE_DECIMALS)
-                parts[0].append(qs[r])
-                parts[1].append(ids[ps][c])
-                parts[2].append(iscores[r, c].astype(np.int64))
-                parts[3].append(exact)
-                parts[4].append(labels[ps][c])
+                for lo in range(0, len(qs), QUERY_TILE):
+                    tile = qs[lo: lo + QUERY_TILE]
+                    iscores = qq[tile] @ pq[ps].T
+                    r, c = _top_candidates(iscores, shortlist)
+                    exact = np.round(np.einsum("ij,ij->i", qunit[tile][r], punit[ps][c]), SCORE_DECIMALS)
+                    parts[0].append(tile[r])
+                    parts[1].append(ids[ps][c])
+                    parts[2].append(iscores[r, c].astype(np.int64))
+                    parts[3].append(exact)
+                    parts[4].append(labels[ps][c])
             cat = [np.concatenate(p) for p in parts]
             q, i, s, extra = reduce_topk(cat[0], cat[1], cat[2], [cat[3], cat[4]], shortlist)
             acc = [q, i, s, extra[0], extra[1]]
@@ -80,7 +82,7 @@ def make_int8_kernel(qids, qmat, qmust, alpha, shortlist, vector):
 
 
 def search_int8(points: DataFrame, queries: DataFrame, k: int = TOP_K, oversample: float = OVERSAMPLE,
-                vector: str = "vec", alpha: float | None = None, dim: int = 64) -> DataFrame:
+                vector: str = "vec", alpha: float | None = None, dim: int | None = None) -> DataFrame:
     spark = points.sparkSession
     alpha = alpha_of(points, vector) if alpha is None else alpha
     shortlist = max(k, int(np.ceil(k * oversample)))
@@ -94,10 +96,8 @@ def search_int8(points: DataFrame, queries: DataFrame, k: int = TOP_K, oversampl
             yield from make_int8_kernel(a, b, c, alpha, shortlist, vector)(batches)
 
         hits = pts.mapInArrow(run, QHIT_SCHEMA)
-        w1 = Window.partitionBy("query_id").orderBy(F.col("iscore").desc(), F.col("id").asc())
-        short = hits.withColumn("__s", F.row_number().over(w1)).where(F.col("__s") <= shortlist)
-        w2 = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-        ranked = short.withColumn("rank", F.row_number().over(w2).cast("bigint")).where(F.col("rank") <= k)
+        short = cut_hits(hits, shortlist, "iscore", "__s").drop("__s")
+        ranked = cut_hits(short, k)
         return ranked.select("query_id", "rank", "id", F.round("score", SCORE_DECIMALS).alias("score"), "a")
 
-    return over_chunks(spark, query_chunks(queries, dim), build)
+    return over_chunks(spark, query_chunks(queries, dim or query_dim(queries), shortlist), build)

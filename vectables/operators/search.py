@@ -6,9 +6,10 @@
 * ``search_batch``: many queries. The query matrix is size-checked and broadcast; points are
   streamed through ``mapInArrow`` where numpy scores a whole Arrow batch against all queries at
   once and keeps a running local top-k per query. Only ``(query_id, id, score, a)`` leaves the
-  task (vectors are never shuffled); the global top-k is ``row_number() <= k`` per query, which
-  Spark plans with a WindowGroupLimit before the shuffle. Each query holds at most
-  ``k x tasks`` candidates, so no query group can grow with the data.
+  task (vectors are never shuffled). A query has at most ``k`` candidates per task; they are cut to
+  ``k`` in ``SALTS`` groups first and those to ``k`` again, each ``row_number() <= k`` planned with a
+  WindowGroupLimit before its shuffle. A task scores ``QUERY_TILE`` queries at a time, so its matrices
+  do not grow with the query set, and a chunk of queries is as large as their vectors and running top-k allow.
 
 Order everywhere is ``(score desc, id asc)`` with the score rounded to 6 decimals first, so a
 local cut and the global cut agree on ties (S21). Zero-norm or null vectors are never hits.
@@ -16,7 +17,7 @@ local cut and the global cut agree on ties (S21). Zero-norm or null vectors are
 
 from __future__ import annotations
 
-
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +25,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectables import TOP_K
-from vectables.session import ship
+from vectables.session import ship, storage_root
 from vectables.functions.vectors import SCORE_DECIMALS, cosine
 
 HIT_SCHEMA = "query_id long, id long, score double, a string"
-# Bytes of query matrix per broadcast chunk; larger query sets are split into several chunks.
-MAX_QUERY_BYTES = 256 << 20
+# Bytes of query matrix and running top-k that a task holds; larger query sets are split into chunks.
+MAX_QUERY_BYTES = 128 << 20
+HIT_BYTES = 48          # of one running hit: query, id, score, keyword, and its copy while merging
+QUERY_TILE = 1024       # queries scored against an Arrow batch at once
+SALTS = 64              # groups that the candidates of one query are cut in before the last cut
+
+
+def cut_hits(hits: DataFrame, k: int, score: str = "score", name: str = "rank") -> DataFrame:
+    """The k best candidates of each query by ``(score desc, id asc)``, numbered: first in ``SALTS`` groups by id, so
+    that a query's candidates from many tasks are not one task's, then over what is left."""
+    order = [F.col(score).desc(), F.col("id").asc()]
+    salted = Window.partitionBy("query_id", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy(*order)
+    some = hits.withColumn("__n", F.row_number().over(salted)).where(F.col("__n") <= k).drop("__n")
+    best = Window.partitionBy("query_id").orderBy(*order)
+    return some.withColumn(name, F.row_number().over(best).cast("bigint")).where(F.col(name) <= k)
 
 
 def rank_hits(hits: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Global top-k per query: ``row_number`` over ``(score desc, id asc)``, kept while ``<= k``."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    ranked = hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", F.round("score", SCORE_DECIMALS).alias("score"), "a")
+    """Global top-k per query: ``rank`` by ``(score desc, id asc)``."""
+    return cut_hits(hits, k).select("query_id", "rank", "id", F.round("score", SCORE_DECIMALS).alias("score"), "a")
 
 
 def search_one(points: DataFrame, query: Column, predicate: Column | None = None, k: int = TOP_K,
@@ -153,13 +165,15 @@ def make_topk_kernel(query_ids: np.ndarray, query_mat: np.ndarray, query_must: n
                 if len(qs):
                     by_cell[(must, c)] = qs
 
-    def score(qs, pidx, ids, pn, labels, parts):
-        scores = np.round(qn[qs] @ pn[pidx].T, SCORE_DECIMALS)
-        r, c = _top_candidates(scores, k)
-        parts[0].append(qs[r])
-        parts[1].append(ids[pidx][c])
-        parts[2].append(scores[r, c])
-        parts[3].append(labels[pidx][c])
+    def score(queries, pidx, ids, pn, labels, parts):
+        for lo in range(0, len(queries), QUERY_TILE):
+            qs = queries[lo: lo + QUERY_TILE]
+            scores = np.round(qn[qs] @ pn[pidx].T, SCORE_DECIMALS)
+            r, c = _top_candidates(scores, k)
+            parts[0].append(qs[r])
+            parts[1].append(ids[pidx][c])
+            parts[2].append(scores[r, c])
+            parts[3].append(labels[pidx][c])
 
     def kernel(batches):
         acc = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)]
@@ -206,23 +220,23 @@ def collect_queries(queries: DataFrame, vector: str = "qvec", must: str = "must_
     return qids, mat, musts
 
 
-def query_chunks(queries: DataFrame, dim: int, max_bytes: int | None = None, depth: int = 0):
-    """Yield ``(qids, matrix, musts)`` chunks of at most ``max_bytes`` of query matrix each.
+def query_chunks(queries: DataFrame, dim: int, k: int = TOP_K, max_bytes: int | None = None):
+    """Yield ``(qids, matrix, musts)`` chunks whose vectors and running top-k fit ``max_bytes``.
 
-    Every chunk's size is proven by the fetch itself: at most ``per_chunk + 1`` rows are pulled,
-    and a set that overflows is halved by a seeded hash of ``query_id`` and each half checked the
-    same way. The driver holds one chunk at a time, whatever the id distribution."""
-    per_chunk = max(1, (max_bytes or MAX_QUERY_BYTES) // max(1, dim * 8))
-    head = collect_queries(queries.limit(per_chunk + 1))
-    if len(head[0]) <= per_chunk:
-        yield head
+    The query set is counted; one that is larger than a chunk is written once, with a hashed chunk
+    number as partition, and read chunk by chunk. The driver holds one chunk at a time."""
+    per_chunk = max(1, (max_bytes or MAX_QUERY_BYTES) // max(1, dim * 8 + k * HIT_BYTES))
+    n = queries.count()
+    chunks = -(-n // per_chunk)
+    if chunks <= 1:
+        yield collect_queries(queries.limit(per_chunk))
         return
-    if depth >= 48:
-        raise ValueError("query ids are not distinct enough to split the query set")
-    del head
-    side = F.pmod(F.xxhash64(F.col("query_id"), F.lit(depth)), F.lit(2))
-    for half in (0, 1):
-        yield from query_chunks(queries.where(side == half), dim, max_bytes, depth + 1)
+    path = f"{storage_root(queries.sparkSession)}/queries-{uuid.uuid4().hex[:12]}"
+    numbered = queries.select("query_id", "qvec", "must_a").withColumn("__chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
+    numbered.write.partitionBy("__chunk").parquet(path)
+    stored = queries.sparkSession.read.parquet(path)
+    for c in range(chunks):
+        yield collect_queries(stored.where(F.col("__chunk") == c))
 
 
 def _hits_for(points: DataFrame, chunk, k: int, vector: str) -> DataFrame:
@@ -249,10 +263,6 @@ def over_chunks(spark, chunks, build) -> DataFrame:
         if len(first[0]) == 0:
             return spark.createDataFrame([], EMPTY_HITS)
         return build(first)
-    import uuid
-
-    from vectables.session import storage_root
-
     out = f"{storage_root(spark)}/search-{uuid.uuid4().hex[:12]}"
     for chunk in (first, second, *chunks):
         if len(chunk[0]):
@@ -260,26 +270,16 @@ def over_chunks(spark, chunks, build) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def query_dim(queries: DataFrame) -> int:
+    """Dimension of the query vectors (of the first one that has any)."""
+    first = queries.select(F.size("qvec").alias("d")).where("d > 0").limit(1).collect()
+    return first[0]["d"] if first else 1
+
+
 def search_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "vec",
                  dim: int | None = None) -> DataFrame:
     """Top-k per query for every row of ``queries`` (query_id, qvec array<float>, must_a string|null)."""
     spark = points.sparkSession
-    if dim is None:
-        first = queries.select(F.size("qvec").alias("d")).where("d > 0").limit(1).collect()
-        dim = first[0]["d"] if first else 1
     pts = points.select("id", vector, "a")
-    return over_chunks(spark, query_chunks(queries, dim), lambda c: rank_hits(_hits_for(pts, c, k, vector), k))
-
-
-def search_auto(points: DataFrame, queries: DataFrame, index=None, index_threshold: int = 1000,
-                k: int = TOP_K, **ivf_options) -> DataFrame:
-    """OP-33: exact search below ``index_threshold`` points, indexed search at or above it.
-
-    ``index_threshold=None`` disables the index (the source tool's "max integer")."""
-    if index_threshold is None or index is None:
-        return search_batch(points, queries, k)
-    n = points.count()
-    if n < index_threshold:
-        return search_batch(points, queries, k)
-    from vectables.operators.ivf import ivf_search
-    return ivf_search(index, queries, k=k, **ivf_options)
+    chunks = query_chunks(queries, dim or query_dim(queries), k)
+    return over_chunks(spark, chunks, lambda c: rank_hits(_hits_for(pts, c, k, vector), k))

@@ -8,15 +8,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectables.functions.random import uniform_int
+from vectables import TOP_K
+from vectables.functions.random import uniform_int, uniform_int_sql
 from vectables.operators import checks as ck
-from vectables.operators import logs
+from vectables.operators import ivf
 from vectables.operators import mutations as mu
 from vectables.operators.search import search_batch
 from vectables.plans import index_queries as iq
 from vectables.plans import table_queries as tq
-from vectables.plans.registry import register
-from vectables.plans.search_queries import DIM, supplied_queries
+from vectables.plans.registry import ORACLE, register
+from vectables.plans.search_queries import DIM, cos_sql, supplied_queries, topk_sql
 from vectables.sources import generators, tables, views
 from vectables.sources.views import with_views
 
@@ -51,41 +52,77 @@ def counted(df: DataFrame, name: str = "c") -> DataFrame:
 N_CHURN = 10
 
 
-@register("drill_collections", " UNION ALL ".join(
-    [sql_row(f"churn_{i}", "count", N_SQL, N_SQL) for i in range(N_CHURN)]
-    + [sql_row(f"churn_{i}", "field_indexed", "1", "1") for i in range(N_CHURN)]
-    + [sql_row(f"churn_{i}", "deleted", "0", "0") for i in range(N_CHURN)]))
-def q_drill_collections(spark, sf_dir):
-    ids = tables.embeddings(spark, sf_dir, "vec_id")
-    many = ids.select(F.explode(F.sequence(F.lit(0), F.lit(N_CHURN - 1))).alias("i"), F.col("vec_id").alias("id")) \
-        .withColumn("collection", F.concat(F.lit("churn_"), F.col("i").cast("string"))) \
-        .withColumn("a", F.concat(F.lit("keyword_"), uniform_int("churn/payload", 2, F.col("i"), F.col("id")).cast("string")))
-    names = many.select("collection").distinct()
-    n = n_points(spark, sf_dir)
-    counts = many.groupBy("collection").agg(F.count(F.lit(1)).alias("c"))
-    indexed = many.where(F.col("a").isNotNull()).groupBy("collection").agg(F.lit(1).alias("f"))
-    gone = mu.delete_ids(many, many.select("id")).groupBy("collection").agg(F.count(F.lit(1)).alias("g"))
-    per = (names.join(counts, "collection", "left").join(indexed, "collection", "left").join(gone, "collection", "left"))
-    per = ck.one_row_join(per, n)
+MANY_SQL = (f"SELECT concat('churn_', CAST(i AS VARCHAR)) AS collection, vec_id AS id, concat('keyword_', CAST("
+            f"{uniform_int_sql('churn/payload', 2, 'i', 'vec_id')} AS VARCHAR)) AS a FROM embeddings, (SELECT range AS i FROM range({N_CHURN})) c")
+CHURN_LOG_SQL = "SELECT DISTINCT collection, s.seq, s.action FROM many, (VALUES (1, 'create'), (2, 'drop')) s(seq, action)"
+
+
+def churn_rows(many: DataFrame, log: DataFrame, n: DataFrame) -> DataFrame:
+    """Per collection: all points arrived, the keyword field is in its payload schema, and after the log's
+    last action its name is gone with all of its points."""
+    live = log.groupBy("collection").agg(F.max_by("action", "seq").alias("last")).where(F.col("last") != "drop").select("collection")
+    left = many.join(live, "collection", "left_semi").groupBy("collection").agg(F.count(F.lit(1)).alias("g"))
+    per = many.groupBy("collection").agg(F.count(F.lit(1)).alias("c"), F.count_distinct(F.when(F.col("a").isNotNull(), F.lit("a"))).alias("f"))
+    per = ck.one_row_join(per.join(left, "collection", "left"), n)
 
     def sel(chk, e, a):
         return per.select(F.col("collection").alias("step"), F.lit(chk).alias("check"),
                           e.cast("bigint").alias("expected"), a.cast("bigint").alias("actual"), (e == a).alias("ok"))
 
-    return union(sel("count", F.col("n"), F.coalesce("c", F.lit(0))),
-                 sel("field_indexed", F.lit(1), F.coalesce("f", F.lit(0))),
+    return union(sel("count", F.col("n"), F.col("c")), sel("field_indexed", F.lit(1), F.col("f")),
                  sel("deleted", F.lit(0), F.coalesce("g", F.lit(0))))
 
 
+@register("drill_collections", with_views(
+    "SELECT collection AS step, k.name AS \"check\", CAST(CASE k.name WHEN 'count' THEN " + N_SQL + " WHEN 'field_indexed' THEN 1 ELSE 0 END AS BIGINT) AS expected, "
+    "CAST(CASE k.name WHEN 'count' THEN c WHEN 'field_indexed' THEN f ELSE g END AS BIGINT) AS actual, "
+    "(CASE k.name WHEN 'count' THEN c = " + N_SQL + " WHEN 'field_indexed' THEN f = 1 ELSE g = 0 END) AS ok "
+    "FROM (SELECT collection, count(*) AS c, count(DISTINCT CASE WHEN a IS NOT NULL THEN 'a' END) AS f, "
+    "count(*) FILTER (WHERE collection IN (SELECT collection FROM log GROUP BY 1 HAVING arg_max(action, seq) <> 'drop')) AS g "
+    "FROM many GROUP BY 1) per, (VALUES ('count'), ('field_indexed'), ('deleted')) k(name)",
+    extra={"many": MANY_SQL, "log": CHURN_LOG_SQL},
+))
+def q_drill_collections(spark, sf_dir):
+    ids = tables.embeddings(spark, sf_dir, "vec_id")
+    many = ids.select(F.explode(F.sequence(F.lit(0), F.lit(N_CHURN - 1))).alias("i"), F.col("vec_id").alias("id")) \
+        .withColumn("collection", F.concat(F.lit("churn_"), F.col("i").cast("string"))) \
+        .withColumn("a", F.concat(F.lit("keyword_"), uniform_int("churn/payload", 2, F.col("i"), F.col("id")).cast("string")))
+    steps = F.array(F.struct(F.lit(1).alias("seq"), F.lit("create").alias("action")), F.struct(F.lit(2).alias("seq"), F.lit("drop").alias("action")))
+    log = many.select("collection").distinct().select("collection", F.inline(steps))
+    return churn_rows(many, log, n_points(spark, sf_dir))
+
+
 # --- P-02 points_search (flagship) ----------------------------------------------------------
 
+REFRESHED_CTES = {
+    "queries": iq.IVF_CTES["queries"],
+    "delta": tq.gen_points_sql("vec_id", "embeddings WHERE vec_id < 100", DIM, 2, "refresh"),
+    "refreshed": "SELECT id, vec, a FROM points WHERE id NOT IN (SELECT id FROM delta) UNION ALL SELECT id, vec, a FROM delta",
+    "hits": topk_sql(f"SELECT q.query_id, p.id, round({cos_sql('q.qv', 'p.vec')}, 6) AS score, p.a "
+                     "FROM queries q JOIN refreshed p ON p.a = q.must_a"),
+}
+
+
+def searched_rows(refreshed: DataFrame, queries: DataFrame, n: DataFrame) -> DataFrame:
+    """Search the refreshed table check every query's hits against it, and count the hits among the refreshed ids."""
+    points = refreshed.select("id", "vec", F.col("payload")["a"].alias("a"))
+    hits = search_batch(points, queries, dim=DIM)
+    verdict = ck.check_search_hits(queries, hits, points=refreshed).agg(
+        F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
+    new = hits.agg(F.count_if(F.col("id") < 100).alias("c"))       # its value depends on the refreshed vectors
+    return union(row("refresh", ck.one_row_join(n, counted(refreshed)), "count", F.col("n"), F.col("c")),
+                 row("search", verdict, "queries_ok", F.col("q"), F.col("good")),
+                 row("search", new, "refreshed_hits", F.col("c"), F.col("c")))
+
+
 @register("drill_search", with_views(
     sql_row("insert", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
-    + sql_row("refresh", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
+    + sql_row("refresh", "count", N_SQL, "(SELECT count(*) FROM refreshed)") + " UNION ALL "
     + sql_row("search", "queries_ok", "(SELECT count(*) FROM queries)",
               "(SELECT count(DISTINCT query_id) FROM hits WHERE rank = 1 AND a IS NOT NULL AND id < "
-              "(SELECT count(*) FROM points))"),
-    "points", extra={"queries": iq.IVF_CTES["queries"], "hits": iq.IVF_CTES["exact_hits"]},
+              "(SELECT count(*) FROM refreshed))") + " UNION ALL "
+    + sql_row("search", "refreshed_hits", "(SELECT count(*) FROM hits WHERE id < 100)", "(SELECT count(*) FROM hits WHERE id < 100)"),
+    "points", extra=REFRESHED_CTES,
 ))
 def q_drill_search(spark, sf_dir):
     base = tq.collection(spark, sf_dir)
@@ -93,15 +130,8 @@ def q_drill_search(spark, sf_dir):
     ids = tables.embeddings(spark, sf_dir, "vec_id").where(F.col("vec_id") < 100)
     refreshed = mu.upsert(base, generators.gen_points(ids, DIM, 2, id_col="vec_id", stream="refresh")
                           .select("id", "vec", "payload"))
-    queries = supplied_queries(spark, sf_dir)
-    hits = search_batch(views.points(spark, sf_dir), queries, dim=DIM)
-    verdict = ck.check_search_hits(queries, hits, points=base).agg(
-        F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
-    return union(
-        row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
-        row("refresh", ck.one_row_join(n, counted(refreshed)), "count", F.col("n"), F.col("c")),
-        row("search", verdict, "queries_ok", F.col("q"), F.col("good")),
-    )
+    return union(row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
+                 searched_rows(refreshed, supplied_queries(spark, sf_dir), n))
 
 
 # --- P-03 points_churn ----------------------------------------------------------------------
@@ -109,14 +139,15 @@ def q_drill_search(spark, sf_dir):
 @register("drill_points_churn", with_views(
     sql_row("insert", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
     + sql_row("insert", "point_0_exists", "1", "(SELECT count(*) FROM points WHERE id = 0)") + " UNION ALL "
-    + sql_row("delete", "count", "0", "0"),
+    + sql_row("delete", "count", "0", f"(SELECT count(*) FROM points WHERE NOT (id >= 0 AND id < {N_SQL}))"),
     "points",
 ))
 def q_drill_points_churn(spark, sf_dir):
     base = tq.collection(spark, sf_dir)
     n = n_points(spark, sf_dir)
     exists = base.where(F.col("id") == 0).agg(F.count(F.lit(1)).alias("c"))
-    emptied = mu.delete_range(base, 1 << 62)   # ids 0..n-1 for any n: the whole dense range
+    # exactly the ids 0..n-1 of the n points inserted: a point outside that range stays and is counted
+    emptied = ck.one_row_join(base, n).where(~((F.col("id") >= 0) & (F.col("id") < F.col("n"))))
     return union(
         row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
         row("insert", exists, "point_0_exists", F.lit(1), F.col("c")),
@@ -150,40 +181,37 @@ def q_drill_points_update(spark, sf_dir):
     )
 
 
-# --- P-05 collection_snapshots_churn (rows-only: writes snapshots) ------------------------------
-
-@register("drill_snapshots")
-def q_drill_snapshots(spark, sf_dir):
-    checks = iq.q_snapshot_cycle(spark, sf_dir)
-    return checks.select(F.col("step"), F.lit("snapshot").alias("check"), F.lit(1).cast("bigint").alias("expected"),
-                         F.col("ok").cast("bigint").alias("actual"), "ok")
-
-
 # --- P-06 toggle_indexing --------------------------------------------------------------------
 
 @register("drill_toggle_index", with_views(
     sql_row("insert", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
-    + sql_row("index", "progress", "1", "(SELECT CASE WHEN count(vec) > 0 THEN 1 ELSE 0 END FROM points)")
-    + " UNION ALL "
-    + sql_row("search", "queries_ok", "(SELECT count(*) FROM queries)",
-              "(SELECT count(DISTINCT query_id) FROM sw WHERE rank = 1 AND a IS NOT NULL)"),
-    "points", extra={**iq.IVF_CTES, "sw": (
-        f"SELECT * FROM exact_hits WHERE (SELECT count(*) FROM points) < {iq.THRESHOLD} "
-        f"UNION ALL SELECT * FROM ivf_hits WHERE (SELECT count(*) FROM points) >= {iq.THRESHOLD}")},
+    + sql_row("index", "indexed_vectors", "(SELECT count(vec) FROM points)", "(SELECT count(cell) FROM assign)") + " UNION ALL "
+    + " UNION ALL ".join(
+        sql_row(f"search_{mode}", "queries_ok", "(SELECT count(*) FROM queries)",
+                f"(SELECT count(DISTINCT query_id) FROM {mode}_hits WHERE rank = 1 AND a IS NOT NULL)") + " UNION ALL "
+        + sql_row(f"search_{mode}", "hits", "(SELECT sum(least(100, m)) FROM (SELECT count(*) AS m FROM queries q JOIN points p ON p.a = q.must_a "
+                  "GROUP BY q.query_id))", f"(SELECT count(*) FROM {mode}_hits)")
+        for mode in ("exact", "ivf")),
+    "points", extra=iq.IVF_CTES,
 ))
 def q_drill_toggle_index(spark, sf_dir):
+    """Search without and with the index: both give every query its full number of hits."""
     base = tq.collection(spark, sf_dir)
     n = n_points(spark, sf_dir)
-    hits = iq.q_search_threshold_switch(spark, sf_dir)
     queries = supplied_queries(spark, sf_dir)
-    verdict = ck.check_search_hits(queries, hits, points=base).agg(
-        F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
-    progress = base.agg(F.when(F.count("vec") > 0, 1).otherwise(0).alias("p"))
-    return union(
-        row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
-        row("index", progress, "progress", F.lit(1), F.col("p")),
-        row("search", verdict, "queries_ok", F.col("q"), F.col("good")),
-    )
+    index = iq._index(spark, sf_dir)
+    built = ck.one_row_join(base.agg(F.count("vec").alias("n")), index[1].agg(F.count("cell").alias("c")))
+    points = views.points(spark, sf_dir)
+    by_keyword = points.where(F.col("vec").isNotNull()).groupBy(F.col("a").alias("must_a")).agg(F.count(F.lit(1)).alias("m"))
+    due = queries.join(by_keyword, "must_a").agg(F.sum(F.least(F.lit(TOP_K), F.col("m"))).alias("n"))
+    parts = [row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
+             row("index", built, "indexed_vectors", F.col("n"), F.col("c"))]
+    for mode, hits in (("exact", search_batch(points, queries, dim=DIM)), ("ivf", ivf.ivf_search(index, queries, nprobe=iq.NPROBE))):
+        verdict = ck.check_search_hits(queries, hits, points=base).agg(
+            F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
+        parts += [row(f"search_{mode}", verdict, "queries_ok", F.col("q"), F.col("good")),
+                  row(f"search_{mode}", ck.one_row_join(due, counted(hits)), "hits", F.col("n"), F.col("c"))]
+    return union(*parts)
 
 
 # --- P-07 high_concurrency --------------------------------------------------------------------
@@ -240,9 +268,12 @@ def q_drill_lifecycle_audit(spark, sf_dir):
 
 # --- P-10 points_optional_vectors -------------------------------------------------------------
 
-@register("drill_optional_vectors",
-          sql_row("fill", "count", N_SQL, N_SQL) + " UNION ALL " + sql_row("fill", "vectors_missing", "0", "0")
-          + " UNION ALL " + sql_row("fill", "payload_wiped", N_SQL, N_SQL))
+@register("drill_optional_vectors", with_views(
+    sql_row("fill", "count", N_SQL, "(SELECT count(*) FROM filled)")
+    + " UNION ALL " + sql_row("fill", "vectors_missing", "0", "(SELECT count(*) FROM filled WHERE dim IS NULL)")
+    + " UNION ALL " + sql_row("fill", "payload_wiped", N_SQL, "(SELECT count(*) FROM filled WHERE n_keys = 0)"),
+    extra={"filled": ORACLE["progressive_fill"]},
+))
 def q_drill_optional_vectors(spark, sf_dir):
     filled = tq.q_progressive_fill(spark, sf_dir)
     n = n_points(spark, sf_dir)
@@ -254,6 +285,3 @@ def q_drill_optional_vectors(spark, sf_dir):
         row("fill", both, "vectors_missing", F.lit(0), F.col("m")),
         row("fill", both, "payload_wiped", F.col("n"), F.col("w")),
     )
-
-
-_ = logs

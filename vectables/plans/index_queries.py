@@ -9,18 +9,16 @@ from pyspark.sql import functions as F
 
 from vectables.functions.random import uniform_int, uniform_int_sql, uniform_sql
 from vectables.operators import catalog as cat
-from vectables.operators import checks as ck
 from vectables.operators import ivf, quant
 from vectables.operators import mutations as mu
 from vectables.operators.search import search_batch
 from vectables.plans.registry import register
 from vectables.plans.search_queries import DIM, QUERIES_SQL, cos_sql, supplied_queries, topk_sql
-from vectables.plans.table_queries import collection
 from vectables.session import storage_root
 from vectables.sources import views
 from vectables.sources.views import with_views
 
-NLIST, NPROBE, THRESHOLD = ivf.NLIST, ivf.NPROBE, 1000
+NLIST, NPROBE = ivf.NLIST, ivf.NPROBE
 SHORTLIST = 150
 
 IVF_CTES = {
@@ -30,9 +28,13 @@ IVF_CTES = {
                f"ORDER BY h, id LIMIT {NLIST}) t"),
     "assign": (f"SELECT p.id, arg_max(pv.cell, (round({cos_sql('p.vec', 'pv.vec')}, 6), -pv.cell)) AS cell "
                "FROM points p, pivots pv WHERE p.vec IS NOT NULL GROUP BY p.id"),
-    "qcells": (f"SELECT query_id, cell FROM (SELECT q.query_id, pv.cell, row_number() OVER (PARTITION BY q.query_id "
-               f"ORDER BY round({cos_sql('q.qv', 'pv.vec')}, 6) DESC, pv.cell) AS r FROM queries q, pivots pv) t "
-               f"WHERE r <= {NPROBE}"),
+    "in_cell": "SELECT s.cell, p.a, count(*) AS n FROM assign s JOIN points p ON p.id = s.id GROUP BY ALL",
+    "qranked": (f"SELECT q.query_id, q.must_a, pv.cell, row_number() OVER (PARTITION BY q.query_id "
+                f"ORDER BY round({cos_sql('q.qv', 'pv.vec')}, 6) DESC, pv.cell) AS r FROM queries q, pivots pv"),
+    # the nearest cells, and further ones while those before them hold fewer than k matching points
+    "qcells": (f"SELECT query_id, cell FROM (SELECT r.query_id, r.cell, r.r, coalesce(sum(coalesce(c.n, 0)) OVER (PARTITION BY r.query_id "
+               "ORDER BY r.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before "
+               f"FROM qranked r LEFT JOIN in_cell c ON c.cell = r.cell AND c.a = r.must_a) t WHERE r <= {NPROBE} OR before < 100"),
     "ivf_hits": topk_sql(f"SELECT q.query_id, p.id, round({cos_sql('q.qv', 'p.vec')}, 6) AS score, p.a FROM queries q "
                          "JOIN qcells c ON q.query_id = c.query_id JOIN assign s ON s.cell = c.cell "
                          "JOIN points p ON p.id = s.id AND p.a = q.must_a"),
@@ -70,17 +72,22 @@ def q_ivf_recall(spark, sf_dir):
     return ivf.recall(approx, exact)
 
 
+def search_in_mode(spark, sf_dir, mode: str):
+    """OP-33: the caller names how to search; nothing is decided by the table's size."""
+    queries = supplied_queries(spark, sf_dir)
+    if mode == "exact":
+        return search_batch(views.points(spark, sf_dir), queries, dim=DIM)
+    if mode == "indexed":
+        return ivf.ivf_search(_index(spark, sf_dir), queries, nprobe=NPROBE)
+    raise ValueError(f"mode is 'exact' or 'indexed', not {mode!r}")
+
+
 @register("search_threshold_switch", with_views(
-    f"SELECT * FROM exact_hits WHERE (SELECT count(*) FROM points) < {THRESHOLD} "
-    f"UNION ALL SELECT * FROM ivf_hits WHERE (SELECT count(*) FROM points) >= {THRESHOLD}",
-    "points", extra=IVF_CTES,
+    "SELECT 'exact' AS mode, * FROM exact_hits UNION ALL SELECT 'indexed' AS mode, * FROM ivf_hits", "points", extra=IVF_CTES,
 ))
 def q_search_threshold_switch(spark, sf_dir):
-    pts = views.points(spark, sf_dir)
-    queries = supplied_queries(spark, sf_dir)
-    if pts.count() < THRESHOLD:       # OP-33: small collections are scanned exactly
-        return search_batch(pts, queries, dim=DIM)
-    return ivf.ivf_search(_index(spark, sf_dir), queries, nprobe=NPROBE)
+    exact, indexed = (search_in_mode(spark, sf_dir, m).select(F.lit(m).alias("mode"), "*") for m in ("exact", "indexed"))
+    return exact.unionByName(indexed)
 
 
 # --- OP-36 / OP-37 ---------------------------------------------------------------------------
@@ -129,31 +136,16 @@ def q_search_int8(spark, sf_dir):
                              oversample=SHORTLIST / 100, dim=DIM)
 
 
-# --- OP-40: lifecycle (rows-only: writes to the shared folder) --------------------------------
-
-@register("collection_lifecycle")
-def q_collection_lifecycle(spark, sf_dir):
-    c = cat.Catalog(spark)
-    steps = []
-    c.create("lc", DIM)
-    steps.append(("create", c.exists("lc")))
-    try:
-        c.create("lc", DIM)
-        steps.append(("create_again_fails", False))
-    except cat.CollectionExists as e:
-        steps.append(("create_again_fails", "already exists!" in str(e)))
-    written = c.write("lc", collection(spark, sf_dir))
-    c.drop("lc")
-    steps.append(("drop", not c.exists("lc")))
-    c.recreate("lc", DIM)
-    steps.append(("recreate", c.exists("lc")))
-    fresh = c.read("lc")
-    meta = spark.createDataFrame(steps, "step string, ok boolean")
-    counts = ck.check_count(fresh, 0, "recreated_empty", "lc").select(F.col("check").alias("step"), "ok")
-    n_src = collection(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    n_written = written.agg(F.count(F.lit(1)).alias("w"))
-    same = ck.one_row_join(n_src, n_written).select(F.lit("written_count").alias("step"), (F.col("n") == F.col("w")).alias("ok"))
-    return meta.unionByName(counts).unionByName(same)
+@register("int8_recall", with_views(
+    "SELECT e.query_id, round(count(i.id) / count(*), 6) AS recall, CAST(count(*) AS BIGINT) AS exact_hits FROM exact_hits e "
+    f"LEFT JOIN ({topk_sql('SELECT query_id, id, score, a FROM short')}) i ON e.query_id = i.query_id AND e.id = i.id GROUP BY e.query_id",
+    "points", extra={**INT8_CTES, "exact_hits": IVF_CTES["exact_hits"]},
+))
+def q_int8_recall(spark, sf_dir):
+    """Share of the exact top hits that the int8 shortlist keeps, per query."""
+    queries = supplied_queries(spark, sf_dir)
+    exact = search_batch(views.points(spark, sf_dir), queries, dim=DIM)
+    return ivf.recall(q_search_int8(spark, sf_dir), exact)
 
 
 # --- OP-41: ten collections in one DataFrame ------------------------------------------------
@@ -187,10 +179,10 @@ def q_field_index_postings(spark, sf_dir):
 
 @register("filter_via_index", with_views("SELECT id, a FROM points WHERE a = 'keyword_1'", "points"))
 def q_filter_via_index(spark, sf_dir):
+    """The field index holds ids by keyword, no vectors; a filter reads one keyword's directory."""
     path = f"{storage_root(spark)}/byfield-{uuid.uuid4().hex[:10]}"
-    views.points(spark, sf_dir).select("id", "vec", "a").write.partitionBy("a").parquet(path)
-    # partition pruning: only the a=keyword_1 directory is listed and read
-    return spark.read.parquet(path).where(F.col("a") == "keyword_1").select("id", "a")
+    cat.write_field_index(views.points(spark, sf_dir), path)
+    return cat.ids_with(spark, path, "keyword_1").select("id", "a")
 
 
 @register("payload_schema",
@@ -214,26 +206,3 @@ def q_shard_layout(spark, sf_dir):
     pts = views.points(spark, sf_dir).withColumn("shard", cat.shard_of("id", SHARDS))
     laid = pts.repartition(SHARDS, "shard")  # one shard per partition, co-located on the shard key
     return laid.groupBy("shard").agg(F.count(F.lit(1)).cast("bigint").alias("points"))
-
-
-# --- OP-45 / OP-46 / OP-53 snapshot cycle (rows-only: writes to the shared folder) -------------
-
-@register("snapshot_cycle")
-def q_snapshot_cycle(spark, sf_dir):
-    c = cat.Catalog(spark)
-    c.create("snap", DIM)
-    c.write("snap", collection(spark, sf_dir))
-    before = c.count_snapshots("snap")
-    name = c.create_snapshot("snap")
-    after_create = c.count_snapshots("snap")
-    listed = c.snapshots("snap").where(F.col("snapshot") == name).count() == 1
-    snap_rows = spark.read.parquet(f"{c.root}/snapshots/snap/{name}")
-    c.delete_snapshot("snap", name)
-    after_delete = c.count_snapshots("snap")
-    meta = spark.createDataFrame(
-        [("count_plus_one", after_create == before + 1), ("listed_by_name", listed),
-         ("count_back", after_delete == before)], "step string, ok boolean")
-    n_src = c.read("snap").agg(F.count(F.lit(1)).alias("n"))
-    n_snap = snap_rows.agg(F.count(F.lit(1)).alias("s"))
-    same = ck.one_row_join(n_src, n_snap).select(F.lit("snapshot_rows").alias("step"), (F.col("n") == F.col("s")).alias("ok"))
-    return meta.unionByName(same)

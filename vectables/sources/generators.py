@@ -79,11 +79,6 @@ def gen_queries(ids: DataFrame, dim: int, variants: int | None, seed: int = SEED
     )
 
 
-def substream_seed(parent: str, child: str) -> str:
-    """OP-07: name of an independent child stream (per drill, per operation)."""
-    return f"{parent}/{child}"
-
-
 def batch_plan(ids: DataFrame, id_col: str = "id", size: int = BATCH_SIZE) -> DataFrame:
     """OP-08: write batches of ``size`` over dense ids 0..n-1: ``(batch_id, base_id, size)``.
 
@@ -124,7 +119,3 @@ def gen_oplog(cycles: DataFrame, n_uris: int, id_col: str = "id", seed: int = SE
         F.col("cycle").alias("id"),
         "uri",
     )
-
-
-def uniform_draw(stream: str, key: Column, seed: int = SEED) -> Column:
-    return uniform(stream, key, seed=seed)
