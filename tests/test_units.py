@@ -337,6 +337,54 @@ def test_cumulative_latency_does_not_depend_on_block_size(spark):
     assert one_block == many_blocks and len(one_block) > 0
 
 
+def test_a_probe_beyond_the_histogram_keeps_its_transition(spark):
+    from vectables.operators.cumulative import latency_at_transitions
+
+    rows = [(0, "u", 10, "ok"), (1, "u", 4_000_000, "timeout"), (2, "u", 20, "ok"), (3, "v", 4_000_000, "timeout"), (4, "v", 30, "ok")]
+    probes = spark.createDataFrame([(i, _ts(i), u, ms, o) for i, u, ms, o in rows], "event_id long, ts timestamp_ntz, uri string, latency_ms long, outcome string")
+    got = {r["event_id"]: (r["kind"], r["failures"], r["total"], r["min_ms"], r["max_ms"], r["text"]) for r in latency_at_transitions(probes).collect()}
+    assert got == {1: ("failed", None, 1, 10, 10, "[min: 10ms, p50: 10ms, p95: 10ms, p99: 10ms, max: 10ms]"),
+                   2: ("recovered", 1, 2, 10, 20, "[min: 10ms, p50: 10ms, p95: 20ms, p99: 20ms, max: 20ms]"),
+                   3: ("failed", None, 0, None, None, None),
+                   4: ("recovered", 1, 1, 30, 30, "[min: 30ms, p50: 30ms, p95: 30ms, p99: 30ms, max: 30ms]")}
+    assert [r["event_id"] for r in logs.rejects(probes).collect()] == [1, 3]
+
+
+def test_kernel_memory_does_not_grow_with_the_query_set(monkeypatch):
+    """Scores are made a tile of queries at a time: no matrix of all queries by an Arrow batch appears."""
+    import numpy as np
+    import pyarrow as pa
+
+    from vectables.operators import search as S
+
+    rng = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(500)), pa.array(rng.standard_normal((500, 4)).tolist(), pa.list_(pa.float32())), pa.array(["x"] * 500)], names=["id", "vec", "a"])
+    shapes = []
+    whole = S._top_candidates
+    monkeypatch.setattr(S, "_top_candidates", lambda scores, k: shapes.append(scores.shape) or whole(scores, k))
+    for n in (1500, 6000):
+        kernel = S.make_topk_kernel(np.arange(n), rng.standard_normal((n, 4)), np.array([None] * n, dtype=object), 3, "vec")
+        assert sum(b.num_rows for b in kernel(iter([batch]))) == 3 * n
+    assert max(rows for rows, _ in shapes) == S.QUERY_TILE
+
+
+def test_indexed_search_fills_k_and_probes_more_cells_only_where_needed(spark):
+    import numpy as np
+
+    from vectables.operators import ivf
+    from vectables.operators import search as S
+
+    pts = generators.gen_points(spark.range(400), 8, 2, stream="t/fill").select("id", "vec", "a")
+    qs = generators.gen_queries(spark.range(20), 8, 2, stream="t/fillq")
+    index = ivf.build_index(pts, nlist=8)
+    got = ivf.ivf_search(index, qs, k=100, nprobe=1).groupBy("query_id").count().collect()
+    exact = S.search_batch(pts, qs, k=100, dim=8).groupBy("query_id").count().collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in exact}
+    probes = ivf.probes_of(np.eye(3), np.array(["x", "y", None], dtype=object), np.eye(3), {"x": {0: 5}, "y": {1: 1, 0: 9}, None: {2: 1, 0: 1, 1: 1}}, 4, 1)
+    assert [len(p) for p in probes] == [1, 2, 3]
+
+
 def test_replayed_epoch_reads_the_state_of_the_epoch_before(spark, tmp_path):
     from vectables.streaming.stateful import _latest
 

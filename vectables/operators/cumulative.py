@@ -28,29 +28,16 @@ from vectables.operators import logs
 from vectables.session import storage_root
 
 BLOCK_ROWS = 1 << 20
-OUT_SCHEMA = ("uri string, event_id long, kind string, total long, min_ms long, p50_ms long, p95_ms long, "
-              "p99_ms long, max_ms long")
-
-
-def _lo(v: int) -> int:
-    sh = max(0, int(v).bit_length() - 1 - 7) if v > 0 else 0
-    return (v >> sh) << sh
-
-
-def _hi(v: int) -> int:
-    sh = max(0, int(v).bit_length() - 1 - 7) if v > 0 else 0
-    return ((v >> sh) + 1) * (1 << sh) - 1
-
-
-_lo_v = np.vectorize(_lo, otypes=[np.int64])
-_hi_v = np.vectorize(_hi, otypes=[np.int64])
+OUT_SCHEMA = ("uri string, event_id long, kind string, failures long, total long, least long, p50_ms long, p95_ms long, "
+              "p99_ms long, most long")
+OUT_COLUMNS = ["uri", "event_id", "kind", "failures", "total", "least", "p50_ms", "p95_ms", "p99_ms", "most"]
 SUB_BATCH = 2048   # transitions summarised at once: bounds the (transitions x buckets) matrix
 
 
 def _summarise(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
     """Vectorised: the histogram after each transition is the start histogram plus a cumulative
     sum, over transition segments, of per-segment bucket counts."""
-    rows = rows.sort_values("ordinal", kind="stable").reset_index(drop=True)
+    rows = rows.sort_values("__ord", kind="stable").reset_index(drop=True)
     uri = rows["uri"].iloc[0]
     if start.empty:
         sb, sc, smin, smax = np.zeros(0, np.int64), np.zeros(0, np.int64), None, None
@@ -59,15 +46,16 @@ def _summarise(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         sb = np.asarray(s["buckets"], dtype=np.int64)
         sc = np.asarray(s["counts"], dtype=np.int64)
         smin, smax = s["start_min"], s["start_max"]
-    rb = rows["bucket"].to_numpy(np.int64)
-    buckets = np.unique(np.concatenate([sb, rb]))
+    inside = rows["bucket"].notna().to_numpy()             # a slower probe changes state, not the histogram
+    rb = rows["bucket"].to_numpy(np.float64, na_value=-1).astype(np.int64)
+    buckets = np.unique(np.concatenate([sb, rb[inside]]))
     k = len(buckets)
     base = np.zeros(k, np.int64)
     base[np.searchsorted(buckets, sb)] += sc
     idx = np.searchsorted(buckets, rb)
     lat = rows["latency_ms"].to_numpy(np.int64)
-    run_min = np.minimum.accumulate(lat)
-    run_max = np.maximum.accumulate(lat)
+    run_min = np.minimum.accumulate(np.where(inside, lat, np.iinfo(np.int64).max))
+    run_max = np.maximum.accumulate(np.where(inside, lat, -1))
     if smin is not None and not pd.isna(smin):
         run_min = np.minimum(run_min, int(smin))
         run_max = np.maximum(run_max, int(smax))
@@ -78,20 +66,23 @@ def _summarise(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         tp = tpos[lo:lo + SUB_BATCH]
         # segment j holds rows (previous transition, transition j]; rows before 'done' are in base
         seg = np.searchsorted(tp, np.arange(done, tp[-1] + 1), side="left")
+        some = inside[done:tp[-1] + 1]
         counts = np.zeros((len(tp), k), np.int64)
-        np.add.at(counts, (seg, idx[done:tp[-1] + 1]), 1)
+        np.add.at(counts, (seg[some], idx[done:tp[-1] + 1][some]), 1)
         hist = base[None, :] + np.cumsum(counts, axis=0)
         cum = np.cumsum(hist, axis=1)
-        total = cum[:, -1]
-        qcols = []
-        for q in (0.5, 0.95, 0.99):
+        total = cum[:, -1] if k else np.zeros(len(tp), np.int64)
+        empty = total == 0
+        values = {"uri": uri, "event_id": rows["event_id"].to_numpy(np.int64)[tp], "kind": rows["kind"].to_numpy(object)[tp],
+                  "failures": rows["failures"].iloc[tp].astype("Int64").array, "total": total,
+                  "least": pd.array(run_min[tp], dtype="Int64"), "most": pd.array(run_max[tp], dtype="Int64")}
+        for name, q in logs.QUANTILES:
             rank = np.maximum(1, np.ceil(total * q).astype(np.int64))
-            qcols.append(buckets[(cum >= rank[:, None]).argmax(axis=1)])
-        parts.append(pd.DataFrame({
-            "uri": uri, "event_id": rows["event_id"].to_numpy(np.int64)[tp], "kind": rows["kind"].to_numpy(object)[tp],
-            "total": total, "min_ms": _lo_v(run_min[tp]), "p50_ms": qcols[0], "p95_ms": qcols[1], "p99_ms": qcols[2],
-            "max_ms": _hi_v(run_max[tp]),
-        }))
+            at = (cum >= rank[:, None]).argmax(axis=1) if k else np.zeros(len(tp), np.int64)
+            values[f"{name}_ms"] = pd.array(buckets[at] if k else at, dtype="Int64")
+        part = pd.DataFrame(values)
+        part.loc[empty, ["least", "most", "p50_ms", "p95_ms", "p99_ms"]] = pd.NA
+        parts.append(part[OUT_COLUMNS])
         base = hist[-1]
         done = tp[-1] + 1
     return pd.concat(parts, ignore_index=True)
@@ -100,6 +91,9 @@ def _summarise(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
 def latency_at_transitions(probes: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Summary at every health transition of ``probes`` (uri, event_id, ts, latency_ms, outcome).
 
+    A transition on a probe slower than the histogram's range is a row like any other; its histogram is that of
+    the probes before it (``total`` 0 and no quantiles where there are none). Runs jobs and writes while the plan is built.
+
     One chunked running-sum pass gives both the failure islands (for the transitions) and each
     probe's ordinal (for the blocks); later stages reuse its exchanges."""
     isl = logs.islands(probes, ["uri"], F.col("outcome") == "ok",
@@ -120,11 +114,12 @@ def latency_at_transitions(probes: DataFrame, block_rows: int | None = None) ->
         block_rows = int(min(BLOCK_ROWS, max(4096, -(-busiest * 3 // max(1, n_tasks)))))
     n_tasks = max(1, min(n_tasks, keys * -(-max(busiest, 1) // block_rows)))
     transitions = logs.transitions_from_islands(isl, ["uri"])
-    ranked = isl.where(F.col("latency_ms") <= logs.HIST_MAX_MS).select(
-        "uri", "event_id", F.col("in_range").alias("ordinal"), "latency_ms",
-        logs.bucket_hi(F.col("latency_ms")).alias("bucket"))
-    ranked = ranked.withColumn("block", F.floor((F.col("ordinal") - 1) / block_rows).cast("bigint"))
-    marked = ranked.join(transitions.select("uri", "event_id", "kind"), on=["uri", "event_id"], how="left")
+    inside = F.col("latency_ms") <= logs.HIST_MAX_MS
+    everyone = isl.select("uri", "event_id", "__ord", F.col("in_range").alias("ordinal"), "latency_ms",
+                          F.when(inside, logs.bucket_hi(F.col("latency_ms"))).alias("bucket"))
+    everyone = everyone.withColumn("block", F.floor((F.greatest("ordinal", F.lit(1)) - 1) / block_rows).cast("bigint"))
+    ranked = everyone.where(F.col("bucket").isNotNull())
+    marked = everyone.join(transitions.select("uri", "event_id", "kind", "failures"), on=["uri", "event_id"], how="left")
 
     per_block = ranked.groupBy("uri", "block", "bucket").agg(F.count(F.lit(1)).alias("n"))
     blocks = ranked.groupBy("uri", "block").agg(F.min("latency_ms").alias("bmin"), F.max("latency_ms").alias("bmax"))
@@ -148,19 +143,23 @@ def latency_at_transitions(probes: DataFrame, block_rows: int | None = None) ->
         F.col("uri").alias("s_uri"), F.col("block").alias("s_block"), F.coalesce(F.col("h.bucket"), F.array().cast("array<bigint>")).alias("buckets"),
         F.coalesce(F.col("h.before"), F.array().cast("array<bigint>")).alias("counts"), "start_min", "start_max")
 
-    rows = marked.select("uri", "block", "ordinal", "event_id", "latency_ms", "bucket", "kind")
+    rows = marked.select("uri", "block", "__ord", "event_id", "latency_ms", "bucket", "kind", "failures")
     # only blocks holding a transition need work
     active = rows.where(F.col("kind").isNotNull()).select(F.col("uri").alias("__u"), F.col("block").alias("__b")).distinct()
     rows = rows.join(active, on=(F.col("uri") == F.col("__u")) & (F.col("block") == F.col("__b")), how="left_semi")
 
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
-            return pd.DataFrame(columns=["uri", "event_id", "kind", "total", "min_ms", "p50_ms", "p95_ms", "p99_ms",
-                                         "max_ms"])
+            return pd.DataFrame(columns=OUT_COLUMNS)
         return _summarise(left, right)
 
     # an explicit partition count on both sides: the cogroup needs no further exchange and AQE
     # does not merge the (byte-light, CPU-heavy) groups into a single task
     rows = rows.repartition(n_tasks, "uri", "block")
     start = start.repartition(n_tasks, "s_uri", "s_block")
-    return rows.groupBy("uri", "block").cogroup(start.groupBy("s_uri", "s_block")).applyInPandas(fn, OUT_SCHEMA)
+    out = rows.groupBy("uri", "block").cogroup(start.groupBy("s_uri", "s_block")).applyInPandas(fn, OUT_SCHEMA)
+    out = out.withColumns({"min_ms": F.when(F.col("least").isNotNull(), logs.bucket_lo(F.col("least"))),
+                           "max_ms": F.when(F.col("most").isNotNull(), logs.bucket_hi(F.col("most")))})
+    shown = ("min_ms", "p50_ms", "p95_ms", "p99_ms", "max_ms")
+    text = F.when(F.col("total") > 0, logs.summary_text({c: F.col(c) for c in shown}))
+    return out.select("uri", "event_id", "kind", "failures", "total", *shown, text.alias("text"))

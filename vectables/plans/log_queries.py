@@ -235,8 +235,8 @@ def q_green_debounce(spark, sf_dir):
 
 CUMULATIVE_CTES = {
     **runs_sql("probes", "uri", "outcome = 'ok'"),
-    "tr": "SELECT uri, first_event_id AS event_id, 'failed' AS kind FROM fr UNION ALL "
-          "SELECT uri, recovered_event_id, 'recovered' FROM fr WHERE recovered_event_id IS NOT NULL",
+    "tr": "SELECT uri, first_event_id AS event_id, 'failed' AS kind, CAST(NULL AS BIGINT) AS failures FROM fr UNION ALL "
+          "SELECT uri, recovered_event_id, 'recovered', failures FROM fr WHERE recovered_event_id IS NOT NULL",
     "pos": f"SELECT uri, event_id, ts, latency_ms, {bucket_sql('latency_ms')} AS bucket FROM probes WHERE latency_ms <= 3600000",
     "pairs": "SELECT t.uri, t.event_id, t.kind, p.bucket, p.latency_ms FROM tr t JOIN probes tp ON tp.event_id = t.event_id "
              "JOIN pos p ON p.uri = t.uri AND (p.ts < tp.ts OR (p.ts = tp.ts AND p.event_id <= tp.event_id))",
@@ -253,8 +253,10 @@ CUMULATIVE_CTES = {
 
 
 @register("latency_cumulative", with_views(
-    f"SELECT q.uri, q.event_id, q.kind, q.total, {bucket_sql('m.mn', top=False)} AS min_ms, q.p50_ms, q.p95_ms, "
-    f"q.p99_ms, {bucket_sql('m.mx')} AS max_ms FROM qs q JOIN mm m ON q.uri = m.uri AND q.event_id = m.event_id",
+    "SELECT *, CASE WHEN total > 0 THEN format('[min: {}ms, p50: {}ms, p95: {}ms, p99: {}ms, max: {}ms]', min_ms, p50_ms, p95_ms, p99_ms, max_ms) END AS text "
+    f"FROM (SELECT t.uri, t.event_id, t.kind, t.failures, coalesce(q.total, 0) AS total, {bucket_sql('m.mn', top=False)} AS min_ms, q.p50_ms, q.p95_ms, "
+    f"q.p99_ms, {bucket_sql('m.mx')} AS max_ms FROM tr t LEFT JOIN qs q ON q.uri = t.uri AND q.event_id = t.event_id "
+    "LEFT JOIN mm m ON t.uri = m.uri AND t.event_id = m.event_id) x",
     "probes", extra=CUMULATIVE_CTES,
 ))
 def q_latency_cumulative(spark, sf_dir):
