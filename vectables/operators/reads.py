@@ -36,16 +36,34 @@ def points_count(points: DataFrame) -> DataFrame:
     return points.agg(F.coalesce(F.count(F.lit(1)), F.lit(0)).cast("bigint").alias("points_count"))
 
 
-def collection_info(points: DataFrame, vector: str = "vec", indexed_fields=("a",), status: str = "green") -> DataFrame:
-    """OP-27: status, counts and payload schema size in one aggregation pass."""
-    aggs = [
-        F.count(F.lit(1)).cast("bigint").alias("points_count"),
-        F.count(F.col(vector)).cast("bigint").alias("indexed_vectors_count"),
-    ]
-    aggs += [F.count(F.col(f)).cast("bigint").alias(f"{f}_points") for f in indexed_fields]
-    return points.agg(*aggs).select(
-        F.lit(status).alias("status"), "*", F.lit(len(indexed_fields)).cast("bigint").alias("payload_fields")
-    )
+def collection_info(points: DataFrame, vector: str = "vec", fields=("a",), indexed: DataFrame | None = None) -> DataFrame:
+    """OP-27: counts, payload schema and status in one row, all read from the tables.
+
+    ``indexed`` is the cell-assigned index (``ivf.build_index``): its rows with a cell are the indexed vectors, and
+    the status is ``green`` when every vector has one, ``yellow`` while some have not, ``grey`` without an index."""
+    counts = points.agg(
+        F.count(F.lit(1)).cast("bigint").alias("points_count"), F.count(F.col(vector)).cast("bigint").alias("vectors_count"),
+        *[F.count(F.col(f)).cast("bigint").alias(f"{f}_points") for f in fields])
+    if indexed is None:
+        return counts.select(F.lit("grey").alias("status"), "*", F.lit(0).cast("bigint").alias("indexed_vectors_count"), _schema_size(fields).alias("payload_fields"))
+    built = indexed.agg(F.count("cell").cast("bigint").alias("indexed_vectors_count"))
+    both = counts.select("*", built.select("indexed_vectors_count").scalar().alias("indexed_vectors_count"))
+    status = F.when(F.col("indexed_vectors_count") >= F.col("vectors_count"), "green").otherwise("yellow")
+    return both.select(status.alias("status"), "*", _schema_size(fields).alias("payload_fields"))
+
+
+def _schema_size(fields) -> Column:
+    """Payload fields that some point holds."""
+    return sum((F.when(F.col(f"{f}_points") > 0, 1).otherwise(0) for f in fields), F.lit(0)).cast("bigint")
+
+
+def status_errors(names: DataFrame, statuses: DataFrame, key: str = "collection") -> DataFrame:
+    """OP-28: what a status request would answer for each name: its latest status, or the error of a name without
+    polls (missing) or whose latest poll is red (failed)."""
+    latest = latest_status(statuses, key)
+    error = (F.when(F.col("status").isNull(), F.concat(F.lit("Collection `"), F.col(key), F.lit("` not found")))
+             .when(F.col("status") == "red", F.concat(F.lit("Collection `"), F.col(key), F.lit("` failed: status red"))))
+    return names.select(key).distinct().join(latest, key, "left").select(key, "status", "last_event_id", error.alias("error"))
 
 
 def latest_status(statuses: DataFrame, key: str = "collection") -> DataFrame:

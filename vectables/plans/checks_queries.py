@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectables.operators import catalog as cat
+from vectables.operators import ivf
 from vectables.operators import checks as ck
 from vectables.operators import mutations as mu
 from vectables.operators.scan import block_chunk, chunked_lag, running_sums
@@ -215,8 +216,8 @@ def q_check_snapshot_delta(spark, sf_dir):
     "SELECT 'field_indexed' AS \"check\", 'points' AS collection, CAST(1 AS BIGINT) AS expected, "
     "CAST(count(DISTINCT 'a') FILTER (WHERE a IS NOT NULL) AS BIGINT) AS actual, "
     "count(*) FILTER (WHERE a IS NOT NULL) > 0 AS ok FROM points "
-    "UNION ALL SELECT 'index_progress', 'points', CAST(1 AS BIGINT), CAST(coalesce(count(vec), 0) AS BIGINT), "
-    "coalesce(count(vec), 0) > 0 FROM points",
+    "UNION ALL SELECT 'index_progress', 'points', CAST(count(vec) AS BIGINT), CAST(count(*) FILTER (WHERE len(vec) > 0) AS BIGINT), "
+    "count(vec) = count(*) FILTER (WHERE len(vec) > 0) FROM points",
     "points",
 ))
 def q_check_catalog(spark, sf_dir):
@@ -224,6 +225,7 @@ def q_check_catalog(spark, sf_dir):
     schema = cat.payload_schema(mu.long_payload(pts), indexed=("a",))
     field = schema.agg(F.count_if((F.col("field") == "a") & F.col("indexed")).alias("n"))
     field_row = ck.check_row(field, "field_indexed", "points", F.lit(1), F.col("n"), F.col("n") > 0)
-    info = pts.agg(F.coalesce(F.count("vec"), F.lit(0)).alias("n"))
-    progress = ck.check_row(info, "index_progress", "points", F.lit(1), F.col("n"), F.col("n") > 0)
+    indexed = ivf.assign_cells(pts.select("id", "vec"), ivf.pick_pivots(pts))     # the index itself, not the table
+    info = ck.one_row_join(pts.agg(F.count("vec").alias("v")), indexed.agg(F.count("cell").alias("n")))
+    progress = ck.check_row(info, "index_progress", "points", F.col("v"), F.col("n"), F.col("v") == F.col("n"))
     return field_row.unionByName(progress)

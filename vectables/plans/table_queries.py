@@ -270,11 +270,28 @@ def q_points_count(spark, sf_dir):
 
 
 @register("collection_info", with_views(
-    "SELECT 'green' AS status, CAST(count(*) AS BIGINT) AS points_count, CAST(count(vec) AS BIGINT) AS indexed_vectors_count, "
-    "CAST(count(a) AS BIGINT) AS a_points, CAST(1 AS BIGINT) AS payload_fields FROM points", "points",
+    "SELECT CASE WHEN i >= v THEN 'green' ELSE 'yellow' END AS status, CAST(n AS BIGINT) AS points_count, CAST(v AS BIGINT) AS vectors_count, "
+    "CAST(a AS BIGINT) AS a_points, CAST(i AS BIGINT) AS indexed_vectors_count, CAST(CASE WHEN a > 0 THEN 1 ELSE 0 END AS BIGINT) AS payload_fields "
+    "FROM (SELECT count(*) AS n, count(vec) AS v, count(a) AS a, count(*) FILTER (WHERE len(vec) > 0) AS i FROM points)", "points",
 ))
 def q_collection_info(spark, sf_dir):
-    return reads.collection_info(views.points(spark, sf_dir))
+    from vectables.operators import ivf
+
+    points = views.points(spark, sf_dir)
+    return reads.collection_info(points, indexed=ivf.assign_cells(points, ivf.pick_pivots(points)))
+
+
+@register("collection_status_errors", with_views(
+    "SELECT n.collection, s.status, s.last_event_id, CASE WHEN s.status IS NULL THEN 'Collection `' || n.collection || '` not found' "
+    "WHEN s.status = 'red' THEN 'Collection `' || n.collection || '` failed: status red' END AS error "
+    "FROM (SELECT DISTINCT concat('c_', CAST(user_id % 25 AS VARCHAR)) AS collection FROM events) n LEFT JOIN "
+    "(SELECT collection, arg_max(status, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS last_event_id FROM statuses GROUP BY collection) s "
+    "ON n.collection = s.collection", "statuses",
+))
+def q_collection_status_errors(spark, sf_dir):
+    """Statuses asked for 25 names, five of which no poll has seen."""
+    names = tables.events(spark, sf_dir, "user_id").select(F.concat(F.lit("c_"), (F.col("user_id") % 25).cast("string")).alias("collection"))
+    return reads.status_errors(names, views.statuses(spark, sf_dir))
 
 
 @register("collection_status", with_views(
