@@ -385,6 +385,31 @@ def test_indexed_search_fills_k_and_probes_more_cells_only_where_needed(spark):
     assert [len(p) for p in probes] == [1, 2, 3]
 
 
+def test_drill_checks_go_red_when_a_step_breaks(spark):
+    from vectables.plans import drills
+
+    n = spark.createDataFrame([(300,)], "n long")
+    many = spark.range(300).select(F.lit("c").alias("collection"), "id", F.lit("keyword_0").alias("a"))
+    log = spark.createDataFrame([("c", 1, "create"), ("c", 2, "drop")], "collection string, seq int, action string")
+
+    def verdicts(df):
+        return {(r["step"], r["check"]): r["ok"] for r in df.collect()}
+
+    assert all(verdicts(drills.churn_rows(many, log, n)).values())
+    assert not verdicts(drills.churn_rows(many, log.where("seq = 1"), n))[("c", "deleted")]
+    assert not verdicts(drills.churn_rows(many.where("id > 0"), log, n))[("c", "count")]
+    assert not verdicts(drills.churn_rows(many.withColumn("a", F.lit(None).cast("string")), log, n))[("c", "field_indexed")]
+    polls = spark.createDataFrame([(i, _ts(i), "c", s) for i, s in enumerate(["green", "green", "red", "green"])],
+                                  "event_id long, ts timestamp_ntz, collection string, status string")
+    assert not drills.green_row(polls).first()["ok"] and drills.green_row(polls.where("status = 'green'")).first()["ok"]
+    table = generators.gen_points(spark.range(300), drills.DIM, 2, stream="t/drill").select("id", "vec", "payload")
+    queries = generators.gen_queries(spark.range(5), drills.DIM, 2, stream="t/drillq")
+    assert all(verdicts(drills.searched_rows(table, queries, n)).values())
+    assert not verdicts(drills.searched_rows(table.where("id < 299"), queries, n))[("refresh", "count")]
+    shifted = table.withColumn("id", F.col("id") + 1000)
+    assert not verdicts(drills.searched_rows(shifted, queries, n))[("search", "queries_ok")]
+
+
 def test_replayed_epoch_reads_the_state_of_the_epoch_before(spark, tmp_path):
     from vectables.streaming.stateful import _latest
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from vectables import TOP_K
 from vectables.functions.random import uniform_int, uniform_int_sql
 from vectables.operators import checks as ck
-from vectables.operators import ivf
+from vectables.operators import ivf, logs
 from vectables.operators import mutations as mu
 from vectables.operators.search import search_batch
 from vectables.plans import index_queries as iq
+from vectables.plans import log_queries as lq
 from vectables.plans import table_queries as tq
 from vectables.plans.registry import ORACLE, register
 from vectables.plans.search_queries import DIM, cos_sql, supplied_queries, topk_sql
@@ -47,6 +48,16 @@ def counted(df: DataFrame, name: str = "c") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
+GREEN_CTES = {"statuses": views.STATUSES_SQL, **lq.DEBOUNCE_CTES}
+GREEN_SQL = sql_row("wait_green", "ready", "(SELECT count(*) FROM first_poll)", "(SELECT count(*) FROM hit)")
+
+
+def green_row(statuses: DataFrame) -> DataFrame:
+    """Every collection becomes ready: enough green polls in a row."""
+    ready = logs.green_debounce(statuses).agg(F.count(F.lit(1)).alias("n"), F.count("ready_event_id").alias("c"))
+    return row("wait_green", ready, "ready", F.col("n"), F.col("c"))
+
+
 # --- P-01 collections_churn ---------------------------------------------------------------
 
 N_CHURN = 10
@@ -95,6 +106,7 @@ def q_drill_collections(spark, sf_dir):
 # --- P-02 points_search (flagship) ----------------------------------------------------------
 
 REFRESHED_CTES = {
+    **GREEN_CTES,
     "queries": iq.IVF_CTES["queries"],
     "delta": tq.gen_points_sql("vec_id", "embeddings WHERE vec_id < 100", DIM, 2, "refresh"),
     "refreshed": "SELECT id, vec, a FROM points WHERE id NOT IN (SELECT id FROM delta) UNION ALL SELECT id, vec, a FROM delta",
@@ -117,6 +129,7 @@ def searched_rows(refreshed: DataFrame, queries: DataFrame, n: DataFrame) -> Dat
 
 @register("drill_search", with_views(
     sql_row("insert", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
+    + GREEN_SQL + " UNION ALL "
     + sql_row("refresh", "count", N_SQL, "(SELECT count(*) FROM refreshed)") + " UNION ALL "
     + sql_row("search", "queries_ok", "(SELECT count(*) FROM queries)",
               "(SELECT count(DISTINCT query_id) FROM hits WHERE rank = 1 AND a IS NOT NULL AND id < "
@@ -131,7 +144,7 @@ def q_drill_search(spark, sf_dir):
     refreshed = mu.upsert(base, generators.gen_points(ids, DIM, 2, id_col="vec_id", stream="refresh")
                           .select("id", "vec", "payload"))
     return union(row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
-                 searched_rows(refreshed, supplied_queries(spark, sf_dir), n))
+                 green_row(views.statuses(spark, sf_dir)), searched_rows(refreshed, supplied_queries(spark, sf_dir), n))
 
 
 # --- P-03 points_churn ----------------------------------------------------------------------
@@ -271,8 +284,9 @@ def q_drill_lifecycle_audit(spark, sf_dir):
 @register("drill_optional_vectors", with_views(
     sql_row("fill", "count", N_SQL, "(SELECT count(*) FROM filled)")
     + " UNION ALL " + sql_row("fill", "vectors_missing", "0", "(SELECT count(*) FROM filled WHERE dim IS NULL)")
-    + " UNION ALL " + sql_row("fill", "payload_wiped", N_SQL, "(SELECT count(*) FROM filled WHERE n_keys = 0)"),
-    extra={"filled": ORACLE["progressive_fill"]},
+    + " UNION ALL " + sql_row("fill", "payload_wiped", N_SQL, "(SELECT count(*) FROM filled WHERE n_keys = 0)")
+    + " UNION ALL " + GREEN_SQL,
+    extra={"filled": ORACLE["progressive_fill"], **GREEN_CTES},
 ))
 def q_drill_optional_vectors(spark, sf_dir):
     filled = tq.q_progressive_fill(spark, sf_dir)
@@ -284,4 +298,5 @@ def q_drill_optional_vectors(spark, sf_dir):
         row("fill", both, "count", F.col("n"), F.col("c")),
         row("fill", both, "vectors_missing", F.lit(0), F.col("m")),
         row("fill", both, "payload_wiped", F.col("n"), F.col("w")),
+        green_row(views.statuses(spark, sf_dir)),
     )
