@@ -2,16 +2,19 @@
 
 A text's set is its distinct k-word shingles. Two sets of sizes a <= b with Jaccard of at least
 num/den differ in at most (a + b) * (den - num) / (den + num) shingles. Sizes are cut into bands; a band's
-sketch has one block more than the largest such difference, and every shingle flips one bit of one
-64-bit block. Differing shingles flip at most one block each, so two sets that link agree in a
-whole block (pigeonhole). A set joins the blocks of its own band, and those of the band below where
-a partner can be there. Nothing is sampled: no link can be missed.
-
-Sets that are equal form one class. In a bucket (band, block, parity) each class is paired with
-the bucket's least class only. These pairs are verified on the texts, and the links found join classes
-to components. What is left, pairs in one cluster of bucket-sharing classes but in different components, is
-compared in blocks of at most ``SIDE`` x ``SIDE`` classes, first by the Hamming distance of their sketches, which
-never exceeds the difference of the sets, then by the sets; only links that join something go out.
+sketch has more blocks than that largest difference, and every shingle flips bits of one
+block: in the wide sketch all bits of a 64-bit hash (its XOR identifies a block), in the narrow one
+a single bit, so that the Hamming distance of two narrow sketches never exceeds the difference of the sets. Differing
+shingles touch at most one block each, so two sets that link agree in a whole block (pigeonhole). A set joins the
+blocks of its own band, and those of the band below where a partner can be there. Nothing is sampled: no link can be
+missed. Empty blocks are left out where enough others must agree.
+
+Sets that are equal form one class. Classes that share a block are paired with one pivot class each: first within
+a task, which ships every block once however many of its texts have it, then between tasks, by hashed
+buckets of blocks, keeping only one pivot per block in memory. These pairs are verified on the texts, and the links found
+join classes to components. What is left, pairs in one cluster of block-sharing classes but in different
+components, is compared in blocks of at most ``SIDE`` x ``SIDE`` classes, first by the Hamming distance of narrow
+sketches, then by the sets; only links that join something go out.
 
 Defined cases: null text is empty; an empty text has no set, links with nothing and is its own
 component; a row with a null id has a null component and links with nothing; repeated rows are judged one by
@@ -24,18 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from vectables.llm.components import connected_components
-from vectables.llm.store import Workspace
+from vectables.llm.store import Workspace, rows_of
 from vectables.llm.text import Texts, Words, as_long, mix, shingle_sets, slices
 
 BAND = 0.68         # ratio of the edges of a size band
+FLUSH = 2_000_000   # block rows that a task holds before it pairs and ships them
+BUCKET = 4_000_000  # shingles of all texts for each bucket of blocks
 SIDE = 256          # classes on either side of a block of comparisons
 
 
 class Bands:
-    """Size bands of a threshold num/den and the number of blocks of each band's sketch."""
+    """Size bands of a threshold num/den: the largest difference of a linking pair whose smaller set is in the
+    band, and the number of blocks of the band's sketch."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -44,32 +51,36 @@ class Bands:
             edges.append(max(edges[-1] + 1, int(edges[-1] / BAND)))
         self.edges = np.array(edges)
         top = self.edges[1:] - 1
-        self.blocks = (top + top * den // num) * (den - num) // (den + num) + 1
+        self.apart = (top + top * den // num) * (den - num) // (den + num)
+        empty = np.exp(-self.edges[:-1] / (self.apart + 1))            # share of blocks that hold no shingle
+        self.blocks = self.apart + 1 + np.ceil(2 * (self.apart + 1) * empty * (self.apart > 0)).astype(np.int64)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, side="right") - 1
 
     def joined(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(set number, band) of every band that a set joins."""
+        """(set number, band) of every band that a set joins, by set number."""
         own = self.of(sizes)
         some = np.flatnonzero(sizes > 0)
         least = -(-sizes * self.num // self.den)
         below = some[(own[some] > 0) & (least[some] < self.edges[own[some]])]
-        return np.concatenate([some, below]), np.concatenate([own[some], own[below] - 1])
+        at, band = np.concatenate([some, below]), np.concatenate([own[some], own[below] - 1])
+        order = np.argsort(at, kind="stable")
+        return at[order], band[order]
 
 
-def sketch(sets: np.ndarray, bounds: np.ndarray, at: np.ndarray, band: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks of set ``at[i]`` in band ``band[i]``, flat, and the bounds of each sketch."""
+def sketch(sets: np.ndarray, bounds: np.ndarray, at: np.ndarray, band: np.ndarray, bands: Bands, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of set ``at[i]`` in band ``band[i]``, flat; how many shingles each has; the bounds of each sketch."""
     sizes = np.diff(bounds)[at]
     blocks = bands.blocks[band]
     edges = np.concatenate([[0], np.cumsum(blocks)])
     member = np.repeat(np.arange(len(at)), sizes)
     place = np.arange(len(member)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[at], sizes)
     x = mix(sets[place])
-    block = ((x >> np.uint64(32)) * blocks[member].astype(np.uint64)) >> np.uint64(32)
+    block = edges[member] + (((x >> np.uint64(32)) * blocks[member].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
     out = np.zeros(edges[-1], dtype=np.uint64)
-    np.bitwise_xor.at(out, edges[member] + block.astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
-    return out, edges
+    np.bitwise_xor.at(out, block, mix(x) if wide else np.uint64(1) << (x & np.uint64(63)))
+    return out, np.bincount(block, minlength=edges[-1]), edges
 
 
 def fingerprints(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -78,31 +89,106 @@ def fingerprints(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return as_long(mix((sums[bounds[1:]] - sums[bounds[:-1]]) + np.diff(bounds).astype(np.uint64)))
 
 
-_SKETCHED = "id long, n_shingles long, fp long, keys array<long>"
-
+def _sizes(k: int):
+    """(id, text) -> (id, number of shingles, fingerprint)."""
 
-def _sketches(k: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets, bounds = shingle_sets(Words(Texts(batch.column(1))), k)
-                sizes = np.diff(bounds)
-                at, band = bands.joined(sizes)
-                order = np.argsort(at, kind="stable")
-                at, band = at[order], band[order]
-                blocks, edges = sketch(sets, bounds, at, band, bands)
-                which = np.repeat(band, np.diff(edges)).astype(np.uint64) << np.uint64(40)
-                which += (np.arange(len(blocks)) - np.repeat(edges[:-1], np.diff(edges))).astype(np.uint64)
-                keys = as_long(mix(blocks ^ mix(which)))
-                cut = edges[np.searchsorted(at, np.arange(len(sizes) + 1))]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(fingerprints(sets, bounds)),
-                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys)),
-                ], names=["id", "n_shingles", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(fingerprints(sets, bounds))], names=["id", "n_shingles", "fp"])
 
     return run
 
 
+_BLOCKS = "bucket int, part long, keys array<long>, fps array<long>, left array<long>, right array<long>"
+_KEY_BITS = 32          # of a block's hash that are compared, besides those that choose its bucket
+
+
+def _pivots(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first row of every key (keys, fps), and the distinct pairs (fp, first fp) of all others."""
+    order = np.argsort(keys, kind="stable")
+    keys, fps = keys[order], fps[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    pivot = fps[first][np.cumsum(first) - 1]
+    other = ~first & (fps != pivot)
+    pairs = np.unique(np.stack([fps[other], pivot[other]], axis=1), axis=0)
+    return keys[first], fps[first], pairs[:, 0], pairs[:, 1]
+
+
+def _blocks(k: int, bands: Bands, buckets: int):
+    """Texts -> rows per bucket of blocks: the blocks' keys and one class of the task that has each, as parallel
+    lists; and the pairs of classes that met in a block within the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, rows = TaskContext.get().partitionId() << 32, [], 0
+
+        def shipped() -> pa.RecordBatch:
+            nonlocal part
+            keys, fps, left, right = _pivots(*(np.concatenate(c) for c in zip(*held)))
+            cuts = np.searchsorted(keys >> np.uint64(_KEY_BITS), np.arange(buckets + 1, dtype=np.uint64))
+            used = np.flatnonzero(np.diff(cuts))
+            listed = pa.array(np.append(cuts[used], cuts[-1]), pa.int32())
+            none = np.zeros(len(used) + 1, np.int32)
+            none[1 + part % len(used):] = len(left)         # the task's own pairs ride with one of its rows
+            low = keys & np.uint64((1 << _KEY_BITS) - 1)
+            lists = [pa.ListArray.from_arrays(listed, pa.array(as_long(low))), pa.ListArray.from_arrays(listed, pa.array(fps)),
+                     pa.ListArray.from_arrays(pa.array(none), pa.array(left)), pa.ListArray.from_arrays(pa.array(none), pa.array(right))]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), part)), *lists], names=["bucket", "part", "keys", "fps", "left", "right"])
+            part += 1
+            return out
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets, bounds = shingle_sets(Words(Texts(batch.column(0))), k)
+                at, band = bands.joined(np.diff(bounds))
+                blocks, shingles, edges = sketch(sets, bounds, at, band, bands, wide=True)
+                count = np.diff(edges)
+                member = np.repeat(np.arange(len(at)), count)
+                empty = np.bincount(member[shingles == 0], minlength=len(at))
+                use = (shingles > 0) | (empty >= bands.blocks[band] - bands.apart[band])[member]
+                which = (band.astype(np.uint64) << np.uint64(40))[member] + (np.arange(len(blocks)) - edges[:-1][member]).astype(np.uint64)
+                keys = mix(blocks ^ mix(which))
+                keys = ((keys >> np.uint64(_KEY_BITS)) * np.uint64(buckets) & ~np.uint64((1 << _KEY_BITS) - 1)) | (keys & np.uint64((1 << _KEY_BITS) - 1))
+                if use.any():
+                    held.append((keys[use], fingerprints(sets, bounds)[at][member][use]))
+                    rows += len(held[-1][0])
+                if rows > FLUSH:
+                    yield shipped()
+                    held, rows = [], 0
+        if rows:
+            yield shipped()
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket -> pairs (fa, fb) of classes that share a block, one pivot per block."""
+    bucket, held, rows, kept = None, [], 0, 0
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["fa", "fb"])
+
+    for batch in batches:
+        lists = [(c.flatten().to_numpy(), np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy())])) for c in batch.columns[2:]]
+        yield pairs(lists[2][0], lists[3][0])
+        for i, b in enumerate(batch.column(0).to_pylist()):
+            if b != bucket or rows > kept + FLUSH:
+                if held:
+                    keys, fps, left, right = _pivots(*(np.concatenate(c) for c in zip(*held)))
+                    yield pairs(left, right)
+                    held, rows = [(keys, fps)], len(keys)
+                    kept = rows
+                if b != bucket:
+                    bucket, held, rows, kept = b, [], 0, 0
+            held.append(tuple(v[at[i]: at[i + 1]] for v, at in lists[:2]))
+            rows += len(held[-1][0])
+    if held:
+        yield pairs(*_pivots(*(np.concatenate(c) for c in zip(*held)))[2:])
+
+
 def _links(k: int, num: int, den: int):
     """Rows (a, b, fa, fb, text_a, text_b) -> (a, b) of those whose sets link."""
 
@@ -152,6 +238,8 @@ def _compare(bands: Bands):
         sets = [np.asarray(s, dtype=np.int64) for s in frame["shingles"]]
         flat = np.concatenate(sets).view(np.uint64)
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        own = bands.of(n)
+        made: dict[int, tuple[int, np.ndarray]] = {}    # band -> first row in it, narrow sketches of the rows from there on
         out = []
         for a in range(len(ids) - 1):
             upto = int(np.searchsorted(n, n[a] * den // num, side="right"))
@@ -159,9 +247,12 @@ def _compare(bands: Bands):
             b = b[(root[b] != root[a]) & ((sub[b] != sub[a]) if i != j else True)]
             if not len(b):
                 continue
-            band = np.full(len(b) + 1, bands.of(n[a: a + 1])[0])
-            rows = sketch(flat, bounds, np.concatenate([[a], b]), band, bands)[0].reshape(len(b) + 1, -1)
-            apart = np.bitwise_count(rows[1:] ^ rows[0]).sum(axis=1, dtype=np.int64)
+            if own[a] not in made:
+                lo, hi = np.searchsorted(own, [own[a], own[a] + 2])
+                at = np.arange(lo, hi)
+                made = {own[a]: (lo, sketch(flat, bounds, at, np.full(len(at), own[a]), bands, wide=False)[0].reshape(len(at), -1))}
+            lo, rows = made[own[a]]
+            apart = np.bitwise_count(rows[b - lo] ^ rows[a - lo]).sum(axis=1, dtype=np.int64)
             for c in b[apart <= (n[a] + n[b]) * (den - num) // (den + num)]:
                 if root[c] == root[a]:
                     continue
@@ -179,18 +270,22 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 3,
     spark = docs.sparkSession
     space, bands = Workspace(spark, "parity"), Bands(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = space.save(texts.mapInArrow(_sketches(k, bands), _SKETCHED), "sketched")
-    filled = sketched.where("id is not null and n_shingles > 0")
+    rows = space.save(texts.mapInArrow(_sizes(k), "id long, n_shingles long, fp long"), "rows")
+    filled = rows.where("id is not null and n_shingles > 0")
     classes = space.save(filled.groupBy("fp").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n")), "classes")
 
-    blocks = filled.select("fp", F.explode("keys").alias("key"))
-    shared = blocks.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
-    star = blocks.join(shared, "key").where("fp <> least").select(F.col("fp").alias("fa"), F.col("least").alias("fb")).distinct()
+    total = rows.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    buckets = max(64, -(-int(total) // BUCKET))
+    dealt = texts.where("id is not null").select("text").mapInArrow(_blocks(k, bands, buckets), _BLOCKS)
+    met = dealt.repartition("bucket").sortWithinPartitions("bucket", "part").select("bucket", "part", "keys", "fps", "left", "right")
+    pairs = space.save(met.mapInArrow(_meet, "fa long, fb long").distinct(), "pairs")
     a, b = (classes.select(F.col("fp").alias(f"f{s}"), F.col("id").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    star = space.save(star.join(a, "fa").join(b, "fb"), "star")
+    star = space.save(pairs.join(a, "fa").join(b, "fb"), "star")
 
     able = star.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "fa", "fb")
-    text_a, text_b = (texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
+    ends = space.save(able.select(F.col("a").alias("id")).union(able.select("b")).distinct(), "ends")
+    verified = rows_of(texts, ends, "id")
+    text_a, text_b = (verified.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
     pairs = able.join(text_a, "a").join(text_b, "b").select("a", "b", "fa", "fb", "text_a", "text_b")
     links = space.save(pairs.mapInArrow(_links(k, num, den), "a long, b long").distinct(), "links")
     found = space.save(connected_components(links, space, "linked"), "found")
@@ -204,8 +299,8 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 3,
     size = member.groupBy("cluster").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = size.join(paired, "cluster").where("lo <> hi and pairs < m * (m - 1) / 2").select(
         "cluster", F.ceil(F.col("m") / SIDE).alias("sides"))
-    rest = member.join(open_, "cluster").join(classes, "id").select("id", "cluster", "fp", "component", "n", "sides")
-    with_sets = rest.join(texts, "id").mapInArrow(
+    rest = space.save(member.join(open_, "cluster").join(classes, "id").select("id", "cluster", "fp", "component", "n", "sides"), "rest")
+    with_sets = rest.join(rows_of(texts, rest.select("id"), "id"), "id").mapInArrow(
         _sets(k), "id long, cluster long, fp long, component long, n long, sides long, shingles array<long>")
     sub = with_sets.withColumn("sub", F.pmod(F.xxhash64("id"), F.col("sides")))
     spread = sub.withColumn("other", F.explode(F.expr("sequence(0, sides - 1)"))).select(
@@ -215,5 +310,5 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 3,
     joined = space.save(connected_components(links.union(more), space, "joined"), "joined")
 
     by_class = classes.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return sketched.select("id", "n_shingles", "fp").join(by_class, "fp", "left").select(
+    return rows.join(by_class, "fp", "left").select(
         "id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
