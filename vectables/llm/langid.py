@@ -83,11 +83,12 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, sample: int = SAMPLE
     rows = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).dropna()
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text")))
     drawn = rows.withColumn("rank", rank).where(f"rank <= {sample}").select("label", "text")
-    counted = drawn.mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counted["label"].unique())
+    counted = drawn.mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    labels = counted["label"].to_numpy(zero_copy_only=False) if len(counted) else np.zeros(0, dtype=object)
+    languages = sorted(set(labels))
     counts = np.zeros((len(languages), BUCKETS))
     if languages:
-        counts[np.searchsorted(languages, counted["label"]), counted["bucket"]] = counted["n"]
+        counts[np.searchsorted(languages, labels.astype(str)), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     return Model(languages, counts)
 
 
