@@ -7,11 +7,9 @@
   key; one that holds older rows is refused.
 * The latency histogram is a streaming ``groupBy(uri, bucket).count()`` in update mode; each
   epoch's changed counts are merged into a versioned table through ``foreachBatch``.
-* The change log is applied per micro-batch through ``foreachBatch``: the previous state
-  (one reset row per id and the live keys with their sequence numbers) is re-read from the
-  written table — which cuts lineage —; only the ids the batch touches are folded again, the
-  other state rows are carried over by an anti join, and the result is the next version
-  (plain Parquet has no in-place MERGE, so a version is a full rewrite of the state).
+* The change log is applied per micro-batch through ``foreachBatch``: the state (one reset row per id and
+  the live keys with their sequence numbers) is kept in hashed buckets; a batch re-reads the written
+  buckets it touches - which cuts lineage -, folds them with its rows and writes their next version.
 * The tumbling summary uses event time with a watermark; only closed windows are emitted.
 
 Sources read Parquet with an explicit schema; every query runs with ``availableNow`` and a
@@ -107,13 +105,16 @@ def _list_dir(spark: SparkSession, root: str) -> list[str] | None:
     return [st.getPath().getName() for st in fs.listStatus(path)]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def _forget(spark: SparkSession, root: str, before: int) -> None:
     """Delete the state of epochs before ``before``: no replay can ask for it any more."""
-    jvm = spark.sparkContext._jvm
     for name in _list_dir(spark, root) or []:
         if name.startswith("epoch=") and int(name.split("=", 1)[1]) < before:
-            path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, f"{root}/{name}")
 
 
 def _latest(spark: SparkSession, root: str, before: int | None = None) -> str | None:
@@ -154,30 +155,43 @@ def fold_to_state_log(log: DataFrame) -> DataFrame:
     return reset_rows.unionByName(kv_rows)
 
 
-def stream_apply_oplog(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None) -> DataFrame:
-    """OP-70: same rows as the batch ``apply_oplog``."""
+def _bucket_versions(spark: SparkSession, root: str, before: int | None = None) -> dict[int, list[str]]:
+    """Per state bucket the directories that hold a version of it, oldest first, from epochs before ``before``."""
+    found: dict[int, list[str]] = {}
+    for epoch in sorted(n for n in (_list_dir(spark, root) or []) if n.startswith("epoch=")):
+        if before is None or int(epoch.split("=", 1)[1]) < before:
+            for name in _list_dir(spark, f"{root}/{epoch}") or []:
+                if name.startswith("bucket="):
+                    found.setdefault(int(name.split("=", 1)[1]), []).append(f"{root}/{epoch}/{name}")
+    return found
+
+
+def stream_apply_oplog(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None, buckets: int = 64) -> DataFrame:
+    """OP-70: same rows as the batch ``apply_oplog``.
+
+    The state is kept in ``buckets`` by a hash of the id; a micro-batch reads and rewrites the buckets it touches, and
+    versions that no replay can ask for are deleted."""
     log = oplog_stream(read_events_stream(spark, path_glob, files_per_trigger))
     sink = scratch(spark, "oplog")
+    root = f"{sink}/state"
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        # only ids touched by this batch are folded again; the rest of the state is carried over
-        # by an anti join against the batch's (small, broadcastable) id set
-        prev_path = _latest(spark, f"{sink}/state", before=epoch)
-        delta = batch.select("seq", "id", "op", "k", "v")
-        if prev_path is None:
-            nxt = fold_to_state_log(delta)
-        else:
-            prev = spark.read.schema(STATE_LOG_SCHEMA).parquet(prev_path)
-            touched = delta.select("id").distinct()
-            kept = prev.join(touched, on="id", how="left_anti")
-            redo = prev.join(touched, on="id", how="left_semi").unionByName(delta)
-            nxt = kept.select(*delta.columns).unionByName(fold_to_state_log(redo))
-        nxt.write.mode("overwrite").parquet(f"{sink}/state/epoch={epoch:012d}")   # a replay rewrites it
-        _forget(spark, f"{sink}/state", epoch - 1)
+        delta = batch.select("seq", "id", "op", "k", "v", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
+        touched = [r["bucket"] for r in delta.select("bucket").distinct().collect()]    # at most ``buckets`` rows
+        versions = _bucket_versions(spark, root, before=epoch)
+        old = [versions[b][-1] for b in touched if b in versions]
+        rows = delta.drop("bucket")
+        if old:
+            rows = spark.read.schema(STATE_LOG_SCHEMA).parquet(*old).unionByName(rows)
+        folded = fold_to_state_log(rows).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+        folded.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/epoch={epoch:012d}")   # a replay rewrites it
+        for b in touched:
+            for path in versions.get(b, [])[:-1]:
+                _delete(spark, path)
 
     run_available(log.writeStream.foreachBatch(merge), f"{sink}/checkpoint")
-    last = _latest(spark, f"{sink}/state")
-    state = spark.read.schema(STATE_LOG_SCHEMA).parquet(last) if last else spark.createDataFrame([], STATE_LOG_SCHEMA)
+    last = [paths[-1] for paths in _bucket_versions(spark, root).values()]
+    state = spark.read.schema(STATE_LOG_SCHEMA).parquet(*last) if last else spark.createDataFrame([], STATE_LOG_SCHEMA)
     return mu.apply_oplog(state)
 
 
