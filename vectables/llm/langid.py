@@ -7,7 +7,7 @@ reliability of declarations and suffixes, and the host priors, are grouped aggre
 over all rows: a host's counts are smoothed by its domain's, those by all rows' (``SMOOTH`` rows'
 worth each), and a row's own share is taken out of its host's counts.
 
-The trigram model is fitted on a bounded sample of labelled rows: the ``SAMPLE`` rows per language with the smallest hash.
+The trigram model is fitted on a bounded sample of labelled rows: the ``SAMPLE`` texts per language with the smallest hashes.
 The text's weight is capped at ``WEIGHT`` trigrams, since neighbouring trigrams are not independent.
 
 Defined cases: null and empty texts have no trigrams, so only the other evidence speaks, and they are not
@@ -79,10 +79,17 @@ class Model:
 
 
 def fit(labelled: DataFrame, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
-    """The trigram model of a bounded sample: ``sample`` rows per label with the smallest hash of their text."""
+    """The trigram model of a bounded sample: the ``sample`` texts per label with the smallest hashes.
+
+    The hash that cuts a label's sample is found on hashes alone, so no text outside the samples is shuffled; equal
+    texts of one label count once.
+    """
     rows = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).dropna()
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text")))
-    drawn = rows.withColumn("rank", rank).where(f"rank <= {sample}").select("label", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
+    cuts = rows.select("label", "hash").distinct().withColumn("rank", rank).where(f"rank <= {sample}").groupBy("label").agg(F.max("hash").alias("cut"))
+    cut = rows.sparkSession.createDataFrame([tuple(r) for r in cuts.collect()], "label string, cut long")     # one row per language
+    drawn = rows.join(F.broadcast(cut), "label").where("hash <= cut").dropDuplicates(["label", "hash"]).select("label", "text")
     counted = drawn.mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     labels = counted["label"].to_numpy(zero_copy_only=False) if len(counted) else np.zeros(0, dtype=object)
     languages = sorted(set(labels))
