@@ -13,8 +13,8 @@ Sets that are equal form one class. Classes that share a block are paired with o
 a task, which ships every block once however many of its texts have it, then between tasks, by hashed
 buckets of blocks, keeping only one pivot per block in memory. These pairs are verified on the texts, and the links found
 join classes to components. What is left, pairs in one cluster of block-sharing classes but in different
-components, is compared in blocks of at most ``SIDE`` x ``SIDE`` classes, first by the Hamming distance of narrow
-sketches, then by the sets; only links that join something go out.
+components, is compared by the Hamming distance of narrow sketches, a size band at a time and in blocks of at most
+``SIDE`` x ``SIDE`` classes; the pairs that are near enough are verified on the texts as well.
 
 Defined cases: null text is empty; an empty text has no set, links with nothing and is its own
 component; a row with a null id has a null component and links with nothing; repeated rows are judged one by
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -37,7 +38,7 @@ from vectables.llm.text import Texts, Words, as_long, mix, shingle_sets, slices
 BAND = 0.68         # ratio of the edges of a size band
 FLUSH = 2_000_000   # block rows that a task holds before it pairs and ships them
 BUCKET = 4_000_000  # shingles of all texts for each bucket of blocks
-SIDE = 256          # classes on either side of a block of comparisons
+SIDE = 4_096        # classes on either side of a block of comparisons
 
 
 class Bands:
@@ -211,56 +212,46 @@ def _links(k: int, num: int, den: int):
     return run
 
 
-def _sets(k: int):
+def _narrow(k: int, bands: Bands):
+    """(id, cluster, fp, component, n, text) -> a row per band the set joins, with its narrow sketch there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                sets, bounds = shingle_sets(Words(Texts(batch.column(batch.num_columns - 1))), k)
-                ok = pa.array(fingerprints(sets, bounds) == batch.column(2).to_numpy())
-                values = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(as_long(sets)))
-                yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (*batch.columns[:-1], values)],
-                                                 names=[*batch.schema.names[:-1], "shingles"])
+                sets, bounds = shingle_sets(Words(Texts(batch.column(5))), k)
+                right = fingerprints(sets, bounds) == batch.column(2).to_numpy()
+                at, band = bands.joined(np.diff(bounds))
+                at, band = at[right[at]], band[right[at]]
+                blocks, _, edges = sketch(sets, bounds, at, band, bands, wide=False)
+                row = pa.array(at)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(1).take(row), pa.array(band.astype(np.int32)), batch.column(0).take(row), batch.column(3).take(row),
+                    batch.column(4).take(row), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(as_long(blocks))),
+                ], names=["cluster", "band", "id", "component", "n", "blocks"])
 
     return run
 
 
-def _compare(bands: Bands):
-    """One group (cluster, i, j): links between its sides i and j that join different components."""
+def _candidates(bands: Bands):
+    """One group (cluster, band, i, j): pairs between its sides i and j, the smaller set in the band, of different
+    components and with narrow sketches no farther apart than a link allows."""
     num, den = bands.num, bands.den
 
-    def run(key, frame):
-        import pandas as pd
-
-        _, i, j = key
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        _, band, i, j = key
         frame = frame.sort_values(["n", "id"], ignore_index=True)
         ids, n, sub = frame["id"].to_numpy(), frame["n"].to_numpy(), frame["sub"].to_numpy()
-        _, root = np.unique(frame["component"].to_numpy(), return_inverse=True)
-        sets = [np.asarray(s, dtype=np.int64) for s in frame["shingles"]]
-        flat = np.concatenate(sets).view(np.uint64)
-        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        own = bands.of(n)
-        made: dict[int, tuple[int, np.ndarray]] = {}    # band -> first row in it, narrow sketches of the rows from there on
+        component = frame["component"].to_numpy()
+        rows = np.stack([np.asarray(s, dtype=np.int64) for s in frame["blocks"]]).view(np.uint64)
         out = []
-        for a in range(len(ids) - 1):
-            upto = int(np.searchsorted(n, n[a] * den // num, side="right"))
-            b = np.arange(a + 1, upto)
-            b = b[(root[b] != root[a]) & ((sub[b] != sub[a]) if i != j else True)]
-            if not len(b):
-                continue
-            if own[a] not in made:
-                lo, hi = np.searchsorted(own, [own[a], own[a] + 2])
-                at = np.arange(lo, hi)
-                made = {own[a]: (lo, sketch(flat, bounds, at, np.full(len(at), own[a]), bands, wide=False)[0].reshape(len(at), -1))}
-            lo, rows = made[own[a]]
-            apart = np.bitwise_count(rows[b - lo] ^ rows[a - lo]).sum(axis=1, dtype=np.int64)
-            for c in b[apart <= (n[a] + n[b]) * (den - num) // (den + num)]:
-                if root[c] == root[a]:
-                    continue
-                common = len(np.intersect1d(sets[a], sets[c], assume_unique=True))
-                if den * common >= num * (n[a] + n[c] - common):
-                    out.append((ids[a], ids[c]))
-                    root[root == root[c]] = root[a]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for a in range(int(np.searchsorted(bands.of(n), band, side="right"))):
+            b = np.arange(a + 1, int(np.searchsorted(n, n[a] * den // num, side="right")))
+            b = b[(component[b] != component[a]) & ((sub[b] != sub[a]) if i != j else True)]
+            apart = np.bitwise_count(rows[b] ^ rows[a]).sum(axis=1, dtype=np.int64)
+            near = b[apart <= (n[a] + n[b]) * (den - num) // (den + num)]
+            out.append(np.stack([np.full(len(near), ids[a]), ids[near]], axis=1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -282,12 +273,17 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 3,
     a, b = (classes.select(F.col("fp").alias(f"f{s}"), F.col("id").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
     star = space.save(pairs.join(a, "fa").join(b, "fb"), "star")
 
-    able = star.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "fa", "fb")
-    ends = space.save(able.select(F.col("a").alias("id")).union(able.select("b")).distinct(), "ends")
-    verified = rows_of(texts, ends, "id")
-    text_a, text_b = (verified.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-    pairs = able.join(text_a, "a").join(text_b, "b").select("a", "b", "fa", "fb", "text_a", "text_b")
-    links = space.save(pairs.mapInArrow(_links(k, num, den), "a long, b long").distinct(), "links")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among pairs (a, b, fa, fb), by their texts."""
+        pairs = space.save(pairs, f"{name}-pairs")
+        ends = space.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ends")
+        some = rows_of(texts, ends, "id")
+        text_a, text_b = (some.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
+        both = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "fa", "fb", "text_a", "text_b")
+        return space.save(both.mapInArrow(_links(k, num, den), "a long, b long").distinct(), name)
+
+    able = star.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+    links = verified(able.select("a", "b", "fa", "fb"), "links")
     found = space.save(connected_components(links, space, "linked"), "found")
 
     # classes that share buckets but are not yet in one component
@@ -297,16 +293,19 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 3,
     paired = star.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("o")).distinct().join(near, "id")
     paired = paired.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("pairs"))
     size = member.groupBy("cluster").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = size.join(paired, "cluster").where("lo <> hi and pairs < m * (m - 1) / 2").select(
-        "cluster", F.ceil(F.col("m") / SIDE).alias("sides"))
-    rest = space.save(member.join(open_, "cluster").join(classes, "id").select("id", "cluster", "fp", "component", "n", "sides"), "rest")
-    with_sets = rest.join(rows_of(texts, rest.select("id"), "id"), "id").mapInArrow(
-        _sets(k), "id long, cluster long, fp long, component long, n long, sides long, shingles array<long>")
-    sub = with_sets.withColumn("sub", F.pmod(F.xxhash64("id"), F.col("sides")))
+    open_ = size.join(paired, "cluster").where("lo <> hi and pairs < m * (m - 1) / 2").select("cluster")
+    rest = space.save(member.join(open_, "cluster").join(classes, "id").select("id", "cluster", "fp", "component", "n"), "rest")
+    narrow = space.save(rest.join(rows_of(texts, rest.select("id"), "id"), "id").select("id", "cluster", "fp", "component", "n", "text").mapInArrow(
+        _narrow(k, bands), "cluster long, band int, id long, component long, n long, blocks array<long>"), "narrow")
+    group = narrow.groupBy("cluster", "band").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    group = group.where("lo <> hi").select("cluster", "band", F.ceil(F.col("m") / SIDE).alias("sides"))
+    sub = narrow.join(group, ["cluster", "band"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("sides")))
     spread = sub.withColumn("other", F.explode(F.expr("sequence(0, sides - 1)"))).select(
-        "cluster", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"),
-        "id", "component", "n", "sub", "shingles")
-    more = spread.groupBy("cluster", "i", "j").applyInPandas(_compare(bands), "a long, b long")
+        "cluster", "band", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "id", "component", "n", "sub", "blocks")
+    near = spread.groupBy("cluster", "band", "i", "j").applyInPandas(_candidates(bands), "a long, b long").distinct()
+    with_fps = near.join(classes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(
+        classes.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
+    more = verified(with_fps.select("a", "b", "fa", "fb"), "more")
     joined = space.save(connected_components(links.union(more), space, "joined"), "joined")
 
     by_class = classes.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
