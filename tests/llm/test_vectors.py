@@ -104,6 +104,20 @@ def test_larger_factors_prune_more_and_find_most(spark):
     assert work[1] < 0.5 * queries.sum() * len(x)
 
 
+def test_copies_in_many_leaves_are_found_by_id():
+    """Groups of copies larger than a leaf: rounded distances near zero must not prune the smaller ids."""
+    rng = np.random.default_rng(12)
+    wrong = 0
+    for group in range(60):
+        x = np.tile(rng.standard_normal(64), (600, 1)) * 2.0 ** rng.integers(-3, 4, (600, 1))
+        ids = rng.permutation(len(x))
+        asked = np.arange(0, 600, 20)
+        got, _ = vptree.nearest(vptree.Tree(ids, x, group), ids[asked], x[asked], 5, 1.0)
+        copies = np.sort(ids)
+        wrong += sorted((q, i) for q, i, _ in got) != sorted((q, i) for q in ids[asked] for i in copies[copies != q][:5])
+    assert wrong == 0
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert pstable.near_duplicates(none, "vec_id", "embedding", "label").collect() == []

@@ -3,7 +3,7 @@
 Rows are dealt by a hash into shards of about ``SHARD_ROWS``; a shard's tree, built once and kept in the shared
 folder, splits its points at the median distance from a vantage point. A query leaves out a child whose distance interval is farther
 from it than its k-th best distance over ``factor``: factor one only drops what the triangle
-inequality excludes, so the search is exact, and larger factors drop more. Distances are between vectors of length
+inequality excludes (with bounds that cover the rounding of the distances), so the search is exact, and larger factors drop more. Distances are between vectors of length
 one, so they order as cosines do. Every query meets every shard, in groups of queries of bounded size;
 the k best of each shard are merged by two partial cuts.
 
@@ -28,7 +28,7 @@ from vectables.llm.vectors import Vectors, unit
 SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
 LEAF = 64
-SLACK = 1e-9            # distances from rounded cosines are that exact
+ROUNDED = 1e-12         # cosines that differ by less are ranked by id
 
 
 class Tree:
@@ -79,12 +79,14 @@ class Tree:
         """Calls ``take(queries, points)`` for every leaf a group of queries visits; it returns the
         queries' current k-th distances. Returns the number of distances computed."""
         reach = np.full(len(q), np.inf)
+        error = squared_error(q.shape[1])
+        low, high = (lambda d: np.sqrt(np.maximum(0.0, d * d - error))), (lambda d: np.sqrt(d * d + error))
         work = 0
         todo = [(0, np.arange(len(q)), None)]
         while todo:
             at, active, gap = todo.pop()
             if gap is not None:
-                active = active[gap <= reach[active] / factor + SLACK]
+                active = active[gap <= high(reach[active]) / factor]
             if not len(active):
                 continue
             lo, hi, vantage, near, far, near_d, far_d = self.nodes[at]
@@ -94,8 +96,7 @@ class Tree:
                 continue
             work += len(active)
             d = distance(q[active] @ self.x[vantage])
-            gap_near = np.maximum(0.0, np.maximum(d - near_d[1], near_d[0] - d))
-            gap_far = np.maximum(0.0, np.maximum(d - far_d[1], far_d[0] - d))
+            gap_near, gap_far = (np.maximum(0.0, np.maximum(low(d) - high(np.float64(b)), low(np.float64(a)) - high(d))) for a, b in (near_d, far_d))
             first = gap_near <= gap_far
             todo += [(far, active[first], gap_far[first]), (near, active[~first], gap_near[~first]),
                      (near, active[first], gap_near[first]), (far, active[~first], gap_far[~first])]
@@ -106,6 +107,12 @@ def distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
 
 
+def squared_error(dim: int) -> float:
+    """How far the square of a distance may be off: its root is off by far more near zero than elsewhere, so
+    bounds are drawn on squares. Covers the rounding of unit vectors and their product, and ``ROUNDED``."""
+    return 2 * ROUNDED + 4 * (dim + 8) * float(np.finfo(np.float64).eps)
+
+
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of paired rows, each by the same order of operations."""
     a = a / np.abs(a).max(axis=1, keepdims=True)
