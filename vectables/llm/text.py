@@ -117,11 +117,16 @@ def kmers(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     h = words.hash
     left = np.repeat(words.bounds[1:], words.count) - np.arange(len(h))
     at = np.flatnonzero(left >= k)
+    return run_hashes(h, at, k), at
+
+
+def run_hashes(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the run of k words, given by their hashes, that begins at each of ``at``."""
     scale = _powers(0xD6E8FEB86659FD93, k + 1)
     full = np.full(len(at), np.uint64(k), dtype=np.uint64)
     for j in range(k):
         full += h[at + j] * scale[j + 1]
-    return mix(full), at
+    return mix(full)
 
 
 SET_BITS = 52           # a shingle's identity in a set; the bits above it hold the text's number
