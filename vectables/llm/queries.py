@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectables.llm import langid, maxent, mixing, packing, parity, passages, pstable, urlrules, vptree, warc
+from vectables.llm import chunks, langid, maxent, mixing, packing, parity, passages, phrases, pstable, urlrules, vptree, warc, whitening
 from vectables.llm.store import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,49 @@ def op1_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held)
     return maxent.score(docs, "doc_id", "text", "held").withColumnRenamed("id", "doc_id")
+
+
+@query("op12_chunk_recipes", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op12_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact deduplication of all documents by chunk recipes (operator 12)."""
+    return chunks.exact_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query("op11_collocations", """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1),
+runs AS (SELECT lang, w, unnest(flatten([[{'i': i, 'm': m} FOR m IN range(1, least(5, len(w) - i + 1) + 1)] FOR i IN range(1, len(w) + 1)])) AS r FROM words),
+counts AS (SELECT lang, w[r.i: r.i + r.m - 1] AS p, count(*) AS a FROM runs GROUP BY 1, 2 HAVING count(*) >= 100),
+candidates AS (SELECT * FROM counts WHERE len(p) > 1),
+inner_runs AS (
+  SELECT lang, a, p, unnest(flatten([[{'i': i, 'm': m} FOR m IN range(2, len(p)) IF i + m - 1 <= len(p)] FOR i IN range(1, len(p) + 1)])) AS r FROM candidates),
+longer AS (SELECT lang, p[r.i: r.i + r.m - 1] AS p, max(a) AS b FROM inner_runs GROUP BY 1, 2),
+free AS (SELECT c.* FROM candidates c LEFT JOIN longer USING (lang, p) WHERE b IS NULL OR 100 * b < 100 * a),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM free),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.p = c.p[1: c.k] JOIN counts y ON y.lang = c.lang AND y.p = c.p[c.k + 1:]
+  JOIN totals t ON t.lang = c.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+    array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM weakest)
+SELECT * FROM ranked WHERE rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of 2 to 5 words whose weakest cut scores highest, in each language of all documents (operator 11)."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"), "text", "lang")
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the first eight whitened components (operator 13)."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
