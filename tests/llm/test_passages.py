@@ -62,11 +62,11 @@ def test_chains_against_all_pairs():
         best = {}
         for i in order:
             best[i] = 5.0 + max([0.0, *(best[j] - 0.1 * (x[i] - x[j] + y[i] - y[j]) for j in best if x[j] < x[i] and y[j] < y[i])])
-        chain = passages.chains(x, y)[0]
+        chain = passages.chains(x, y, gap=0.1)[0]
         score = 5.0 * len(chain) - 0.1 * sum((x[b] - x[a]) + (y[b] - y[a]) for a, b in zip(chain, chain[1:]))
         assert abs(score - max(best.values())) < 1e-9
         assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(chain, chain[1:]))
-        assert sorted(i for c in passages.chains(x, y) for i in c) == list(range(n))
+        assert sorted(i for c in passages.chains(x, y, gap=0.1) for i in c) == list(range(n))
 
 
 def test_common_words():
@@ -151,3 +151,42 @@ def test_copies_of_a_text_of_short_period_are_found(spark):
     cover = covered(found(spark.createDataFrame(rows, "doc_id long, text string")))
     assert set(range(30, 380)) <= cover.get(2, set()) and 3 not in cover
     assert not cover.get(1, set()) & set(range(50))       # its first place stays
+
+
+def _edited(rng, n, share):
+    """A passage and a copy of it in which single words are replaced, left out or added until ``share`` is left."""
+    fresh = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [fresh() for _ in range(n)]
+    copy: list[str] = list(base)
+    for at in rng.sample(range(n), round(n * (1 - share))):
+        copy[at] = rng.choice([fresh(), "", f"{copy[at]} {fresh()}"])
+    return base, " ".join(copy).split(), [fresh() for _ in range(230)]
+
+
+def test_recall_of_fuzzy_passages_near_the_limit(spark):
+    """Of passages with scattered edits, at least nine in ten are found over four fifths of their length."""
+    rng = random.Random(7)
+    rows, planted = [], {}
+    for share in (0.82, 0.85, 0.9):
+        for n in (60, 100):
+            for _ in range(100):
+                base, copy, rest = _edited(rng, n, share)
+                at = len(rows)
+                rows.append((at, " ".join(rest[:60] + base + rest[60:120])))
+                rows.append((at + 1, " ".join(rest[120:160] + copy + rest[160:])))
+                planted[at + 1] = (share, n, range(40, 40 + len(copy)))
+    cover = {}
+    for r in found(spark.createDataFrame(rows, "doc_id long, text string")):
+        assert r["to_doc"] == r["doc"] - 1 and r["same"] >= 0.8 * max(r["end"] - r["start"], r["to_end"] - r["to_start"]) - 1e-9
+        cover.setdefault(r["doc"], set()).update(range(r["start"], r["end"]))
+    for share in (0.82, 0.85, 0.9):
+        for n in (60, 100):
+            ours = {d: p for d, (s, m, p) in planted.items() if (s, m) == (share, n)}
+            hits = sum(len(cover.get(d, set()) & set(p)) >= 0.8 * len(p) for d, p in ours.items())
+            assert hits >= 90, (share, n, hits)
+
+
+def test_extension_over_left_out_words():
+    a, b = np.arange(40, dtype=np.uint64), np.concatenate([np.arange(10), np.arange(12, 30), [99], np.arange(30, 40)]).astype(np.uint64)
+    assert passages._reach(a, b) == (40, 39, 38)
+    assert passages._reach(a, a + np.uint64(100)) == (0, 0, 0) and passages._reach(a[:0], a) == (0, 0, 0)

@@ -1,7 +1,8 @@
 """Substring deduplication by collinear chaining.
 
 Seeds are the minimisers of k-word runs: of every ``WINDOW`` runs in a row the one with the smallest hash, so
-two texts that share ``k + WINDOW - 1`` words in a row share a seed. Each occurrence of a seed is paired
+two texts that share ``k + WINDOW - 1`` words in a row share a seed; and of the other runs one in ``SAMPLE`` by its own hash, which
+an edit beside it doesn't change. Each occurrence of a seed is paired
 with its first one (``star``: one pivot per seed, one shuffle, large groups split). The matches of one pair of
 documents are chained: a chain ascends in both texts, every match gains k, every word skipped on either side costs
 ``GAP``; with a cost linear in the skipped words the best predecessor is a prefix maximum, kept in a Fenwick
@@ -11,8 +12,9 @@ similar enough are the fuzzy passages. What is searched is linear in the text; n
 
 A seed meets its first place only, so the matches of a passage whose parts have earlier places in different documents
 scatter. Exact repeats do not depend on that: each run of ``min_words`` words that occurs twice meets its own first place.
-Any such run holds a seed at one of its first ``WINDOW`` words and the run of ``min_words - WINDOW + 1`` words from there, so
-those, a key a seed, tell which places can hold one; only around the repeated ones are the whole runs hashed.
+Any such run holds a minimiser at one of its first ``WINDOW`` words and the run of ``min_words - WINDOW + 1`` words from there,
+whose hash the seed carries along; so the seeds that occur again tell which places can hold one, and only around those whose longer
+runs repeat too are the whole runs hashed.
 Neighbouring runs that meet neighbouring places are one passage. Fuzzy passages that hold no exact run of that length
 need two seeds that first occur in one document.
 
@@ -36,8 +38,10 @@ from vectables.llm.text import SLICE_BYTES, Texts, Words, as_long, kmers, run_ha
 
 K = 5                   # words in a seed
 WINDOW = 12             # of so many seeds in a row, one is kept
-GAP = 0.1               # what a skipped word costs a chain
+SAMPLE = 6              # of all other seeds, one in so many is kept whatever stands around it
+GAP = 0.05              # what a skipped word costs a chain
 PAD = 128               # words of either text around a chain that an alignment may reach
+SHIFT = 4               # words that an extension may leave out at once
 DROP = 6                # an extension ends when its score is this much below its best
 MIN_WORDS = 50
 MIN_SHARE = 0.8
@@ -57,7 +61,8 @@ def minimisers(hashes: np.ndarray, text: np.ndarray, window: int = WINDOW) -> np
 
 
 def _seeds(k: int, length: int):
-    """Places of seeds, keyed by the ``length`` words from there; a place with fewer has no row."""
+    """Places of seeds, keyed by their k words: the minimisers, with a hash of the ``length`` words from there (0 if
+    there are fewer), and of all other places those whose own hash is divisible by ``SAMPLE``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -65,16 +70,16 @@ def _seeds(k: int, length: int):
                 words = Words(Texts(batch.column(1)))
                 hashes, at = kmers(words, k)
                 text = words.text[at]
-                own = minimisers(hashes, text)
-                if length > k:
-                    own = own[at[own] + length <= words.bounds[text[own] + 1]]
-                    key = run_hashes(words.hash, at[own], length)
-                else:
-                    key = hashes[own]
+                least = np.zeros(len(hashes), dtype=bool)
+                least[minimisers(hashes, text)] = True
+                own = np.flatnonzero(least | (hashes % np.uint64(SAMPLE) == 0))
+                runs = np.zeros(len(own), dtype=np.uint64)
+                full = least[own] & (at[own] + length <= words.bounds[text[own] + 1])
+                runs[full] = np.maximum(run_hashes(words.hash, at[own[full]], length), np.uint64(1))
                 if len(own):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(as_long(key)), batch.column(0).take(pa.array(text[own])),
-                         pa.array(at[own] - words.bounds[text[own]])], names=["key", "doc", "pos"])
+                        [pa.array(as_long(hashes[own])), batch.column(0).take(pa.array(text[own])),
+                         pa.array(at[own] - words.bounds[text[own]]), pa.array(as_long(runs))], names=["key", "doc", "pos", "run"])
 
     return run
 
@@ -190,7 +195,7 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+def _diagonal(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """(words, words that match) of the best extension along the diagonal."""
     n = min(len(a), len(b))
     if not n or a[0] != b[0] and n < 2:
@@ -203,14 +208,33 @@ def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return (best + 1, int(same[: best + 1].sum())) if len(total) and total[best] > 0 else (0, 0)
 
 
+_SHIFTS = sorted(((i, j) for i in range(SHIFT + 1) for j in range(SHIFT + 1) if i or j), key=lambda s: (max(s), sum(s)))
+
+
+def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(words of a, words of b, words that match) of an extension along diagonals: where one ends, the next begins at the
+    nearest two words in common, up to ``SHIFT`` words on."""
+    x = y = same = 0
+    left, right = a.tolist(), b.tolist()
+    while True:
+        n, equal = _diagonal(a[x:], b[y:])
+        x, y, same = x + n, y + n, same + equal
+        for i, j in _SHIFTS:
+            if left[x + i: x + i + 2] == right[y + j: y + j + 2] and x + i + 2 <= len(left) and y + j + 2 <= len(right):
+                x, y = x + i, y + j
+                break
+        else:
+            return x, y, same
+
+
 def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int, min_words: int, min_share: float) -> list[tuple[int, int, int, int, int]]:
     """Passages along a chain of k-word matches: (x from, x to, y from, y to, words that match).
 
     The chain is cut into stretches (its ends' extensions, its matches, what lies between them); of these,
-    best-scoring runs with at least ``min_share`` of their words in common are taken until none is long enough.
+    runs with at least ``min_share`` of their words in common are taken until none is long enough.
     """
-    left, left_same = _reach(a[: xs[0]][::-1], b[: ys[0]][::-1])
-    x, y = int(xs[0]) - left, int(ys[0]) - left
+    back_x, back_y, left_same = _reach(a[: xs[0]][::-1], b[: ys[0]][::-1])
+    x, y = int(xs[0]) - back_x, int(ys[0]) - back_y
     part = [(x, y, left_same)]              # where each stretch starts, and its words in common
     x, y = int(xs[0]), int(ys[0])
     for u, v in zip(xs.tolist(), ys.tolist()):
@@ -224,27 +248,32 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int,
             continue
         part.append((u + k - grow, v + k - grow, grow))
         x, y = u + k, v + k
-    right, right_same = _reach(a[x:], b[y:])
+    on_x, on_y, right_same = _reach(a[x:], b[y:])
     part.append((x, y, right_same))
-    part.append((x + right, y + right, 0))
+    part.append((x + on_x, y + on_y, 0))
     px, py, same = (np.array(c) for c in zip(*part))
     size = np.maximum(np.diff(px), np.diff(py))
-    worth = same[:-1] - min_share * size
-    out, todo = [], [(0, len(worth))]
+    matched, words, far = (np.concatenate([[0], np.cumsum(c)]) for c in (same[:-1], size, np.diff(py)))
+    out, todo = [], [(0, len(size))]
     while todo:
         lo, hi = todo.pop()
         if hi <= lo or px[hi] - px[lo] < min_words:
             continue
-        sums = np.concatenate([[0.0], np.cumsum(worth[lo:hi])])
-        low = np.minimum.accumulate(sums)
-        end = int((sums[1:] - low[:-1]).argmax()) + 1
-        begin = int(sums[:end].argmin())
-        if sums[end] - sums[begin] < 0:
+        # the run that gains most over a lower share reaches over weak stretches; if all of it is too weak, the share is raised
+        for share in (min_share - 0.2, min_share - 0.1, min_share):
+            sums = (matched - share * words)[lo: hi + 1]
+            low = np.minimum.accumulate(sums)
+            end = int((sums[1:] - low[:-1]).argmax()) + 1
+            s = lo + int(sums[:end].argmin())
+            e = lo + end
+            if matched[e] - matched[s] >= min_share * (words[e] - words[s]) - 1e-9:
+                break
+        else:
             continue
-        s, e = lo + begin, lo + end
-        if px[e] - px[s] >= min_words and py[e] - py[s] >= min_words * min_share:
-            out.append((int(px[s]), int(px[e]), int(py[s]), int(py[e]), int(same[s:e].sum())))
-        todo += [(lo, s), (e, hi)]
+        if px[e] - px[s] >= min_words and far[e] - far[s] >= min_words * min_share:
+            out.append((int(px[s]), int(px[e]), int(py[s]), int(py[e]), int(matched[e] - matched[s])))
+        if e > s:
+            todo += [(lo, s), (e, hi)]
     return out
 
 
@@ -307,9 +336,9 @@ def _runs(length: int):
     return run
 
 
-def exact_passages(texts: DataFrame, min_words: int, space: Workspace) -> DataFrame:
-    """Repeats of every run of ``min_words`` words in ``texts(id, text)`` that has an earlier place, as rows of ``_FOUND``."""
-    seeds = texts.mapInArrow(_seeds(K, min_words - WINDOW + 1), "key long, doc long, pos long")
+def exact_passages(texts: DataFrame, seeds: DataFrame, min_words: int, space: Workspace) -> DataFrame:
+    """Repeats of every run of ``min_words`` words in ``texts(id, text)`` that has an earlier place, as rows of ``_FOUND``.
+    ``seeds(key, doc, pos)`` are the places of seeds that occur again, keyed by the ``min_words - WINDOW + 1`` words from there."""
     pairs = star_edges(seeds, ["doc", "pos"], space, "long-stars").where("doc <> to_doc or pos <> to_pos")
     places = space.save(pairs.select(F.col("doc").alias("id"), "pos").union(pairs.select("to_doc", "to_pos")).groupBy("id").agg(
         F.collect_set("pos").alias("places")), "places")
@@ -337,11 +366,13 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
     space = Workspace(docs.sparkSession, "passages")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(
         "id is not null and text is not null")
-    seeds = texts.mapInArrow(_seeds(K, K), "key long, doc long, pos long")
-    matches = star_edges(seeds, ["doc", "pos"], space).where("doc <> to_doc or pos <> to_pos")
+    seeds = texts.mapInArrow(_seeds(K, min_words - WINDOW + 1), "key long, doc long, pos long, run long")
+    matches = star_edges(seeds, ["doc", "pos", "run"], space).where("doc <> to_doc or pos <> to_pos")
     found = space.save(
         matches.select("doc", "to_doc", "pos", "to_pos").repartition("doc", "to_doc").sortWithinPartitions(
             "doc", "to_doc", "pos", "to_pos").mapInArrow(_chain(K, 2), _CHAIN), "chains")
+    again = matches.select(F.col("run").alias("key"), "doc", "pos").union(matches.select("to_run", "to_doc", "to_pos")).where("key <> 0")
+    long_seeds = space.save(again.distinct(), "long-seeds")
     space.drop("stars")
     ends = space.save(found.select(F.col("doc").alias("id")).union(found.select("to_doc")).distinct(), "ends")
     chained = rows_of(texts, ends, "id")
@@ -350,7 +381,7 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
     both = sources.join(chained.withColumnRenamed("id", "doc"), "doc").select(
         "doc", "to_doc", "xs", "ys", "first", "source", "text", F.xxhash64("text").alias("text_hash"))
     fuzzy = space.save(both.mapInArrow(_aligned(K, min_words, min_share), _FOUND).distinct(), "passages")
-    exact = exact_passages(texts, min_words, space)
+    exact = exact_passages(texts, long_seeds, min_words, space)
     wider = fuzzy.select("doc", "text_hash", F.col("start").alias("low"), F.col("end").alias("high"))
     inside = (exact["doc"] == wider["doc"]) & (exact["text_hash"] == wider["text_hash"]) & (F.col("low") <= F.col("start")) & (F.col("end") <= F.col("high"))
     return fuzzy.union(exact.join(wider, inside, "left_anti"))

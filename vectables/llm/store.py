@@ -13,11 +13,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vectables.session import storage_root
 
 
+BATCH_BYTES = 8 << 20   # of texts that travel to a Python worker at once
+
+
 class Workspace:
-    """A fresh folder for one run of one operator."""
+    """A fresh folder for one run of one operator.
+
+    Where the session has Spark's own limit on the bytes of an Arrow batch, it is lowered to ``BATCH_BYTES``: a batch of long
+    texts stands several times in an executor, as rows, as buffers and in the worker.
+    """
 
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
+        limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if spark.conf.get(limit, "64m") in ("64m", "67108864", "67108864b"):
+            spark.conf.set(limit, BATCH_BYTES)
         self.root = f"{storage_root(spark)}/llm/{operator}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

@@ -59,7 +59,7 @@ class Texts:
         return len(self.offsets) - 1
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text, or one longer text."""
     if batch.num_rows == 0:
         return
