@@ -369,7 +369,7 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
     seeds = texts.mapInArrow(_seeds(K, min_words - WINDOW + 1), "key long, doc long, pos long, run long")
     matches = star_edges(seeds, ["doc", "pos", "run"], space).where("doc <> to_doc or pos <> to_pos")
     found = space.save(
-        matches.select("doc", "to_doc", "pos", "to_pos").repartition("doc", "to_doc").sortWithinPartitions(
+        matches.where(f"doc <> to_doc or pos - to_pos >= {min_words}").select("doc", "to_doc", "pos", "to_pos").repartition("doc", "to_doc").sortWithinPartitions(
             "doc", "to_doc", "pos", "to_pos").mapInArrow(_chain(K, 2), _CHAIN), "chains")
     again = matches.select(F.col("run").alias("key"), "doc", "pos").union(matches.select("to_run", "to_doc", "to_pos")).where("key <> 0")
     long_seeds = space.save(again.distinct(), "long-seeds")
