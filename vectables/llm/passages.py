@@ -14,7 +14,7 @@ A seed meets its first place only, so the matches of a passage whose parts have
 scatter. Exact repeats do not depend on that: each run of ``min_words`` words that occurs twice meets its own first place.
 Any such run holds a minimiser at one of its first ``WINDOW`` words and the run of ``min_words - WINDOW + 1`` words from there,
 whose hash the seed carries along; so the seeds that occur again tell which places can hold one, and only around those whose longer
-runs repeat too are the whole runs hashed.
+runs repeat too, at a place that no passage found so far covers, are the whole runs hashed.
 Neighbouring runs that meet neighbouring places are one passage. Fuzzy passages that hold no exact run of that length
 need two seeds that first occur in one document.
 
@@ -26,6 +26,7 @@ row's source is always an earlier place (smaller id, then smaller position), so
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ K = 5                   # words in a seed
 WINDOW = 12             # of so many seeds in a row, one is kept
 SAMPLE = 6              # of all other seeds, one in so many is kept whatever stands around it
 GAP = 0.05              # what a skipped word costs a chain
+SPAN = 10               # words from a chain's first to its last that tell it from a phrase
 PAD = 128               # words of either text around a chain that an alignment may reach
 SHIFT = 4               # words that an extension may leave out at once
 DROP = 6                # an extension ends when its score is this much below its best
@@ -126,7 +128,7 @@ _CHAIN = "doc long, to_doc long, xs array<int>, ys array<int>"
 
 
 def _chain(k: int, least: int):
-    """Sorted matches (doc, to_doc, pos, to_pos) -> chains of at least ``least`` matches."""
+    """Sorted matches (doc, to_doc, pos, to_pos) -> chains of at least ``least`` matches and ``SPAN`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chained(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,7 @@ def _chain(k: int, least: int):
             for i in np.flatnonzero(np.diff(edges) >= least).tolist():
                 a, b = int(edges[i]), int(edges[i + 1])
                 for chain in chains(x[a:b], y[a:b], k):
-                    if len(chain) >= least:
+                    if len(chain) >= least and x[a + chain[-1]] - x[a + chain[0]] >= SPAN - k:
                         at = a + np.array(chain)
                         docs.append(d[a])
                         tos.append(t[a])
@@ -166,17 +168,23 @@ def _chain(k: int, least: int):
     return run
 
 
+def _distinct(column: pa.Array) -> tuple[np.ndarray, Words]:
+    """The words of the distinct texts of a column, and which of them each row has: the rows of one text follow each other."""
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(), Words(Texts(coded.dictionary))
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the source's text by the hashes of its words around the chain, from word ``first``."""
     for whole in batches:
         for batch in slices(whole, "text"):
-            words = Words(Texts(batch.column(batch.schema.get_field_index("text"))))
+            of, words = _distinct(batch.column(batch.schema.get_field_index("text")))
             ys = batch.column(batch.schema.get_field_index("ys"))
             flat, at = ys.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ys.value_lengths().to_numpy())])
             lo = np.maximum(flat[at[:-1]] - PAD, 0)
-            hi = np.minimum(flat[at[1:] - 1] + K + PAD, words.count)
+            hi = np.minimum(flat[at[1:] - 1] + K + PAD, words.count[of])
             n = np.maximum(hi - lo, 0)
-            take = np.repeat(words.bounds[:-1] + lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            take = np.repeat(words.bounds[of] + lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(as_long(words.hash[take])))
             names = ["doc", "to_doc", "xs", "ys"]
             yield pa.RecordBatch.from_arrays(
@@ -227,6 +235,19 @@ def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
             return x, y, same
 
 
+def _equal_runs(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The matches of a chain as (x, y, words), those in one that follow each other on a diagonal with equal words between."""
+    joins = np.zeros(len(xs), dtype=bool)
+    for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(xs - ys)) + 1).tolist(), len(xs)]):
+        u, v = int(xs[lo]), int(ys[lo])
+        n = int(xs[hi - 1]) + k - u
+        other = np.concatenate([[0], np.cumsum(a[u: u + n] != b[v: v + n])])
+        joins[lo + 1: hi] = other[xs[lo + 1: hi] - u] == other[xs[lo: hi - 1] - u]
+    first = np.flatnonzero(~joins)
+    last = np.append(first[1:], len(xs)) - 1
+    return list(zip(xs[first].tolist(), ys[first].tolist(), (xs[last] + k - xs[first]).tolist()))
+
+
 def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int, min_words: int, min_share: float) -> list[tuple[int, int, int, int, int]]:
     """Passages along a chain of k-word matches: (x from, x to, y from, y to, words that match).
 
@@ -237,17 +258,17 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int,
     x, y = int(xs[0]) - back_x, int(ys[0]) - back_y
     part = [(x, y, left_same)]              # where each stretch starts, and its words in common
     x, y = int(xs[0]), int(ys[0])
-    for u, v in zip(xs.tolist(), ys.tolist()):
+    for u, v, n in _equal_runs(a, b, xs, ys, k):
         if u > x or v > y:
             if u < x or v < y:              # overlapping matches on two diagonals: the later one is left out
                 continue
             part.append((x, y, common_words(a[x:u], b[y:v])))
             x, y = u, v
-        grow = min(k, u + k - x, v + k - y) if (u + k - x) == (v + k - y) else 0
+        grow = min(n, u + n - x, v + n - y) if (u + n - x) == (v + n - y) else 0
         if grow <= 0:
             continue
-        part.append((u + k - grow, v + k - grow, grow))
-        x, y = u + k, v + k
+        part.append((u + n - grow, v + n - grow, grow))
+        x, y = u + n, v + n
     on_x, on_y, right_same = _reach(a[x:], b[y:])
     part.append((x, y, right_same))
     part.append((x + on_x, y + on_y, 0))
@@ -287,7 +308,7 @@ def _aligned(k: int, min_words: int, min_share: float):
         for whole in batches:
             for batch in slices(whole, "text"):
                 col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-                words = Words(Texts(col["text"]))
+                of, words = _distinct(col["text"])
                 lists = {}
                 for n in ("xs", "ys", "source"):
                     lists[n] = col[n].flatten().to_numpy(), np.concatenate([[0], np.cumsum(col[n].value_lengths().to_numpy())])
@@ -296,8 +317,8 @@ def _aligned(k: int, min_words: int, min_share: float):
                 for i in range(batch.num_rows):
                     xs, ys, b = (v[at[i]: at[i + 1]] for v, at in (lists["xs"], lists["ys"], lists["source"]))
                     lo = max(int(xs[0]) - PAD, 0)
-                    hi = min(int(xs[-1]) + k + PAD, int(words.count[i]))
-                    base = words.bounds[i]
+                    hi = min(int(xs[-1]) + k + PAD, int(words.count[of[i]]))
+                    base = words.bounds[of[i]]
                     a, b = words.hash[base + lo: base + hi], b.view(np.uint64)
                     u, v = xs - lo, ys - first[i]
                     ok = (u + k <= len(a)) & (v + k <= len(b))
@@ -336,11 +357,17 @@ def _runs(length: int):
     return run
 
 
-def exact_passages(texts: DataFrame, seeds: DataFrame, min_words: int, space: Workspace) -> DataFrame:
-    """Repeats of every run of ``min_words`` words in ``texts(id, text)`` that has an earlier place, as rows of ``_FOUND``.
-    ``seeds(key, doc, pos)`` are the places of seeds that occur again, keyed by the ``min_words - WINDOW + 1`` words from there."""
-    pairs = star_edges(seeds, ["doc", "pos"], space, "long-stars").where("doc <> to_doc or pos <> to_pos")
-    places = space.save(pairs.select(F.col("doc").alias("id"), "pos").union(pairs.select("to_doc", "to_pos")).groupBy("id").agg(
+def exact_passages(texts: DataFrame, seeds: DataFrame, known: DataFrame, min_words: int, space: Workspace) -> DataFrame:
+    """Repeats of runs of ``min_words`` words in ``texts(id, text)`` that have an earlier place, as rows of ``_FOUND``: of all but those
+    whose later places all lie in ``known(doc, low, high)``. ``seeds(key, doc, pos)`` are the places of seeds that occur again, keyed by
+    the ``min_words - WINDOW + 1`` words from there."""
+    pairs = star_edges(seeds.select("key", "doc", "pos", F.col("key").alias("run")), ["doc", "pos", "run"], space, "long-stars").where(
+        "doc <> to_doc or pos <> to_pos")
+    # all runs around a place lie inside a passage that is known already
+    inside = (pairs["doc"] == known["doc"]) & (F.col("low") <= F.col("pos") - (WINDOW - 1)) & (F.col("pos") + min_words <= F.col("high"))
+    open_keys = space.save(pairs.join(known, inside, "left_anti").select("run").distinct(), "open")
+    rest = rows_of(pairs, open_keys, "run")
+    places = space.save(rest.select(F.col("doc").alias("id"), "pos").union(rest.select("to_doc", "to_pos")).groupBy("id").agg(
         F.collect_set("pos").alias("places")), "places")
     space.drop("long-stars")
     held = rows_of(texts, places.select("id"), "id").join(places, "id").select(
@@ -381,7 +408,11 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
     both = sources.join(chained.withColumnRenamed("id", "doc"), "doc").select(
         "doc", "to_doc", "xs", "ys", "first", "source", "text", F.xxhash64("text").alias("text_hash"))
     fuzzy = space.save(both.mapInArrow(_aligned(K, min_words, min_share), _FOUND).distinct(), "passages")
-    exact = exact_passages(texts, long_seeds, min_words, space)
+    several = space.save(texts.select("id", F.xxhash64("text").alias("mark")).groupBy("id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where(
+        "a <> b").select("id"), "several")     # ids of several texts: what is known of one says nothing of the other
+    known = rows_of(fuzzy.withColumnRenamed("doc", "id"), several, "id", others=True).select(
+        F.col("id").alias("doc"), F.col("start").alias("low"), F.col("end").alias("high"))
+    exact = exact_passages(texts, long_seeds, known, min_words, space)
     wider = fuzzy.select("doc", "text_hash", F.col("start").alias("low"), F.col("end").alias("high"))
     inside = (exact["doc"] == wider["doc"]) & (exact["text_hash"] == wider["text_hash"]) & (F.col("low") <= F.col("start")) & (F.col("end") <= F.col("high"))
     return fuzzy.union(exact.join(wider, inside, "left_anti"))
