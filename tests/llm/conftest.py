@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, part int, fp string, row string, rows string, n string, label string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, part int, fp string, row string, rows string, n string, label string, ranges string, text_key string, mix_ranges string, passage_cuts string"
 
 
 def words(rng: random.Random, n: int, lang: str = "a") -> str:
@@ -36,7 +36,7 @@ def hard_rows():
 
 @pytest.fixture(scope="session")
 def hard_docs(spark, hard_rows):
-    full = [(i, t, g, s, None if t is None else len(t), 7, "k", 1, "f", "r", "q", "n", "l") for i, t, g, s in hard_rows]
+    full = [(i, t, g, s, None if t is None else len(t), 7, "k", 1, "f", "r", "q", "n", "l", "g", "x", "m", "p") for i, t, g, s in hard_rows]
     return spark.createDataFrame(full, DOCS).repartition(3).cache()
 
 

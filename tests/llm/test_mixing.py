@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.reference import words_of
 from vectables.llm import mixing
@@ -57,3 +58,11 @@ def test_mix_is_near_its_targets_and_repeats(hard_docs, hard_rows, monkeypatch):
 
 def test_empty(no_docs):
     assert mixing.mix(no_docs, "doc_id", "source", "text").collect() == []
+
+
+def test_slots_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), F.lit(100).cast("long").alias("size"))
+    slots = mixing.shard_slots(spark, mixing.plan(docs, "source", "size"))
+    per_task = slots.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 20 and max(r["count"] for r in per_task) < slots.count() / 8

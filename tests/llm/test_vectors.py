@@ -122,3 +122,18 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert pstable.near_duplicates(none, "vec_id", "embedding", "label").collect() == []
     assert vptree.search(none, "vec_id", "embedding", F.col("id") % 50 == 0).collect() == []
+
+
+@pytest.mark.parametrize("rows, want", [
+    # one id with two vectors of one label, each with a near copy
+    ([(1, 0, 0.0, "a"), (1, 1, 0.0, "a"), (2, 0, 0.01, "a"), (3, 1, 0.01, "a")], [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]),
+    # one id under two labels
+    ([(1, 0, 0.0, "a"), (1, 1, 0.0, "b"), (2, 0, 0.01, "a"), (3, 1, 0.01, "b")], [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]),
+    # a copy of one of the two vectors, and a vector of its own
+    ([(5, 0, 0.0, "a"), (5, 1, 0.0, "a"), (4, 1, 0.0, "a"), (9, 2, 0.0, "a")], [(4, 1, 4), (5, 0, 5), (5, 1, 4), (9, 0, 9)]),
+])
+def test_rows_that_repeat_an_id_are_judged_one_by_one(spark, rows, want):
+    base = np.random.default_rng(6).standard_normal((3, 16))
+    table = spark.createDataFrame([(i, (base[b] + off).tolist(), label) for i, b, off, label in rows], "vec_id long, embedding array<double>, label string")
+    out = pstable.near_duplicates(table, "vec_id", "embedding", "label").collect()
+    assert sorted((r.id, r.n_links, r.component) for r in out) == want

@@ -28,6 +28,7 @@ from vectables.llm.store import Workspace
 BLOCK = 64              # words in a block
 CHUNK_ROWS = 20_000     # documents for each chunk number; a source's documents of one chunk are ordered in one task
 SHARD_SLOTS = 1 << 16   # slots of an output shard
+MOST_TASKS = 10_000     # tasks that number slots
 MOST = 3                # a source's target is at most this many times its size
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -150,7 +151,9 @@ def shard_slots(spark: SparkSession, sources: pd.DataFrame, seed: int = 7) -> Da
     ranges = drawn.withColumn("upto", F.sum("drawn").over(upto)).select(
         "shard", "k", F.least(F.col("upto") - F.col("drawn"), limit).alias("first"),
         F.when(F.col("shard") == shards - 1, limit).otherwise(F.least("upto", limit)).alias("end"))
-    ranges = ranges.select("shard", "k", "first", (F.col("end") - F.col("first")).alias("n")).where("n > 0")
+    # a shard of a source is a unit of work: given as a number of partitions, so they are not put together for their few bytes
+    ranges = ranges.select("shard", "k", "first", (F.col("end") - F.col("first")).alias("n")).where("n > 0").repartition(
+        max(1, min(shards, MOST_TASKS)), "shard", "k")
     return ranges.mapInPandas(
         _number(sources["src"].tolist(), sources["blocks"].astype(int).tolist(), sources["rest"].astype(int).tolist(), slots, seed),
         "shard long, src string, slot long, turn long, block long, take long")

@@ -155,12 +155,13 @@ def near_duplicates(table: DataFrame, id_col: str, vector_col: str, label_col: s
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector"))
     known = space.save(rows.mapInArrow(_identify, "id long, label string, key binary"), "known")
     able = known.where("id is not null and label is not null and key is not null")
-    classes = space.save(able.groupBy("label", "key").agg(F.min("id").alias("class"), F.count("*").alias("mult")), "classes")
+    classes = space.save(able.groupBy("label", "key").agg(F.min("id").alias("least"), F.count("*").alias("mult")).withColumn(
+        "class", F.xxhash64("label", "key")), "classes")
 
-    # the vector of a class: of its least id (and, should an id occur twice, of the row with this vector)
-    digest = rows.join(classes.withColumnRenamed("class", "id"), ["id", "label"])
-    digest = digest.select("id", "label", "mult", "vector", "key").mapInArrow(
-        _same, "id long, label string, mult long, vector array<double>").dropDuplicates(["id", "label"])
+    # the vector of a class: of a row of its least id that has this vector; one id may stand for several classes
+    digest = rows.join(classes.withColumnRenamed("least", "id"), ["id", "label"])
+    digest = digest.select(F.col("class").alias("id"), "label", "mult", "vector", "key").mapInArrow(
+        _same, "id long, label string, mult long, vector array<double>").dropDuplicates(["id"])
     hashed = space.save(digest.mapInArrow(
         _hash(tables, width, step, seed), "id long, mult long, vector array<double>, keys array<long>"), "hashed")
 
@@ -177,9 +178,10 @@ def near_duplicates(table: DataFrame, id_col: str, vector_col: str, label_col: s
 
     counts = found.where("kind = 0").groupBy(F.col("x").alias("class")).agg(F.sum("y").alias("others"))
     joined = connected_components(found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")), space)
-    by_class = classes.join(counts, "class", "left").join(joined.withColumnRenamed("id", "class"), "class", "left").select(
-        "label", "key", (F.col("mult") - 1 + F.coalesce("others", F.lit(0))).alias("links"),
-        F.coalesce("component", "class").alias("joined"))
+    of = classes.join(joined.withColumnRenamed("id", "class"), "class", "left").withColumn("of", F.coalesce("component", "class"))
+    first = of.groupBy("of").agg(F.min("least").alias("joined"))
+    by_class = of.join(first, "of").join(counts, "class", "left").select(
+        "label", "key", (F.col("mult") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "joined")
     out = known.join(by_class, ["label", "key"], "left").select(
         "id", F.coalesce(F.when(F.col("id").isNotNull(), F.col("links")), F.lit(0)).alias("n_links"),
         F.when(F.col("id").isNotNull(), F.coalesce("joined", "id")).alias("component"))

@@ -92,8 +92,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = mixing.WEIGHTS) ->
     A document that the mix takes twice is in the result twice, one that it leaves out is not.
     """
     keyed, key = _keyed(docs)
-    mixed = mixing.mix(keyed, key, "source", "text", weights=weights).where("taken > 0").select(F.col("id").alias(key), "ranges")
-    taken = keyed.dropDuplicates([key]).join(mixed.hint("merge"), key).select(F.struct(*docs.columns).alias("row"), "text", "ranges")
+    parts = free_name(docs.columns, "mix_ranges")
+    mixed = mixing.mix(keyed, key, "source", "text", weights=weights).where("taken > 0").select(F.col("id").alias(key), F.col("ranges").alias(parts))
+    taken = keyed.dropDuplicates([key]).join(mixed.hint("merge"), key).select(
+        F.struct(*docs.columns).alias("row"), F.col("text"), F.col(parts).alias("ranges"))
     made = taken.mapInArrow(_copies, f"row {taken.schema['row'].dataType.simpleString()}, text string")
     texts = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return made.select(*(texts[c].alias(c) if c in texts else F.col("row")[c].alias(c) for c in docs.columns))
