@@ -46,9 +46,16 @@ def vsum(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity, higher is better. Zero norm on either side gives null: never a hit."""
+    """Cosine similarity, higher is better. A zero norm, a null or non-finite component or another length on either side
+    gives null: never a hit."""
     na, nb = norm(a), norm(b)
-    return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb))
+    finite = lambda n: (n > 0) & (n < float("inf"))  # noqa: E731 - NaN is above infinity
+    return F.when(finite(na) & finite(nb), dot(a, b) / (na * nb))
+
+
+def finite_vector(vec: Column) -> Column:
+    """True where the vector is neither null nor empty and all its components are finite numbers."""
+    return F.coalesce((F.size(vec) > 0) & F.forall(vec, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
 
 
 def vector_literal(values) -> Column:

@@ -4,38 +4,44 @@
 element in the collection. ``alpha`` is one global aggregate (a partial max per task, one value
 to the driver); the transform itself is a JVM-side ``transform`` on each row.
 
-Search ranks by the integer dot product of quantized vectors, keeps a shortlist of
-``k * oversample`` per query, then re-ranks the shortlist by the exact cosine. Per task the
-kernel keeps a local shortlist by ``(int score desc, id asc)``; the global shortlist is a
+The codes are stored: a table of (id, one byte a component, keyword), a quarter of the vectors' bytes, written once and
+read by every search. Search ranks by the integer dot product of codes, keeps a shortlist of ``k * oversample`` per query,
+then fetches the vectors of the shortlisted ids and re-ranks by the exact cosine; no other vector is read by a kernel. Per
+task the kernel keeps a local shortlist by ``(int score desc, id asc)``; the global shortlist is a
 ``row_number`` cut on the same key, so it equals the shortlist over the whole table.
+
+A vector that is null, empty, zero, of another length or with a non-finite component has no code and is no hit, and
+``alpha`` does not see it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectables import TOP_K
-from vectables.session import ship
-from vectables.functions.vectors import SCORE_DECIMALS
-from vectables.operators.search import (QUERY_TILE, _groups_by_keyword, _top_candidates, cut_hits, over_chunks, point_batches,
-                                        query_chunks, query_dim, reduce_topk, unit_rows)
+from vectables.session import ship, storage_root
+from vectables.functions.vectors import SCORE_DECIMALS, finite_vector
+from vectables.operators.search import (HIT_SCHEMA, QUERY_TILE, _groups_by_keyword, _top_candidates, arrow_vectors, cut_hits, over_chunks,
+                                        point_batches, query_chunks, query_dim, rank_hits, reduce_topk, unit_rows)
 
 QMAX = 127
 OVERSAMPLE = 1.5
-QHIT_SCHEMA = "query_id long, id long, iscore long, score double, a string"
+QHIT_SCHEMA = "query_id long, id long, iscore long, a string"
 
 
 def alpha_of(points: DataFrame, vector: str = "vec") -> float:
-    row = points.agg(F.max(F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))).alias("m")).first()
+    row = points.where(finite_vector(F.col(vector))).agg(F.max(F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))).alias("m")).first()
     return float(row["m"] or 1.0)
 
 
 def quantize(vec: Column, alpha: float) -> Column:
-    return F.transform(vec, lambda x: F.greatest(F.lit(-QMAX), F.least(F.lit(QMAX), F.floor(
-        x.cast("double") / F.lit(float(alpha)) * QMAX + 0.5))).cast("tinyint"))
+    return F.when(finite_vector(vec), F.transform(vec, lambda x: F.greatest(F.lit(-QMAX), F.least(F.lit(QMAX), F.floor(
+        x.cast("double") / F.lit(float(alpha)) * QMAX + 0.5))).cast("tinyint")))
 
 
 def quantize_np(mat: np.ndarray, alpha: float) -> np.ndarray:
@@ -44,16 +50,45 @@ def quantize_np(mat: np.ndarray, alpha: float) -> np.ndarray:
     return np.clip(np.floor(mat / alpha * QMAX + 0.5), -QMAX, QMAX)
 
 
-def make_int8_kernel(qids, qmat, qmust, alpha, shortlist, vector):
-    """``mapInArrow`` function: integer-dot shortlist per query with the exact cosine carried along."""
-    qq = quantize_np(qmat, alpha)
-    qunit, qgood = unit_rows(qmat)
+def encode(points: DataFrame, alpha: float, dim: int, vector: str = "vec") -> DataFrame:
+    """``(id, code, a)``: one byte per component, for the points that can be hits."""
+
+    def run(batches):
+        for ids, _unit, raw, labels, _cells in point_batches(batches, vector, dim=dim):
+            codes = quantize_np(raw, alpha).astype(np.int8)
+            bounds = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * dim)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, bounds.buffers()[1], pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), packed, pa.array(list(labels), pa.string())], names=["id", "code", "a"])
+
+    return points.select("id", vector, "a").mapInArrow(run, "id long, code binary, a string")
+
+
+def build_codes(points: DataFrame, dim: int, path: str, vector: str = "vec", alpha: float | None = None) -> tuple[float, DataFrame]:
+    """Writes the codes at ``path``: ``(alpha, codes(id, code, a))``, what a quantized search reads."""
+    alpha = alpha_of(points, vector) if alpha is None else alpha
+    codes = encode(points, alpha, dim, vector)
+    codes.write.mode("errorifexists").parquet(path)
+    return alpha, points.sparkSession.read.schema(codes.schema).parquet(path)
+
+
+def make_int8_kernel(qids, qmat, qmust, alpha, shortlist):
+    """``mapInArrow`` function over codes: the shortlist of each query by integer dot product."""
+    _, qgood = unit_rows(qmat)
+    dim = qmat.shape[1]
+    kind = np.float32 if dim <= 1024 else np.float64     # sums of dim products of two bytes stay exact
+    qq = quantize_np(np.where(qgood[:, None], qmat, 0.0), alpha).astype(kind)
     groups = _groups_by_keyword(qmust, qgood)
 
     def kernel(batches):
-        acc = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)]
-        for ids, punit, raw, labels, _cells in point_batches(batches, vector):
-            pq = quantize_np(raw, alpha)
+        acc = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_numpy()
+            labels = np.asarray(batch.column("a").to_numpy(zero_copy_only=False), dtype=object)
+            packed = batch.column("code")
+            start = np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset]
+            pq = np.frombuffer(packed.buffers()[2], dtype=np.int8)[start: start + len(ids) * dim].reshape(len(ids), dim).astype(kind)
             parts = [[x] for x in acc]
             for must, qs in groups.items():
                 ps = np.flatnonzero(np.ones(len(ids), bool) if must is None else labels == must)
@@ -63,41 +98,58 @@ def make_int8_kernel(qids, qmat, qmust, alpha, shortlist, vector):
                     tile = qs[lo: lo + QUERY_TILE]
                     iscores = qq[tile] @ pq[ps].T
                     r, c = _top_candidates(iscores, shortlist)
-                    exact = np.round(np.einsum("ij,ij->i", qunit[tile][r], punit[ps][c]), SCORE_DECIMALS)
-                    parts[0].append(tile[r])
-                    parts[1].append(ids[ps][c])
-                    parts[2].append(iscores[r, c].astype(np.int64))
-                    parts[3].append(exact)
-                    parts[4].append(labels[ps][c])
-            cat = [np.concatenate(p) for p in parts]
-            q, i, s, extra = reduce_topk(cat[0], cat[1], cat[2], [cat[3], cat[4]], shortlist)
-            acc = [q, i, s, extra[0], extra[1]]
+                    for part, x in zip(parts, (tile[r], ids[ps][c], iscores[r, c].astype(np.int64), labels[ps][c])):
+                        part.append(x)
+            q, i, s, extra = reduce_topk(*(np.concatenate(p) for p in parts[:3]), [np.concatenate(parts[3])], shortlist)
+            acc = [q, i, s, extra[0]]
         if len(acc[0]):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[acc[0]].astype(np.int64)), pa.array(acc[1]), pa.array(acc[2]),
-                 pa.array(acc[3], pa.float64()), pa.array(list(acc[4]), pa.string())],
-                names=["query_id", "id", "iscore", "score", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(qids[acc[0]].astype(np.int64)), *map(pa.array, acc[1:3]), pa.array(list(acc[3]), pa.string())],
+                                             names=["query_id", "id", "iscore", "a"])
 
     return kernel
 
 
-def search_int8(points: DataFrame, queries: DataFrame, k: int = TOP_K, oversample: float = OVERSAMPLE,
-                vector: str = "vec", alpha: float | None = None, dim: int | None = None) -> DataFrame:
+def _rescored(bc, vector: str):
+    """(query_id, a, id, vector) -> the exact score of each shortlisted point."""
+
+    def run(batches):
+        qids, qmat, _ = bc.value
+        unit, _ = unit_rows(qmat)
+        by_id = np.argsort(qids, kind="stable")
+        for batch in batches:
+            mat, valid = arrow_vectors(batch.column(vector), qmat.shape[1])
+            at = by_id[np.searchsorted(qids, batch.column("query_id").to_numpy()[valid], sorter=by_id)]
+            score = np.round(np.einsum("ij,ij->i", unit[at], unit_rows(mat)[0]), SCORE_DECIMALS)
+            keep = pa.array(valid)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in ("query_id", "id")), pa.array(score), batch.column("a").filter(keep)],
+                                             names=["query_id", "id", "score", "a"])
+
+    return run
+
+
+def search_codes(codes: tuple[float, DataFrame], points: DataFrame, queries: DataFrame, k: int = TOP_K, oversample: float = OVERSAMPLE,
+                 vector: str = "vec", dim: int | None = None) -> DataFrame:
+    """Top-k per query: the shortlist over the stored ``codes``, the order by the vectors of the shortlisted points."""
+    alpha, coded = codes
     spark = points.sparkSession
-    alpha = alpha_of(points, vector) if alpha is None else alpha
     shortlist = max(k, int(np.ceil(k * oversample)))
-    pts = points.select("id", vector, "a")
 
     def build(chunk):
         bc = ship(spark, chunk)
 
         def run(batches, bc=bc):
-            a, b, c = bc.value
-            yield from make_int8_kernel(a, b, c, alpha, shortlist, vector)(batches)
+            yield from make_int8_kernel(*bc.value, alpha, shortlist)(batches)
 
-        hits = pts.mapInArrow(run, QHIT_SCHEMA)
-        short = cut_hits(hits, shortlist, "iscore", "__s").drop("__s")
-        ranked = cut_hits(short, k)
-        return ranked.select("query_id", "rank", "id", F.round("score", SCORE_DECIMALS).alias("score"), "a")
+        short = cut_hits(coded.mapInArrow(run, QHIT_SCHEMA), shortlist, "iscore", "__s").select("query_id", "id", "a")
+        fetched = short.join(points.select("id", vector), "id").select("query_id", "a", "id", vector)
+        return rank_hits(fetched.mapInArrow(_rescored(bc, vector), HIT_SCHEMA), k)
 
     return over_chunks(spark, query_chunks(queries, dim or query_dim(queries), shortlist), build)
+
+
+def search_int8(points: DataFrame, queries: DataFrame, k: int = TOP_K, oversample: float = OVERSAMPLE,
+                vector: str = "vec", alpha: float | None = None, dim: int | None = None) -> DataFrame:
+    """``search_codes`` over codes written for this call. Keep ``build_codes`` to search a table more than once."""
+    dim = dim or query_dim(queries)
+    path = f"{storage_root(points.sparkSession)}/int8-{uuid.uuid4().hex[:12]}"
+    return search_codes(build_codes(points, dim, path, vector, alpha), points, queries, k, oversample, vector, dim)

@@ -12,7 +12,8 @@
   do not grow with the query set, and a chunk of queries is as large as their vectors and running top-k allow.
 
 Order everywhere is ``(score desc, id asc)`` with the score rounded to 6 decimals first, so a
-local cut and the global cut agree on ties (S21). Zero-norm or null vectors are never hits.
+local cut and the global cut agree on ties (S21). One rule for all searches: a vector that is null, empty, zero, of another
+length than the queries, or with a null or non-finite component is never a hit, and such a query has no hits.
 """
 
 from __future__ import annotations
@@ -69,23 +70,26 @@ def search_one(points: DataFrame, query: Column, predicate: Column | None = None
 
 # ------------------------------------------------------------------ batch search kernel
 
-def arrow_vectors(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(float64 matrix of the non-null, non-empty vectors, row mask) straight from the Arrow list
-    buffers: one gather over the flat values, no Python object per row."""
+def arrow_vectors(col: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(float64 matrix of the valid vectors, row mask) straight from the Arrow list buffers: one gather over the flat values,
+    no Python object per row. Valid: of ``dim`` components (without ``dim``: as many as the first non-empty one), all finite."""
     n = len(col)
     if n == 0:
-        return np.zeros((0, 0)), np.zeros(0, dtype=bool)
+        return np.zeros((0, dim or 0)), np.zeros(0, dtype=bool)
     offsets = np.asarray(col.offsets)
     lengths = np.diff(offsets)
     valid = np.asarray(col.is_valid().to_numpy(zero_copy_only=False)) & (lengths > 0)
+    if valid.any():
+        valid &= lengths == (dim or int(lengths[np.flatnonzero(valid)[0]]))
     rows = np.flatnonzero(valid)
     if len(rows) == 0:
-        return np.zeros((0, 0)), valid
-    dim = int(lengths[rows[0]])
-    if np.any(lengths[rows] != dim):
-        raise ValueError("vectors of one column must all have the same dimension")
+        return np.zeros((0, dim or 0)), valid
     values = np.asarray(col.values.to_numpy(zero_copy_only=False))
-    mat = values[offsets[:-1][rows, None] + np.arange(dim)].astype(np.float64)
+    mat = values[offsets[:-1][rows, None] + np.arange(int(lengths[rows[0]]))].astype(np.float64)
+    finite = np.isfinite(mat).all(axis=1)
+    if not finite.all():
+        valid[rows[~finite]] = False
+        mat = mat[finite]
     return mat, valid
 
 
@@ -114,18 +118,18 @@ def reduce_topk(qidx: np.ndarray, ids: np.ndarray, rank_scores: np.ndarray, extr
 
 
 def unit_rows(mat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows scaled to unit norm, mask of rows with a non-zero norm)."""
+    """(rows scaled to unit norm, mask of rows with a finite norm above zero); other rows are zero."""
     norms = np.linalg.norm(mat, axis=1) if len(mat) else np.zeros(0)
-    good = norms > 0
-    return mat / np.where(good, norms, 1.0)[:, None], good
+    good = (norms > 0) & np.isfinite(norms)
+    return np.where(good[:, None], mat, 0.0) / np.where(good, norms, 1.0)[:, None], good
 
 
-def point_batches(batches, vector: str, with_cells: bool = False):
+def point_batches(batches, vector: str, with_cells: bool = False, dim: int | None = None):
     """Per Arrow batch: ids, unit vectors, raw vectors, keywords (and cells) of the rows that can be hits."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        mat, valid = arrow_vectors(batch.column(vector))
+        mat, valid = arrow_vectors(batch.column(vector), dim)
         if not valid.any():
             continue
         ids = np.asarray(batch.column("id").to_numpy(zero_copy_only=False))[valid]
@@ -177,7 +181,7 @@ def make_topk_kernel(query_ids: np.ndarray, query_mat: np.ndarray, query_must: n
 
     def kernel(batches):
         acc = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)]
-        for ids, pn, _raw, labels, cells in point_batches(batches, vector, cell_mask is not None):
+        for ids, pn, _raw, labels, cells in point_batches(batches, vector, cell_mask is not None, query_mat.shape[1]):
             parts = [[x] for x in acc]
             if by_cell is None:
                 for must, qsel in musts.items():
@@ -214,7 +218,11 @@ def collect_queries(queries: DataFrame, vector: str = "qvec", must: str = "must_
     if pdf.empty:
         return np.zeros(0, dtype=np.int64), np.zeros((0, 0)), np.zeros(0, dtype=object)
     qids = pdf["query_id"].to_numpy(dtype=np.int64)
-    mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]])
+    sizes = pdf[vector].map(lambda v: 0 if v is None else len(v))
+    dim = int(sizes[sizes > 0].mode().min()) if (sizes > 0).any() else 0
+    # a query without a valid vector of the common length keeps its row, as zeros: it has no hits
+    mat = np.stack([np.asarray(v, dtype=np.float64) if n == dim and dim else np.zeros(dim) for v, n in zip(pdf[vector], sizes)])
+    mat[~np.isfinite(mat).all(axis=1)] = 0.0
     musts = np.array([None if (m is None or (isinstance(m, float) and np.isnan(m))) else m for m in pdf[must]],
                      dtype=object)
     return qids, mat, musts

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from vectables.plans import log_queries as lq
 from vectables.plans import table_queries as tq
 from vectables.plans.registry import ORACLE, register
 from vectables.plans.search_queries import DIM, cos_sql, supplied_queries, topk_sql
+from vectables.session import storage_root
 from vectables.sources import generators, tables, views
 from vectables.sources.views import with_views
 
@@ -196,34 +198,52 @@ def q_drill_points_update(spark, sf_dir):
 
 # --- P-06 toggle_indexing --------------------------------------------------------------------
 
+def written(spark, rows):
+    """``rows`` as a table in the shared folder: what they are now, whatever is appended to their sources later."""
+    path = f"{storage_root(spark)}/drill-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+TOGGLE_STATES = ("off", "lagging", "on")
+_COVERED = {"off": "CAST(0 AS BIGINT)", "lagging": f"(SELECT count(vec) FROM points WHERE id <= {iq.HALF_SQL})", "on": "(SELECT count(vec) FROM points)"}
+
+
 @register("drill_toggle_index", with_views(
-    sql_row("insert", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL "
-    + sql_row("index", "indexed_vectors", "(SELECT count(vec) FROM points)", "(SELECT count(cell) FROM assign)") + " UNION ALL "
-    + " UNION ALL ".join(
-        sql_row(f"search_{mode}", "queries_ok", "(SELECT count(*) FROM queries)",
-                f"(SELECT count(DISTINCT query_id) FROM {mode}_hits WHERE rank = 1 AND a IS NOT NULL)") + " UNION ALL "
-        + sql_row(f"search_{mode}", "hits", "(SELECT sum(least(100, m)) FROM (SELECT count(*) AS m FROM queries q JOIN points p ON p.a = q.must_a "
-                  "GROUP BY q.query_id))", f"(SELECT count(*) FROM {mode}_hits)")
-        for mode in ("exact", "ivf")),
+    sql_row("insert", "count", N_SQL, "(SELECT count(*) FROM points)") + " UNION ALL " + " UNION ALL ".join(
+        sql_row(f"index_{state}", "indexed_vectors", _COVERED[state], _COVERED[state]) + " UNION ALL "
+        + sql_row(f"search_{state}", "queries_ok", "(SELECT count(*) FROM queries)",
+                  "(SELECT count(DISTINCT query_id) FROM exact_hits WHERE rank = 1 AND a IS NOT NULL)") + " UNION ALL "
+        + sql_row(f"search_{state}", "exact_hits_found", "(SELECT count(*) FROM exact_hits)", "(SELECT count(*) FROM exact_hits)")
+        for state in TOGGLE_STATES),
     "points", extra=iq.IVF_CTES,
 ))
 def q_drill_toggle_index(spark, sf_dir):
-    """Search without and with the index: both give every query its full number of hits."""
+    """Searches with the index off, half built and caught up: each gives every query the hits of a plain scan."""
     base = tq.collection(spark, sf_dir)
     n = n_points(spark, sf_dir)
     queries = supplied_queries(spark, sf_dir)
-    index = iq._index(spark, sf_dir)
-    built = ck.one_row_join(base.agg(F.count("vec").alias("n")), index[1].agg(F.count("cell").alias("c")))
     points = views.points(spark, sf_dir)
-    by_keyword = points.where(F.col("vec").isNotNull()).groupBy(F.col("a").alias("must_a")).agg(F.count(F.lit(1)).alias("m"))
-    due = queries.join(by_keyword, "must_a").agg(F.sum(F.least(F.lit(TOP_K), F.col("m"))).alias("n"))
-    parts = [row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c")),
-             row("index", built, "indexed_vectors", F.col("n"), F.col("c"))]
-    for mode, hits in (("exact", search_batch(points, queries, dim=DIM)), ("ivf", ivf.ivf_search(index, queries, nprobe=iq.NPROBE))):
+    exact = search_batch(points, queries, dim=DIM)
+    half, path, mark = iq.half_index(spark, sf_dir)
+    off = (half[0][:0], half[1].where("false"))
+    counted_half = half[1].agg(F.count("cell").alias("c")).first()["c"]     # before the tail is appended to the same folder
+    lagging = written(spark, ivf.hybrid_search(half, points, queries))
+    full = ivf.extend_index(half, points, path)
+    with_vector = lambda rows: rows.agg(F.count("vec").alias("n"))
+    states = {
+        "off": (with_vector(points.where("false")), off[1].agg(F.count("cell").alias("c")), ivf.hybrid_search(off, points, queries)),
+        "lagging": (with_vector(points.where(F.col("id") <= mark)), spark.range(1).select(F.lit(counted_half).cast("bigint").alias("c")), lagging),
+        "on": (with_vector(points), full[1].agg(F.count("cell").alias("c")), ivf.hybrid_search(full, points, queries)),
+    }
+    parts = [row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c"))]
+    for state, (due, built, hits) in states.items():
         verdict = ck.check_search_hits(queries, hits, points=base).agg(
             F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
-        parts += [row(f"search_{mode}", verdict, "queries_ok", F.col("q"), F.col("good")),
-                  row(f"search_{mode}", ck.one_row_join(due, counted(hits)), "hits", F.col("n"), F.col("c"))]
+        equal = exact.join(hits, ["query_id", "rank", "id", "score"], "left_semi")
+        parts += [row(f"index_{state}", ck.one_row_join(due, built), "indexed_vectors", F.col("n"), F.col("c")),
+                  row(f"search_{state}", verdict, "queries_ok", F.col("q"), F.col("good")),
+                  row(f"search_{state}", ck.one_row_join(exact.agg(F.count(F.lit(1)).alias("n")), counted(equal)), "exact_hits_found", F.col("n"), F.col("c"))]
     return union(*parts)
 
 

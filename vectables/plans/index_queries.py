@@ -72,6 +72,42 @@ def q_ivf_recall(spark, sf_dir):
     return ivf.recall(approx, exact)
 
 
+@register("ivf_search_exact", with_views("SELECT * FROM exact_hits", "points", extra=IVF_CTES))
+def q_ivf_search_exact(spark, sf_dir):
+    """The exact hits, found through an index of as many cells as its rows ask for."""
+    points = views.points(spark, sf_dir)
+    index = ivf.build_index(points, None, f"{storage_root(spark)}/ivf-{uuid.uuid4().hex[:10]}", files_per_cell=None)
+    return ivf.exact_search(index, supplied_queries(spark, sf_dir))
+
+
+HALF_SQL = "(SELECT CAST(floor((min(id) + max(id)) / 2) AS BIGINT) FROM points)"
+
+
+def half_index(spark, sf_dir):
+    """An index that has seen the lower half of the ids only: ``(index, its path, the last id)``."""
+    points = views.points(spark, sf_dir)
+    ends = points.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    mark = (ends["a"] + ends["b"]) // 2 if ends["a"] is not None else -1
+    path = f"{storage_root(spark)}/ivf-{uuid.uuid4().hex[:10]}"
+    return ivf.build_index(points.where(F.col("id") <= mark), None, path, files_per_cell=None), path, mark
+
+
+@register("ivf_search_lagging", with_views("SELECT * FROM exact_hits", "points", extra=IVF_CTES))
+def q_ivf_search_lagging(spark, sf_dir):
+    """The exact hits while the index covers half of the table: cells for the half, a scan for the tail."""
+    index, _, _ = half_index(spark, sf_dir)
+    return ivf.hybrid_search(index, views.points(spark, sf_dir), supplied_queries(spark, sf_dir))
+
+
+@register("ivf_exact_recall", with_views(
+    "SELECT query_id, CAST(1 AS DOUBLE) AS recall, CAST(count(*) AS BIGINT) AS exact_hits FROM exact_hits GROUP BY query_id",
+    "points", extra=IVF_CTES,
+))
+def q_ivf_exact_recall(spark, sf_dir):
+    """Share of the exact hits that the bound-driven search finds, per query: all of them."""
+    return ivf.recall(q_ivf_search_exact(spark, sf_dir), search_batch(views.points(spark, sf_dir), supplied_queries(spark, sf_dir), dim=DIM))
+
+
 def search_in_mode(spark, sf_dir, mode: str):
     """OP-33: the caller names how to search; nothing is decided by the table's size."""
     queries = supplied_queries(spark, sf_dir)
