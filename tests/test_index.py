@@ -139,6 +139,8 @@ def test_cells_follow_the_rows():
 def test_quantized_search_reads_codes_and_fetches_the_shortlist_only(spark, points, queries, tmp_path):
     unit = [(i, (np.array(v) / np.linalg.norm(v)).astype(np.float32).tolist(), a) for i, v, a in clustered()]   # integer products rank by length, too
     points = spark.createDataFrame(unit + BROKEN, POINTS)
+    questions = [(q, (np.array(v) / np.linalg.norm(v)).astype(np.float32).tolist(), must) for q, v, must in asked()]     # beyond alpha a code is cut off
+    queries = spark.createDataFrame(questions, QUERIES)
     codes = quant.build_codes(points, 12, str(tmp_path / "codes"))
     assert dict(codes[1].dtypes) == {"id": "bigint", "code": "binary", "a": "string"}
     assert codes[1].count() == 1201 and codes[1].where("octet_length(code) <> 12").count() == 0
@@ -149,7 +151,7 @@ def test_quantized_search_reads_codes_and_fetches_the_shortlist_only(spark, poin
     plan = hits._jdf.queryExecution().executedPlan().toString()
     scored, fetched = plan.index("code#"), plan.index("Join")
     assert plan.count("Scan parquet") == 2 and fetched < scored       # the codes are cut below the join that fetches vectors
-    exact = {(x[0], x[2]) for x in brute(unit + BROKEN, asked(), 10)}
+    exact = {(x[0], x[2]) for x in brute(unit + BROKEN, questions, 10)}
     found = {(r.query_id, r.id) for r in hits.collect()}
     assert len(exact & found) >= 0.95 * len(exact)
     assert quant.alpha_of(points) < 1e6
