@@ -14,7 +14,7 @@ from vectables.functions.random import uniform_int, uniform_int_sql
 from vectables.operators import checks as ck
 from vectables.operators import ivf, logs
 from vectables.operators import mutations as mu
-from vectables.operators.search import search_batch
+from vectables.operators.search import rank_hits, search_batch
 from vectables.plans import index_queries as iq
 from vectables.plans import log_queries as lq
 from vectables.plans import table_queries as tq
@@ -118,15 +118,18 @@ REFRESHED_CTES = {
 
 
 def searched_rows(refreshed: DataFrame, queries: DataFrame, n: DataFrame) -> DataFrame:
-    """Search the refreshed table check every query's hits against it, and count the hits among the refreshed ids."""
+    """Search the refreshed table, check every query's hits against it, and count the hits among the refreshed ids: as many as when
+    the slice and the rest are searched apart and their hits ranked together."""
     points = refreshed.select("id", "vec", F.col("payload")["a"].alias("a"))
     hits = search_batch(points, queries, dim=DIM)
     verdict = ck.check_search_hits(queries, hits, points=refreshed).agg(
         F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
-    new = hits.agg(F.count_if(F.col("id") < 100).alias("c"))       # its value depends on the refreshed vectors
+    fresh = F.col("id") < 100
+    apart = rank_hits(search_batch(points.where(fresh), queries, dim=DIM).unionByName(search_batch(points.where(~fresh), queries, dim=DIM)).drop("rank"))
+    new = ck.one_row_join(apart.agg(F.count_if(fresh).alias("n")), hits.agg(F.count_if(fresh).alias("c")))
     return union(row("refresh", ck.one_row_join(n, counted(refreshed)), "count", F.col("n"), F.col("c")),
                  row("search", verdict, "queries_ok", F.col("q"), F.col("good")),
-                 row("search", new, "refreshed_hits", F.col("c"), F.col("c")))
+                 row("search", new, "refreshed_hits", F.col("n"), F.col("c")))
 
 
 @register("drill_search", with_views(
