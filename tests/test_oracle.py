@@ -138,18 +138,53 @@ def test_error_taxonomy_reads_the_log_once(spark):
     assert plan.count("FileScan") == 1 and "Join" not in plan and "Window" not in plan
 
 
-def test_files_out_of_time_order_are_refused(spark, tmp_path):
-    """The later half first: its transitions cannot be decided before the earlier half is known."""
-    from vectables.streaming import stateful
-
+def _scrambled(tmp_path, files=5, seed=3):
+    """Events dealt to files at random, read one after the other."""
     src = f"{SF}/events.parquet"
     c = duckdb.connect()
-    for name, order in (("a", "DESC"), ("b", "ASC")):
-        c.execute(f"COPY (SELECT * FROM '{src}' ORDER BY ts {order}, event_id {order} LIMIT 400) TO '{tmp_path}/part-{name}.parquet' (FORMAT parquet)")
-        import os
-        os.utime(f"{tmp_path}/part-{name}.parquet", (1e9 + ord(name), 1e9 + ord(name)))
-    with pytest.raises(Exception, match="older than rows already processed"):
-        stateful.stream_health_transitions(spark, f"{tmp_path}/*.parquet", 1)
+    for i in range(files):
+        path = f"{tmp_path}/part-{i}.parquet"
+        c.execute(f"COPY (SELECT * FROM '{src}' WHERE hash(event_id + {seed}) % {files} = {i}) TO '{path}' (FORMAT parquet)")
+        os.utime(path, (1e9 + i, 1e9 + i))
+    return f"{tmp_path}/*.parquet"
+
+
+def test_shuffled_files_give_the_batch_rows(spark, tmp_path):
+    from vectables.streaming import stateful
+
+    glob = _scrambled(tmp_path)
+    got = stateful.stream_health_transitions(spark, glob, 1, delay="60 days").toPandas()
+    assert compare(got, QUERIES["health_transitions"](spark, SF).toPandas()) is None
+    got = stateful.stream_run_transitions(spark, glob, 1, delay="60 days").toPandas()
+    assert compare(got, QUERIES["run_transitions"](spark, SF).toPandas()) is None
+
+
+def test_rows_behind_the_frontier_are_late_and_change_nothing(spark, tmp_path):
+    """Against a replay of the rules in Python: late rows, and the transitions of all others."""
+    import pandas as pd
+
+    from vectables.operators import logs
+    from vectables.streaming import stateful
+    from pyspark.sql import functions as F
+
+    glob = _scrambled(tmp_path)
+    run = stateful.ordered_health_transitions(stateful.probes_stream(stateful.read_events_stream(spark, glob, 1)), "10 days")
+    newest, late = None, set()
+    for i in range(5):
+        rows = pd.read_parquet(f"{tmp_path}/part-{i}.parquet")
+        if newest is not None:
+            late |= set(rows[rows.ts < newest - pd.Timedelta(days=10)].event_id)
+        newest = rows.ts.max() if newest is None else max(newest, rows.ts.max())
+    assert len(late) > 50 and {r["event_id"] for r in run.late.collect()} == late
+    ontime = stateful.probes_stream(spark.read.parquet(f"{SF}/events.parquet")).where(~F.col("event_id").isin(list(late)))
+    want = logs.transitions(ontime, ["uri"], F.col("outcome") == "ok", carry=("latency_ms", "outcome"))
+    assert compare(run.transitions.toPandas(), want.select(*run.transitions.columns).toPandas()) is None
+
+
+def test_debounce_reads_once_and_shuffles_twice(spark):
+    """One scan, one exchange by (key, slice) and one by key, no join."""
+    plan = QUERIES["green_debounce"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
 
 
 def test_window_argument_sets_the_windows(spark):

@@ -78,6 +78,27 @@ def test_green_debounce(spark):
     assert got == {"c_0": 3, "c_1": 4, "c_2": 3, "c_3": None, "c_4": None}
 
 
+@pytest.mark.parametrize("polls", [1, 2, 3, 5])
+@pytest.mark.parametrize("most", [1, 3, 1 << 20])
+def test_green_debounce_against_a_loop(spark, monkeypatch, polls, most):
+    """Runs of greens that cross slices of any size, from one poll up; a key of one poll, one that is never ready."""
+    import random
+
+    from vectables.operators import scan
+
+    monkeypatch.setattr(scan, "CHUNK_ROWS", most)
+    rng = random.Random(polls)
+    seqs = ["G", "N", "G" * 7, "N" * 7] + ["".join(rng.choice("GGN") for _ in range(rng.randint(2, 25))) for _ in range(30)]
+    got = {r["collection"]: r["ready_poll"] for r in logs.green_debounce(_statuses(spark, seqs), polls=polls).collect()}
+    for i, seq in enumerate(seqs):
+        count, ready = 0, None
+        for at, status in enumerate(seq, 1):
+            count = count + 1 if status == "G" else 1
+            if count >= polls and ready is None:
+                ready = at
+        assert got[f"c_{i}"] == ready, seq
+
+
 def test_id_sets(spark):
     exp = spark.createDataFrame([(i,) for i in range(5)], "id long")
     ret = spark.createDataFrame([(i,) for i in (0, 1, 1, 3, 9)], "id long")

@@ -6,8 +6,7 @@ puts a whole key into one task, and from partial aggregations keyed by "island"
 
 * ``g`` = number of ok rows up to and including a row. Failures sharing ``g`` form one failure
   run; its recovery is the ok row whose own ordinal among oks is ``g + 1`` (an equi-join).
-* for the debounce, an island is opened by every non-green poll; the poll count inside an
-  island is ``ordinal - island_start + 1``.
+* for the debounce, slices of time are summarised and the summaries folded per key.
 
 FIXED VALUES: histogram range 1 .. 3,600,000 ms with 2 significant digits (sub-buckets of 128
 below a shift of ``floor(log2 v) - 7``); probe timeout 50 ms; summary quantiles 0.5, 0.95, 0.99;
@@ -223,24 +222,43 @@ def require_rows(df: DataFrame, message: str = "No drills to run") -> DataFrame:
 
 # ------------------------------------------------------------------ OP-63 / OP-66 debounce
 
+def poll_summaries(statuses: DataFrame, key: str, polls: int) -> DataFrame:
+    """One row per (key, time slice): polls ``n``, greens before the first non-green ``lead``, polls since the last
+    non-green ``tail`` (itself included; null where there is none), the first of the slice's own polls that is ready
+    ``hit``, and the first ``polls`` polls as ``head``. Two neighbouring slices fold into one of the same form."""
+    w = Window.partitionBy(key, "__chunk").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.row_number().over(w).cast("bigint")
+    rows = (statuses.select(key, "ts", "event_id", "status", time_chunk(statuses, [key]).alias("__chunk")).withColumn("at", at)
+            .withColumn("reset", F.max(F.when(~F.coalesce(F.col("status") == "green", F.lit(False)), F.col("at"))).over(w)))
+    poll = F.struct("at", "event_id", "ts")
+    ready = F.col("at") - F.col("reset") + 1 == polls
+    return rows.groupBy(key, "__chunk").agg(
+        F.max("at").alias("n"), F.min("ts").alias("first_ts"),
+        F.coalesce(F.min("reset") - 1, F.max("at")).alias("lead"), (F.max("at") - F.max("reset") + 1).alias("tail"),
+        F.min(F.when(ready, poll)).alias("hit"),
+        F.sort_array(F.collect_list(F.when(F.col("at") <= polls, poll))).alias("head"))
+
+
 def green_debounce(statuses: DataFrame, key: str = "collection", polls: int = GREEN_POLLS) -> DataFrame:
     """First poll at which a key is ready: ``polls`` greens in a row from the start, but only
-    ``polls - 1`` more after a non-green (which counts as 1, S10). Output per key:
-    ``(key, ready_event_id, ready_poll, waited_s)``, nulls when never ready."""
-    s = running_sums(
-        statuses, [key], ["ts", "event_id"],
-        {"ordinal": F.lit(1), "island": (F.col("status") != "green").cast("bigint")},
-        time_chunk(statuses, [key]),
-    )
-    islands = s.groupBy(key, "island").agg(F.min("ordinal").alias("start"), F.count(F.lit(1)).alias("len"))
-    ready = islands.where(F.col("len") >= polls).groupBy(key).agg(
-        (F.min("start") + polls - 1).alias("ordinal"))
-    hit = s.join(ready, on=[key, "ordinal"], how="inner").select(
-        key, F.col("event_id").alias("ready_event_id"), F.col("ordinal").alias("ready_poll"), F.col("ts").alias("__ready_ts"))
-    first = statuses.groupBy(key).agg(F.min("ts").alias("__first_ts"))
-    out = first.join(hit, on=key, how="left")
-    waited = F.expr("timestampdiff(MICROSECOND, __first_ts, __ready_ts)") / F.lit(1e6)
-    return out.select(key, "ready_event_id", F.col("ready_poll").cast("bigint").alias("ready_poll"),
+    ``polls - 1`` more after a non-green (which counts as 1, S10; a null status is a non-green). Output per key:
+    ``(key, ready_event_id, ready_poll, waited_s)``, nulls when never ready.
+
+    Slices of time are summarised where they are sorted and folded per key: polls in a row that end a slice are
+    carried into the next one, whose head says at which poll they are enough."""
+    before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    to_here = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    folded = poll_summaries(statuses, key, polls).withColumn("until", F.sum("n").over(to_here)) \
+        .withColumn("offset", F.col("until") - F.col("n"))
+    # polls in a row at the start of the slice: those since the last non-green of any earlier one
+    folded = folded.withColumn("carried", F.col("offset") - F.coalesce(F.max(F.col("until") - F.col("tail")).over(before), F.lit(0)))
+    missing = F.lit(polls) - F.col("carried")
+    led = F.when((missing >= 1) & (missing <= F.col("lead")), F.get("head", (missing - 1).cast("int")))
+    hit = F.coalesce(led, F.col("hit"))      # the head's poll comes before any that follows a non-green
+    first = F.struct((F.col("offset") + hit["at"]).alias("poll"), hit["event_id"].alias("event_id"), hit["ts"].alias("ts"))
+    out = folded.groupBy(key).agg(F.min("first_ts").alias("__first_ts"), F.min(F.when(hit.isNotNull(), first)).alias("__ready"))
+    waited = F.expr("timestampdiff(MICROSECOND, __first_ts, __ready.ts)") / F.lit(1e6)
+    return out.select(key, F.col("__ready.event_id").alias("ready_event_id"), F.col("__ready.poll").cast("bigint").alias("ready_poll"),
                       waited.alias("waited_s"))
 
 

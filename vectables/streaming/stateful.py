@@ -3,8 +3,9 @@
 * Health / run transitions run each micro-batch through the parallel island operators of
   :mod:`vectables.operators.logs` (``foreachBatch``), seeded by a small state table
   ``(key) -> (failing, failures, rounds, last_ts)``: an open failure run enters the next batch as one
-  weighted synthetic row, so no key is confined to one task. Batches must come in time order per
-  key; one that holds older rows is refused.
+  weighted synthetic row, so no key is confined to one task. Rows may come out of order: they are held
+  until the frontier (newest event time less ``delay``) has passed them, then released in time order;
+  rows that come behind the frontier go to a late output.
 * The latency histogram is a streaming ``groupBy(uri, bucket).count()`` in update mode; each
   epoch's changed counts are merged into a versioned table through ``foreachBatch``.
 * The change log is applied per micro-batch through ``foreachBatch``: the state (one reset row per id and
@@ -19,6 +20,7 @@ checkpoint under the shared storage root, so a restart resumes from the last com
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from vectables.operators import logs
 from vectables.operators import mutations as mu
 from vectables.session import storage_root
 
+DELAY = "10 minutes"     # how far out of order rows may come
+
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -273,25 +277,76 @@ def transitions_step(batch: DataFrame, state: DataFrame, keys: list[str], is_ok:
     return out, untouched.unionByName(nxt)
 
 
-def _stream_transitions(spark: SparkSession, rows_stream: DataFrame, keys: list[str], is_ok: F.Column,
-                        carry_types: dict[str, str], reported: F.Column | None, name: str) -> DataFrame:
-    sink = scratch(spark, name)
+class Ordered(NamedTuple):
+    """What an out-of-order stream gives: the transitions, and the rows that came too late for them."""
+
+    transitions: DataFrame
+    late: DataFrame
+
+
+def _clock(spark: SparkSession, root: str, before: int) -> str | None:
+    """Newest event time of the epochs before ``before``, as text; None where there is none yet."""
+    path = _latest(spark, root, before=before)
+    return spark.read.schema("ts timestamp_ntz").parquet(path).agg(F.max("ts").cast("string")).first()[0] if path else None
+
+
+def _stream_transitions(spark: SparkSession, rows_stream: DataFrame, keys: list[str], is_ok: F.Column, carry_types: dict[str, str],
+                        reported: F.Column | None, name: str, delay: str, kept: list[str],
+                        sink: str | None, ended: bool) -> Ordered:
+    """Transitions of a stream whose rows may come up to ``delay`` out of order.
+
+    The frontier is the newest event time seen, less ``delay``. A micro-batch and the rows held so far are dealt in one
+    write: rows before the frontier are released in order, the others are held for a later batch, and rows that come
+    before the frontier of the batches before theirs (or have no time) go to the late output, which no transition sees.
+    What is held is bounded by the rows of ``delay``. Called again with the ``sink`` of an earlier run, the stream goes on
+    with what has come since; ``ended`` says that no more will come, and releases what is held."""
+    sink = sink or scratch(spark, name)
     state_schema = ", ".join([f"{k} string" for k in keys] + ["failing boolean", "failures long", "rounds long", "last_ts timestamp_ntz"])
+    row_schema = rows_stream.schema
+    wait = F.expr(f"INTERVAL {delay}")
 
-    def step(batch: DataFrame, epoch: int) -> None:
+    def frontier(newest: str) -> F.Column:
+        return F.lit(newest).cast("timestamp_ntz") - wait
+
+    def rows(part: str, epoch_dir: str | None) -> DataFrame:
+        if epoch_dir is None or not _exists(spark, f"{epoch_dir}/part={part}"):
+            return spark.createDataFrame([], row_schema)
+        return spark.read.schema(row_schema).parquet(f"{epoch_dir}/part={part}")
+
+    def advance(ready: DataFrame, epoch: int) -> None:
         prev = _latest(spark, f"{sink}/state", before=epoch)
         state = spark.read.schema(state_schema).parquet(prev) if prev else spark.createDataFrame([], state_schema)
-        late = batch.join(state.select(*keys, "last_ts"), on=keys).where(F.col("ts") < F.col("last_ts")).limit(1).count()
-        if late:    # its transitions were decided without these rows
-            raise ValueError("a micro-batch holds rows older than rows already processed; feed files in time order or in one batch")
-        out, nxt = transitions_step(batch, state, keys, is_ok, carry_types, reported)
+        out, nxt = transitions_step(ready, state, keys, is_ok, carry_types, reported)
         # one directory per epoch, overwritten on replay: the sink stays exactly-once
         out.write.mode("overwrite").parquet(f"{sink}/out/epoch={epoch:012d}")
         nxt.write.mode("overwrite").parquet(f"{sink}/state/epoch={epoch:012d}")
-        _forget(spark, f"{sink}/state", epoch - 1)
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        before = _clock(spark, f"{sink}/clock", epoch)
+        newest = max((t for t in (before, batch.agg(F.max("ts").cast("timestamp_ntz").cast("string")).first()[0]) if t), default=None)
+        late = F.col("ts").isNull() if before is None else F.col("ts").isNull() | (F.col("ts") < frontier(before))
+        dealt = batch.withColumn("part", F.when(late, "late")).unionByName(
+            rows("held", _latest(spark, f"{sink}/rows", before=epoch)).withColumn("part", F.lit(None).cast("string")))
+        released = F.lit(False) if newest is None else F.col("ts") < frontier(newest)
+        dealt = dealt.withColumn("part", F.coalesce("part", F.when(released, "ready").otherwise("held")))
+        here = f"{sink}/rows/epoch={epoch:012d}"
+        dealt.write.mode("overwrite").partitionBy("part").parquet(here)
+        rows("late", here).write.mode("overwrite").parquet(f"{sink}/late/epoch={epoch:012d}")
+        advance(rows("ready", here), epoch)
+        spark.range(1).select(F.lit(newest).cast("timestamp_ntz").alias("ts")).write.mode("overwrite").parquet(
+            f"{sink}/clock/epoch={epoch:012d}")
+        for old in ("state", "rows", "clock"):
+            _forget(spark, f"{sink}/{old}", epoch - 1)
 
     run_available(rows_stream.writeStream.foreachBatch(step), f"{sink}/checkpoint")
-    return spark.read.parquet(f"{sink}/out") if _exists(spark, f"{sink}/out") else None
+    last = _latest(spark, f"{sink}/rows")
+    if last is None:        # a source without any batch
+        empty = spark.createDataFrame([], row_schema)
+        state = spark.createDataFrame([], state_schema)
+        return Ordered(transitions_step(empty, state, keys, is_ok, carry_types, reported)[0].select(*kept), empty)
+    if ended:
+        advance(rows("held", last), int(last.rsplit("=", 1)[1]) + 1)
+    return Ordered(spark.read.parquet(f"{sink}/out").select(*kept), spark.read.schema(row_schema).parquet(f"{sink}/late/epoch=*"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -299,18 +354,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return name in (_list_dir(spark, parent) or [])
 
 
-def stream_health_transitions(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None) -> DataFrame:
+def ordered_health_transitions(probes: DataFrame, delay: str = DELAY, sink: str | None = None, ended: bool = True) -> Ordered:
+    """OP-67 over any streaming ``probes``: transitions of the rows in time order, and the late rows."""
+    return _stream_transitions(probes.sparkSession, probes, ["uri"], F.col("outcome") == "ok",
+                               {"latency_ms": "bigint", "outcome": "string"}, None, "health-mb", delay,
+                               ["uri", "event_id", "kind", "failures", "latency_ms", "outcome"], sink, ended)
+
+
+def ordered_run_transitions(runs: DataFrame, delay: str = DELAY, sink: str | None = None, ended: bool = True) -> Ordered:
+    """OP-68 over any streaming ``runs``; a late run has no round number, since its round was counted without it."""
+    return _stream_transitions(runs.sparkSession, runs, ["drill", "uri"], F.col("outcome") == "ok",
+                               {"round": "bigint", "error": "string"}, F.col("outcome") != "cancelled", "runs-mb", delay,
+                               ["drill", "uri", "event_id", "kind", "failures", "round", "error"], sink, ended)
+
+
+def stream_health_transitions(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None, delay: str = DELAY) -> DataFrame:
     """OP-67, micro-batch form: per batch the chunked island operators, across batches a
-    ``(uri) -> (failing, failures)`` state table. Same rows as the batch ``health_transitions``."""
-    probes = probes_stream(read_events_stream(spark, path_glob, files_per_trigger))
-    out = _stream_transitions(spark, probes, ["uri"], F.col("outcome") == "ok",
-                              {"latency_ms": "bigint", "outcome": "string"}, None, "health-mb")
-    return out.select("uri", "event_id", "kind", "failures", "latency_ms", "outcome")
+    ``(uri) -> (failing, failures)`` state table. Same rows as the batch ``health_transitions``, if no row
+    comes more than ``delay`` late."""
+    return ordered_health_transitions(probes_stream(read_events_stream(spark, path_glob, files_per_trigger)), delay).transitions
 
 
-def stream_run_transitions(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None) -> DataFrame:
+def stream_run_transitions(spark: SparkSession, path_glob: str, files_per_trigger: int | None = None, delay: str = DELAY) -> DataFrame:
     """OP-68, micro-batch form; the state also carries the round counter per (drill, uri)."""
-    runs = runs_stream(read_events_stream(spark, path_glob, files_per_trigger))
-    out = _stream_transitions(spark, runs, ["drill", "uri"], F.col("outcome") == "ok",
-                              {"round": "bigint", "error": "string"}, F.col("outcome") != "cancelled", "runs-mb")
-    return out.select("drill", "uri", "event_id", "kind", "failures", "round", "error")
+    return ordered_run_transitions(runs_stream(read_events_stream(spark, path_glob, files_per_trigger)), delay).transitions
