@@ -78,8 +78,8 @@ def test_green_debounce(spark):
     assert got == {"c_0": 3, "c_1": 4, "c_2": 3, "c_3": None, "c_4": None}
 
 
-@pytest.mark.parametrize("polls", [1, 2, 3, 5])
-@pytest.mark.parametrize("most", [1, 3, 1 << 20])
+@pytest.mark.parametrize("polls", [1, 3, 5])
+@pytest.mark.parametrize("most", [3, 1 << 20])
 def test_green_debounce_against_a_loop(spark, monkeypatch, polls, most):
     """Runs of greens that cross slices of any size, from one poll up; a key of one poll, one that is never ready."""
     import random
@@ -431,6 +431,26 @@ def test_drill_checks_go_red_when_a_step_breaks(spark):
     assert not verdicts(drills.searched_rows(shifted, queries, n))[("search", "queries_ok")]
 
 
+def test_change_log_drill_can_fail(spark):
+    """An applied table that lost an id, kept a deleted one or holds a foreign value is found out."""
+    from vectables.operators import mutations as mu
+    from vectables.plans import drills
+
+    log = spark.createDataFrame(
+        [(0, 1, "upsert", "k", "a"), (1, 2, "upsert", "k", "b"), (2, 2, "delete", None, None), (3, 3, "set_payload", "k", "c"),
+         (4, 4, "delete", None, None), (5, 4, "upsert", None, None), (6, 1, "set_payload", "j", "d")], "seq long, id long, op string, k string, v string")
+
+    def bad(applied):
+        return {r["check"] for r in drills.change_log_rows(log, applied).collect() if not r["ok"]}
+
+    applied = mu.apply_oplog(log)
+    assert bad(applied) == set()
+    assert bad(applied.where("id <> 4")) == {"live_points"}
+    extra = applied.union(spark.createDataFrame([(2, "k", "b")], applied.schema))
+    assert bad(extra) == {"leftover_points"}
+    assert bad(applied.withColumn("v", F.concat("v", F.lit("x")))) == {"values_in_log"}
+
+
 def test_replayed_epoch_reads_the_state_of_the_epoch_before(spark, tmp_path):
     from vectables.streaming.stateful import _latest
 

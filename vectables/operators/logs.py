@@ -264,15 +264,15 @@ def green_debounce(statuses: DataFrame, key: str = "collection", polls: int = GR
 
 # ------------------------------------------------------------------ OP-64 stop at first failure
 
-def until_first_fatal(runs: DataFrame, report: DataFrame) -> DataFrame:
-    """Keep runs up to and including the end of the first round that failed completely.
-
-    The cut is one scalar (the round's last timestamp); it reaches the runs as a one-row join."""
-    ends = runs.groupBy("drill", "round").agg(F.max(F.struct("ts", "event_id")).alias("end"))
-    fatal = report.where(F.col("class") == "failed").join(ends, on=["drill", "round"], how="inner") \
-        .agg(F.min("end").alias("cut"))
-    kept = one_row_join(runs, fatal).where(
-        F.col("cut").isNull() | (F.struct("ts", "event_id") <= F.col("cut")))
+def until_first_fatal(runs: DataFrame) -> DataFrame:
+    """Keep runs up to and including the end of the first round that failed completely (no run of it succeeded).
+
+    Rounds are one partial aggregation of fixed width; the cut is one scalar (a round's last timestamp), which reaches
+    the runs as a scalar subquery."""
+    rounds = runs.groupBy("drill", "round").agg(F.count_if(F.col("outcome") == "ok").alias("successes"),
+                                                F.max(F.struct("ts", "event_id")).alias("end"))
+    fatal = rounds.where(F.col("successes") == 0).agg(F.min("end").alias("cut"))
+    kept = one_row_join(runs, fatal).where(F.col("cut").isNull() | (F.struct("ts", "event_id") <= F.col("cut")))
     return kept.drop("cut")
 
 

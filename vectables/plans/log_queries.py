@@ -173,9 +173,7 @@ def q_round_report(spark, sf_dir):
     "runs", extra={"report": REPORT_SQL},
 ))
 def q_until_first_fatal(spark, sf_dir):
-    runs = views.runs(spark, sf_dir)
-    report = logs.round_report(runs, N_URIS)
-    return logs.until_first_fatal(runs, report).select("drill", "uri", "round", "event_id", "outcome")
+    return logs.until_first_fatal(views.runs(spark, sf_dir)).select("drill", "uri", "round", "event_id", "outcome")
 
 
 @register("error_taxonomy", with_views(
