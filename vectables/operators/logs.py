@@ -105,12 +105,12 @@ def latency_summary(probes: DataFrame, key: str = "uri") -> DataFrame:
 # ------------------------------------------------------------------ OP-57 / OP-60 failure runs
 
 def islands(df: DataFrame, keys: Sequence[str], is_ok: Column, extra: dict[str, Column] | None = None,
-            order=("ts", "event_id")) -> DataFrame:
+            order=("ts", "event_id"), chunk: Column | None = None) -> DataFrame:
     """Add ``is_ok`` and ``g`` = oks so far (inclusive); the ordinal of an ok row among oks equals
-    its ``g``. ``extra`` running sums are computed in the same pass."""
+    its ``g``. ``extra`` running sums are computed in the same pass; ``chunk`` is counted where the caller names none."""
     df = df.withColumn("is_ok", is_ok)
     values = {"g": F.col("is_ok").cast("bigint"), "__ord": F.lit(1), **(extra or {})}
-    return running_sums(df, keys, order, values, time_chunk(df, keys))
+    return running_sums(df, keys, order, values, time_chunk(df, keys) if chunk is None else chunk)
 
 
 def runs_from_islands(isl: DataFrame, keys: Sequence[str], carry: Sequence[str] = (),

@@ -20,6 +20,7 @@ checkpoint under the shared storage root, so a restart resumes from the last com
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -244,33 +245,38 @@ def _carried_rows(state: DataFrame, keys: list[str], carry_types: dict[str, str]
 
 
 def transitions_step(batch: DataFrame, state: DataFrame, keys: list[str], is_ok: F.Column,
-                     carry_types: dict[str, str], reported: F.Column | None = None):
+                     carry_types: dict[str, str], reported: F.Column | None = None,
+                     keep: Callable[[DataFrame], DataFrame] = lambda rows: rows):
     """Transitions of one micro-batch and the next per-key state ``(keys, failing, failures, rounds, last_ts)``.
 
+    Both read the numbered rows; ``keep`` may write them once and read them again.
+
     The batch is processed with the same parallel island operators as the batch queries (no key is
     confined to one task); the previous batches enter only through the small state table."""
-    counted = logs.running_sums(batch, keys, ["ts", "event_id"], {"__n": F.lit(1)}, logs.time_chunk(batch, keys))
+    chunk = logs.time_chunk(batch, keys)      # a carried row is alone in its slice
+    counted = logs.running_sums(batch, keys, ["ts", "event_id"], {"__n": F.lit(1)}, chunk) if "round" in carry_types else \
+        batch.withColumn("__n", F.lit(0))
     counted = counted.join(state.select(*keys, F.col("rounds").alias("__r0")), on=keys, how="left") \
         .withColumn("round", (F.coalesce("__r0", F.lit(0)) + F.col("__n")).cast("bigint")).drop("__r0", "__n")
     rep = counted if reported is None else counted.where(reported)
     real = rep.select(*keys, "ts", "event_id", is_ok.alias("__ok"), F.lit(1).cast("bigint").alias("__w"),
                       *[F.col(c) for c in carry_types])
     rows = real.unionByName(_carried_rows(state, keys, carry_types))
-    isl = logs.islands(rows, keys, F.col("__ok"))
+    isl = keep(logs.islands(rows, keys, F.col("__ok"), chunk=chunk))
     runs = logs.runs_from_islands(isl, keys, list(carry_types), weight="__w")
     out = logs.transitions_from_runs(runs, keys, list(carry_types)).where(F.col("event_id") != -1)
 
     last = isl.groupBy(*keys).agg(F.max_by("is_ok", F.struct("ts", "event_id")).alias("__last_ok"),
                                   F.max("g").alias("run"))
     open_runs = runs.select(*keys, "run", F.col("failures").alias("__f"))
-    seen = counted.groupBy(*keys).agg(F.max("round").alias("__rounds"), F.max("ts").alias("__ts"))
+    seen = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max("ts").alias("__ts"))
     touched = last.join(open_runs, on=keys + ["run"], how="left").join(seen, on=keys, how="full_outer") \
         .join(state.select(*keys, F.col("rounds").alias("__r0"), F.col("last_ts").alias("__t0")), on=keys, how="left")
     nxt = touched.select(
         *keys,
         F.coalesce(~F.col("__last_ok"), F.lit(False)).alias("failing"),
         F.when(~F.col("__last_ok"), F.col("__f")).otherwise(F.lit(0)).cast("bigint").alias("failures"),
-        F.coalesce("__rounds", "__r0", F.lit(0)).cast("bigint").alias("rounds"),
+        (F.coalesce("__r0", F.lit(0)) + F.coalesce("__n", F.lit(0))).cast("bigint").alias("rounds"),
         F.coalesce("__ts", "__t0").alias("last_ts"),
     )
     untouched = state.join(nxt.select(*keys), on=keys, how="left_anti")
@@ -316,10 +322,15 @@ def _stream_transitions(spark: SparkSession, rows_stream: DataFrame, keys: list[
     def advance(ready: DataFrame, epoch: int) -> None:
         prev = _latest(spark, f"{sink}/state", before=epoch)
         state = spark.read.schema(state_schema).parquet(prev) if prev else spark.createDataFrame([], state_schema)
-        out, nxt = transitions_step(ready, state, keys, is_ok, carry_types, reported)
+        def numbered(islands: DataFrame) -> DataFrame:
+            islands.write.mode("overwrite").parquet(f"{sink}/islands/epoch={epoch:012d}")
+            return spark.read.schema(islands.schema).parquet(f"{sink}/islands/epoch={epoch:012d}")
+
+        out, nxt = transitions_step(ready, state, keys, is_ok, carry_types, reported, numbered)
         # one directory per epoch, overwritten on replay: the sink stays exactly-once
         out.write.mode("overwrite").parquet(f"{sink}/out/epoch={epoch:012d}")
         nxt.write.mode("overwrite").parquet(f"{sink}/state/epoch={epoch:012d}")
+        _forget(spark, f"{sink}/islands", epoch + 1)
 
     def step(batch: DataFrame, epoch: int) -> None:
         before = _clock(spark, f"{sink}/clock", epoch)
