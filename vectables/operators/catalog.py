@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_field_index(points: DataFrame, path: str, field: str = "a") -> None:
-    """OP-42: ids by keyword, one directory per value; only the two columns are read and written."""
-    points.where(F.col(field).isNotNull()).select("id", field).write.partitionBy(field).parquet(path)
-
-
-def ids_with(spark: SparkSession, path: str, value: str, field: str = "a") -> DataFrame:
-    """Ids whose keyword is ``value``: partition pruning leaves one directory to read."""
-    return spark.read.schema(f"id long, {field} string").parquet(path).where(F.col(field) == value)
+def write_field_index(points: DataFrame, path: str, field: str = "a", row_group_bytes: int = 16 << 20) -> None:
+    """OP-42: ids by keyword, clustered for data skipping. Rows are range-partitioned and sorted by (keyword, id), so a
+    row group holds a narrow interval of keywords and a keyword of a third of the points spans several tasks; the
+    number of files follows the bytes, not the distinct keywords. Row groups carry statistics and, where the
+    keyword column is not dictionary-encoded throughout, a bloom filter. Points without the keyword are left out."""
+    (points.where(F.col(field).isNotNull()).select("id", field)
+     .repartitionByRange(F.col(field), F.col("id")).sortWithinPartitions(field, "id")
+     .write.option("parquet.block.size", row_group_bytes).option(f"parquet.bloom.filter.enabled#{field}", "true").parquet(path))
+
+
+def ids_with(spark: SparkSession, path: str, *values: str, field: str = "a") -> DataFrame:
+    """``(id, keyword)`` of points whose keyword is one of ``values``: the filter reaches the Parquet scan, which skips the
+    row groups and pages that cannot hold them."""
+    return spark.read.schema(f"id long, `{field}` string").parquet(path).where(F.col(field).isin(*values))
 
 
 def live_snapshots(manifest: DataFrame, collection: str | None = None) -> DataFrame:

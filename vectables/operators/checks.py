@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from vectables import BATCH_SIZE
 
+# hash buckets of ids that set comparisons tell apart: bounds what travels when two sets are equal
+BUCKETS = 1 << 12
 CHECK_COLUMNS = ("check", "collection", "expected", "actual", "ok")
 
 
@@ -38,12 +40,38 @@ def check_count(table: DataFrame, expected: int, check: str = "count", collectio
     return check_row(agg, check, collection, F.lit(expected), F.col("n"), F.col("n") == F.lit(expected))
 
 
-def id_set_diff(expected: DataFrame, returned: DataFrame) -> DataFrame:
+def differing_buckets(expected: DataFrame, returned: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``(bucket)`` of the hash buckets of ``id`` whose rows differ between two frames. Each bucket is a row count and
+    four sums over the parts of a 128-bit hash, plus for a row of ``expected`` and minus for one of ``returned``: they
+    do not depend on order, are made map-side, and at most ``buckets`` rows a task are shuffled. Rows
+    without an id (bucket -1) always differ. Two different buckets look equal with a chance of 2^-128."""
+    signed = _with_bucket(expected, buckets).withColumn("sign", F.lit(1)).unionByName(
+        _with_bucket(returned, buckets).withColumn("sign", F.lit(-1)))
+    halves = []
+    for seed in (1, 2):
+        h = F.xxhash64(F.lit(seed), F.col("id"))
+        halves += [h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)]     # no sum overflows below 2^31 rows a bucket
+    sums = signed.groupBy("bucket").agg(F.sum("sign").alias("n"), *[F.sum(F.col("sign") * h).alias(f"h{i}") for i, h in enumerate(halves)])
+    same = (F.col("n") == 0) & (F.col("h0") == 0) & (F.col("h1") == 0) & (F.col("h2") == 0) & (F.col("h3") == 0)
+    return sums.where(~same | (F.col("bucket") < 0)).select("bucket")
+
+
+def _with_bucket(ids: DataFrame, buckets: int) -> DataFrame:
+    return ids.select("id", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(buckets))).cast("long").alias("bucket"))
+
+
+def id_set_diff(expected: DataFrame, returned: DataFrame, keyed: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """OP-38: per id, how often it was expected and returned, and what is wrong with it.
 
     Both sides are aggregated before the full outer join, so duplicates show as counts and no
     id's rows are ever multiplied. Output ``(id, n_expected, n_returned, kind)`` for ids that
-    are missing, duplicated or extra."""
+    are missing, duplicated or extra.
+
+    ``keyed`` says that ``id`` is the key of ``expected`` (no id twice). Then equal buckets hold no difference, and
+    only ids of :func:`differing_buckets` are shuffled and joined: none where the sets are equal."""
+    if keyed:
+        wanted = F.broadcast(differing_buckets(expected, returned, buckets))     # at most ``buckets`` + 1 rows
+        expected, returned = (_with_bucket(x, buckets).join(wanted, "bucket", "left_semi") for x in (expected, returned))
     e = expected.groupBy("id").agg(F.count(F.lit(1)).cast("bigint").alias("n_expected"))
     r = returned.groupBy("id").agg(F.count(F.lit(1)).cast("bigint").alias("n_returned"))
     j = e.join(r, on="id", how="full_outer").select(
@@ -56,9 +84,10 @@ def id_set_diff(expected: DataFrame, returned: DataFrame) -> DataFrame:
     return j.withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
-def check_id_set(expected: DataFrame, returned: DataFrame, collection: str = "points") -> DataFrame:
-    """OP-48: retrieve is complete: right length, no missing, no duplicate, no extra id (S11, on all rows)."""
-    diff = id_set_diff(expected, returned)
+def check_id_set(expected: DataFrame, returned: DataFrame, collection: str = "points", keyed: bool = False) -> DataFrame:
+    """OP-48: retrieve is complete: right length, no missing, no duplicate, no extra id (S11, on all rows).
+    ``keyed`` as in :func:`id_set_diff`."""
+    diff = id_set_diff(expected, returned, keyed)
     n_exp = expected.agg(F.count(F.lit(1)).alias("expected"))
     n_ret = returned.agg(F.count(F.lit(1)).alias("returned"))
     kinds = diff.agg(

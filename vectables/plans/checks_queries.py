@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vectables.operators import catalog as cat
 from vectables.operators import ivf
 from vectables.operators import checks as ck
+from vectables.operators import versions
 from vectables.operators import mutations as mu
 from vectables.operators.scan import block_chunk, chunked_lag, running_sums
 from vectables.plans.registry import register
@@ -48,7 +49,7 @@ RETURNED_SQL = "SELECT user_id AS id FROM events"
 def q_id_set_diff(spark, sf_dir):
     expected = views.points(spark, sf_dir).select("id")
     returned = tables.events(spark, sf_dir, "user_id").select(F.col("user_id").alias("id"))
-    return ck.id_set_diff(expected, returned)
+    return ck.id_set_diff(expected, returned, keyed=True)
 
 
 @register("check_id_set", with_views(
@@ -66,35 +67,83 @@ def q_id_set_diff(spark, sf_dir):
 def q_check_id_set(spark, sf_dir):
     expected = views.points(spark, sf_dir).select("id")
     returned = tables.events(spark, sf_dir, "user_id").select(F.col("user_id").alias("id"))
-    return ck.check_id_set(expected, returned)
+    return ck.check_id_set(expected, returned, keyed=True)
+
+
+@register("check_id_set_refreshed", with_views(
+    "SELECT 'points' AS collection, CAST((SELECT count(*) FROM points) AS BIGINT) AS expected, "
+    "CAST((SELECT count(*) FROM ret) AS BIGINT) AS returned, "
+    "CAST(count(*) FILTER (WHERE p.id IS NOT NULL AND r.id IS NULL) AS BIGINT) AS missing, "
+    "CAST((SELECT count(*) FROM (SELECT id FROM ret GROUP BY id HAVING count(*) > 1) x) AS BIGINT) AS duplicate, "
+    "CAST(count(*) FILTER (WHERE p.id IS NULL) AS BIGINT) AS extra, "
+    "(SELECT count(*) FROM points) = (SELECT count(*) FROM ret) AND count(*) FILTER (WHERE p.id IS NULL OR r.id IS NULL) = 0 AS ok "
+    "FROM points p FULL OUTER JOIN ret r ON p.id = r.id",
+    "points", extra={"ret": "SELECT p.id FROM points p LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id < 100) d ON p.id = d.vec_id"},
+))
+def q_check_id_set_refreshed(spark, sf_dir):
+    """A refresh of ids 0..99 keeps the id set: equal by fingerprint, so no id is joined."""
+    before = collection(spark, sf_dir)
+    return ck.check_id_set(before.select("id"), mu.upsert(before, refreshed(spark, sf_dir)).select("id"), keyed=True)
 
 
 REFRESH_SQL = gen_points_sql("vec_id", "embeddings WHERE vec_id < 100", DIM, 2, "refresh")
 
 
-@register("vector_diff", with_views(
+DIFF_SQL = with_views(
     "SELECT p.id, NOT (p.vec IS NOT DISTINCT FROM coalesce(d.vec, p.vec)) AS changed FROM points p "
     "LEFT JOIN delta d ON p.id = d.id",
     "points", extra={"delta": REFRESH_SQL},
-))
+)
+
+
+def refreshed(spark, sf_dir):
+    """New vectors for ids 0..99."""
+    ids = tables.embeddings(spark, sf_dir, "vec_id").where(F.col("vec_id") < 100)
+    return generators.gen_points(ids, DIM, 2, id_col="vec_id", stream="refresh").select("id", "vec", "payload")
+
+
+@register("vector_diff", DIFF_SQL)
 def q_vector_diff(spark, sf_dir):
     before = collection(spark, sf_dir)
-    ids = tables.embeddings(spark, sf_dir, "vec_id").where(F.col("vec_id") < 100)
-    delta = generators.gen_points(ids, DIM, 2, id_col="vec_id", stream="refresh").select("id", "vec", "payload")
-    return ck.vector_diff(before, mu.upsert(before, delta))
+    return ck.vector_diff(before, mu.upsert(before, refreshed(spark, sf_dir)))
+
 
+@register("vector_diff_stored", DIFF_SQL)
+def q_vector_diff_stored(spark, sf_dir):
+    """The same diff between two stored versions: buckets are merged where they lie."""
+    table = collection(spark, sf_dir)
+    buckets = versions.buckets_for(table)
+    before = versions.save_version(table, buckets)
+    after = versions.save_version(mu.upsert(before, refreshed(spark, sf_dir)), buckets)
+    return versions.vector_diff(before, after)
 
-@register("check_vectors_changed", with_views(
+
+CHANGED_SQL = with_views(
     "SELECT 'vectors_changed' AS \"check\", 'points' AS collection, CAST(count(*) AS BIGINT) AS expected, "
     "CAST(count(*) FILTER (WHERE p.vec IS DISTINCT FROM d.vec) AS BIGINT) AS actual, "
     "count(*) = count(*) FILTER (WHERE p.vec IS DISTINCT FROM d.vec) AS ok FROM points p JOIN delta d ON p.id = d.id",
     "points", extra={"delta": gen_points_sql("vec_id", "embeddings", DIM, 2, "overwrite")},
-))
+)
+
+
+def overwritten(spark, sf_dir):
+    """New vectors for every id."""
+    ids = tables.embeddings(spark, sf_dir, "vec_id")
+    return generators.gen_points(ids, DIM, 2, id_col="vec_id", stream="overwrite").select("id", "vec", "payload")
+
+
+@register("check_vectors_changed", CHANGED_SQL)
 def q_check_vectors_changed(spark, sf_dir):
     before = collection(spark, sf_dir)
-    ids = tables.embeddings(spark, sf_dir, "vec_id")
-    delta = generators.gen_points(ids, DIM, 2, id_col="vec_id", stream="overwrite").select("id", "vec", "payload")
-    return ck.check_vectors_changed(before, mu.upsert(before, delta))
+    return ck.check_vectors_changed(before, mu.upsert(before, overwritten(spark, sf_dir)))
+
+
+@register("check_vectors_changed_stored", CHANGED_SQL)
+def q_check_vectors_changed_stored(spark, sf_dir):
+    table = collection(spark, sf_dir)
+    buckets = versions.buckets_for(table)
+    before = versions.save_version(table, buckets)
+    return versions.check_vectors_changed(before, versions.save_version(mu.upsert(before, overwritten(spark, sf_dir)), buckets))
 
 
 @register("check_vectors_present", with_views(

@@ -215,7 +215,7 @@ def q_field_index_postings(spark, sf_dir):
 
 @register("filter_via_index", with_views("SELECT id, a FROM points WHERE a = 'keyword_1'", "points"))
 def q_filter_via_index(spark, sf_dir):
-    """The field index holds ids by keyword, no vectors; a filter reads one keyword's directory."""
+    """The field index holds ids by keyword, no vectors; a filter reads one keyword's row groups."""
     path = f"{storage_root(spark)}/byfield-{uuid.uuid4().hex[:10]}"
     cat.write_field_index(views.points(spark, sf_dir), path)
     return cat.ids_with(spark, path, "keyword_1").select("id", "a")
