@@ -371,6 +371,57 @@ def test_a_probe_beyond_the_histogram_keeps_its_transition(spark):
     assert [r["event_id"] for r in logs.rejects(probes).collect()] == [1, 3]
 
 
+@pytest.mark.parametrize("block_rows", [5, 60, 1 << 20])
+def test_cumulative_latency_equals_a_replay(spark, block_rows):
+    """Probe by probe in Python: equal timestamps, missing latencies and outcomes, a hot uri, a run over many slices."""
+    import math
+    import random
+
+    from vectables.operators.cumulative import latency_at_transitions
+
+    rng = random.Random(block_rows)
+    rows = []
+    for i in range(400):
+        uri = rng.choice(["hot"] * 6 + ["u", None])
+        ok = "error" if uri == "hot" and 100 < i < 260 else rng.choice(["ok", "ok", "error", None])
+        rows.append((i, _ts(i // 3), uri, rng.choice([None, 1, 3, 255, 256, 300, 5000, 3_600_000, 4_000_000]), ok))
+    rng.shuffle(rows)
+    probes = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, uri string, latency_ms long, outcome string")
+    got = {r["event_id"]: (r["uri"], r["kind"], r["failures"], r["total"], r["min_ms"], r["p50_ms"], r["p95_ms"], r["p99_ms"], r["max_ms"])
+           for r in latency_at_transitions(probes, block_rows).collect()}
+
+    def low(v):
+        return v >> max(0, v.bit_length() - 8) << max(0, v.bit_length() - 8)
+
+    def top(v):
+        return low(v) + (1 << max(0, v.bit_length() - 8)) - 1
+
+    want, seen, open_ = {}, {}, {}
+    for event_id, _, uri, ms, outcome in sorted(rows, key=lambda r: (r[1], r[0])):
+        have = seen.setdefault(uri, [])
+        if ms is not None and ms <= 3_600_000:
+            have.append(ms)
+        run, ok = open_.get(uri, 0), outcome == "ok"
+        open_[uri] = 0 if ok else run + 1
+        if ok != (run == 0):
+            tops = sorted(map(top, have))
+            at = [tops[max(1, math.ceil(len(tops) * q)) - 1] if tops else None for q in (0.5, 0.95, 0.99)]
+            want[event_id] = (uri, "recovered" if ok else "failed", run if ok else None, len(have), low(min(have)) if have else None,
+                              *at, tops[-1] if tops else None)
+    assert got == want
+
+
+def test_cumulative_latency_shuffles_the_probes_once(spark):
+    from vectables.operators.cumulative import latency_at_transitions
+    from vectables.sources import views
+
+    df = latency_at_transitions(views.probes(spark, "/root/testdata/sf0.001"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1 and plan.count("+- Exchange") + plan.count(":- Exchange") == 3
+    assert "Join" not in plan
+
+
 def test_kernel_memory_does_not_grow_with_the_query_set(monkeypatch):
     """Scores are made a tile of queries at a time: no matrix of all queries by an Arrow batch appears."""
     import numpy as np

@@ -26,11 +26,11 @@ CHUNK_ROWS = 1 << 20
 _HOUR_US = 3_600_000_000
 
 
-def time_chunk(df: DataFrame, keys: Sequence[str], ts: str = "ts", most: int | None = None) -> Column:
-    """Chunk of a row by time, monotone in ``ts``: slices of equal width, an hour or as much less as it
+def time_chunk(df: DataFrame, keys: Sequence[str], ts: str = "ts", most: int | None = None, widest: int = _HOUR_US) -> Column:
+    """Chunk of a row by time, monotone in ``ts``: slices of equal width, ``widest`` microseconds (an hour) or as much less as it
     takes for the busiest (key, slice) to hold at most ``most`` rows (only rows of one key within the same
     microsecond cannot be split). Reads ``df`` once per width tried: a count per (key, slice) and one maximum."""
-    most, width = most or CHUNK_ROWS, _HOUR_US
+    most, width = most or CHUNK_ROWS, widest
     ntz = dict(df.dtypes)[ts] == "timestamp_ntz"     # its wall clock, whatever the session's time zone
     instant = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{ts}`)") if ntz else F.unix_micros(ts)
     while True:
