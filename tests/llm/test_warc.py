@@ -59,3 +59,30 @@ def test_archives_are_records_ended_by_two_line_breaks(spark, pages):
 
 def test_no_pages(spark):
     assert warc.captures(spark.createDataFrame([], PAGES), "page_id", "url", "html").collect() == []
+
+
+def test_large_pages_are_few_to_a_file(spark):
+    """Pages of 1 MB beside small ones: files are cut by bytes, and every capture comes back whole."""
+    rows = [(i, f"http://h/{i}", f"{i} " + "ab" * (600_000 if i % 4 == 0 else 40_000 if i % 4 == 1 else 5)) for i in range(240)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    space = Workspace(spark, "warc-large")
+    warc.write(pages, "page_id", "url", "html", space.path("archives"), space)
+    files = spark.read.format("binaryFile").load(space.path("archives")).select("content").collect()
+    sizes = [len(gzip.decompress(bytes(f["content"]))) for f in files]
+    assert max(sizes) < 40 << 20 and len(sizes) >= 10
+    got = {r["response"]["url"]: bytes(r["response"]["payload"]).decode() for r in warc.assemble(warc.read(spark, space.path("archives"))).collect()}
+    assert got == {url: html for _, url, html in rows}
+
+
+def test_inflating_holds_one_step(monkeypatch):
+    import pyarrow as pa
+
+    parts = [b"x" * 3_000_000, b"", b"\r\n\r\n" * 7, bytes(range(256)) * 5000]
+    raw = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(p), p) for p in parts)
+    for step in (1000, 1 << 20):
+        monkeypatch.setattr(warc, "STEP", step)
+        for content in (gzip.compress(raw), gzip.compress(raw[:1_234_567]) + gzip.compress(raw[1_234_567:])):
+            pieces = list(warc._inflated(pa.py_buffer(content)))
+            assert max(map(len, pieces)) <= step and [b for _, b in warc._records(iter(pieces))] == parts
+    with pytest.raises(ValueError):
+        list(warc._records(iter([raw[:-10]])))

@@ -3,8 +3,9 @@
 Every page becomes three records: the response (or, where an earlier page has the same payload, a
 revisit of it), and a request and metadata that name it by WARC-Concurrent-To. A record is one row of a
 text file whose line separator is the CRLF CRLF that ends a WARC record, so Spark's own writer makes
-the archives, gzipped, in the shared folder, ``RECORDS_PER_FILE`` to a file. They are read as whole
-files of that bounded size and parsed by Content-Length; the records of a capture meet by the identifier of
+the archives, gzipped, in the shared folder. Pages are written by size, larger ones fewer to a file (``FILES``), so a file
+holds at most ``FILE_BYTES`` of payload or a single page. A file is read whole as stored, inflated ``STEP`` bytes at a time and parsed by
+Content-Length, so a task holds the file's gzip, the record it is in and one batch of parsed ones; the records of a capture meet by the identifier of
 its response and become one nested row.
 
 Payloads are compared by SHA-1 and length. The least page id is a partial minimum per digest, so a payload with a
@@ -29,7 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vectables.llm.store import Workspace
 
-RECORDS_PER_FILE = 6_000
+FILE_BYTES = 128 << 20
+#: payloads up to so many bytes: records in a file, three a page
+FILES = [(most, 3 * (FILE_BYTES // most)) for most in (64 << 10, 1 << 20, 16 << 20)] + [(None, 3)]
+STEP = 1 << 20              # bytes inflated at once
 DATE = "2000-01-01T00:00:00Z"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _N = "\r\n"
@@ -63,7 +67,12 @@ def write(pages: DataFrame, id_col: str, url_col: str, payload_col: str, path: s
     ids = page.where(F.col("id").isNotNull() & (F.col("bytes") >= least)).select("id", "bytes", "digest")
     first = ids.groupBy("bytes", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     again = space.save(ids.join(first, ["bytes", "digest"]).where("id <> first").select("id", "digest", "first").distinct(), "again")
-    page = page.join(again, ["id", "digest"], "left").withColumn("uid", F.monotonically_increasing_id().cast("string"))
+    size = F.lit(len(FILES) - 1)
+    for i, (most, _) in reversed(list(enumerate(FILES[:-1]))):
+        size = F.when(F.col("bytes") <= most, i).otherwise(size)
+    sizes = {r["size"] for r in page.select(size.alias("size")).distinct().collect()}       # at most len(FILES) rows
+    page = page.withColumn("size", size).join(again, ["id", "digest"], "left").withColumn(
+        "uid", F.concat_ws("-", "size", F.monotonically_increasing_id()))
 
     capture = F.concat(F.lit("urn:capture:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("uid"))
     with_ = ("WARC-Concurrent-To", F.concat(F.lit("<"), capture, F.lit(">")))
@@ -83,8 +92,9 @@ def write(pages: DataFrame, id_col: str, url_col: str, payload_col: str, path: s
     metadata = _record(
         F.lit("metadata"), F.concat(capture, F.lit(":metadata")), [with_, target, ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("page: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(_N)))
-    records = page.select(F.explode(F.array(request, answer, metadata)).alias("value"))
-    records.write.option("lineSep", _N + _N).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    for i in sorted(sizes | {0}):
+        records = page.where(F.col("size") == i).select(F.explode(F.array(request, answer, metadata)).alias("value"))
+        records.write.mode("append").option("lineSep", _N + _N).option("compression", "gzip").option("maxRecordsPerFile", FILES[i][1]).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -96,6 +106,43 @@ def _name(value: str | None) -> str | None:
     return value.strip("<>") if value else None
 
 
+def _inflated(content: pa.Buffer) -> Iterator[bytes]:
+    """What a gzip file of any number of members holds, at most ``STEP`` bytes at a time."""
+    member = zlib.decompressobj(wbits=47)
+    whole = memoryview(content)
+    for lo in range(0, len(whole), 1 << 16):
+        piece = whole[lo: lo + (1 << 16)]
+        while len(piece):
+            yield member.decompress(piece, STEP)
+            piece = member.unconsumed_tail
+            if member.eof:
+                piece, member = member.unused_data, zlib.decompressobj(wbits=47)
+    yield member.flush()
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record."""
+    held, seen, fields, size = bytearray(), 0, None, 0
+    for piece in pieces:
+        held += piece
+        while True:
+            if fields is None:
+                end = held.find(b"\r\n\r\n", seen)
+                if end < 0:
+                    seen = max(0, len(held) - 3)
+                    break
+                fields = _fields(bytes(held[:end]))
+                size = int(fields["content-length"])
+                del held[:end + 4]
+            if len(held) < size + 4:
+                break
+            yield fields, bytes(memoryview(held)[:size])
+            del held[:size + 4]
+            fields, seen = None, 0
+    if held or fields is not None:
+        raise ValueError("a WARC archive ends within a record")
+
+
 def _parse(with_payload: bool):
     def record(fields: dict[str, str], block: bytes) -> tuple:
         kind, record_id = fields.get("warc-type"), _name(fields.get("warc-record-id"))
@@ -120,20 +167,21 @@ def _parse(with_payload: bool):
     types = [pa.string()] * 4 + [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     names = re.findall(r"(\w+) \w+", RECORD)
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                raw, at, out, held = zlib.decompress(content.as_py(), wbits=47), 0, [], 0
-                while at < len(raw):
-                    end = raw.index(b"\r\n\r\n", at)
-                    fields = _fields(raw[at:end])
-                    block = raw[end + 4: end + 4 + int(fields["content-length"])]
+                out, held = [], 0
+                for fields, block in _records(_inflated(content.as_buffer())):
                     out.append(record(fields, block))
-                    at = end + 8 + len(block)
                     held += len(block)
-                    if held > 8 << 20 or at >= len(raw):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    if held > 8 << 20:
+                        yield batch_of(out)
                         out, held = [], 0
+                if out:
+                    yield batch_of(out)
 
     return run
 
