@@ -63,7 +63,7 @@ def write(pages: DataFrame, id_col: str, url_col: str, payload_col: str, path: s
     html = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     page = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.regexp_replace(
         F.col(url_col).cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"))
-    page = page.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": base32(F.sha1(F.col("html").cast("binary")))})
+    page = page.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
     ids = page.where(F.col("id").isNotNull() & (F.col("bytes") >= least)).select("id", "bytes", "digest")
     first = ids.groupBy("bytes", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     again = space.save(ids.join(first, ["bytes", "digest"]).where("id <> first").select("id", "digest", "first").distinct(), "again")
@@ -81,7 +81,7 @@ def write(pages: DataFrame, id_col: str, url_col: str, payload_col: str, path: s
     revisit = F.col("first").isNotNull()
     answer = _record(
         F.when(revisit, F.lit("revisit")).otherwise("response"), capture,
-        [target, ("Content-Type", F.lit("application/http;msgtype=response")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        [target, ("Content-Type", F.lit("application/http;msgtype=response")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
          ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
          ("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">")))],
         F.when(revisit, http).otherwise(F.concat(http, F.col("html"))))
