@@ -441,6 +441,72 @@ def test_kernel_memory_does_not_grow_with_the_query_set(monkeypatch):
     assert max(rows for rows, _ in shapes) == S.QUERY_TILE
 
 
+def _grid(monkeypatch, running, block):
+    from vectables.operators import search as S
+
+    monkeypatch.setattr(S, "RUNNING_BYTES", running)
+    monkeypatch.setattr(S, "BLOCK_BYTES", block)
+    return S
+
+
+def test_grid_of_points_and_queries_keeps_every_hit(spark, monkeypatch):
+    """Same hits from a grid of small cells; rows of another dimension and broken vectors are no hits."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vecs = rng.standard_normal((300, 6)).astype(np.float32).tolist()
+    vecs[7], vecs[8], vecs[9], vecs[10] = vecs[7][:5], None, [float("nan")] * 6, vecs[11]       # 10 and 11 tie
+    queries = rng.standard_normal((40, 6))
+    musts = np.array([None, "x", "y", "none"] * 10, dtype=object)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(lo, lo + 50)), pa.array(vecs[lo: lo + 50], pa.list_(pa.float32())),
+                                           pa.array([["x", "y", None][i % 3] for i in range(lo, lo + 50)])], names=["id", "vec", "a"]) for lo in range(0, 300, 50)]
+
+    def best(kernel):
+        out = {}
+        for b in kernel(iter(batches)):
+            for q, i, s, a in zip(*(c.to_pylist() for c in b.columns)):
+                out.setdefault(q, set()).add((-s, i, a))
+        return {q: sorted(h)[:4] for q, h in out.items()}
+
+    S = _grid(monkeypatch, 1 << 30, 1 << 30)
+    want = best(S.make_grid_kernel(np.arange(40), queries, musts, 4, "vec"))
+    assert len(want) == 30 and all(i not in (7, 8, 9) for h in want.values() for _, i, _ in h)
+    for running, block in ((7 * 4 * S.HIT_BYTES, 1), (1, 4000), (39 * 4 * S.HIT_BYTES, 1 << 30)):
+        S = _grid(monkeypatch, running, block)
+        assert best(S.make_grid_kernel(np.arange(40), queries, musts, 4, "vec")) == want
+
+
+def test_running_hits_of_a_grid_are_bounded(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    S = _grid(monkeypatch, 500 * 3 * 48, 4000)
+    rng = np.random.default_rng(1)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(lo, lo + 100)), pa.array(rng.standard_normal((100, 4)).tolist(), pa.list_(pa.float32())),
+                                           pa.array(["x"] * 100)], names=["id", "vec", "a"]) for lo in range(0, 600, 100)]
+    held, whole = [], S.reduce_topk
+    monkeypatch.setattr(S, "reduce_topk", lambda q, *a: held.append(len(whole(q, *a)[0])) or whole(q, *a))
+    for n in (2000, 8000):
+        kernel = S.make_grid_kernel(np.arange(n), rng.standard_normal((n, 4)), np.array([None] * n, dtype=object), 3, "vec")
+        rows = [b.num_rows for b in kernel(iter(batches))]
+        assert max(rows) <= 500 * 3 and sum(rows) >= 3 * n
+    assert max(held) <= 500 * 3
+
+
+def test_many_queries_scan_the_points_once(spark):
+    """200,000 queries of 64 components are one chunk: one broadcast, one scan of the points."""
+    from vectables.operators import search as S
+    from vectables.sources import views
+
+    pts = views.points(spark, "/root/testdata/sf0.001")
+    queries = spark.range(200_000).select(F.col("id").alias("query_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i + F.col("id") % 7).cast("float")).alias("qvec"),
+                                          F.lit(None).cast("string").alias("must_a"))
+    assert len(list(S.query_chunks(queries, 64, 0))) == 1
+    plan = search_batch(pts, queries, k=2, dim=64)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_indexed_search_fills_k_and_probes_more_cells_only_where_needed(spark):
     import numpy as np
 

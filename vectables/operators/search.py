@@ -9,7 +9,8 @@
   task (vectors are never shuffled). A query has at most ``k`` candidates per task; they are cut to
   ``k`` in ``SALTS`` groups first and those to ``k`` again, each ``row_number() <= k`` planned with a
   WindowGroupLimit before its shuffle. A task scores ``QUERY_TILE`` queries at a time, so its matrices
-  do not grow with the query set, and a chunk of queries is as large as their vectors and running top-k allow.
+  do not grow with the query set. Points are read once for every ``MAX_QUERY_BYTES`` of query vectors: where their running top-k
+  would not fit a task, it walks a grid, a block of points by the queries whose top-k fits, and emits each cell's hits.
 
 Order everywhere is ``(score desc, id asc)`` with the score rounded to 6 decimals first, so a
 local cut and the global cut agree on ties (S21). One rule for all searches: a vector that is null, empty, zero, of another
@@ -30,8 +31,10 @@ from vectables.session import ship, storage_root
 from vectables.functions.vectors import SCORE_DECIMALS, cosine
 
 HIT_SCHEMA = "query_id long, id long, score double, a string"
-# Bytes of query matrix and running top-k that a task holds; larger query sets are split into chunks.
+# Bytes of query vectors (and, for searches by cell, running top-k) that a task holds; larger query sets are split into chunks.
 MAX_QUERY_BYTES = 128 << 20
+RUNNING_BYTES = 128 << 20   # of running top-k that a task holds; more queries are searched a block of points at a time
+BLOCK_BYTES = 64 << 20      # of points in such a block
 HIT_BYTES = 48          # of one running hit: query, id, score, keyword, and its copy while merging
 QUERY_TILE = 1024       # queries scored against an Arrow batch at once
 SALTS = 64              # groups that the candidates of one query are cut in before the last cut
@@ -212,6 +215,31 @@ def make_topk_kernel(query_ids: np.ndarray, query_mat: np.ndarray, query_must: n
     return kernel
 
 
+def make_grid_kernel(query_ids: np.ndarray, query_mat: np.ndarray, query_must: np.ndarray, k: int, vector: str):
+    """:func:`make_topk_kernel` for any number of queries: one whose running top-k is over ``RUNNING_BYTES`` searches
+    ``BLOCK_BYTES`` of points at a time, some queries after the other, and emits at most ``k`` hits per query and block."""
+    per_cell = max(1, RUNNING_BYTES // (k * HIT_BYTES))
+    if len(query_ids) <= per_cell:
+        return make_topk_kernel(query_ids, query_mat, query_must, k, vector)
+    cells = [make_topk_kernel(query_ids[lo: lo + per_cell], query_mat[lo: lo + per_cell], query_must[lo: lo + per_cell], k, vector)
+             for lo in range(0, len(query_ids), per_cell)]
+
+    def kernel(batches):
+        block, held = [], 0
+        for batch in batches:
+            block.append(batch)
+            held += batch.nbytes
+            if held >= BLOCK_BYTES:
+                for cell in cells:
+                    yield from cell(iter(block))
+                block, held = [], 0
+        if block:
+            for cell in cells:
+                yield from cell(iter(block))
+
+    return kernel
+
+
 def collect_queries(queries: DataFrame, vector: str = "qvec", must: str = "must_a"):
     """Bring a size-checked query set to the driver as numpy (the broadcast side of the search)."""
     pdf = queries.select("query_id", vector, must).toPandas()
@@ -229,7 +257,7 @@ def collect_queries(queries: DataFrame, vector: str = "qvec", must: str = "must_
 
 
 def query_chunks(queries: DataFrame, dim: int, k: int = TOP_K, max_bytes: int | None = None):
-    """Yield ``(qids, matrix, musts)`` chunks whose vectors and running top-k fit ``max_bytes``.
+    """Yield ``(qids, matrix, musts)`` chunks whose vectors and running top-k (``k`` hits a query) fit ``max_bytes``.
 
     The query set is counted; one that is larger than a chunk is written once, with a hashed chunk
     number as partition, and read chunk by chunk. The driver holds one chunk at a time."""
@@ -253,7 +281,7 @@ def _hits_for(points: DataFrame, chunk, k: int, vector: str) -> DataFrame:
 
     def run(batches, bc=bc):
         q_ids, q_mat, q_must = bc.value
-        yield from make_topk_kernel(q_ids, q_mat, q_must, k, vector)(batches)
+        yield from make_grid_kernel(q_ids, q_mat, q_must, k, vector)(batches)
 
     return points.mapInArrow(run, HIT_SCHEMA)
 
@@ -289,5 +317,5 @@ def search_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector:
     """Top-k per query for every row of ``queries`` (query_id, qvec array<float>, must_a string|null)."""
     spark = points.sparkSession
     pts = points.select("id", vector, "a")
-    chunks = query_chunks(queries, dim or query_dim(queries), k)
+    chunks = query_chunks(queries, dim or query_dim(queries), 0)      # the kernel bounds its own running top-k
     return over_chunks(spark, chunks, lambda c: rank_hits(_hits_for(pts, c, k, vector), k))
