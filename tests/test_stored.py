@@ -103,3 +103,38 @@ def test_field_index_skips_row_groups(spark, tmp_path):
     assert cat.ids_with(spark, path, "hot", "k000001").count() == points.where("a in ('hot', 'k000001')").count()
     assert cat.ids_with(spark, path, "none").count() == 0
     assert "PushedFilters: [IsNotNull(a), EqualTo(a,k000001)]" in cat.ids_with(spark, path, "k000001")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [4, 1 << 20])
+def test_replayed_names_equal_a_walk(spark, monkeypatch, most):
+    """Attempt by attempt in Python, with equal timestamps, a hot name, missing ops and chunks of a few rows."""
+    import datetime as dt
+
+    from vectables.operators import scan
+
+    monkeypatch.setattr(scan, "CHUNK_ROWS", most)
+    rnd = random.Random(most)
+    rows = []
+    for i in range(300):
+        name = rnd.choice(["hot", "hot", "hot", "a", "b"])
+        op = rnd.choice(["create", "delete", "create", "delete", None])
+        message = rnd.choice([None, None, f"Collection `{name}` already exists!", "deadline exceeded", "Collection `x` already exists!"])
+        rows.append((i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * (i // 3)), name, op, message))
+    rows.append((300, dt.datetime(2024, 1, 1), "never", "create", "deadline exceeded"))
+    rows.append((301, dt.datetime(2024, 1, 1), "never", "create", "Collection `never` already exists!"))
+    want = {}
+    for _, _, name, op, message in sorted(rows, key=lambda r: (r[1], r[0])):
+        w = want.setdefault(name, dict(creates=0, deletes=0, created_twice=0, deleted_twice=0, refused_wrongly=0, exists=False))
+        if message is None and op == "create":
+            w["creates"] += 1
+            w["created_twice"] += w["exists"]
+            w["exists"] = True
+        elif message is None and op == "delete":
+            w["deletes"] += 1
+            w["deleted_twice"] += not w["exists"]
+            w["exists"] = False
+        elif op == "create" and message is not None and f"Collection `{name}` already exists!" in message:
+            w["refused_wrongly"] += not w["exists"]
+    rnd.shuffle(rows)
+    got = ck.replay_names(spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, collection string, op string, message string"))
+    assert {r["collection"]: {k: v for k, v in r.asDict().items() if k != "collection"} for r in got.collect()} == want

@@ -23,7 +23,12 @@ def write_field_index(points: DataFrame, path: str, field: str = "a", row_group_
 def ids_with(spark: SparkSession, path: str, *values: str, field: str = "a") -> DataFrame:
     """``(id, keyword)`` of points whose keyword is one of ``values``: the filter reaches the Parquet scan, which skips the
     row groups and pages that cannot hold them."""
-    return spark.read.schema(f"id long, `{field}` string").parquet(path).where(F.col(field).isin(*values))
+    return read_field_index(spark, path, field).where(F.col(field).isin(*values))
+
+
+def read_field_index(spark: SparkSession, path: str, field: str = "a") -> DataFrame:
+    """All of a written field index."""
+    return spark.read.schema(f"id long, `{field}` string").parquet(path)
 
 
 def live_snapshots(manifest: DataFrame, collection: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectables import BATCH_SIZE
+from vectables.operators.scan import block_chunk, chunked_lag, running_sums, time_chunk
 
 # hash buckets of ids that set comparisons tell apart: bounds what travels when two sets are equal
 BUCKETS = 1 << 12
@@ -170,11 +171,38 @@ def audit_lifecycle(attempts: DataFrame) -> DataFrame:
     """OP-55: per (collection, op): attempts, successes, accepted failures (a create whose message
     names the collection as already existing, S13; a failed delete is never accepted), other failures; ``ok`` when no other failure. Successes are
     reported, not required (S12)."""
-    accepted = (F.col("op") == "create") & F.col("message").contains(
-        F.concat(F.lit("Collection `"), F.col("collection"), F.lit("` already exists!")))
+    accepted = _refused_as_existing()
     return attempts.groupBy("collection", "op").agg(
         F.count(F.lit(1)).cast("bigint").alias("attempts"),
         F.count_if(F.col("message").isNull()).cast("bigint").alias("succeeded"),
         F.count_if(F.col("message").isNotNull() & accepted).cast("bigint").alias("accepted_failures"),
         F.count_if(F.col("message").isNotNull() & ~accepted).cast("bigint").alias("violations"),
     ).withColumn("ok", F.col("violations") == 0)
+
+
+def _refused_as_existing() -> Column:
+    return (F.col("op") == "create") & F.col("message").contains(
+        F.concat(F.lit("Collection `"), F.col("collection"), F.lit("` already exists!")))
+
+
+def replay_names(attempts: DataFrame) -> DataFrame:
+    """What a log of attempts ``(event_id, ts, collection, op, message)`` says of each name, in order of ``(ts, event_id)``; only
+    attempts without a message took effect. Per collection: ``creates`` and ``deletes`` that did, ``created_twice``
+    (while the name existed), ``deleted_twice`` (while it did not), ``refused_wrongly`` (a create refused as existing while the
+    name did not exist) and ``exists`` (after the last one). A null op takes no effect.
+
+    Attempts are numbered by the successes up to them in chunks of time, so no collection is one task's; a success and the
+    attempts that follow it are then one partial aggregate."""
+    took = F.col("message").isNull() & F.col("op").isin("create", "delete")
+    numbered = running_sums(attempts, ["collection"], ["ts", "event_id"], {"g": F.coalesce(took, F.lit(False)).cast("bigint")},
+                            time_chunk(attempts, ["collection"]))
+    states = numbered.groupBy("collection", "g").agg(F.max(F.when(took, F.col("op"))).alias("op"),
+                                                     F.count_if(F.col("message").isNotNull() & _refused_as_existing()).alias("refused"))
+    states = chunked_lag(states, ["collection"], ["g"], F.col("op"), "prev", block_chunk("g"))
+    made, gone = F.col("op") == "create", F.col("op") == "delete"
+    existed = F.coalesce(F.col("prev") == "create", F.lit(False))
+    return states.groupBy("collection").agg(
+        F.count_if(made).cast("bigint").alias("creates"), F.count_if(gone).cast("bigint").alias("deletes"),
+        F.count_if(made & existed).cast("bigint").alias("created_twice"), F.count_if(gone & ~existed).cast("bigint").alias("deleted_twice"),
+        F.sum(F.when(F.coalesce(made, F.lit(False)), 0).otherwise(F.col("refused"))).cast("bigint").alias("refused_wrongly"),
+        F.coalesce(F.max_by("op", "g") == "create", F.lit(False)).alias("exists"))

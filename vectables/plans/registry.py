@@ -36,4 +36,5 @@ def load_all() -> None:
         index_queries,
         stream_queries,
         drills,
+        lifecycle_queries,
     )
