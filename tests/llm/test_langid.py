@@ -79,3 +79,53 @@ def test_no_rows_and_no_labels(spark, model, no_docs, hard_docs):
     blank = langid.fit(no_docs, "text", "lang")
     got = langid.identify(langid.document_items(hard_docs, "doc_id", "source", "lang", "text"), blank, Workspace(spark, "langid-test")).collect()
     assert len(got) == hard_docs.count() and not any(r["accepted"] for r in got) and {r["lang"] for r in got} == {"und"}
+
+
+@pytest.mark.parametrize("heavy", [1, 4, 4096])
+def test_fusion_equals_brute_force(spark, model, monkeypatch, heavy):
+    """All evidence row by row in numpy: hot and rare hosts, rows without text, host or domain, repeated rows, and hosts of each side
+    of the cut between those that travel and those that are joined."""
+    monkeypatch.setattr(langid, "HEAVY", heavy)
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        host = rng.choice(["hot.a"] * 5 + ["x.a", "y.b", f"h{i}.b", None])
+        rows.append((i, host, host and host[-1] if i % 11 else None, rng.choice(["a", "b", "zz", None]), rng.choice(["s", "t", None]),
+                     rng.choice([None, "", "7 7", words(rng, 3, "a"), words(rng, 2, "b"), words(rng, 60, "ab"[i % 2])])))
+    rows += [(500 + i, *rows[i][1:]) for i in range(10)] + [(600, "empty.c", "c", None, None, None)]
+    got = identify(spark, rows, model)
+
+    size, smooth = 3, langid.SMOOTH
+    prior = np.array([(1 - langid.UNKNOWN) / 2] * 2 + [langid.UNKNOWN])
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    bucket, bounds = langid.trigrams(Texts(pa.array([r[5] for r in rows], pa.string())))
+    n = np.diff(bounds)
+    logs = np.array([model.log[:, bucket[a:b]].astype(np.float64).sum(axis=1) for a, b in zip(bounds, bounds[1:])]) \
+        * np.minimum(1, langid.WEIGHT / np.maximum(n, 1))[:, None]
+    own = np.array([soft(x + np.log(prior)) for x in logs])
+
+    def sums(of):
+        out = {}
+        for i, r in enumerate(rows):
+            if n[i] and None not in of(r):
+                out[of(r)] = out.get(of(r), 0) + own[i]
+        return out
+
+    hosts, domains = sums(lambda r: (r[2], r[1])), sums(lambda r: (r[2],))
+    every = own[n > 0].sum(axis=0)
+    base = (every + smooth * prior) / (every.sum() + smooth)
+    smoothed = lambda counts, parent: (counts + smooth * parent) / (counts.sum() + smooth)
+    for i, r in enumerate(rows):
+        total = logs[i].copy()
+        p = base
+        if (r[2], r[1]) in hosts:
+            p = smoothed(np.maximum(0, hosts[r[2], r[1]] - (own[i] if n[i] else 0)), smoothed(domains[r[2],], base))
+        total += np.log(p)
+        for col in (3, 4):
+            seen = sums(lambda x: (x[col],)).get((r[col],))
+            if seen is not None:
+                total += np.log((seen + smooth * seen.sum() / every.sum()) / (every + smooth))
+        fused = soft(total)
+        assert abs(got[r[0]]["posterior"] - fused.max()) < 1e-9
+        assert got[r[0]]["lang"] == [*model.languages, "und"][int(fused.argmax())]
+        assert got[r[0]]["accepted"] == bool(fused.argmax() < size - 1 and fused.max() >= langid.LEAST and n[i] > 0)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vectables.llm.store import Workspace
 from vectables.llm.text import Texts, slices
 
+HEAVY = 4_096           # hosts with more than this share of all rows are broadcast: at most as many
 BUCKETS = 1 << 16
 SAMPLE = 2_000          # labelled rows per language that the trigram model is fitted on
 WEIGHT = 200            # trigrams that a text counts as, at most
@@ -147,13 +148,17 @@ def identify(items: DataFrame, model: Model, space: Workspace) -> DataFrame:
     scored = scored.withColumn("own", _softmax(_add(F.col("logs"), log_prior)))
 
     def sums(*by: str) -> DataFrame:
-        """Summed text posteriors of the rows with text, by group."""
-        some = scored.where("trigrams > 0")
+        """Summed text posteriors of the rows with text, by group, and the number of all its ``rows``."""
+        some = scored
         for c in by:
             some = some.where(F.col(c).isNotNull())
-        return some.groupBy(*by).agg(F.array(*[F.coalesce(F.sum(F.col("own")[i]), F.lit(0.0)) for i in range(size)]).alias("n"))
+        posterior = F.when(F.col("trigrams") > 0, F.col("own"))
+        grouped = some.groupBy(*by).agg(F.array(*[F.coalesce(F.sum(posterior[i]), F.lit(0.0)) for i in range(size)]).alias("n"),
+                                        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("trigrams") > 0).alias("texts"))
+        return grouped.where("texts > 0").drop("texts") if by else grouped
 
-    every = sums().first()["n"] if size > 1 else [1.0]
+    whole = sums().first()
+    every, rows = whole["n"] if size > 1 else [1.0], whole["rows"]
     total = sum(every)
     overall = [(n + SMOOTH * p) / (total + SMOOTH) for n, p in zip(every, prior)]
     base = F.array(*[F.lit(float(p)) for p in overall])
@@ -163,7 +168,19 @@ def identify(items: DataFrame, model: Model, space: Workspace) -> DataFrame:
         return F.zip_with(counts, parent, lambda x, p: (x + F.lit(SMOOTH) * p) / (n + F.lit(SMOOTH)))
 
     domains = sums("domain").select("domain", smoothed(F.col("n"), base).alias("domain_prior"))
-    hosts = sums("domain", "host").join(domains, "domain").select("domain", "host", F.col("n").alias("host_n"), "domain_prior")
+    hosts = sums("domain", "host").join(domains, "domain").select("domain", "host", F.struct("n", "domain_prior").alias("at"), "rows")
+    hosts = space.save(hosts, "hosts")
+    # at most HEAVY hosts hold more than that share of the rows: they travel, and no other can weigh on one task
+    heavy = hosts.where(F.col("rows") * HEAVY > rows).select("domain", "host", F.col("at").alias("heavy"))
+    light = hosts.where(F.col("rows") * HEAVY <= rows).select("domain", "host", F.lit(0).cast("long").alias("apart"), F.col("at").alias("light"))
+    done = F.col("heavy").isNotNull() | F.col("host").isNull() | F.col("domain").isNull()
+
+    def with_host(table: DataFrame) -> DataFrame:
+        """``table`` with ``host_n`` and ``domain_prior``; rows that no light host can match are dealt evenly."""
+        met = table.join(F.broadcast(heavy), ["domain", "host"], "left").withColumn(
+            "apart", F.when(done, F.monotonically_increasing_id() + 1).otherwise(0)).join(light, ["domain", "host", "apart"], "left")
+        found = F.coalesce("heavy", "light")
+        return met.withColumns({"host_n": found["n"], "domain_prior": found["domain_prior"]}).drop("heavy", "light", "apart")
 
     def evidence(col: str) -> DataFrame:
         """log P(value | language) by the text posteriors, smoothed by the value's share of all rows."""
@@ -173,7 +190,7 @@ def identify(items: DataFrame, model: Model, space: Workspace) -> DataFrame:
         return table.select(col, F.zip_with(row, F.array(*[F.lit(float(n)) for n in every]), lambda x, n: F.log(
             (x + F.lit(SMOOTH) * share) / (n + F.lit(SMOOTH)))).alias(f"{col}_log"))
 
-    out = scored.join(hosts, ["domain", "host"], "left").join(evidence("declared"), "declared", "left").join(evidence("suffix"), "suffix", "left")
+    out = with_host(scored).join(evidence("declared"), "declared", "left").join(evidence("suffix"), "suffix", "left")
     with_text = F.col("trigrams") > 0
     others = F.zip_with("host_n", "own", lambda n, p: F.greatest(F.lit(0.0), n - F.when(with_text, p).otherwise(0.0)))
     host_prior = F.coalesce(smoothed(others, F.col("domain_prior")), base)
