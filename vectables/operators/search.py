@@ -315,7 +315,12 @@ def query_dim(queries: DataFrame) -> int:
 def search_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "vec",
                  dim: int | None = None) -> DataFrame:
     """Top-k per query for every row of ``queries`` (query_id, qvec array<float>, must_a string|null)."""
+    from vectables.operators import grid
+
     spark = points.sparkSession
     pts = points.select("id", vector, "a")
+    n, common = grid.measured(queries)
+    if n > grid.MANY:
+        return grid.search_many(pts, queries, k, n, common, vector)
     chunks = query_chunks(queries, dim or query_dim(queries), 0)      # the kernel bounds its own running top-k
     return over_chunks(spark, chunks, lambda c: rank_hits(_hits_for(pts, c, k, vector), k))
