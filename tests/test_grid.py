@@ -58,3 +58,28 @@ def test_groups_follow_the_queries_and_a_task_emits_its_hits_once(spark, monkeyp
     monkeypatch.setattr(grid, "POINT_ROWS", 100)
     monkeypatch.setattr(grid, "PENDING", 10)
     assert sum(b.num_rows for b in run(iter([asked_for, *shares]))) == 150
+
+
+@pytest.mark.parametrize("nprobe", [1, 3, 40])
+def test_ivf_search_in_groups(monkeypatch, points, queries, nprobe, tmp_path):
+    index = ivf.build_index(points, 40, str(tmp_path / "ivf"))
+    agree(*both(monkeypatch, lambda: ivf.ivf_search(index, queries, 30, nprobe)))
+
+
+@pytest.mark.parametrize("covered", [0, 700, 1200])
+def test_exact_and_hybrid_search_in_groups(monkeypatch, points, queries, covered, tmp_path):
+    index = ivf.build_index(points.where(F.col("id") < covered), None, str(tmp_path / "ivf"), files_per_cell=None)
+    changed = points.select("id").where("id % 50 = 0")
+    table = points.where("id % 70 > 0")
+    got, want = both(monkeypatch, lambda: ivf.hybrid_search(index, table, queries, 10, changed=changed.union(points.select("id").where("id % 70 = 0"))))
+    agree(got, want)
+    monkeypatch.undo()
+    if covered:
+        agree(*both(monkeypatch, lambda: ivf.exact_search(index, queries, 10)))
+
+
+def test_exact_search_in_groups_reads_few_cells(monkeypatch, points, queries, tmp_path):
+    index = ivf.build_index(points, 40, str(tmp_path / "ivf"))
+    report = []
+    agree(*both(monkeypatch, lambda: ivf.exact_search(index, queries, 5, nprobe=2, report=report)))
+    assert len(report) == 2 and 0 < report[1] < 0.5

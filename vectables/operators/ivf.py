@@ -34,6 +34,7 @@ from vectables import TOP_K
 from vectables.session import ship, storage_root
 from vectables.functions.random import uniform
 from vectables.functions.vectors import SCORE_DECIMALS, finite_vector
+from vectables.operators import grid
 from vectables.operators.search import (EMPTY_HITS, HIT_SCHEMA, arrow_vectors, cut_hits, make_topk_kernel, over_chunks, query_chunks,
                                         query_dim, rank_hits, search_batch, unit_rows)
 
@@ -200,6 +201,9 @@ def exact_search(index, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE
     spark = indexed.sparkSession
     if not len(pivots):
         return spark.createDataFrame([], EMPTY_HITS)
+    n, dim = grid.measured(queries)
+    if n > grid.MANY:
+        return _exact_many(index, None, queries, n, dim, k, nprobe, vector, report)
     piv, spread = _unit(pivots), cell_spread(index, vector)
     size = np.array([spread.get(c, (0, 0))[1] for c in range(len(piv))])
     root = f"{storage_root(spark)}/ivf-exact-{uuid.uuid4().hex[:12]}"
@@ -244,6 +248,86 @@ def exact_search(index, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE
     return over_chunks(spark, query_chunks(queries, pivots.shape[1], k), build)
 
 
+def _reach(unit: np.ndarray, piv: np.ndarray, spread: dict[int, tuple[float, int]], cell: int) -> np.ndarray:
+    """The best cosine that a point of one cell can have with each query."""
+    if cell not in spread:
+        return np.full(len(unit), -2.0)
+    angle = np.arccos(np.clip(unit @ piv[cell], -1, 1))
+    return np.cos(np.clip(angle - math.acos(max(-1.0, min(1.0, spread[cell][0]))), 0, math.pi))
+
+
+def _nearest_by_bound(unit: np.ndarray, piv: np.ndarray, spread: dict, n: int):
+    """Per query its ``n`` cells of the highest bound, without those that hold no points; some queries at a time."""
+    for lo in range(0, len(unit), grid.QUERY_TILE):
+        bound = cell_bounds(unit[lo: lo + grid.QUERY_TILE], piv, spread)
+        for row, cells in zip(bound, np.argsort(-bound, axis=1, kind="stable")[:, :n]):
+            yield cells[row[cells] > -2.0]
+
+
+def _first_round(bc, dim: int, k: int, nprobe: int):
+    """Queries and the points of cells -> (query_id, kth, read): the score of each query's k-th hit in its ``nprobe`` nearest cells,
+    null where they hold fewer, and the points read."""
+
+    def run(batches):
+        queries, points = grid.split(batches)
+        group, (piv, spread) = grid.Group(queries, dim), bc.value
+        if group.n:
+            best, read = grid.Running(group.n, k), np.zeros(group.n, np.int64)
+            grid.scored(group, best, points, grid.Labels(), grid.vector_parts(dim), group.unit.astype(np.float32), group.unit, grid.single_margin(dim),
+                        grid.members(_nearest_by_bound(group.unit, piv, spread, nprobe), group.n), read)
+            best.merge()
+            yield pa.RecordBatch.from_arrays([pa.array(group.ids), pa.array(best.kth, mask=best.count < k), pa.array(read)], names=["query_id", "kth", "read"])
+
+    return run
+
+
+def _second_round(bc, dim: int, k: int):
+    """Queries with the score their hits reach, and all points -> ranked hits with ``read``: a cell is read for the queries it can serve."""
+
+    def run(batches):
+        queries, points = grid.split(batches)
+        group, labels, (piv, spread) = grid.Group(queries, dim), grid.Labels(), bc.value
+        if group.n:
+            floor = group.column("kth").astype(np.float64)
+            best, read = grid.Running(group.n, k, np.where(np.isnan(floor), -np.inf, floor)), np.zeros(group.n, np.int64)
+            grid.scored(group, best, points, labels, grid.vector_parts(dim), group.unit.astype(np.float32), group.unit, grid.single_margin(dim),
+                        lambda cell: _reach(group.unit, piv, spread, cell) >= best.kth - SLACK, read)
+            yield from grid.ranked_rows(group, best, labels, {"read": read})
+
+    return run
+
+
+def _exact_many(index, tail: DataFrame | None, queries: DataFrame, n: int, dim: int, k: int, nprobe: int, vector: str,
+                report: list | None = None) -> DataFrame:
+    """``exact_search`` (and, with ``tail``, ``hybrid_search``) of many queries, in two rounds: the nearest cells give each query a score that
+    its hits reach; the others, and the tail, are read by the queries they can still serve, whose k-th score rises on the way."""
+    pivots, indexed = index
+    spark = indexed.sparkSession
+    columns = ["id", F.col(vector).alias("vec"), "a"]
+    if dim != pivots.shape[1]:      # no point of the index has the length of the queries
+        return search_batch(tail, queries, k, vector) if tail is not None else spark.createDataFrame([], EMPTY_HITS)
+    spread = cell_spread(index, vector)
+    bc = ship(spark, (_unit(pivots), spread))
+    celled = indexed.where(F.col("cell").isNotNull()).select(*columns, "cell")
+    every = celled if tail is None else celled.unionByName(tail.select(*columns), allowMissingColumns=True)
+    asked = queries.select("query_id", "qvec", "must_a")
+    groups = grid.groups_for(spark, n, every.count(), dim, k)
+    first = grid.dealt(celled, asked, groups).mapInArrow(_first_round(bc, dim, k, nprobe), "query_id long, kth double, read long")
+    reached = first.groupBy("query_id").agg(F.max("kth").alias("kth"), F.sum("read").alias("read"))
+    if report is not None:      # the caller waits for the share of pairs read
+        path = f"{storage_root(spark)}/ivf-exact-{uuid.uuid4().hex[:12]}"
+        reached.write.parquet(f"{path}/reached")
+        reached = spark.read.schema(reached.schema).parquet(f"{path}/reached")
+    hits = grid.dealt(every, asked.join(reached.select("query_id", "kth"), "query_id", "left"), groups).mapInArrow(
+        _second_round(bc, dim, k), f"{grid.RANKED}, read long")
+    if report is not None:
+        hits.write.parquet(f"{path}/hits")
+        hits = spark.read.schema(hits.schema).parquet(f"{path}/hits")
+        seen = (reached.agg(F.sum("read")).first()[0] or 0) + (hits.where("rank = 1").agg(F.sum("read")).first()[0] or 0)
+        report.append(seen / max(1, sum(c for _, c in spread.values()) * n))
+    return hits.drop("read")
+
+
 def hybrid_search(index, points: DataFrame, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE, vector: str = "vec",
                   changed: DataFrame | None = None) -> DataFrame:
     """The exact top-k over all ``points`` while the index lags: through the index for what it covers, by a scan of the tail for the
@@ -251,6 +335,11 @@ def hybrid_search(index, points: DataFrame, queries: DataFrame, k: int = TOP_K,
     pivots, indexed = index
     covered = indexed if changed is None else indexed.join(changed.select("id").distinct(), "id", "left_anti").select(*indexed.columns)
     tail = tail_of(index, points, changed)
+    n, dim = grid.measured(queries)
+    if n > grid.MANY:
+        if not len(pivots):
+            return search_batch(tail, queries, k, vector)
+        return _exact_many((pivots, covered), tail, queries, n, dim, k, nprobe, vector)
     both = exact_search((pivots, covered), queries, k, nprobe, vector).unionByName(
         search_batch(tail, queries, k, vector, dim=query_dim(queries)))
     return rank_hits(both.drop("rank"), k)
@@ -280,6 +369,37 @@ def probes_of(mat: np.ndarray, musts: np.ndarray, pivots_unit: np.ndarray, count
     return out
 
 
+def _enough_per_cell(indexed: DataFrame, queries: DataFrame, k: int, vector: str) -> dict:
+    """``matches_per_cell`` for the keywords of ``queries`` that ``k`` searchable points or more have: one that fewer have reads
+    every cell whatever the counts. So there are at most 1 / k as many keywords as points."""
+    some = indexed.where(F.col("cell").isNotNull() & F.exists(vector, lambda x: x != 0)).groupBy("cell", "a").agg(F.count(F.lit(1)).alias("n"))
+    names = queries.select(F.col("must_a").alias("a")).where("a is not null").distinct()
+    often = some.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= k).select("a").join(names, "a", "left_semi")
+    out: dict = {None: {r["cell"]: r["n"] for r in some.groupBy("cell").agg(F.sum("n").alias("n")).collect()}}
+    for r in some.join(often, "a", "left_semi").collect():
+        out.setdefault(r["a"], {})[r["cell"]] = r["n"]
+    return out
+
+
+def _probe_many(index, queries: DataFrame, n: int, dim: int, k: int, nprobe: int, vector: str) -> DataFrame:
+    """``ivf_search`` of many queries: each task finds the cells its queries probe and scores a cell's points for those."""
+    pivots, indexed = index
+    spark = indexed.sparkSession
+    if dim != pivots.shape[1]:
+        return spark.createDataFrame([], EMPTY_HITS)
+    points = indexed.where(F.col("cell").isNotNull()).select("id", F.col(vector).alias("vec"), "a", "cell")
+    bc = ship(spark, (_unit(pivots), _enough_per_cell(indexed, queries, k, vector)))
+
+    def probing(group):
+        piv, counts = bc.value
+        tiles = range(0, group.n, grid.QUERY_TILE)
+        return grid.members((cells for lo in tiles for cells in probes_of(group.mat[lo: lo + grid.QUERY_TILE], group.musts[lo: lo + grid.QUERY_TILE],
+                                                                          piv, counts, k, nprobe)), group.n)
+
+    groups = grid.groups_for(spark, n, points.count(), dim, k)
+    return grid.dealt(points, queries.select("query_id", "qvec", "must_a"), groups).mapInArrow(grid.scan_kernel(dim, k, probing), grid.RANKED)
+
+
 def ivf_search(index, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE, vector: str = "vec") -> DataFrame:
     """Top-k per query through the index ``(pivots, indexed_points)``. Counts cells and collects the query chunks
     before it returns the (lazy) hits."""
@@ -289,6 +409,9 @@ def ivf_search(index, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE,
         return spark.createDataFrame([], EMPTY_HITS)
     piv = _unit(pivots)
     dim = pivots.shape[1]
+    n, common = grid.measured(queries)
+    if n > grid.MANY:
+        return _probe_many(index, queries, n, common, k, nprobe, vector)
 
     def build(chunk):
         qids, mat, musts = chunk
