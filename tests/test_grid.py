@@ -83,3 +83,18 @@ def test_exact_search_in_groups_reads_few_cells(monkeypatch, points, queries, tm
     report = []
     agree(*both(monkeypatch, lambda: ivf.exact_search(index, queries, 5, nprobe=2, report=report)))
     assert len(report) == 2 and 0 < report[1] < 0.5
+
+
+@pytest.mark.parametrize("oversample", [1.0, 3.0])
+def test_quantized_search_in_groups(monkeypatch, points, queries, oversample):
+    once = queries.dropDuplicates(["query_id"])
+    agree(*both(monkeypatch, lambda: quant.search_int8(points, once, 10, oversample)))
+
+
+def test_searches_without_hits_in_groups(monkeypatch, spark, queries):
+    monkeypatch.setattr(grid, "MANY", 0)
+    for table in (spark.createDataFrame([], POINTS), spark.createDataFrame(BROKEN[:7], POINTS)):
+        index = ivf.build_index(table, 4)
+        for hits in (search.search_batch(table, queries, 5), ivf.exact_search(index, queries, 5), ivf.ivf_search(index, queries, 5),
+                     ivf.hybrid_search(index, table, queries, 5), quant.search_int8(table, queries, 5)):
+            assert hits.columns == ["query_id", "rank", "id", "score", "a"] and hits.count() == 0

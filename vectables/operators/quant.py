@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from vectables import TOP_K
 from vectables.session import ship, storage_root
 from vectables.functions.vectors import SCORE_DECIMALS, finite_vector
+from vectables.operators import grid
 from vectables.operators.search import (HIT_SCHEMA, QUERY_TILE, _groups_by_keyword, _top_candidates, arrow_vectors, cut_hits, over_chunks,
                                         point_batches, query_chunks, query_dim, rank_hits, reduce_topk, unit_rows)
 
@@ -127,12 +128,98 @@ def _rescored(bc, vector: str):
     return run
 
 
+def _code_parts(dim: int, kind):
+    """Codes of a batch of points, for ``grid.scored``."""
+
+    def parts(batch: pa.RecordBatch):
+        packed = batch.column("code")
+        width = np.diff(np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset: packed.offset + len(packed) + 1])
+        rows = np.flatnonzero(width == dim)
+        start = np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset: packed.offset + len(packed)][rows]
+        flat = np.frombuffer(packed.buffers()[2], dtype=np.int8) if len(rows) else np.zeros(0, np.int8)
+        return rows, flat[start[:, None] + np.arange(dim)].astype(kind), None
+
+    return parts
+
+
+def _shortlists(dim: int, alpha: float, shortlist: int, vectors: pa.DataType):
+    """Queries and coded points -> (query_id, qvec, ids, labels): a row per query with its shortlist."""
+    kind = np.float32 if dim <= 1024 else np.float64     # sums of dim products of two bytes stay exact
+
+    def run(batches):
+        queries, points = grid.split(batches)
+        group, labels = grid.Group(queries, dim), grid.Labels()
+        if not group.n:
+            return
+        best = grid.Running(group.n, shortlist)
+        mine = quantize_np(np.where(group.good[:, None], group.mat, 0.0), alpha).astype(kind)
+        grid.scored(group, best, points, labels, _code_parts(dim, kind), mine, None, 0.0)
+        for q, _, i, _, a in best.hits(np.searchsorted(group.ids, group.ids)):
+            starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
+            bounds = pa.array(np.r_[starts, len(q)].astype(np.int32))
+            mats = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * dim), pa.array(group.mat[q[starts]].ravel(), vectors))
+            yield pa.RecordBatch.from_arrays([pa.array(group.ids[q[starts]]), mats, pa.ListArray.from_arrays(bounds, pa.array(i)),
+                                              pa.ListArray.from_arrays(bounds, labels.names(a))], names=["query_id", "qvec", "ids", "labels"])
+
+    return run
+
+
+def _rescored_lists(dim: int, k: int):
+    """Queries with their shortlists, and all points -> the ``k`` best of each shortlist by exact score, ranked."""
+
+    def run(batches):
+        queries, points = grid.split(batches)
+        group, labels = grid.Group(queries, dim), grid.Labels()
+        if not group.n:
+            return
+        lists = group.table["ids"].combine_chunks()
+        wanted = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(group.n, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+        label = labels.of(group.table["labels"].combine_chunks().flatten())
+        order = np.argsort(wanted, kind="stable")
+        wanted, owner, label = wanted[order], owner[order], label[order]
+        best, parts = grid.Running(group.n, k), grid.vector_parts(dim)
+        for batch in points:
+            rows, _, unit = parts(batch)
+            if not len(rows):
+                continue
+            ids = batch.column("id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+            lo, hi = np.searchsorted(wanted, ids, "left"), np.searchsorted(wanted, ids, "right")
+            n = hi - lo
+            ends = np.cumsum(n)
+            for a in range(0, int(ends[-1]), grid.EXACT_PAIRS):        # pairs of a shortlisted point and a query that lists it
+                pair = np.arange(a, min(a + grid.EXACT_PAIRS, int(ends[-1])))
+                p = np.searchsorted(ends, pair, "right")
+                at = lo[p] + pair - (ends[p] - n[p])
+                score = np.round(np.einsum("ij,ij->i", group.unit[owner[at]], unit[p]), SCORE_DECIMALS)
+                best.add(owner[at], ids[p], score, label[at])
+        yield from grid.ranked_rows(group, best, labels)
+
+    return run
+
+
+def _search_many(codes: tuple[float, DataFrame], points: DataFrame, queries: DataFrame, n: int, dim: int, k: int, shortlist: int, vector: str) -> DataFrame:
+    """``search_codes`` of many queries: the codes pass each group of queries, then the vectors pass each group's shortlists."""
+    alpha, coded = codes
+    spark = points.sparkSession
+    kind = {"float": pa.float32(), "double": pa.float64()}[queries.schema["qvec"].dataType.elementType.typeName()]
+    qvec = queries.schema["qvec"].dataType.simpleString()
+    groups = grid.groups_for(spark, n, coded.count(), dim, 2 * shortlist)
+    short = grid.dealt(coded, queries.select("query_id", "qvec", "must_a"), groups, "code").mapInArrow(
+        _shortlists(dim, alpha, shortlist, kind), f"query_id long, qvec {qvec}, ids array<long>, labels array<string>")
+    pts = points.select("id", F.col(vector).alias("vec"), F.lit(None).cast("string").alias("a"))
+    return grid.dealt(pts, short.withColumn("must_a", F.lit(None).cast("string")), groups).mapInArrow(_rescored_lists(dim, k), grid.RANKED)
+
+
 def search_codes(codes: tuple[float, DataFrame], points: DataFrame, queries: DataFrame, k: int = TOP_K, oversample: float = OVERSAMPLE,
                  vector: str = "vec", dim: int | None = None) -> DataFrame:
     """Top-k per query: the shortlist over the stored ``codes``, the order by the vectors of the shortlisted points."""
     alpha, coded = codes
     spark = points.sparkSession
     shortlist = max(k, int(np.ceil(k * oversample)))
+    n, common = grid.measured(queries)
+    if n > grid.MANY:
+        return _search_many(codes, points, queries, n, common, k, shortlist, vector)
 
     def build(chunk):
         bc = ship(spark, chunk)
