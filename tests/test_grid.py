@@ -98,3 +98,17 @@ def test_searches_without_hits_in_groups(monkeypatch, spark, queries):
         for hits in (search.search_batch(table, queries, 5), ivf.exact_search(index, queries, 5), ivf.ivf_search(index, queries, 5),
                      ivf.hybrid_search(index, table, queries, 5), quant.search_int8(table, queries, 5)):
             assert hits.columns == ["query_id", "rank", "id", "score", "a"] and hits.count() == 0
+
+
+def test_drill_search_reads_written_tables(spark, monkeypatch):
+    """The refreshed table and its hits are made once, however many checks read them."""
+    from vectables.plans import drills
+
+    made = []
+    whole = drills.search_batch
+    monkeypatch.setattr(drills, "search_batch", lambda points, *a, **kw: made.append(points._jdf.queryExecution().analyzed().toString()) or whole(points, *a, **kw))
+    from vectables.sources import generators
+    table = generators.gen_points(spark.range(300), drills.DIM, 2, stream="t/drill").select("id", "vec", "payload")
+    queries = generators.gen_queries(spark.range(5), drills.DIM, 2, stream="t/drillq")
+    got = drills.searched_rows(table, queries, spark.createDataFrame([(300,)], "n long"))
+    assert all(r["ok"] for r in got.collect()) and len(made) == 3 and all("Range" not in plan for plan in made)

@@ -117,11 +117,19 @@ REFRESHED_CTES = {
 }
 
 
+def written(spark, rows):
+    """``rows`` as a table in the shared folder: what they are now, whatever is appended to their sources later."""
+    path = f"{storage_root(spark)}/drill-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def searched_rows(refreshed: DataFrame, queries: DataFrame, n: DataFrame) -> DataFrame:
     """Search the refreshed table, check every query's hits against it, and count the hits among the refreshed ids: as many as when
     the slice and the rest are searched apart and their hits ranked together."""
+    refreshed = written(queries.sparkSession, refreshed)
     points = refreshed.select("id", "vec", F.col("payload")["a"].alias("a"))
-    hits = search_batch(points, queries, dim=DIM)
+    hits = written(queries.sparkSession, search_batch(points, queries, dim=DIM))
     verdict = ck.check_search_hits(queries, hits, points=refreshed).agg(
         F.count(F.lit(1)).alias("q"), F.count_if(F.col("reason") == "ok").alias("good"))
     fresh = F.col("id") < 100
@@ -201,13 +209,6 @@ def q_drill_points_update(spark, sf_dir):
 
 # --- P-06 toggle_indexing --------------------------------------------------------------------
 
-def written(spark, rows):
-    """``rows`` as a table in the shared folder: what they are now, whatever is appended to their sources later."""
-    path = f"{storage_root(spark)}/drill-{uuid.uuid4().hex[:12]}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 TOGGLE_STATES = ("off", "lagging", "on")
 _COVERED = {"off": "CAST(0 AS BIGINT)", "lagging": f"(SELECT count(vec) FROM points WHERE id <= {iq.HALF_SQL})", "on": "(SELECT count(vec) FROM points)"}
 
@@ -227,7 +228,7 @@ def q_drill_toggle_index(spark, sf_dir):
     n = n_points(spark, sf_dir)
     queries = supplied_queries(spark, sf_dir)
     points = views.points(spark, sf_dir)
-    exact = search_batch(points, queries, dim=DIM)
+    exact = written(spark, search_batch(points, queries, dim=DIM))
     half, path, mark = iq.half_index(spark, sf_dir)
     off = (half[0][:0], half[1].where("false"))
     counted_half = half[1].agg(F.count("cell").alias("c")).first()["c"]     # before the tail is appended to the same folder
@@ -235,9 +236,9 @@ def q_drill_toggle_index(spark, sf_dir):
     full = ivf.extend_index(half, points, path)
     with_vector = lambda rows: rows.agg(F.count("vec").alias("n"))
     states = {
-        "off": (with_vector(points.where("false")), off[1].agg(F.count("cell").alias("c")), ivf.hybrid_search(off, points, queries)),
+        "off": (with_vector(points.where("false")), off[1].agg(F.count("cell").alias("c")), written(spark, ivf.hybrid_search(off, points, queries))),
         "lagging": (with_vector(points.where(F.col("id") <= mark)), spark.range(1).select(F.lit(counted_half).cast("bigint").alias("c")), lagging),
-        "on": (with_vector(points), full[1].agg(F.count("cell").alias("c")), ivf.hybrid_search(full, points, queries)),
+        "on": (with_vector(points), full[1].agg(F.count("cell").alias("c")), written(spark, ivf.hybrid_search(full, points, queries))),
     }
     parts = [row("insert", ck.one_row_join(n, counted(base)), "count", F.col("n"), F.col("c"))]
     for state, (due, built, hits) in states.items():
