@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vectables.llm import phrases
@@ -105,3 +106,55 @@ def test_quicksort_of_pointers():
     got = phrases.frequent_prefixes(keys, weight, 15)
     assert {tuple(keys[:d, i].tolist()): n for i, d, n in got} == {p: n for p, n in want.items() if n >= 15}
     assert phrases.frequent_prefixes(np.zeros((5, 0), np.int64), np.zeros(0, np.int64), 1) == []
+
+
+def random_rows(n, words=40):
+    """Pairs that are frequent, in texts of words that go on at random, and one phrase of five words."""
+    rng = random.Random(3)
+    return [(" ".join([*rng.choices([f"w{i}" for i in range(words)], k=100), ".", "a b c d e"]), "en") for _ in range(n)]
+
+
+def test_suffixes_grow_with_frequent_phrases(spark, tmp_path):
+    """However many texts there are, a task names a frequent phrase once; before, it named each way in which a pair goes on."""
+    made = {}
+    for n in (600, 3000):
+        space = phrases.Workspace(spark, "phrases")
+        space.root = str(tmp_path / str(n))
+        rows = random_rows(n)
+        docs = spark.createDataFrame(rows, "text string, lang string").repartition(12)
+        docs.write.parquet(f"{space.root}/docs")
+        docs = spark.read.parquet(f"{space.root}/docs")
+        least = n // 60         # 40 * 40 pairs of about n / 16 each are frequent, runs of three random words are not
+        _, _, counted = phrases.phrase_counts(docs, "text", "lang", least, 5, space)
+        frequent = counted.count()
+        assert frequent == 40 * 40 + 10
+        made[n] = spark.read.parquet(space.path("suffixes")).count()
+        assert made[n] <= 1.1 * frequent * phrases.parallelism(spark)
+        assert found(docs, least=least) == brute(rows, least)
+    assert made[3000] <= 3 * made[600]
+
+
+def test_truncated_suffixes_keep_every_frequent_run(docs):
+    assert brute(table(400), 300) and found(docs, least=300) == brute(table(400), 300)
+
+
+def test_bucket_counts_add_up_over_tasks():
+    counts = np.zeros(2 * phrases.BLOCK, dtype=np.uint16)
+    counts[[1, 5000, 5001]] = 150, 299, 150
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([c.tobytes() for c in counts.reshape(2, -1)])], names=["block", "buckets"])
+    got, = phrases._full_buckets(300)(iter([batch, batch]))
+    bits = {b: np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")).tolist()
+            for b, m in zip(got["block"].to_pylist(), got["buckets"].to_pylist())}
+    assert bits == {0: [1], 1: [5000 - phrases.BLOCK, 5001 - phrases.BLOCK]}
+
+
+def test_counts_are_merged_before_they_are_passed_on(monkeypatch):
+    monkeypatch.setattr(phrases, "HELD", 100)
+    held, keys = phrases._Counts(1), np.arange(1, 41, dtype=np.uint64)
+    for _ in range(50):
+        held.add(keys[None, :], keys)
+        assert not held.full() and held.n <= 100
+    (rows, n), = held.take()
+    assert rows[0].tolist() == keys.tolist() and set(n.tolist()) == {50}
+    held.add(np.arange(101, dtype=np.uint64)[None, :], np.arange(101, dtype=np.uint64))
+    assert held.full()

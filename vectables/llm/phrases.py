@@ -1,11 +1,18 @@
 """Phrase collocation mining by a multikey three-way quicksort of suffix pointers.
 
-Three passes over the texts, each combined within its tasks before it is shuffled:
+Four passes over the texts, each combined within its tasks before it is shuffled:
 
 1. words are counted; the frequent ones become a bitmap of bounded size;
 2. pairs of frequent words are counted, and the frequent pairs become a second bitmap;
-3. a suffix begins at each word and goes on for ``longest`` words, as long as every pair in it passes the second bitmap. A bitmap
-   passes what it holds and a few others, so no phrase that is frequent enough is lost by it.
+3. runs of three words and more, all of whose pairs pass the second bitmap, are counted in hashed buckets, a byte or few each; the
+   buckets that reach the least count become a third bitmap;
+4. a suffix begins at each word and goes on for ``longest`` words, as long as every pair in it passes the second bitmap and each of
+   its prefixes the third. A bitmap passes what it holds and a few others, so no phrase that is frequent enough is lost by it.
+
+A suffix ends with its longest frequent prefix, so a task of the fourth pass makes about one row for each frequent phrase at most,
+however often their words go on in other ways, besides the pairs that a bitmap passes by mistake (up to one or two in a hundred).
+Passes 3 and 4 run in one task for each core: the rows are then bounded by cores x frequent phrases, and those by the input (each
+occurs ``least`` times), where more tasks would name the same phrases again.
 
 The suffixes are routed over the cluster by their leading words: the partitions are ranges of suffixes in word order, cut by
 Spark from a sample of the keys, so a word that begins a third of all suffixes spans as many partitions as its suffixes fill. Each
@@ -33,13 +40,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vectables.llm.store import Workspace
 from vectables.llm.text import Texts, as_long, hash_ranges, mix, slices
-from vectables.session import ship
+from vectables.session import parallelism, ship
 
 UNKNOWN = "und"
 LONGEST = 5
 MAX_BITS = 27           # a bitmap has at most 2**MAX_BITS bits (16 MB)
 HELD = 600_000          # distinct rows that a counting task holds before it passes them on
 ROUTED = 1_000_000      # suffixes that a sorting task is meant for
+BLOCK = 4096            # buckets that travel in one row
 SALTS = 64
 
 _GAP = np.zeros(256, dtype=bool)
@@ -103,10 +111,13 @@ class Bitmap:
     def bits_for(n: int) -> int:
         return min(MAX_BITS, max(10, math.ceil(math.log2(16 * max(n, 1)))))
 
+    @staticmethod
+    def places(key: np.ndarray, bits: int) -> list[np.ndarray]:
+        return [(key >> np.uint64(shift)) & np.uint64((1 << bits) - 1) for shift in (0, 64 - MAX_BITS)]
+
     def passes(self, key: np.ndarray) -> np.ndarray:
         out = np.ones(len(key), dtype=bool)
-        for shift in (0, 64 - MAX_BITS):
-            at = (key >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)
+        for at in self.places(key, self.bits):
             out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return out
 
@@ -121,6 +132,15 @@ class Bitmap:
         words[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
         return Bitmap(bits, words)
 
+    @staticmethod
+    def of_buckets(blocks: DataFrame, bits: int) -> Bitmap:
+        """The bitmap of buckets (block, bits of its buckets); at most 2**(MAX_BITS - 3) bytes reach the driver."""
+        found = blocks.toArrow()
+        mask = np.zeros(1 << (bits - 3), dtype=np.uint8)
+        for block, part in zip(found["block"].to_pylist(), found["buckets"].to_pylist()):
+            mask[block * BLOCK // 8: block * BLOCK // 8 + len(part)] = np.frombuffer(part, dtype=np.uint8)
+        return Bitmap(bits, mask.view("<u8"))
+
 
 class _Counts:
     """Counts of keys, or of rows of keys, merged as they come; passes on what it holds when that is too much."""
@@ -133,8 +153,6 @@ class _Counts:
         _, at, n = np.unique(ident, return_index=True, return_counts=True)
         self.parts.append((ident[at], rows[:, at], n))
         self.n += len(at)
-        if self.n > 2 * HELD:
-            self.merge()
 
     def merge(self) -> None:
         ident, rows, n = (np.concatenate([p[i] for p in self.parts], axis=-1) for i in range(3))
@@ -143,7 +161,11 @@ class _Counts:
         self.n = len(at)
 
     def full(self) -> bool:
-        return self.n > HELD
+        """Whether what is held, once merged, is still much; rows of many texts that are the same few stay."""
+        if self.n <= HELD:
+            return False
+        self.merge()
+        return self.n > HELD // 2
 
     def take(self, step: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.parts:
@@ -213,12 +235,58 @@ def suffix_columns(longest: int) -> list[str]:
     return [f"k{i}" for i in range(1, longest + 1)]
 
 
-def _suffixes(pairs, longest: int):
-    """(text, lang) -> (k1 .. k<longest>, n): the suffixes of two words and more, filled up with 0."""
+def paired_suffixes(p: Pieces, pairs: Bitmap, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (longest x n) of the suffixes of two words and more, filled up with 0, as far as every pair in them passes; and a
+    hash of each of their prefixes."""
+    goes_on = np.append((p.piece[:-1] == p.piece[1:]) & pairs.passes(pair_keys(p.key)), False) if len(p.key) else np.zeros(0, dtype=bool)
+    at = np.flatnonzero(goes_on)
+    rows = np.zeros((longest, len(at)), dtype=np.uint64)
+    ident = np.zeros((longest, len(at)), dtype=np.uint64)
+    rows[0], ident[0] = p.key[at], mix(p.key[at])
+    alive = np.ones(len(at), dtype=bool)
+    for j in range(1, longest):
+        alive = alive & goes_on[np.minimum(at + j - 1, len(goes_on) - 1)]
+        rows[j, alive] = p.key[at[alive] + j]
+        ident[j] = mix(ident[j - 1] * np.uint64(3) + rows[j])
+    return rows, ident
+
+
+def _count_runs(pairs, bits: int, least: int, longest: int):
+    """(text, lang) -> (block, buckets): how often the runs of three words and more fall into each bucket, ``least`` at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, dtype=np.min_scalar_type(least))
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows, ident = paired_suffixes(Pieces(batch), pairs.value, longest)
+                at, n = np.unique(np.concatenate(Bitmap.places(ident[2:][rows[2:] != 0], bits)), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, least)
+        counts = counts.reshape(-1, min(BLOCK, len(counts)))
+        used = np.flatnonzero(counts.any(axis=1))
+        for lo in range(0, len(used), 256):
+            part = used[lo: lo + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([counts[i].tobytes() for i in part], pa.binary())], names=["block", "buckets"])
+    return run
+
+
+def _full_buckets(least: int):
+    """(block, buckets) of counts -> (block, buckets) of bits: the buckets whose counts add up to ``least`` and more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                more = np.frombuffer(counts.as_buffer(), dtype=np.min_scalar_type(least))
+                sums[block] = np.minimum(sums.get(block, 0) + more.astype(np.int64), least).astype(more.dtype)
+        full = {block: np.packbits(n >= least, bitorder="little").tobytes() for block, n in sums.items() if n.max() >= least}
+        yield pa.RecordBatch.from_arrays([pa.array(list(full), pa.int64()), pa.array(list(full.values()), pa.binary())], names=["block", "buckets"])
+    return run
+
+
+def _suffixes(pairs, runs, longest: int):
+    """(text, lang) -> (k1 .. k<longest>, n): the suffixes of two words and more, as far as they may be frequent, filled up with 0."""
     names = suffix_columns(longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, held = pairs.value, _Counts(longest)
+        held = _Counts(longest)
 
         def out() -> Iterator[pa.RecordBatch]:
             for keys, n in held.take():
@@ -226,19 +294,14 @@ def _suffixes(pairs, longest: int):
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                p = Pieces(batch)
-                if len(p.key) < 2:
+                rows, ident = paired_suffixes(Pieces(batch), pairs.value, longest)
+                if not rows.size:
                     continue
-                goes_on = np.append((p.piece[:-1] == p.piece[1:]) & frequent.passes(pair_keys(p.key)), False)
-                at = np.flatnonzero(goes_on)
-                rows = np.zeros((longest, len(at)), dtype=np.uint64)
-                rows[0] = p.key[at]
-                alive, ident = np.ones(len(at), dtype=bool), mix(p.key[at])
-                for j in range(1, longest):
-                    alive = alive & goes_on[np.minimum(at + j - 1, len(goes_on) - 1)]
-                    rows[j, alive] = p.key[at[alive] + j]
-                    ident = mix(ident * np.uint64(3) + rows[j])
-                held.add(rows, ident)
+                for j in range(2, longest):
+                    ends = rows[j] == 0
+                    ends[~ends] = ~runs.value.passes(ident[j, ~ends])
+                    rows[j:, ends] = 0
+                held.add(rows, ident[(rows != 0).sum(axis=0) - 1, np.arange(rows.shape[1])])
                 if held.full():
                     yield from out()
         yield from out()
@@ -322,9 +385,12 @@ def phrase_counts(docs: DataFrame, text: str, lang: str, least: int, longest: in
     often = paired.where("word is null")
     size = often.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("suffixes")).first()
     pairs = ship(spark, Bitmap.of(often, size["pairs"]))
-    names = suffix_columns(longest)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["suffixes"] / ROUTED))
-    routed = rows.mapInArrow(_suffixes(pairs, longest), ", ".join(f"{k} long" for k in [*names, "n"])).repartitionByRange(tasks, *names)
+    names, partitions, few = suffix_columns(longest), int(spark.conf.get("spark.sql.shuffle.partitions")), rows.coalesce(parallelism(spark))
+    bits, blocks = Bitmap.bits_for(size["suffixes"] // least), "block long, buckets binary"
+    full = few.mapInArrow(_count_runs(pairs, bits, least, longest), blocks).repartition(partitions, "block").mapInArrow(_full_buckets(least), blocks)
+    runs = ship(spark, Bitmap.of_buckets(full, bits))
+    suffixes = space.save(few.mapInArrow(_suffixes(pairs, runs, longest), ", ".join(f"{k} long" for k in [*names, "n"])), "suffixes")
+    routed = suffixes.repartitionByRange(max(partitions, math.ceil(suffixes.count() / ROUTED)), *names)
     parts = routed.mapInArrow(_sorted_counts(least, longest), routed.schema)
     phrases = parts.groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least).select(
         F.filter(F.array(*names), lambda k: k != 0).alias("keys"), "a")
