@@ -5,13 +5,16 @@ num/den differ in at most (a + b) * (den - num) / (den + num) shingles. Sizes ar
 sketch has more blocks than that largest difference, and every shingle flips bits of one
 block: in the wide sketch all bits of a 64-bit hash (its XOR identifies a block), in the narrow one
 a single bit, so that the Hamming distance of two narrow sketches never exceeds the difference of the sets. Differing
-shingles touch at most one block each, so two sets that link agree in a whole block (pigeonhole). A set joins the
+shingles touch at most one block each, so two sets that link agree in all blocks but those (pigeonhole). A set joins the
 blocks of its own band, and those of the band below where a partner can be there. Nothing is sampled: no link can be
-missed. Empty blocks are left out where enough others must agree.
+missed. Of the blocks in one order, fullest first, a set joins one more than its largest difference to a partner: the first
+block in which two linking sets agree is preceded in either by differing blocks alone, so it is among those. Blocks of
+one shingle or none, which texts have in common by chance, are the last.
 
 Sets that are equal form one class. Classes that share a block are paired with one pivot class each: first within
 a task, which ships every block once however many of its texts have it, then between tasks, by hashed
-buckets of blocks, keeping only one pivot per block in memory. These pairs are verified on the texts, and the links found
+buckets of blocks, keeping only one pivot per block in memory. Of these pairs, those whose bitmaps (sketches of a bit
+a block) are no farther apart than a link allows are verified on the texts, and the links found
 join classes to components. What is left, pairs in one cluster of block-sharing classes but in different
 components, is compared by the Hamming distance of narrow sketches, a size band at a time and in blocks of at most
 ``SIDE`` x ``SIDE`` classes; the pairs that are near enough are verified on the texts as well.
@@ -28,14 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from vectables.llm.components import connected_components
 from vectables.llm.store import Workspace, rows_of
-from vectables.llm.text import Texts, Words, as_long, mix, shingle_sets, slices
+from vectables.llm.text import Texts, Words, as_long, lean, mix, shingle_sets, slices
 
 BAND = 0.68         # ratio of the edges of a size band
+SPARE = 0.3         # blocks of a sketch beyond those that must be joined, as a share of them
 FLUSH = 2_000_000   # block rows that a task holds before it pairs and ships them
 BUCKET = 4_000_000  # shingles of all texts for each bucket of blocks
 SIDE = 4_096        # classes on either side of a block of comparisons
@@ -54,7 +59,7 @@ class Bands:
         top = self.edges[1:] - 1
         self.apart = (top + top * den // num) * (den - num) // (den + num)
         empty = np.exp(-self.edges[:-1] / (self.apart + 1))            # share of blocks that hold no shingle
-        self.blocks = self.apart + 1 + np.ceil(2 * (self.apart + 1) * empty * (self.apart > 0)).astype(np.int64)
+        self.blocks = self.apart + 1 + np.ceil(np.maximum(SPARE, 2 * empty) * (self.apart + 1) * (self.apart > 0)).astype(np.int64)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, side="right") - 1
@@ -69,6 +74,11 @@ class Bands:
         order = np.argsort(at, kind="stable")
         return at[order], band[order]
 
+    def differ(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """The largest difference of a set of each size to a partner that it links with in each band."""
+        other = np.where(self.of(sizes) == band, sizes * self.den // self.num, self.edges[band + 1] - 1)
+        return (sizes + other) * (self.den - self.num) // (self.den + self.num)
+
 
 def sketch(sets: np.ndarray, bounds: np.ndarray, at: np.ndarray, band: np.ndarray, bands: Bands, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks of set ``at[i]`` in band ``band[i]``, flat; how many shingles each has; the bounds of each sketch."""
@@ -90,15 +100,43 @@ def fingerprints(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return as_long(mix((sums[bounds[1:]] - sums[bounds[:-1]]) + np.diff(bounds).astype(np.uint64)))
 
 
+def bitmaps(sets: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A parity bitmap of each set: a shingle flips one bit. It has two bits a shingle or more, a power of two."""
+    sizes = np.diff(bounds)
+    width = 1 << np.ceil(np.log2(np.maximum(sizes / 32, 1))).astype(np.int64)          # in words of 64 bits
+    edges = np.concatenate([[0], np.cumsum(width)])
+    x = mix(sets ^ np.uint64(0xB5297A4D3F84D5B5))
+    word = np.repeat(edges[:-1], sizes) + ((x >> np.uint64(6)).astype(np.int64) & np.repeat(width - 1, sizes))
+    out = np.zeros(edges[-1], dtype=np.uint64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (x & np.uint64(63)))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((edges * 8).astype(np.int32)), pa.py_buffer(out)])
+
+
+def bits_apart(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Differing bits of each pair of bitmaps, the wider one folded to the other: never more than the sets' difference."""
+    size = [pc.binary_length(x).to_numpy().astype(np.int64) // 8 for x in (left, right)]
+    kind, group = np.unique(np.stack(size, axis=1), axis=0, return_inverse=True)
+    out = np.zeros(len(left), dtype=np.int64)
+    for g, widths in enumerate(kind.tolist()):
+        at = np.flatnonzero(group.ravel() == g)
+        folded = []
+        for column, w in zip((left, right), widths):
+            words = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), dtype=np.uint64)
+            folded.append(np.bitwise_xor.reduce(words.reshape(len(at), w // min(widths), min(widths)), axis=1))
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _sizes(k: int):
-    """(id, text) -> (id, number of shingles, fingerprint)."""
+    """(id, text) -> (id, number of shingles, fingerprint, bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets, bounds = shingle_sets(Words(Texts(batch.column(1))), k)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(fingerprints(sets, bounds))], names=["id", "n_shingles", "fp"])
+                    [batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(fingerprints(sets, bounds)), bitmaps(sets, bounds)],
+                    names=["id", "n_shingles", "fp", "bits"])
 
     return run
 
@@ -118,6 +156,12 @@ def _pivots(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], fps[first], pairs[:, 0], pairs[:, 1]
 
 
+def joins(keys: np.ndarray, shingles: np.ndarray, member: np.ndarray, edges: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Blocks that each sketch joins: one more than the largest difference, the fullest, by their keys where equally full."""
+    order = np.lexsort((keys, -shingles, member))
+    return order[np.arange(len(order)) - edges[:-1][member] <= differ[member]]
+
+
 def _blocks(k: int, bands: Bands, buckets: int):
     """Texts -> rows per bucket of blocks: the blocks' keys and one class of the task that has each, as parallel
     lists; and the pairs of classes that met in a block within the task."""
@@ -148,13 +192,12 @@ def _blocks(k: int, bands: Bands, buckets: int):
                 blocks, shingles, edges = sketch(sets, bounds, at, band, bands, wide=True)
                 count = np.diff(edges)
                 member = np.repeat(np.arange(len(at)), count)
-                empty = np.bincount(member[shingles == 0], minlength=len(at))
-                use = (shingles > 0) | (empty >= bands.blocks[band] - bands.apart[band])[member]
                 which = (band.astype(np.uint64) << np.uint64(40))[member] + (np.arange(len(blocks)) - edges[:-1][member]).astype(np.uint64)
                 keys = mix(blocks ^ mix(which))
+                use = joins(keys, shingles, member, edges, bands.differ(np.diff(bounds)[at], band))
                 keys = ((keys >> np.uint64(_KEY_BITS)) * np.uint64(buckets) & ~np.uint64((1 << _KEY_BITS) - 1)) | (keys & np.uint64((1 << _KEY_BITS) - 1))
-                if use.any():
-                    held.append((keys[use], fingerprints(sets, bounds)[at][member][use]))
+                if len(use):
+                    held.append((keys[use], fingerprints(sets, bounds)[at][member[use]]))
                     rows += len(held[-1][0])
                 if rows > FLUSH:
                     yield shipped()
@@ -190,6 +233,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(*_pivots(*(np.concatenate(c) for c in zip(*held)))[2:])
 
 
+def _near(num: int, den: int):
+    """Pairs of classes with sizes and bitmaps -> the pairs, and whether they can link as far as these tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            able = den * np.minimum(na, nb) >= num * np.maximum(na, nb)
+            at = np.flatnonzero(able)
+            left, right = (batch.column(i).take(pa.array(at)) for i in (6, 7))
+            able[at] = bits_apart(left, right) <= ((na + nb) * (den - num) // (den + num))[at]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(able)], names=["a", "b", "fa", "fb", "able"])
+
+    return run
+
+
 def _links(k: int, num: int, den: int):
     """Rows (a, b, fa, fb, text_a, text_b) -> (a, b) of those whose sets link."""
 
@@ -261,17 +319,19 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 3,
     spark = docs.sparkSession
     space, bands = Workspace(spark, "parity"), Bands(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = space.save(texts.mapInArrow(_sizes(k), "id long, n_shingles long, fp long"), "rows")
+    rows = space.save(texts.mapInArrow(lean(_sizes(k)), "id long, n_shingles long, fp long, bits binary"), "rows")
     filled = rows.where("id is not null and n_shingles > 0")
-    classes = space.save(filled.groupBy("fp").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n")), "classes")
+    classes = space.save(filled.groupBy("fp").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
 
     total = rows.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     buckets = max(64, -(-int(total) // BUCKET))
-    dealt = texts.where("id is not null").select("text").mapInArrow(_blocks(k, bands, buckets), _BLOCKS)
+    dealt = texts.where("id is not null").select("text").mapInArrow(lean(_blocks(k, bands, buckets)), _BLOCKS)
     met = dealt.repartition("bucket").sortWithinPartitions("bucket", "part").select("bucket", "part", "keys", "fps", "left", "right")
-    pairs = space.save(met.mapInArrow(_meet, "fa long, fb long").distinct(), "pairs")
-    a, b = (classes.select(F.col("fp").alias(f"f{s}"), F.col("id").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    star = space.save(pairs.join(a, "fa").join(b, "fb"), "star")
+    pairs = space.save(met.mapInArrow(lean(_meet), "fa long, fb long").distinct(), "pairs")
+    a, b = (classes.select(F.col("fp").alias(f"f{s}"), F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
+    star = pairs.join(a, "fa").join(b, "fb").select("a", "b", "fa", "fb", "na", "nb", "bits_a", "bits_b")
+    star = space.save(star.mapInArrow(lean(_near(num, den)), "a long, b long, fa long, fb long, able boolean"), "star")
+    space.drop("pairs")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Links among pairs (a, b, fa, fb), by their texts."""
@@ -280,10 +340,12 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 3,
         some = rows_of(texts, ends, "id")
         text_a, text_b = (some.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
         both = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "fa", "fb", "text_a", "text_b")
-        return space.save(both.mapInArrow(_links(k, num, den), "a long, b long").distinct(), name)
+        links = space.save(both.mapInArrow(lean(_links(k, num, den)), "a long, b long").distinct(), name)
+        space.drop(f"{name}-pairs")
+        space.drop(f"{name}-ends")
+        return links
 
-    able = star.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-    links = verified(able.select("a", "b", "fa", "fb"), "links")
+    links = verified(star.where("able").select("a", "b", "fa", "fb"), "links")
     found = space.save(connected_components(links, space, "linked"), "found")
 
     # classes that share buckets but are not yet in one component
@@ -296,7 +358,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 3,
     open_ = size.join(paired, "cluster").where("lo <> hi and pairs < m * (m - 1) / 2").select("cluster")
     rest = space.save(member.join(open_, "cluster").join(classes, "id").select("id", "cluster", "fp", "component", "n"), "rest")
     narrow = space.save(rest.join(rows_of(texts, rest.select("id"), "id"), "id").select("id", "cluster", "fp", "component", "n", "text").mapInArrow(
-        _narrow(k, bands), "cluster long, band int, id long, component long, n long, blocks array<long>"), "narrow")
+        lean(_narrow(k, bands)), "cluster long, band int, id long, component long, n long, blocks array<long>"), "narrow")
     group = narrow.groupBy("cluster", "band").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     group = group.where("lo <> hi").select("cluster", "band", F.ceil(F.col("m") / SIDE).alias("sides"))
     sub = narrow.join(group, ["cluster", "band"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("sides")))
@@ -307,6 +369,8 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 3,
         classes.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
     more = verified(with_fps.select("a", "b", "fa", "fb"), "more")
     joined = space.save(connected_components(links.union(more), space, "joined"), "joined")
+    for name in ("star", "links", "found", "near", "rest", "narrow", "more"):
+        space.drop(name)
 
     by_class = classes.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     return rows.join(by_class, "fp", "left").select(
