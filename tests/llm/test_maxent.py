@@ -84,3 +84,9 @@ def test_what_follows_is_counted_if_the_last_batch_passes_the_words_on(monkeypat
     rows = [r for b in maxent._count(iter([batch, batch])) for r in b.to_pylist()]
     assert sum(r["n"] for r in rows if r["kind"] == 0) == 12
     assert sum(r["n"] for r in rows if r["kind"] == 1) == 24
+
+
+def test_every_round_learns_from_all_training_texts(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat and a dog lay by the door " * 5, False)], "doc_id long, text string, held boolean")
+    once, often = (maxent.score(docs, "doc_id", "text", "held", rounds=n).first()["score"] for n in (1, 4))
+    assert often > once + 1
