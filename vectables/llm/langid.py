@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vectables.llm.store import Workspace
-from vectables.llm.text import Texts, slices
+from vectables.llm.text import SLICE_BYTES, Texts, lean, slices
 
 HEAVY = 4_096           # hosts with more than this share of all rows are broadcast: at most as many
 BUCKETS = 1 << 16
@@ -57,7 +57,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text) -> (label, bucket, count), summed over the task."""
     sums: dict[str, np.ndarray] = {}
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE_BYTES // 2):
             bucket, bounds = trigrams(Texts(batch.column(1)))
             labels = batch.column(0).to_pylist()
             for label in set(labels):
@@ -91,7 +91,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, sample: int = SAMPLE
     cuts = rows.select("label", "hash").distinct().withColumn("rank", rank).where(f"rank <= {sample}").groupBy("label").agg(F.max("hash").alias("cut"))
     cut = rows.sparkSession.createDataFrame([tuple(r) for r in cuts.collect()], "label string, cut long")     # one row per language
     drawn = rows.join(F.broadcast(cut), "label").where("hash <= cut").dropDuplicates(["label", "hash"]).select("label", "text")
-    counted = drawn.mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = drawn.mapInArrow(lean(_count), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     labels = counted["label"].to_numpy(zero_copy_only=False) if len(counted) else np.zeros(0, dtype=object)
     languages = sorted(set(labels))
     counts = np.zeros((len(languages), BUCKETS))
@@ -105,7 +105,7 @@ def _score(model: Model, passed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES // 2):
                 bucket, bounds = trigrams(Texts(batch.column(passed)))
                 n = np.diff(bounds)
                 weight = np.minimum(1.0, WEIGHT / np.maximum(n, 1))
@@ -142,7 +142,7 @@ def identify(items: DataFrame, model: Model, space: Workspace) -> DataFrame:
     size = len(names)
     lead = items.columns[:-1]
     schema = ", ".join(f"`{c}` {t}" for c, t in items.dtypes[:-1])
-    scored = space.save(items.mapInArrow(_score(model, len(lead)), f"{schema}, trigrams long, logs array<double>"), "scored")
+    scored = space.save(items.mapInArrow(lean(_score(model, len(lead))), f"{schema}, trigrams long, logs array<double>"), "scored")
     prior = [(1 - UNKNOWN) / max(size - 1, 1)] * (size - 1) + [UNKNOWN if size > 1 else 1.0]
     log_prior = F.array(*[F.lit(float(np.log(p))) for p in prior])
     scored = scored.withColumn("own", _softmax(_add(F.col("logs"), log_prior)))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from vectables.llm.store import Workspace
-from vectables.llm.text import Texts, hash_ranges, slices
+from vectables.llm.text import SLICE_BYTES, Texts, hash_ranges, lean, slices
 
 GROUP_ITEMS = 100_000
 FAN_IN = 8
@@ -170,7 +170,7 @@ def _cut(size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES // 2):
                 ids, bounds = bpe.encode(batch.column(1))
                 ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
                 bounds = bounds + np.arange(len(bounds))
@@ -197,7 +197,7 @@ def _cut(size: int, end_id: int, with_ids: bool):
 def pieces(docs: DataFrame, id_col: str, text_col: str, size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """``(id, piece, start, length, ids_crc32[, ids])``: each document's ids and the end id, cut to ``size``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_cut(size, end_id, with_ids), _PIECES + (", ids array<long>" if with_ids else ""))
+    return rows.mapInArrow(lean(_cut(size, end_id, with_ids)), _PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -298,7 +298,7 @@ def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
     spark = cut.sparkSession
     space = Workspace(spark, "packing")
     cut = space.save(cut, "pieces")
-    at = space.save(cut.mapInPandas(_first_round(size), _PACKED), "round-0")
+    at = space.save(cut.mapInPandas(lean(_first_round(size)), _PACKED), "round-0")
     groups, level, before, done = None, 0, None, []
     while True:
         done.append(at.where("full"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vectables.llm.components import connected_components
 from vectables.llm.store import Workspace, rows_of
-from vectables.llm.text import Texts, Words, as_long, lean, mix, shingle_sets, slices
+from vectables.llm.text import SLICE_BYTES, Texts, Words, as_long, lean, mix, shingle_sets, slices
 
 BAND = 0.68         # ratio of the edges of a size band
 SPARE = 0.3         # blocks of a sketch beyond those that must be joined, as a share of them
@@ -132,7 +132,7 @@ def _sizes(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES // 2):
                 sets, bounds = shingle_sets(Words(Texts(batch.column(1))), k)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(fingerprints(sets, bounds)), bitmaps(sets, bounds)],
@@ -186,7 +186,7 @@ def _blocks(k: int, bands: Bands, buckets: int):
             return out
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES // 2):
                 sets, bounds = shingle_sets(Words(Texts(batch.column(0))), k)
                 at, band = bands.joined(np.diff(bounds))
                 blocks, shingles, edges = sketch(sets, bounds, at, band, bands, wide=True)
@@ -253,8 +253,8 @@ def _links(k: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for half in slices(whole, "text_a", 2 << 20):
-                for batch in slices(half, "text_b", 2 << 20):
+            for half in slices(whole, "text_a", SLICE_BYTES // 2):
+                for batch in slices(half, "text_b", SLICE_BYTES // 2):
                     left, lb = shingle_sets(Words(Texts(batch.column(4))), k)
                     right, rb = shingle_sets(Words(Texts(batch.column(5))), k)
                     na, nb = np.diff(lb), np.diff(rb)
@@ -275,7 +275,7 @@ def _narrow(k: int, bands: Bands):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES // 2):
                 sets, bounds = shingle_sets(Words(Texts(batch.column(5))), k)
                 right = fingerprints(sets, bounds) == batch.column(2).to_numpy()
                 at, band = bands.joined(np.diff(bounds))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vectables.llm.star import star_edges
 from vectables.llm.store import Workspace, free_name, rows_of
-from vectables.llm.text import SLICE_BYTES, Texts, Words, as_long, kmers, run_hashes, slices
+from vectables.llm.text import SLICE_BYTES, Texts, Words, as_long, kmers, lean, run_hashes, slices
 
 K = 5                   # words in a seed
 WINDOW = 12             # of so many seeds in a row, one is kept
@@ -68,7 +68,7 @@ def _seeds(k: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES // 2):
                 words = Words(Texts(batch.column(1)))
                 hashes, at = kmers(words, k)
                 text = words.text[at]
@@ -177,7 +177,7 @@ def _distinct(column: pa.Array) -> tuple[np.ndarray, Words]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the source's text by the hashes of its words around the chain, from word ``first``."""
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE_BYTES // 2):
             of, words = _distinct(batch.column(batch.schema.get_field_index("text")))
             ys = batch.column(batch.schema.get_field_index("ys"))
             flat, at = ys.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ys.value_lengths().to_numpy())])
@@ -306,7 +306,7 @@ def _aligned(k: int, min_words: int, min_share: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES // 2):
                 col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
                 of, words = _distinct(col["text"])
                 lists = {}
@@ -338,7 +338,7 @@ def _runs(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):       # up to a row a word goes out
+            for batch in slices(whole, "text", SLICE_BYTES // 2):       # up to a row a word goes out
                 words = Words(Texts(batch.column(1)))
                 places = batch.column(3)
                 text = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
@@ -372,7 +372,7 @@ def exact_passages(texts: DataFrame, seeds: DataFrame, known: DataFrame, min_wor
     space.drop("long-stars")
     held = rows_of(texts, places.select("id"), "id").join(places, "id").select(
         "id", "text", F.xxhash64("text").alias("mark"), "places")
-    runs = held.mapInArrow(_runs(min_words), "key long, doc long, pos long, mark long")
+    runs = held.mapInArrow(lean(_runs(min_words)), "key long, doc long, pos long, mark long")
     same = star_edges(runs, ["doc", "pos", "mark"], space, "run-stars").where(
         f"doc <> to_doc or pos - to_pos >= {min_words}").withColumn("ahead", F.col("pos") - F.col("to_pos"))
     line = ["doc", "mark", "to_doc", "ahead"]
@@ -393,21 +393,21 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
     space = Workspace(docs.sparkSession, "passages")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(
         "id is not null and text is not null")
-    seeds = texts.mapInArrow(_seeds(K, min_words - WINDOW + 1), "key long, doc long, pos long, run long")
+    seeds = texts.mapInArrow(lean(_seeds(K, min_words - WINDOW + 1)), "key long, doc long, pos long, run long")
     matches = star_edges(seeds, ["doc", "pos", "run"], space).where("doc <> to_doc or pos <> to_pos")
     found = space.save(
         matches.where(f"doc <> to_doc or pos - to_pos >= {min_words}").select("doc", "to_doc", "pos", "to_pos").repartition("doc", "to_doc").sortWithinPartitions(
-            "doc", "to_doc", "pos", "to_pos").mapInArrow(_chain(K, 2), _CHAIN), "chains")
+            "doc", "to_doc", "pos", "to_pos").mapInArrow(lean(_chain(K, 2)), _CHAIN), "chains")
     again = matches.select(F.col("run").alias("key"), "doc", "pos").union(matches.select("to_run", "to_doc", "to_pos")).where("key <> 0")
     long_seeds = space.save(again.distinct(), "long-seeds")
     space.drop("stars")
     ends = space.save(found.select(F.col("doc").alias("id")).union(found.select("to_doc")).distinct(), "ends")
     chained = rows_of(texts, ends, "id")
     sources = found.join(chained.withColumnRenamed("id", "to_doc"), "to_doc").select("doc", "to_doc", "xs", "ys", "text").mapInArrow(
-        _windows, _CHAIN + ", first int, source array<long>")
+        lean(_windows), _CHAIN + ", first int, source array<long>")
     both = sources.join(chained.withColumnRenamed("id", "doc"), "doc").select(
         "doc", "to_doc", "xs", "ys", "first", "source", "text", F.xxhash64("text").alias("text_hash"))
-    fuzzy = space.save(both.mapInArrow(_aligned(K, min_words, min_share), _FOUND).distinct(), "passages")
+    fuzzy = space.save(both.mapInArrow(lean(_aligned(K, min_words, min_share)), _FOUND).distinct(), "passages")
     several = space.save(texts.select("id", F.xxhash64("text").alias("mark")).groupBy("id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where(
         "a <> b").select("id"), "several")     # ids of several texts: what is known of one says nothing of the other
     known = rows_of(fuzzy.withColumnRenamed("doc", "id"), several, "id", others=True).select(
@@ -421,7 +421,7 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row columns..., text, ranges) -> the same columns with the ranges' words cut out of the text."""
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE_BYTES // 2):
             names = batch.schema.names
             text, ranges = batch.column(names.index("text")), batch.column(names.index("ranges")).to_pylist()
             words = Words(Texts(text))
@@ -463,7 +463,7 @@ def cut_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int = MI
     ids = ranges.select(key)
     hit = rows_of(keyed, ids, key).join(ranges, key).select(
         F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(cuts).alias("ranges"))
-    cut = hit.mapInArrow(_without, f"row {hit.schema['row'].dataType.simpleString()}, text string").where(
+    cut = hit.mapInArrow(lean(_without), f"row {hit.schema['row'].dataType.simpleString()}, text string").where(
         F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
     rebuilt = cut.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
     return rows_of(keyed, ids, key, others=True).select(*docs.columns).union(rebuilt)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vectables.llm import langid, mixing, packing, parity, passages
 from vectables.llm.store import Workspace, free_name, rows_of
-from vectables.llm.text import Texts, Words, slices
+from vectables.llm.text import SLICE_BYTES, Texts, Words, lean, slices
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -60,7 +60,7 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     and joined by line breaks.
     """
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE_BYTES // 2):
             words = Words(Texts(batch.column(1)), lower=False)
             raw = words.texts.data.tobytes()
             rows, out = [], []
@@ -96,7 +96,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = mixing.WEIGHTS) ->
     mixed = mixing.mix(keyed, key, "source", "text", weights=weights).where("taken > 0").select(F.col("id").alias(key), F.col("ranges").alias(parts))
     taken = keyed.dropDuplicates([key]).join(mixed.hint("merge"), key).select(
         F.struct(*docs.columns).alias("row"), F.col("text"), F.col(parts).alias("ranges"))
-    made = taken.mapInArrow(_copies, f"row {taken.schema['row'].dataType.simpleString()}, text string")
+    made = taken.mapInArrow(lean(_copies), f"row {taken.schema['row'].dataType.simpleString()}, text string")
     texts = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return made.select(*(texts[c].alias(c) if c in texts else F.col("row")[c].alias(c) for c in docs.columns))
 

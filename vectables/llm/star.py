@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from vectables.llm.store import Workspace
+from vectables.llm.text import lean
 
 
 def _pair(members: list[str]):
@@ -73,7 +74,7 @@ def star_edges(rows: DataFrame, members: list[str], space: Workspace, name: str
     order = rows.columns
     schema = "kind int, part long, key long, " + ", ".join(f"{m} long" for m in [*members, *(f"to_{m}" for m in members)])
     stars = space.save(
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pair(members), schema), name)
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(_pair(members)), schema), name)
     both = [*members, *(f"to_{m}" for m in members)]
     # one row for either end of each task's range, so what is carried has at most a row a task
     ends = sorted(tuple(r) for r in stars.where("kind > 0").select("part", "kind", "key", *members).collect())
